@@ -19,7 +19,6 @@ from plumbline.columns import (
     sql_text,
 )
 from plumbline.functions.parsing import DOUBLE_TEXT
-from plumbline.operators.describe import correlation_pairs
 from plumbline.operators.profile import column_profile
 from plumbline.plans.per_column import wide_to_long
 
@@ -64,20 +63,20 @@ def id_like_columns(df: DataFrame) -> DataFrame:
     kinds = families(df)
     columns = [c for c in df.columns if kinds[c] != "other"]
 
-    def measure(wanted: str, text: str, otherwise: str) -> list[str]:
-        return [text.format(c=quoted(c)) if kinds[c] == wanted else otherwise for c in columns]
-
+    nothing = "max(CAST(NULL AS DECIMAL(38,0)))"
+    names = {c: quoted(c) for c in columns}
     span = wide_to_long(
         df,
         columns,
         {
-            "span": measure(
-                "integral", "CAST(max({c}) AS DECIMAL(38,0)) - min({c}) + 1",
-                "max(CAST(NULL AS DECIMAL(38,0)))",
-            ),
-            "n_uuid": measure("text", f"count_if({{c}} RLIKE {sql_text(UUID_PATTERN)})".replace(
-                "{8}", "{{8}}").replace("{4}", "{{4}}").replace("{3}", "{{3}}").replace(
-                "{12}", "{{12}}"), "max(0L)"),
+            "span": [
+                f"CAST(max({n}) AS DECIMAL(38,0)) - min({n}) + 1" if kinds[c] == "integral" else nothing
+                for c, n in names.items()
+            ],
+            "n_uuid": [
+                f"count_if({n} RLIKE {sql_text(UUID_PATTERN)})" if kinds[c] == "text" else "max(0L)"
+                for c, n in names.items()
+            ],
         },
     )
     profile = column_profile(df, columns)
@@ -102,17 +101,14 @@ def leakage_hints(
     df = present(df)
     target = require_numeric(df, target)
     others = [c for c in numeric_columns(df, columns) if c != target]
-    measured = [
-        correlation
-        for correlation in _with_target(df, target, others)
-    ]
+    measured = _with_target(target, others)
     if not measured:
         raise ValueError("there is no other numeric column")
     long = wide_to_long(df, others, {"correlation": measured})
     return long.filter(f"abs(correlation) > {limit}D").select("column", "correlation")
 
 
-def _with_target(df: DataFrame, target: str, others: list[str]) -> list[str]:
+def _with_target(target: str, others: list[str]) -> list[str]:
     y = number(target)
     return [
         f"try_divide(covar_samp({number(c)}, {y}),"

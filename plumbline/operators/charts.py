@@ -121,7 +121,8 @@ def scatter_points(
     names = {"x": resolve(df, x), "y": resolve(df, y)}
     if hue is not None:
         names["hue"] = resolve(df, hue)
-    points = df.select(*[col(c).alias(k) for k, c in names.items()]).dropna(subset=["x", "y"])
+    points = df.select(*[col(c).alias(k) for k, c in names.items()])
+    points = points.filter("x IS NOT NULL AND y IS NOT NULL")
     return points if fraction is None else points.sample(fraction=fraction, seed=seed)
 
 
@@ -150,12 +151,16 @@ def _keys(df: DataFrame, x: str, hue: str | None) -> list[str]:
     return [resolve(df, c) for c in ([x] if hue is None else [x, hue])]
 
 
+def _all_present(keys: list[str]) -> str:
+    return " AND ".join(f"{quoted(k)} IS NOT NULL" for k in keys)
+
+
 def bar_counts(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
     """Rows per category (and hue); rows without a category are left out."""
     df = present(df)
     keys = _keys(df, x, hue)
     return (
-        df.dropna(subset=[quoted(k) for k in keys])
+        df.filter(_all_present(keys))
         .groupBy(*[col(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -169,7 +174,7 @@ def bar_means(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFram
     df = present(df)
     value, keys = number(require_numeric(df, y)), _keys(df, x, hue)
     grouped = (
-        df.dropna(subset=[quoted(k) for k in keys])
+        df.filter(_all_present(keys))
         .groupBy(*[col(k) for k in keys])
         .agg(
             F.expr(f"count({value}) AS n"),
@@ -190,7 +195,7 @@ def line_means(
     place = col(keys[0]) if every is None else F.date_trunc(every, col(keys[0]))
     grouping = [place.alias("x"), *[col(k).alias("hue") for k in keys[1:]]]
     return (
-        df.dropna(subset=[quoted(k) for k in keys])
+        df.filter(_all_present(keys))
         .filter(f"{value} IS NOT NULL")
         .groupBy(*grouping)
         .agg(F.count(F.lit(1)).alias("n"), F.expr(f"avg({value}) AS mean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import thresholds as t
@@ -43,10 +43,6 @@ def sample_rows(df: DataFrame, order_by: list[str], n: int = t.SAMPLE_ROWS) -> D
     return df.orderBy(*[col(c) for c in resolve_all(df, order_by)]).limit(n)
 
 
-def share(part: Column, whole: Column) -> Column:
-    return part / F.greatest(F.lit(1), whole)
-
-
 def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, n_rows, n_missing, missing_pct``, from one scan without a shuffle of rows."""
     df = present(df)
@@ -59,7 +55,7 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
             "n_missing": [f"count_if({quoted(c)} IS NULL)" for c in columns],
         },
     )
-    return long.withColumn("missing_pct", share(F.col("n_missing"), F.col("n_rows")))
+    return long.selectExpr("*", "n_missing / greatest(1, n_rows) AS missing_pct")
 
 
 def distinct_counts(
@@ -227,29 +223,34 @@ def column_flags(df: DataFrame) -> DataFrame:
     return column_profile(df).select("column", "n_unique", "is_constant", "is_all_unique")
 
 
-def example_values(df: DataFrame, columns: list[str] | None = None, n: int = t.EXAMPLE_VALUES) -> DataFrame:
+def example_values(
+    df: DataFrame, columns: list[str] | None = None, n: int = t.EXAMPLE_VALUES
+) -> DataFrame:
     """``column, example_values``: the ``n`` smallest distinct values as texts, joined by ``|``.
 
-    Each column keeps only its ``n`` smallest values per task, so the collected arrays stay
-    at ``n`` values whatever the table's size.
+    Scan number i finds, for all columns at once, the smallest value above those found
+    before. No values are shuffled, and ``n`` values per column reach the driver.
     """
     df = present(df)
     columns = countable(df, resolve_all(df, columns))
-    parts = []
-    for i, c in enumerate(columns):
-        smallest = df.filter(col(c).isNotNull()).select(col(c).alias("v")).distinct().orderBy("v").limit(n)
-        parts.append(
-            smallest.agg(F.array_sort(F.collect_list("v")).alias("v")).select(
-                F.lit(c).alias("column"),
-                F.array_join(F.transform(F.col("v"), lambda x: x.cast("string")), "|").alias(
-                    "example_values"
-                ),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for _ in range(n):
+        measures = []
+        for c in columns:
+            above = ""
+            if found[c]:
+                kind = df.schema[c].dataType.simpleString()
+                above = f" FILTER (WHERE {quoted(c)} > CAST({sql_text(found[c][-1])} AS {kind}))"
+            measures.append(f"CAST(min({quoted(c)}){above} AS STRING)")
+        smallest = df.selectExpr(*[f"{m} AS m{i}" for i, m in enumerate(measures)]).first()
+        for i, c in enumerate(columns):
+            if smallest[i] is not None:
+                found[c].append(smallest[i])
+        columns = [c for i, c in enumerate(columns) if smallest[i] is not None]
+        if not columns:
+            break
+    rows = [(c, "|".join(values)) for c, values in found.items() if values]
+    return df.sparkSession.createDataFrame(rows, "column string, example_values string")
 
 
 def ingest_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
