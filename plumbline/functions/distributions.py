@@ -134,9 +134,9 @@ def binomial_p(k: int, n: int, p: float, alternative: str) -> float:
     if alternative == "less":
         return 1.0 - _binomial_upper(k + 1, n, p) if k < n else 1.0
     mode = min(n, int((n + 1) * p))
-    if k == mode or k == n * p:
-        return 1.0
     limit = _log_pmf(k, n, p) + math.log1p(1e-7)
+    if _log_pmf(mode, n, p) <= limit:
+        return 1.0
     if k < mode:
         low, high = mode, n + 1  # smallest i above the mode that is as unlikely as k
         while low + 1 < high:
@@ -171,7 +171,7 @@ def student_p_value(alternative: str):
     """A pandas UDF (statistic, df) -> p-value; NULL where either is missing."""
 
     def p_value(statistic: pd.Series, df: pd.Series) -> pd.Series:
-        known = (statistic.notna() & df.notna()).to_numpy()
+        known = (statistic.notna() & (df > 0)).to_numpy()
         s, d = statistic.to_numpy(float)[known], df.to_numpy(float)[known]
         return _on_known(
             len(known), known,
@@ -185,7 +185,7 @@ def student_critical(alpha: float):
     """A pandas UDF df -> two-sided critical value."""
 
     def critical(df: pd.Series) -> pd.Series:
-        known = df.notna().to_numpy()
+        known = (df > 0).to_numpy()
         d = df.to_numpy(float)[known]
         return _on_known(len(known), known, lambda: student_quantile(1.0 - alpha / 2.0, d))
 

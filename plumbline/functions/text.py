@@ -1,33 +1,32 @@
-"""Numbers as the texts reports use."""
+"""Numbers as the texts reports use, as SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def percent(share: Column) -> Column:
+def percent(share: str) -> str:
     """0.1234 as ``12.3%``."""
-    return F.format_string("%.1f%%", share * 100)
-
-
-def four_digits(value: Column) -> Column:
-    """At most four significant digits, no trailing zeros, exponent from 1e4 and below 1e-4."""
-    scientific = F.format_string("%.3e", value)
-    digits = F.regexp_replace(F.substring_index(scientific, "e", 1), r"\.?0+$", "")
-    exponent = F.substring_index(scientific, "e", -1).cast("int")
-    # The exponent after rounding decides the form, so that 9999.9 becomes 1e+04.
-    plain = F.lit(None).cast("string")
-    for e in range(-4, 4):
-        kept = F.bround(value, 3 - e)
-        plain = F.when(exponent == e, F.format_string(f"%.{3 - e}f", kept)).otherwise(plain)
-    trimmed = F.when(F.instr(plain, ".") > 0, F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    return f"format_string('%.1f%%', {share} * 100D)"
+
+
+def four_digits(value: str) -> str:
+    """At most four significant digits, no trailing zeros, exponent from 1e4 and below 1e-4.
+
+    The exponent after rounding decides the form, so that 9999.9 becomes 1e+04.
+    """
+    scientific = f"format_string('%.3e', {value})"
+    exponent = f"CAST(substring_index({scientific}, 'e', -1) AS INT)"
+    # Ties go to the even digit.
+    large = " ".join(f"WHEN {e} THEN bround({value}, {3 - e})" for e in range(4, 13))
+    scientific = f"format_string('%.3e', CASE {exponent} {large} ELSE {value} END)"
+    mantissa = f"rtrim('.', rtrim('0', substring_index({scientific}, 'e', 1)))"
+    plain = " ".join(
+        f"WHEN {e} THEN format_string('%.{3 - e}f', bround({value}, {3 - e}))" for e in range(-4, 4)
+    )
+    plain = f"CASE {exponent} {plain} END"
     return (
-        F.when(value == 0, F.lit("0"))
-        .when((exponent < -4) | (exponent >= 4), F.concat(
-            F.when(F.instr(F.substring_index(scientific, "e", 1), ".") > 0, digits),
-            F.lit("e"), F.substring_index(scientific, "e", -1)))
-        .otherwise(trimmed)
+        f"CASE WHEN {value} = 0 THEN '0'"
+        f" WHEN {exponent} = 3 THEN {plain}"
+        f" WHEN {exponent} BETWEEN -4 AND 2 THEN rtrim('.', rtrim('0', {plain}))"
+        f" WHEN {value} IS NOT NULL"
+        f" THEN concat({mantissa}, 'e', substring_index({scientific}, 'e', -1)) END"
     )
-
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from plumbline.columns import (
     require_numeric,
     resolve,
     resolve_all,
+    sql_double,
     sql_text,
 )
 from plumbline.operators.outliers import counts_with_limits, limits_from_row, summary_from_measures
@@ -26,7 +28,7 @@ from plumbline.plans.frequency import NUMERIC_VALUE, value_frequencies
 from plumbline.plans.per_column import pin, wide_to_long
 from plumbline.plans.ranks import directly, ranked_quantiles, spread, working_copy
 
-PAIRS_PER_SCAN = 60  # keeps the generated code of one aggregate within what the JVM compiles
+PAIRS_PER_SCAN = 100  # keeps the generated code of one aggregate within what the JVM compiles
 
 
 # ---- one column -------------------------------------------------------------
@@ -265,29 +267,96 @@ def bivariate(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``col_a, col_b, n_complete, correlation`` of each pair, ``col_a`` before ``col_b``.
 
-    Each pair uses the rows complete in it. One scan serves many pairs and moves no rows.
+    Each pair uses the rows complete in it; a column that is constant there gives NULL.
+    A first scan finds mean, range and missing values of each column. A second sums
+    products of deviations from the means: one sum per pair of columns without missing
+    values, a few conditional ones for any other pair. Neither moves rows.
     """
     df = present(df)
-    pairs = list(combinations(numeric_columns(df, columns), 2))
+    columns = numeric_columns(df, columns)
+    pairs = list(combinations(columns, 2))
     if not pairs:
         raise ValueError("a correlation needs two numeric columns")
+    first = df.selectExpr(
+        "count(*) AS n",
+        *[
+            f"{a}({number(c)}) AS {a}_{i}"
+            for i, c in enumerate(columns)
+            for a in ("count", "avg", "min", "max")
+        ],
+    ).first()
+    facts = {
+        c: ColumnFacts(
+            complete=first[f"count_{i}"] == first["n"],
+            constant=first[f"min_{i}"] == first[f"max_{i}"],
+            deviation=f"({number(c)} - {sql_double(first[f'avg_{i}'])})",
+        )
+        for i, c in enumerate(columns)
+    }
     out = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        batch = pairs[start : start + PAIRS_PER_SCAN]
-        sums = [_pair(number(a), number(b)) for a, b in batch]
-        names = [f"{i}" for i in range(len(batch))]
-        measures = {"n_complete": [s[0] for s in sums], "correlation": [s[2] for s in sums]}
-        long = wide_to_long(df, names, measures)
-        first = ", ".join(sql_text(a) for a, _ in batch)
-        second = ", ".join(sql_text(b) for _, b in batch)
-        part = long.selectExpr(
-            f"array({first})[cid] AS col_a", f"array({second})[cid] AS col_b",
-            "n_complete", "correlation",
-        )
+        part = _pair_sums(df, pairs[start : start + PAIRS_PER_SCAN], facts)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@dataclass(frozen=True)
+class ColumnFacts:
+    """What decides which sums a column needs."""
+
+    complete: bool
+    constant: bool
+    deviation: str
+
+
+def _pair_sums(
+    df: DataFrame, pairs: list[tuple[str, str]], facts: dict[str, ColumnFacts]
+) -> DataFrame:
+    measures: dict[str, str] = {}
+
+    def measure(text: str) -> str:
+        """The alias of an aggregate, each computed once however many pairs use it."""
+        return measures.setdefault(text, f"s{len(measures)}")
+
+    cells = []
+    for a, b in pairs:
+        x, y = facts[a].deviation, facts[b].deviation
+        if facts[a].constant or facts[b].constant:
+            n = measure(f"count_if({quoted(a)} IS NOT NULL AND {quoted(b)} IS NOT NULL)")
+            corr = "CAST(NULL AS DOUBLE)"
+        elif facts[a].complete and facts[b].complete:
+            n = measure("count(*)")
+            sums = [measure(f"sum({t})") for t in (x, y, f"{x} * {y}", f"{x} * {x}", f"{y} * {y}")]
+            corr = _correlation(n, *sums)
+        else:
+            # A product is NULL when either factor is, so it marks the rows complete in both.
+            both = f"{quoted(a)} IS NOT NULL AND {quoted(b)} IS NOT NULL"
+            xs, ys = f"IF({both}, {x}, NULL)", f"IF({both}, {y}, NULL)"
+            n = measure(f"count({x} * {y})")
+            sums = [
+                measure(f"sum({t})")
+                for t in (xs, ys, f"{x} * {y}", f"{xs} * {xs}", f"{ys} * {ys}")
+            ]
+            varies = " AND ".join(
+                f"{measure(f'min({v})')} < {measure(f'max({v})')}" for v in (xs, ys)
+            )
+            corr = f"IF({varies}, {_correlation(n, *sums)}, NULL)"
+        cells.append(f"{sql_text(a)}, {sql_text(b)}, {n}, {corr}")
+    wide = df.selectExpr(*[f"{text} AS {name}" for text, name in measures.items()])
+    return wide.selectExpr(
+        f"stack({len(cells)}, {', '.join(cells)}) AS (col_a, col_b, n_complete, correlation)"
+    )
+
+
+def _correlation(n: str, sx: str, sy: str, sxy: str, sxx: str, syy: str) -> str:
+    spread_x = f"({sxx} - {sx} * {sx} / {n})"
+    spread_y = f"({syy} - {sy} * {sy} / {n})"
+    return (
+        f"IF({n} > 1, greatest(-1D, least(1D, try_divide({sxy} - {sx} * {sy} / {n},"
+        f" sqrt({spread_x}) * sqrt({spread_y})))), NULL)"
+    )
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``col_a, col_b, correlation`` for all ordered pairs, the diagonal included.
 
@@ -296,7 +365,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     df = present(df)
     columns = numeric_columns(df, columns)
     pairs = correlation_pairs(df, columns).select("col_a", "col_b", "correlation")
-    spreads = [f"IF(stddev_samp({number(c)}) > 0, 1D, NULL)" for c in columns]
+    spreads = [f"IF(min({number(c)}) < max({number(c)}), 1D, NULL)" for c in columns]
     diagonal = wide_to_long(df, columns, {"correlation": spreads}).selectExpr(
         "column AS col_a", "column AS col_b", "correlation"
     )

@@ -155,13 +155,11 @@ def outlier_preview(
 
 def metadata_from_counts(counts: DataFrame) -> DataFrame:
     """Columns that have outliers, with a filter text that keeps what lies inside the bounds."""
-    name = F.concat(F.lit("`"), F.col("column"), F.lit("`"))
-    hint = F.concat_ws(
-        " and ",
-        F.concat(name, F.lit(" >= "), four_digits(F.col("lower_bound"))),
-        F.concat(name, F.lit(" <= "), four_digits(F.col("upper_bound"))),
+    hint = (
+        f"concat_ws(' and ', concat('`', column, '` >= ', {four_digits('lower_bound')}),"
+        f" concat('`', column, '` <= ', {four_digits('upper_bound')}))"
     )
-    return counts.filter(F.col("outlier_count") > 0).withColumn("suggested_filter", hint)
+    return counts.filter("outlier_count > 0").selectExpr("*", f"{hint} AS suggested_filter")
 
 
 def outlier_metadata(
@@ -172,24 +170,15 @@ def outlier_metadata(
 
 def suggested_actions(metadata: DataFrame) -> DataFrame:
     """``column, action`` for each column of :func:`outlier_metadata`."""
-    return metadata.select(
+    lower = f"coalesce({four_digits('lower_bound')}, '-inf')"
+    upper = f"coalesce({four_digits('upper_bound')}, 'inf')"
+    return metadata.selectExpr(
         "column",
-        F.when(
-            F.col("outlier_pct") > t.HIGH_OUTLIER_SHARE,
-            F.concat(
-                F.lit("High outlier rate ("), percent(F.col("outlier_pct")), F.lit(") in '"),
-                F.col("column"), F.lit("': Consider removing values outside ["),
-                F.coalesce(four_digits(F.col("lower_bound")), F.lit("-inf")), F.lit(", "),
-                F.coalesce(four_digits(F.col("upper_bound")), F.lit("inf")), F.lit("]"),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Found "), F.col("outlier_count"), F.lit(" outliers in '"), F.col("column"),
-                F.lit("': Filter: "), F.col("suggested_filter"),
-            )
-        )
-        .alias("action"),
+        f"IF(outlier_pct > {t.HIGH_OUTLIER_SHARE}D,"
+        f" concat('High outlier rate (', {percent('outlier_pct')}, ') in \\'', column,"
+        f" '\\': Consider removing values outside [', {lower}, ', ', {upper}, ']'),"
+        " concat('Found ', outlier_count, ' outliers in \\'', column,"
+        " '\\': Filter: ', suggested_filter)) AS action",
     )
 
 
@@ -199,35 +188,25 @@ def outlier_options(metadata: DataFrame) -> DataFrame:
     ``id, description, estimated_rows, lower_bound, upper_bound``; empty when no column
     has outliers. The rows removed by "all" depend on overlap and are left NULL.
     """
-    bounds = F.when(
-        F.col("lower_bound").isNotNull() & F.col("upper_bound").isNotNull(),
-        F.concat(
-            F.lit("keep values in ["), four_digits(F.col("lower_bound")), F.lit(", "),
-            four_digits(F.col("upper_bound")), F.lit("]"),
-        ),
-    ).otherwise(F.lit(""))
-    single = metadata.select(
-        F.col("column").alias("id"),
-        F.concat(
-            F.lit("Remove "), F.col("outlier_count"), F.lit(" outliers from '"), F.col("column"),
-            F.lit("' ("), percent(F.col("outlier_pct")), F.lit(" of values) - "), bounds,
-        ).alias("description"),
-        F.col("outlier_count").alias("estimated_rows"),
+    bounds = (
+        f"coalesce(concat('keep values in [', {four_digits('lower_bound')}, ', ',"
+        f" {four_digits('upper_bound')}, ']'), '')"
+    )
+    single = metadata.selectExpr(
+        "column AS id",
+        f"concat('Remove ', outlier_count, ' outliers from \\'', column, '\\' (',"
+        f" {percent('outlier_pct')}, ' of values) - ', {bounds}) AS description",
+        "outlier_count AS estimated_rows",
         "lower_bound",
         "upper_bound",
     )
-    everything = (
-        metadata.agg(F.sum("outlier_count").alias("total"))
-        .filter(F.col("total").isNotNull())
-        .select(
-            F.lit("all").alias("id"),
-            F.format_string(
-                "Remove ALL outliers (%d total across all columns)", F.col("total")
-            ).alias("description"),
-            F.lit(None).cast("long").alias("estimated_rows"),
-            F.lit(None).cast("double").alias("lower_bound"),
-            F.lit(None).cast("double").alias("upper_bound"),
-        )
+    everything = metadata.selectExpr("sum(outlier_count) AS total").filter("total IS NOT NULL")
+    everything = everything.selectExpr(
+        "'all' AS id",
+        "concat('Remove ALL outliers (', total, ' total across all columns)') AS description",
+        "CAST(NULL AS BIGINT) AS estimated_rows",
+        "CAST(NULL AS DOUBLE) AS lower_bound",
+        "CAST(NULL AS DOUBLE) AS upper_bound",
     )
     return everything.unionByName(single)
 

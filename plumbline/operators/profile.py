@@ -143,9 +143,8 @@ def column_measures(
         found = distinct_and_quartiles(df, scalars, direct)
     else:
         quartiles = [
-            f"percentile_approx({number(c)}, array(0.25, 0.5, 0.75), 10000)"
-            if c in numeric
-            else "max(CAST(NULL AS ARRAY<DOUBLE>))"
+            f"percentile_approx({number(c) if c in numeric else 'CAST(NULL AS DOUBLE)'},"
+            " array(0.25, 0.5, 0.75), 10000)"
             for c in scalars
         ]
         uniques = [f"approx_count_distinct({quoted(c)})" for c in scalars]
@@ -264,32 +263,25 @@ def ingest_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def missingness_warnings(df: DataFrame) -> DataFrame:
     """``column, warning`` for columns that are missing in more than 30 % of the rows."""
-    high = missing_profile(df).filter(F.col("missing_pct") > t.HIGH_MISSING)
-    return high.select(
+    high = missing_profile(df).filter(f"missing_pct > {t.HIGH_MISSING}D")
+    shown = percent("missing_pct")
+    return high.selectExpr(
         "column",
-        F.format_string(
-            "Column '%s' has high missingness (%s).", F.col("column"), percent(F.col("missing_pct"))
-        ).alias("warning"),
+        f"concat('Column \\'', column, '\\' has high missingness (', {shown}, ').') AS warning",
     )
 
 
 def issues_from_profile(profile: DataFrame) -> DataFrame:
     """``column, issue``, one row per issue of a column."""
-    pct = F.col("missing_pct")
-    texts = F.array(
-        F.when(
-            pct > t.HIGH_MISSING,
-            F.concat(F.lit("High missingness: "), percent(pct), F.lit(" of values are missing.")),
-        ),
-        F.when(
-            (pct > 0) & (pct <= t.HIGH_MISSING),
-            F.concat(F.lit("Some missing values: "), percent(pct), F.lit(" of values are missing.")),
-        ),
-        F.when(
-            F.col("is_constant"), F.lit("Column is constant (only one unique non-null value).")
-        ),
-    )
-    return profile.select("column", F.explode(F.array_compact(texts)).alias("issue"))
+    of_values = f"concat({percent('missing_pct')}, ' of values are missing.')"
+    high = t.HIGH_MISSING
+    texts = [
+        f"IF(missing_pct > {high}D, concat('High missingness: ', {of_values}), NULL)",
+        f"IF(missing_pct > 0 AND missing_pct <= {high}D,"
+        f" concat('Some missing values: ', {of_values}), NULL)",
+        "IF(is_constant, 'Column is constant (only one unique non-null value).', NULL)",
+    ]
+    return profile.selectExpr("column", f"explode(array_compact(array({', '.join(texts)}))) AS issue")
 
 
 def column_issues(df: DataFrame) -> DataFrame:
@@ -315,12 +307,9 @@ def dataset_issues(df: DataFrame) -> DataFrame:
     return (
         duplicate_rows(df)
         .filter(F.col("duplicate_count") > 0)
-        .select(
-            F.format_string(
-                "Dataset has %d duplicate rows (%s of all rows).",
-                F.col("duplicate_count"),
-                percent(F.col("duplicate_pct")),
-            ).alias("issue")
+        .selectExpr(
+            "concat('Dataset has ', duplicate_count, ' duplicate rows (',"
+            f" {percent('duplicate_pct')}, ' of all rows).') AS issue"
         )
     )
 

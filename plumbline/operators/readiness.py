@@ -83,13 +83,45 @@ NOTES = [
 
 @dataclass(frozen=True)
 class QualityReport:
-    """``columns``, ``outliers``, ``actions`` and ``issues`` have rows per column; ``dataset`` has one."""
+    """What one pass of measurements left behind, and the tables that follow from it.
 
-    columns: DataFrame
-    outliers: DataFrame
-    actions: DataFrame
-    issues: DataFrame
-    dataset: DataFrame
+    ``measures`` and ``counts`` have one row per column, ``duplicates`` has one row.
+    """
+
+    measures: DataFrame
+    counts: DataFrame
+    duplicates: DataFrame
+
+    @property
+    def profile(self) -> DataFrame:
+        return profile_from_measures(self.measures)
+
+    @property
+    def columns(self) -> DataFrame:
+        """Profile, numeric summary and outliers of each column, in the frame's order."""
+        summary = summary_from_measures(self.measures).drop("n", "n_missing")
+        return (
+            self.profile.join(F.broadcast(summary), "column", "left")
+            .join(F.broadcast(self.counts.drop("n", "method")), "column", "left")
+            .orderBy("position")
+        )
+
+    @property
+    def outliers(self) -> DataFrame:
+        return metadata_from_counts(self.counts)
+
+    @property
+    def actions(self) -> DataFrame:
+        return suggested_actions(self.outliers)
+
+    @property
+    def issues(self) -> DataFrame:
+        return issues_from_profile(self.profile)
+
+    @property
+    def dataset(self) -> DataFrame:
+        """One row: the readiness score with its parts and notes."""
+        return score_from_parts(self.profile, self.counts, self.duplicates)
 
 
 def quality_report(df: DataFrame, method: str = "both", exact: bool = True) -> QualityReport:
@@ -100,24 +132,11 @@ def quality_report(df: DataFrame, method: str = "both", exact: bool = True) -> Q
     """
     with working_copy(present(df)) as (copy, direct):
         measures = pin(column_measures(copy, df.columns, exact, direct))
-        summary = summary_from_measures(measures)
-        limits = {row["column"]: limits_from_row(row, method) for row in summary.collect()}
+        rows = summary_from_measures(measures).collect()
+        limits = {row["column"]: limits_from_row(row, method) for row in rows}
         counts = pin(counts_with_limits(copy, limits, method))
         duplicates = pin(duplicate_rows(copy))
-    profile = profile_from_measures(measures)
-    metadata = metadata_from_counts(counts)
-    columns = (
-        profile.join(F.broadcast(summary.drop("n", "n_missing")), "column", "left")
-        .join(F.broadcast(counts.drop("n", "method")), "column", "left")
-        .orderBy("position")
-    )
-    return QualityReport(
-        columns=columns,
-        outliers=metadata,
-        actions=suggested_actions(metadata),
-        issues=issues_from_profile(profile),
-        dataset=score_from_parts(profile, counts, duplicates),
-    )
+    return QualityReport(measures, counts, duplicates)
 
 
 def readiness_score(df: DataFrame, method: str = "both", exact: bool = True) -> DataFrame:
