@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.base import LABELLED, PRICED, Checks, labelled, priced, rounded, table, union
+from checks.base import PRICED, Checks, labelled, priced, rounded, table, union
 from plumbline.operators import advisories, outliers
 
 CHECKS = Checks()

@@ -326,4 +326,6 @@ def quality_report(spark, sf_dir):
 )
 def column_report(spark, sf_dir):
     found = profile.column_report(table(spark, sf_dir, "events"), "value")
-    return rounded(found.drop("position", "family", "missing_pct", "is_constant", "is_all_unique"))
+    drop = ["position", "family", "missing_pct", "is_constant", "is_all_unique"]
+    bounds = ["lower_bound", "upper_bound", "min_outlier", "max_outlier"]
+    return rounded(found.drop(*drop, *bounds))

@@ -19,7 +19,13 @@ from plumbline.columns import (
     sql_text,
 )
 from plumbline.operators.describe import category_counts, correlation_pairs
-from plumbline.operators.outliers import column_limits, outlier_counts, summary_from_measures
+from plumbline.operators.outliers import (
+    column_limits,
+    counts_with_limits,
+    limits_from_row,
+    outlier_counts,
+    summary_from_measures,
+)
 from plumbline.operators.profile import column_measures, profile_from_measures
 from plumbline.plans.per_column import pin
 from plumbline.plans.ranks import directly, ranked_quantiles, small_side
@@ -90,7 +96,7 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
         boxes = quartiles
     else:
         freq = stage(freq)
-        quartiles = stage(ranked_quantiles(freq, keys, QUARTILES))
+        quartiles = stage(ranked_quantiles(freq, keys, QUARTILES, staged=True))
         boxes = small_side(quartiles, quartiles.count())
     fence = f"{t.IQR_FENCE}D * (q[2] - q[0])"
     inside = f"value >= q[0] - {fence} AND value <= q[2] + {fence}"
@@ -208,6 +214,47 @@ def composition(df: DataFrame, column: str) -> DataFrame:
     return category_counts(df, [column]).drop("column")
 
 
+# What each kind of chart shows.
+CHART_ROLES = {
+    "histogram": "distribution",
+    "box": "distribution",
+    "scatter": "relationship",
+    "line": "relationship",
+    "bar": "comparison",
+    "pie": "composition",
+}
+
+
+def chart_kind(name: str) -> str:
+    """The plain name of a chart: "Box_plot" is a box, "bar-chart" a bar, "hist" a histogram."""
+    plain = name.lower().replace("_", "").replace("-", "").replace(" ", "")
+    kind = plain.removesuffix("chart").removesuffix("plot")
+    kind = "histogram" if kind == "hist" else kind
+    if kind not in CHART_ROLES:
+        raise ValueError(f"chart must be one of {list(CHART_ROLES)}, not {name!r}")
+    return kind
+
+
+def chart_table(
+    df: DataFrame, chart: str, x: str, y: str | None = None, hue: str | None = None, bins: int = 10
+) -> DataFrame:
+    """The table behind a chart given by its kind and columns."""
+    kind = chart_kind(chart)
+    if y is None and kind in ("scatter", "line"):
+        raise ValueError(f"a {kind} chart needs both x and y")
+    if kind == "histogram":
+        return histogram(df, x, bins)
+    if kind == "box":
+        return box_stats(df, x) if y is None else box_stats(df, y, [x] if hue is None else [x, hue])
+    if kind == "scatter":
+        return scatter_points(df, x, y, hue)
+    if kind == "line":
+        return line_means(df, x, y, hue)
+    if kind == "pie":
+        return composition(df, x)
+    return bar_counts(df, x, hue) if y is None else bar_means(df, x, y, hue)
+
+
 # ---- with and without outliers ----------------------------------------------
 
 
@@ -263,7 +310,8 @@ def chart_recommendations(df: DataFrame, most: int = 7) -> DataFrame:
     df = present(df)
     measures = pin(column_measures(df, df.columns))
     profile, summary = profile_from_measures(measures), summary_from_measures(measures)
-    counts = pin(outlier_counts(df))
+    limits = {row["column"]: limits_from_row(row, "both") for row in summary.collect()}
+    counts = pin(counts_with_limits(df, limits, "both"))
     empty = "CAST(NULL AS STRING) AS y"
     numeric = summary.join(F.broadcast(counts.select("column", "outlier_count")), "column")
     parts = [

@@ -23,10 +23,10 @@ from plumbline.columns import (
     sql_text,
 )
 from plumbline.operators.outliers import counts_with_limits, limits_from_row, summary_from_measures
-from plumbline.operators.profile import column_measures
-from plumbline.plans.frequency import NUMERIC_VALUE, value_frequencies
+from plumbline.operators.profile import column_measures, frequencies
+from plumbline.plans.frequency import NUMERIC_VALUE
 from plumbline.plans.per_column import pin, wide_to_long
-from plumbline.plans.ranks import directly, ranked_quantiles, spread, working_copy
+from plumbline.plans.ranks import directly, ranked_quantiles, working_copy
 
 PAIRS_PER_SCAN = 100  # keeps the generated code of one aggregate within what the JVM compiles
 
@@ -34,10 +34,9 @@ PAIRS_PER_SCAN = 100  # keeps the generated code of one aggregate within what th
 # ---- one column -------------------------------------------------------------
 
 
-def _most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
+def _most_frequent(freq: DataFrame, columns: list[str]) -> DataFrame:
     """``column, value, cnt``: every value that reaches the highest count of its column."""
-    freq = value_frequencies(df, columns).selectExpr("cid", f"{NUMERIC_VALUE} AS value", "cnt")
-    freq = freq.filter("value IS NOT NULL")
+    freq = freq.selectExpr("cid", f"{NUMERIC_VALUE} AS value", "cnt").filter("value IS NOT NULL")
     highest = freq.groupBy("cid").agg(F.max("cnt").alias("cnt"))
     # One row per column on the broadcast side.
     ties = freq.join(F.broadcast(highest), ["cid", "cnt"])
@@ -52,8 +51,9 @@ def mode_ties(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     frame; it stays distributed.
     """
     df = present(df)
-    df = spread(df, df.count())
-    return _most_frequent(df, numeric_columns(df, columns))
+    columns = numeric_columns(df, columns)
+    df, direct = directly(df)
+    return _most_frequent(frequencies(df, columns, direct), columns)
 
 
 def univariate_numeric(
@@ -70,12 +70,13 @@ def univariate_numeric(
         raise ValueError("no numeric columns to summarise")
     df = df.select(*[col(c) for c in columns])
     with working_copy(df) as (copy, direct):
-        measures = pin(column_measures(copy, columns, True, direct))
+        freq = frequencies(copy, columns, direct)
+        measures = pin(column_measures(copy, columns, True, direct, freq))
         summary = summary_from_measures(measures)
         limits = {row["column"]: limits_from_row(row, method) for row in summary.collect()}
         counts = pin(counts_with_limits(copy, limits, method))
         modes = pin(
-            _most_frequent(copy, columns)
+            _most_frequent(freq, columns)
             .groupBy("column")
             .agg(
                 F.min("value").alias("mode"),

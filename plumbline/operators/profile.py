@@ -112,13 +112,23 @@ def schema_table(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def frequencies(df: DataFrame, columns: list[str], direct: bool) -> DataFrame:
+    """The value frequencies of the countable columns, written down if the frame is large."""
+    freq = value_frequencies(df, countable(df, columns))
+    return freq if direct else stage(freq)
+
+
 def column_measures(
-    df: DataFrame, columns: list[str], exact: bool = True, direct: bool | None = None
+    df: DataFrame,
+    columns: list[str],
+    exact: bool = True,
+    direct: bool | None = None,
+    freq: DataFrame | None = None,
 ) -> DataFrame:
     """One row per column with everything that does not depend on outliers.
 
     Counts and moments come from one scan that moves no rows; distinct counts and
-    quartiles share one table of value frequencies.
+    quartiles share one table of value frequencies, which the caller may pass as ``freq``.
     """
     kinds = families(df)
     numeric = {c for c in columns if kinds[c] in ("integral", "fractional", "decimal")}
@@ -140,7 +150,9 @@ def column_measures(
     }
     scalars = countable(df, columns)
     if exact:
-        found = distinct_and_quartiles(df, scalars, direct)
+        if freq is None:
+            freq = frequencies(df, columns, direct)
+        found = distinct_and_quartiles(freq, df, scalars, direct)
     else:
         quartiles = [
             f"percentile_approx({number(c) if c in numeric else 'CAST(NULL AS DOUBLE)'},"
@@ -159,11 +171,10 @@ def column_measures(
     return out.withColumn("n_unique", n_unique)
 
 
-def distinct_and_quartiles(df: DataFrame, columns: list[str], direct: bool) -> DataFrame:
+def distinct_and_quartiles(
+    freq: DataFrame, df: DataFrame, columns: list[str], direct: bool
+) -> DataFrame:
     """``column, n_unique, q``; ``q`` holds the three quartiles of numeric columns."""
-    freq = value_frequencies(df, columns)
-    if not direct:
-        freq = stage(freq)
     numeric = [i for i, c in enumerate(columns) if c in numeric_columns(df)]
     n_unique = f"count_if({PRESENT}) AS n_unique"
     if direct:
@@ -174,7 +185,7 @@ def distinct_and_quartiles(df: DataFrame, columns: list[str], direct: bool) -> D
     found = freq.groupBy("cid").agg(F.expr(n_unique))
     values = freq.selectExpr("cid", f"{NUMERIC_VALUE} AS value", "cnt")
     values = values.filter(F.col("cid").isin(numeric) & F.col("value").isNotNull())
-    quartiles = ranked_quantiles(values, ["cid"], QUARTILES)
+    quartiles = ranked_quantiles(values, ["cid"], QUARTILES, staged=True)
     return name_columns(found.join(F.broadcast(quartiles), "cid", "left"), columns).drop("cid")
 
 
@@ -316,11 +327,6 @@ def dataset_issues(df: DataFrame) -> DataFrame:
 
 def column_report(df: DataFrame, name: str) -> DataFrame:
     """Everything known about one column in one row (numeric measures NULL for other types)."""
-    from plumbline.operators.outliers import numeric_summary, outlier_counts
-
-    profile = column_profile(df, [name])
-    if not numeric_columns(df, [name]):
-        return profile
-    summary = numeric_summary(df, [name]).drop("n", "n_missing")
-    outliers = outlier_counts(df, [name]).select("column", "outlier_count", "outlier_pct")
-    return profile.join(F.broadcast(summary), "column").join(F.broadcast(outliers), "column")
+    from plumbline.operators.readiness import quality_report
+
+    return quality_report(present(df).select(*[col(c) for c in resolve_all(df, [name])])).columns

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.columns import (
     UnknownColumn,
@@ -16,6 +17,7 @@ from plumbline.columns import (
     resolve,
     resolve_all,
 )
+from plumbline.plans.frequency import row_key
 from plumbline.plans.ranks import group_quantiles
 
 SYMMETRIC_SKEW = 0.5  # below this absolute skewness a column is filled with its mean
@@ -167,5 +169,13 @@ def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    """Each distinct row once; missing equals missing."""
-    return present(df).distinct()
+    """Each distinct row once; missing equals missing.
+
+    Spark cannot compare maps, so a frame with maps compares the digests of its nested values.
+    """
+    df = present(df)
+    if not any(isinstance(f.dataType, T.MapType) for f in df.schema.fields):
+        return df.distinct()
+    names = [f"duplicate_key_{i}" for i in range(len(df.columns))]
+    keys = [f"{row_key(f)} AS {name}" for f, name in zip(df.schema.fields, names)]
+    return df.selectExpr("*", *keys).dropDuplicates(names).drop(*names)

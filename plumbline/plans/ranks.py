@@ -141,9 +141,16 @@ def order_statistics(freq: DataFrame, by: list[str], targets: DataFrame) -> Data
     )
 
 
-def ranked_quantiles(freq: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
-    """Linearly interpolated quantiles per group: ``by, q`` with ``q`` in the order of ``probs``."""
-    freq = stage(freq.select(*by, "value", "cnt"))
+def ranked_quantiles(
+    freq: DataFrame, by: list[str], probs: list[float], staged: bool = False
+) -> DataFrame:
+    """Linearly interpolated quantiles per group: ``by, q`` with ``q`` in the order of ``probs``.
+
+    ``staged`` says that reading ``freq`` again is cheap.
+    """
+    freq = freq.select(*by, "value", "cnt")
+    if not staged:
+        freq = stage(freq)
     sizes = freq.groupBy(*by).agg(F.sum("cnt").alias("n"))
     place = (F.col("n") - 1) * F.col("p.prob")
     points = (

@@ -101,6 +101,20 @@ def test_missing_categories(spark):
     assert rows(charts.line_means(df, "v", "v"))[0] == {"x": 1.0, "n": 1, "mean": 1.0}
 
 
+def test_charts_by_name(spark):
+    df = spark.createDataFrame([("a", 1.0, "u"), ("b", 2.0, "u"), ("a", 4.0, "v")], "k string, v double, h string")
+    shapes = {
+        ("Hist", "v", None, None): 10, ("box_plot", "k", "v", None): 2, ("box", "v", None, None): 1,
+        ("boxplot", "k", "v", "h"): 3, ("scatter-plot", "v", "v", "h"): 3, ("Bar Chart", "k", None, None): 2,
+        ("bar", "k", "v", "h"): 3, ("line", "v", "v", None): 3, ("PIE", "h", None, None): 2,
+    }
+    for (kind, x, y, hue), n in shapes.items():
+        assert charts.chart_table(df, kind, x, y, hue).count() == n, kind
+    for kind, y in (("scatter", None), ("line", None), ("radar", "v")):
+        with pytest.raises(ValueError):
+            charts.chart_table(df, kind, "v", y)
+
+
 def test_recommendations(spark):
     found = rows(charts.chart_recommendations(spark.read.parquet(f"{SF_DIR}/events.parquet")))
     assert 4 <= len(found) <= 7 and {"histogram", "box", "scatter", "line"} <= {r["chart"] for r in found}

@@ -1,7 +1,5 @@
 import pytest
-from conftest import rows
 from data import perfect
-from pyspark.sql import functions as F
 
 from plumbline.columns import UnknownColumn
 from plumbline.operators import wrangle
@@ -69,6 +67,8 @@ def test_awkward_names(spark):
 def test_row_counts_and_duplicates(spark, people):
     counted = wrangle.row_counts(people, people.filter("age > 50")).first()
     assert tuple(counted) == (100, 47, 53)
+    maps = spark.sql("SELECT map('a', id % 2) AS m, id % 2 AS k FROM range(6)")
+    assert wrangle.drop_duplicate_rows(maps).count() == 2
     twice = people.unionAll(people)
     assert wrangle.drop_duplicate_rows(twice).count() == 100
 
