@@ -93,19 +93,20 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
         quartiles = freq.groupBy(*keys).agg(
             F.expr("percentile(value, array(0.25, 0.5, 0.75), cnt)").alias("q")
         )
-        boxes = quartiles
     else:
         freq = stage(freq)
         quartiles = stage(ranked_quantiles(freq, keys, QUARTILES, staged=True))
-        boxes = small_side(quartiles, quartiles.count())
-    fence = f"{t.IQR_FENCE}D * (q[2] - q[0])"
-    inside = f"value >= q[0] - {fence} AND value <= q[2] + {fence}"
+    boxes = quartiles.selectExpr(*keys, "q[0] AS q1", "q[1] AS median", "q[2] AS q3")
+    if not direct:
+        boxes = small_side(boxes, quartiles.count())
+    fence = f"{t.IQR_FENCE}D * (q3 - q1)"
+    inside = f"value >= q1 - {fence} AND value <= q3 + {fence}"
     out = (
         freq.join(boxes, keys)
         .groupBy(*keys)
         .agg(
             F.expr("sum(cnt) AS n"),
-            F.expr("first(q) AS q"),
+            *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
             F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),
             F.expr(f"max(value) FILTER (WHERE {inside}) AS whisker_high"),
             F.expr(f"coalesce(sum(cnt) FILTER (WHERE NOT ({inside})), 0L) AS n_fliers"),
@@ -113,8 +114,7 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     )
     return out.selectExpr(
         *[f"{k} AS {quoted(c)}" for c, k in zip(by, keys)],
-        "n", "q[0] AS q1", "q[1] AS median", "q[2] AS q3",
-        "whisker_low", "whisker_high", "n_fliers",
+        "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers",
     )
 
 

@@ -42,12 +42,15 @@ def numeric_summary(
     return summary_from_measures(column_measures(df, numeric_columns(df, columns), exact))
 
 
+# The numeric summary of a column from its measures.
+SUMMARY = [
+    "mean", "std", "min", "q[0] AS q1", "q[1] AS median", "q[2] AS q3", "max", "q[2] - q[0] AS iqr",
+]
+
+
 def summary_from_measures(measures: DataFrame) -> DataFrame:
     numeric = measures.filter("family IN ('integral', 'fractional', 'decimal')")
-    return numeric.selectExpr(
-        "column", "n_rows - n_missing AS n", "n_missing", "mean", "std",
-        "min", "q[0] AS q1", "q[1] AS median", "q[2] AS q3", "max", "q[2] - q[0] AS iqr",
-    )
+    return numeric.selectExpr("column", "n_rows - n_missing AS n", "n_missing", *SUMMARY)
 
 
 @dataclass(frozen=True)

@@ -189,20 +189,24 @@ def distinct_and_quartiles(
     return name_columns(found.join(F.broadcast(quartiles), "cid", "left"), columns).drop("cid")
 
 
+# The profile of a column from its measures.
+PROFILE = [
+    "position",
+    "column",
+    "dtype",
+    "family",
+    "n_rows",
+    "n_missing",
+    "n_missing / greatest(1, n_rows) AS missing_pct",
+    "n_unique",
+    f"{SEMANTIC_TYPE} AS semantic_type",
+    "coalesce(n_unique <= 1, false) AS is_constant",
+    "coalesce(n_unique = n_rows - n_missing, false) AS is_all_unique",
+]
+
+
 def profile_from_measures(measures: DataFrame) -> DataFrame:
-    return measures.selectExpr(
-        "position",
-        "column",
-        "dtype",
-        "family",
-        "n_rows",
-        "n_missing",
-        "n_missing / greatest(1, n_rows) AS missing_pct",
-        "n_unique",
-        f"{SEMANTIC_TYPE} AS semantic_type",
-        "coalesce(n_unique <= 1, false) AS is_constant",
-        "coalesce(n_unique = n_rows - n_missing, false) AS is_all_unique",
-    )
+    return measures.selectExpr(*PROFILE)
 
 
 def column_profile(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import thresholds as t
 from plumbline.columns import present, sql_text
 from plumbline.operators.outliers import (
+    SUMMARY,
     counts_with_limits,
     limits_from_row,
     metadata_from_counts,
@@ -17,6 +18,7 @@ from plumbline.operators.outliers import (
     summary_from_measures,
 )
 from plumbline.operators.profile import (
+    PROFILE,
     column_measures,
     duplicate_rows,
     issues_from_profile,
@@ -32,22 +34,20 @@ def score_from_parts(profile: DataFrame, outliers: DataFrame, duplicates: DataFr
     approaches 1 quickly and is kept because the score is defined on it.
     ``outlier_share`` is the share of numeric values that are outliers.
     """
-    columns = profile.selectExpr(
+    found = outliers.selectExpr("column", "outlier_count", "n AS n_values")
+    # One row per column on either side; columns that are not numeric have no outliers.
+    columns = profile.join(F.broadcast(found), "column", "left").selectExpr(
         "1 AS one",
         "coalesce(avg(missing_pct), 0D) AS avg_missing",
         "coalesce(avg(CAST(is_constant AS DOUBLE)), 0D) AS constant_ratio",
         f"coalesce(avg(CAST(missing_pct > {t.READINESS_HIGH_MISSING}D AS DOUBLE)), 0D)"
         " AS high_missing_ratio",
-    )
-    density = outliers.selectExpr(
-        "1 AS one",
         "coalesce(try_divide(sum(outlier_count), sum(outlier_count + 1)), 0D) AS outlier_density",
-        "coalesce(try_divide(sum(outlier_count), sum(n)), 0D) AS outlier_share",
+        "coalesce(try_divide(sum(outlier_count), sum(n_values)), 0D) AS outlier_share",
     )
     parts = (
         duplicates.selectExpr("1 AS one", "n_rows", "duplicate_pct")
         .join(F.broadcast(columns), "one")
-        .join(F.broadcast(density), "one")
         .drop("one")
     )
     ratios = {
@@ -98,13 +98,9 @@ class QualityReport:
 
     @property
     def columns(self) -> DataFrame:
-        """Profile, numeric summary and outliers of each column, in the frame's order."""
-        summary = summary_from_measures(self.measures).drop("n", "n_missing")
-        return (
-            self.profile.join(F.broadcast(summary), "column", "left")
-            .join(F.broadcast(self.counts.drop("n", "method")), "column", "left")
-            .orderBy("position")
-        )
+        """Profile, numeric summary and outliers of each column; ``position`` gives their order."""
+        described = self.measures.selectExpr(*PROFILE, *SUMMARY)
+        return described.join(F.broadcast(self.counts.drop("n", "method")), "column", "left")
 
     @property
     def outliers(self) -> DataFrame:
@@ -153,7 +149,7 @@ def readiness_band(score: Column) -> Column:
 
 def exit_test(report: QualityReport) -> DataFrame:
     """One row: score, band, and whether the frame needs no further cleaning."""
-    columns = report.columns.agg(
+    columns = report.profile.agg(
         F.coalesce(F.max("missing_pct"), F.lit(0.0)).alias("worst_missing"),
         F.count_if("is_constant").alias("n_constant"),
     )
