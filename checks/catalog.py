@@ -23,6 +23,7 @@ def datasets(spark, sf_dir):
         "IF(turn > 0, concat('ds_', conv_id, '_', turn - 1), NULL) AS parent_dataset_id",
         "CAST(length(text) AS BIGINT) AS n_rows",
         "4L AS n_columns",
+        "array('conv_id', 'turn', 'role', 'text') AS columns",
         "timestampadd(MINUTE, CAST(conv_id * 10 + turn AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ingested_at",
         "conv_id", "turn",
     )
@@ -64,12 +65,14 @@ def minutes(df, *names):
 
 @CHECKS.add(
     "catalog_merge_list",
-    f"""SELECT dataset_id, n_rows, n_columns, turn = 0 AS in_memory FROM {DATASETS}""",
+    f"""SELECT dataset_id, n_rows, n_columns, 'conv_id, turn, role, text' AS columns,
+               turn = 0 AS in_memory FROM {DATASETS}""",
 )
 def catalog_merge_list(spark, sf_dir):
     """The session holds the first turns; the saved listing holds all."""
     saved = datasets(spark, sf_dir)
-    return ds.merge_listing(saved.filter("turn = 0"), saved)
+    listed = ds.merge_listing(saved.filter("turn = 0"), saved)
+    return listed.withColumn("columns", F.array_join("columns", ", "))
 
 
 @CHECKS.add(

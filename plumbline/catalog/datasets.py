@@ -33,9 +33,9 @@ def newest_first(datasets: DataFrame) -> DataFrame:
 def merge_listing(in_memory: DataFrame, persisted: DataFrame) -> DataFrame:
     """Datasets of the session, then the saved ones that the session does not hold.
 
-    ``in_memory`` needs ``dataset_id, n_rows, n_columns``, ``persisted`` the same.
+    ``in_memory`` needs ``dataset_id, n_rows, n_columns, columns``, ``persisted`` the same.
     """
-    names = ["dataset_id", "n_rows", "n_columns"]
+    names = ["dataset_id", "n_rows", "n_columns", "columns"]
     saved_only = persisted.join(in_memory.select("dataset_id"), "dataset_id", "left_anti")
     return in_memory.select(*names, F.lit(True).alias("in_memory")).unionByName(
         saved_only.select(*names, F.lit(False).alias("in_memory"))
@@ -153,10 +153,11 @@ class DatasetCatalog:
     def listing(self) -> DataFrame:
         """Session and saved datasets together."""
         rows = [
-            (d, self.spark.table(v).count(), len(self.spark.table(v).columns))
+            (d, self.spark.table(v).count(), len(self.spark.table(v).columns), self.spark.table(v).columns)
             for d, v in self._views.items()
         ]
-        here = self.spark.createDataFrame(rows, "dataset_id string, n_rows bigint, n_columns bigint")
+        schema = "dataset_id string, n_rows bigint, n_columns bigint, columns array<string>"
+        here = self.spark.createDataFrame(rows, schema)
         return merge_listing(here, self.datasets())
 
     def clear(self) -> None:

@@ -22,7 +22,12 @@ from plumbline.columns import (
     sql_double,
     sql_text,
 )
-from plumbline.operators.outliers import counts_with_limits, limits_from_row, summary_from_measures
+from plumbline.operators.outliers import (
+    SUMMARY,
+    counts_with_limits,
+    limits_from_row,
+    summary_from_measures,
+)
 from plumbline.operators.profile import column_measures, frequencies
 from plumbline.plans.frequency import NUMERIC_VALUE
 from plumbline.plans.per_column import pin, wide_to_long
@@ -71,11 +76,7 @@ def univariate_numeric(
     df = df.select(*[col(c) for c in columns])
     with working_copy(df) as (copy, direct):
         freq = frequencies(copy, columns, direct)
-        measures = pin(column_measures(copy, columns, True, direct, freq))
-        summary = summary_from_measures(measures)
-        limits = {row["column"]: limits_from_row(row, method) for row in summary.collect()}
-        counts = pin(counts_with_limits(copy, limits, method))
-        modes = pin(
+        modes = (
             _most_frequent(freq, columns)
             .groupBy("column")
             .agg(
@@ -84,19 +85,18 @@ def univariate_numeric(
                 F.max("cnt").alias("mode_count"),
             )
         )
-    return (
-        summary.join(F.broadcast(modes), "column", "left")
-        .join(F.broadcast(counts.select("column", "outlier_count")), "column", "left")
-        .selectExpr(
-            "column",
-            "n + n_missing AS n",
-            "n_missing",
-            "n_missing / greatest(1, n + n_missing) AS missing_pct",
-            "mean", "median", "mode", "mode_tie_count", "mode_count",
-            "std", "iqr", "q1", "q3", "min", "max",
-            "IF(n = 0, NULL, outlier_count) AS n_outliers",
-        )
+        # One plan, in which the shuffled frequencies are used for quartiles and modes.
+        measures = column_measures(copy, columns, True, direct, freq)
+        measures = pin(measures.join(F.broadcast(modes), "column", "left"))
+        rows = summary_from_measures(measures).collect()
+        limits = {row["column"]: limits_from_row(row, method) for row in rows}
+        counts = pin(counts_with_limits(copy, limits, method))
+    described = measures.selectExpr(
+        "column", "n_rows AS n", "n_missing", "n_missing / greatest(1, n_rows) AS missing_pct",
+        "mode", "mode_tie_count", "mode_count", *SUMMARY,
     )
+    found = counts.selectExpr("column", "IF(n = 0, NULL, outlier_count) AS n_outliers")
+    return described.join(F.broadcast(found), "column", "left")
 
 
 def category_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

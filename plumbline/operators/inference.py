@@ -265,7 +265,7 @@ def sample_means(
         raise ValueError("sample_size and n_samples must be positive")
     values = df.selectExpr("0 AS g", f"{number(column)} AS value").filter("value IS NOT NULL")
     freq = stage(values.groupBy("g", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    size = freq.agg(F.sum("cnt")).first()[0]
+    size, distinct = freq.agg(F.sum("cnt"), F.count(F.lit(1))).first()
     if size is None:
         raise ValueError(f"column {column!r} has no values")
     draws = (
@@ -278,7 +278,7 @@ def sample_means(
             f" AS BIGINT) % {size} AS rank",
         )
     )
-    found = order_statistics(freq, ["g"], draws)
+    found = order_statistics(freq, ["g"], draws, distinct)
     return (
         draws.join(found, ["g", "rank"])
         .groupBy("sample")

@@ -83,6 +83,11 @@ def mutate(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
     return df
 
 
+def created_columns(df: DataFrame, expressions: dict[str, str]) -> list[str]:
+    """Which names :func:`mutate` would add rather than replace."""
+    return [name for name in expressions if name not in df.columns]
+
+
 def summary_value(df: DataFrame, column: str, how: str) -> object:
     """One summary number (or most frequent value) of a column.
 

@@ -56,7 +56,9 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= thresholds.BROADCAST_ROWS else df
 
 
-def order_statistics(freq: DataFrame, by: list[str], targets: DataFrame) -> DataFrame:
+def order_statistics(
+    freq: DataFrame, by: list[str], targets: DataFrame, distinct: int | None = None
+) -> DataFrame:
     """The value at each wanted 0-based rank of each group.
 
     ``freq`` has ``by``, ``value`` (a non-missing double) and ``cnt``, one row per
@@ -67,7 +69,8 @@ def order_statistics(freq: DataFrame, by: list[str], targets: DataFrame) -> Data
     size, so a hot group spreads over many slices. Slice totals give each slice the rank
     it starts at; only slices that hold a wanted rank are then ranked inside.
     """
-    slices = max(1, math.ceil(freq.count() / thresholds.SLICE_ROWS))
+    distinct = freq.count() if distinct is None else distinct
+    slices = max(1, math.ceil(distinct / thresholds.SLICE_ROWS))
     ordered = stage(
         freq.repartitionByRange(slices, *by, "value").withColumn("slice", F.spark_partition_id())
     )

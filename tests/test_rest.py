@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.datasets import DatasetCatalog, UnknownDataset, latest_by_key, lineage
 from plumbline.catalog.runs import RunHistory, compare_p_values, compare_runs, recent_runs, run_type, runs_for_dataset
 from plumbline.operators import advisories, charts, clean, profile
+from plumbline.operators.readiness import quality_report
 from plumbline.session import new_folder
 from plumbline.sources.files import IngestionError, flatten, infer_types, read_csv, read_csv_texts, read_json
 
@@ -270,3 +271,21 @@ def test_profile_reads_only_its_columns(spark):
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
     text = plan(profile.missing_profile(lines, ["l_tax"]))
     assert "l_extendedprice" not in text.split("ReadSchema")[1]
+
+
+def test_report_per_batch_of_a_stream(spark, tmp_path):
+    """Operators are functions of a frame, so a stream can apply them batch by batch."""
+    source = str(tmp_path / "events")
+    spark.read.parquet(f"{SF_DIR}/events.parquet").repartition(2).write.parquet(source)
+    scores = []
+
+    def score(batch, _):
+        scores.append(quality_report(batch).dataset.first()["n_rows"])
+
+    stream = spark.readStream.schema(spark.read.parquet(source).schema)
+    query = (
+        stream.option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(score)
+        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    assert len(scores) == 2 and sum(scores) == spark.read.parquet(source).count()

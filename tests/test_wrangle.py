@@ -33,6 +33,7 @@ def test_missing_values_in_conditions(spark):
 def test_mutate_is_sequential(spark):
     df = spark.createDataFrame([(2.0,)], "a double")
     out = wrangle.mutate(df, {"b": "a * 2", "a": "a + b", "`c d`": "1"} | {"c": "a + b"})
+    assert wrangle.created_columns(df, {"b": "a", "a": "a"}) == ["b"]
     assert out.first().asDict()["a"] == 6.0 and out.first().asDict()["c"] == 10.0
 
 
