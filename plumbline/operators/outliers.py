@@ -36,7 +36,7 @@ def numeric_summary(
     """``column, n, n_missing, mean, std, min, q1, median, q3, max, iqr`` per numeric column.
 
     Moments come from one scan; quartiles from the value frequencies, ranked in slices
-    when the frame is large. ``exact=False`` takes approximate quartiles in the same scan.
+    when the frame is large. ``exact=False`` takes approximate quartiles from sketches.
     """
     df = present(df)
     return summary_from_measures(column_measures(df, numeric_columns(df, columns), exact))

@@ -19,7 +19,12 @@ def directly(df: DataFrame) -> tuple[DataFrame, bool]:
     first bounds that; beyond the bound the caller ranks slices instead.
     """
     rows = df.count()
-    return spread(df, rows), rows <= thresholds.DIRECT_ROWS
+    return spread(df, rows), _few(df, rows)
+
+
+def _few(df: DataFrame, rows: int) -> bool:
+    cells = rows * len(df.columns)
+    return rows <= thresholds.DIRECT_ROWS and cells <= thresholds.DIRECT_CELLS
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
@@ -41,7 +46,7 @@ def working_copy(df: DataFrame):
     block; a larger one is scanned by each job, reading only the columns it needs.
     """
     rows = df.count()
-    if rows > thresholds.DIRECT_ROWS:
+    if not _few(df, rows):
         yield df, False
         return
     copy = spread(df, rows).persist()

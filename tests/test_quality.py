@@ -5,10 +5,9 @@ import pandas as pd
 import pytest
 from conftest import by, rows
 from data import (
-    COUNTRIES,
-    DIABETES,
     duplicate,
     high_missing,
+    patients_file,
     perfect,
     random_frame,
     score_only_outlier,
@@ -41,11 +40,6 @@ def test_readiness_goldens(spark, make, components, overall):
     assert found["overall"] == overall
 
 
-def test_readiness_of_files(spark):
-    assert score(read_csv(spark, DIABETES))["overall"] == 84.83
-    assert score(read_csv(spark, COUNTRIES))["overall"] == 85.3
-
-
 def test_empty_frame(spark):
     report = readiness.quality_report(spark.createDataFrame([], "a double, b string"))
     found = report.dataset.first()
@@ -85,36 +79,28 @@ def test_value_beyond_the_score_but_not_the_fence(spark, method, count):
     assert outliers.outlier_counts(df, method=method).first()["outlier_count"] == count
 
 
-DIABETES_OUTLIERS = {  # column: iqr, zscore, both, lower, upper
-    "Pregnancies": (4, 4, 4, -6.5, 13.5),
-    "Glucose": (5, 5, 5, 37.125, 202.125),
-    "BloodPressure": (45, 35, 45, 35.0, 107.0),
-    "SkinThickness": (1, 1, 1, -48.0, 80.0),
-    "Insulin": (34, 18, 34, -190.875, 318.125),
-    "BMI": (19, 14, 19, 13.35, 50.55),
-    "DiabetesPedigreeFunction": (29, 11, 29, -0.33, 1.2),
-    "Age": (9, 5, 9, -1.5, 66.5),
-}
-
-
-def test_outliers_of_a_file(spark):
-    df = read_csv(spark, DIABETES).cache()
-    counts = [by(outliers.outlier_counts(df, method=m), "column") for m in ("iqr", "zscore", "both")]
-    for column, (iqr, zscore, both, lower, upper) in DIABETES_OUTLIERS.items():
-        assert [c[column]["outlier_count"] for c in counts] == [iqr, zscore, both]
-        assert counts[0][column]["lower_bound"] == pytest.approx(lower)
-        assert counts[0][column]["upper_bound"] == pytest.approx(upper)
-    df.unpersist()
-
-
-def test_outliers_of_a_column_with_spaces(spark):
-    found = by(outliers.outlier_counts(read_csv(spark, COUNTRIES)), "column")
-    life = found["Life expectancy at birth (years)"]
-    assert (life["outlier_count"], life["lower_bound"], life["upper_bound"]) == (
-        16, pytest.approx(67.8375), pytest.approx(85.5375),
-    )
-    assert found["GDP"]["outlier_count"] == 18
-    assert found["GDP"]["lower_bound"] == pytest.approx(-5668010625000)
+def test_report_of_a_file_against_pandas(spark, tmp_path):
+    path = patients_file(tmp_path)
+    frame, df = pd.read_csv(path), read_csv(spark, path)
+    report = readiness.quality_report(df)
+    columns = by(report.columns, "column")
+    assert list(frame.columns) == df.columns
+    outliers_found, density = 0, 0
+    for name in frame.columns:
+        assert columns[name]["n_missing"] == frame[name].isna().sum()
+        assert columns[name]["n_unique"] == frame[name].nunique()
+        if frame[name].dtype == object:
+            continue
+        for measure, value in expected_summary(frame[name]).items():
+            found = columns[name]["outlier_count" if measure == "outliers" else measure]
+            assert found == pytest.approx(value), (name, measure)
+        outliers_found += columns[name]["outlier_count"]
+        density += columns[name]["outlier_count"] + 1
+    assert outliers_found > 0
+    found = report.dataset.first()
+    assert found["outliers"] == pytest.approx(100 - 80 * outliers_found / density, abs=0.006)
+    assert found["missingness"] == pytest.approx(100 - 120 * frame.isna().mean().mean(), abs=0.006)
+    assert found["overall"] == pytest.approx(sum(found[c] for c in COMPONENTS) / 5, abs=0.006)
 
 
 def expected_summary(series):
@@ -165,6 +151,29 @@ def test_approximate_report(spark):
     assert columns["whole"]["n_unique"] == pytest.approx(frame["whole"].nunique(), rel=0.15)
 
 
+def test_sketched_quartiles_are_close_in_rank(spark):
+    values = np.random.RandomState(9).lognormal(0, 3, 200_000)
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(16)
+    found = outliers.numeric_summary(df, exact=False).first()
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs((values <= found[name]).mean() - p) < 0.005
+
+
+def test_sketches_of_nothing(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b")], "v double, s string")
+    assert outliers.numeric_summary(df, exact=False).first()["median"] is None
+    report = readiness.quality_report(df.filter("false"), exact=False)
+    assert report.dataset.first()["overall"] == 0
+    assert readiness.quality_report(df.select("s"), exact=False).dataset.first()["n_rows"] == 2
+
+
+def test_frames_of_many_columns_are_ranked_in_slices(spark, monkeypatch):
+    from plumbline import thresholds
+
+    monkeypatch.setattr(thresholds, "DIRECT_CELLS", 10)
+    check_against_pandas(spark, 8)
+
+
 def test_nested_binary_and_odd_types(spark):
     df = spark.sql(
         """SELECT * FROM VALUES

@@ -1,6 +1,6 @@
 import pytest
 from conftest import SF_DIR, by, rows
-from data import COUNTRIES, DIABETES
+from data import patients_file
 from pyspark.sql import functions as F
 
 from plumbline.catalog.datasets import DatasetCatalog, UnknownDataset, latest_by_key, lineage
@@ -13,16 +13,16 @@ from plumbline.sources.files import IngestionError, flatten, infer_types, read_c
 # ---- sources --------------------------------------------------------------------
 
 
-def test_types_of_files(spark):
-    df = read_csv(spark, DIABETES)
-    types = dict(df.dtypes)
-    assert df.count() == 768 and types["Pregnancies"] == "bigint" and types["BMI"] == "double"
-    assert types["Outcome"] == "string"  # six letters O among the digits
+def test_types_of_a_file(spark, tmp_path):
+    df = read_csv(spark, patients_file(tmp_path))
+    assert df.count() == 700 and dict(df.dtypes) == {
+        "Visits": "bigint", "Glucose": "bigint", "Insulin (mU)": "double", "Income": "double",
+        "Outcome": "string",  # six letters O among the digits
+        "City": "string",
+    }
     found = by(advisories.type_consistency(df), "column")["Outcome"]
-    assert found["numeric_pct"] == pytest.approx(762 / 768)
+    assert found["numeric_pct"] == pytest.approx(694 / 700)
     assert rows(advisories.inconsistent_values(df, "Outcome")) == [{"value": "O", "count": 6}]
-    countries = dict(read_csv(spark, COUNTRIES).dtypes)
-    assert countries["GDP"] == "double" and countries["Life expectancy at birth (years)"] == "double"
 
 
 def write(tmp_path, name, text):
@@ -62,10 +62,12 @@ def test_json(spark, tmp_path):
     assert flatten(spark.sql("SELECT struct(struct(1 AS `x.y`) AS b) AS a")).columns == ["a.b.x.y"]
 
 
-def test_profile_of_a_file(spark):
-    found = by(profile.ingest_profile(read_csv(spark, COUNTRIES)), "column")
-    assert found["Year"]["example_values"] == "2000|2001|2002|2003|2004"
-    assert found["Country"]["semantic_type"] == "categorical" and found["Year"]["semantic_type"] == "numeric_categorical"
+def test_profile_of_a_file(spark, tmp_path):
+    found = by(profile.ingest_profile(read_csv(spark, patients_file(tmp_path))), "column")
+    assert found["Visits"]["example_values"] == "0|1|2|3|4"
+    assert found["City"]["example_values"] == "La Paz|Lima|Quito"
+    assert found["City"]["semantic_type"] == "categorical"
+    assert found["Visits"]["semantic_type"] == "numeric_categorical"
 
 
 # ---- charts ----------------------------------------------------------------------
