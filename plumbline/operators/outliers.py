@@ -173,6 +173,7 @@ def outlier_metadata(
 
 def suggested_actions(metadata: DataFrame) -> DataFrame:
     """``column, action`` for each column of :func:`outlier_metadata`."""
+    # The texts of the actions.
     lower = f"coalesce({four_digits('lower_bound')}, '-inf')"
     upper = f"coalesce({four_digits('upper_bound')}, 'inf')"
     return metadata.selectExpr(
@@ -191,6 +192,7 @@ def outlier_options(metadata: DataFrame) -> DataFrame:
     ``id, description, estimated_rows, lower_bound, upper_bound``; empty when no column
     has outliers. The rows removed by "all" depend on overlap and are left NULL.
     """
+    # The texts of the options.
     bounds = (
         f"coalesce(concat('keep values in [', {four_digits('lower_bound')}, ', ',"
         f" {four_digits('upper_bound')}, ']'), '')"

@@ -303,6 +303,7 @@ def missingness_warnings(df: DataFrame) -> DataFrame:
 
 def issues_from_profile(profile: DataFrame) -> DataFrame:
     """``column, issue``, one row per issue of a column."""
+    # The texts of the issues.
     of_values = f"concat({percent('missing_pct')}, ' of values are missing.')"
     high = t.HIGH_MISSING
     texts = [

@@ -163,7 +163,10 @@ def impute(df: DataFrame, columns: list[str], how: str = "auto") -> DataFrame:
         elif isinstance(fill, float) and is_numeric(df, c):
             out.append(F.coalesce(F.expr(number(c)), F.lit(fill)).alias(c))
         else:
-            out.append(F.coalesce(col(c), F.lit(fill).cast(df.schema[c].dataType)).alias(c))
+            kind = df.schema[c].dataType
+            # A time without zone must not pass through the session's zone.
+            value = F.lit(str(fill)) if isinstance(kind, T.TimestampNTZType) else F.lit(fill)
+            out.append(F.coalesce(col(c), value.cast(kind)).alias(c))
     return df.select(*out)
 
 

@@ -2,7 +2,7 @@ import pytest
 from data import perfect
 
 from plumbline.columns import UnknownColumn
-from plumbline.operators import wrangle
+from plumbline.operators import describe, wrangle
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,22 @@ def test_impute(spark):
     assert wrangle.impute(nothing, ["v"]).first()["v"] is None
 
 
+@pytest.mark.parametrize("kind", ["TIMESTAMP_NTZ", "TIMESTAMP", "DATE"])
+def test_times_in_another_zone(spark, kind):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        times = f"SELECT k, CAST(v AS {kind}) AS v FROM VALUES ('a', '2024-03-01 10:00:00.123456'), "
+        times += "('a', '2024-03-01 10:00:00.123456'), ('b', '2024-07-01'), ('b', NULL) t(k, v)"
+        df = spark.sql(times)
+        filled = wrangle.impute(df, ["v"], "mode")
+        assert filled.filter(f"v = CAST('2024-03-01 10:00:00.123456' AS {kind})").count() == 3
+        cells = describe.contingency_counts(df, "k", "v")
+        assert cells.count() == 6 and cells.agg({"count": "sum"}).first()[0] == 4
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_awkward_names(spark):
     df = spark.createDataFrame([(1.0, None), (None, 2.0)], "`a.b c` double, `x``y` double")
     assert wrangle.drop_missing_rows(df, ["a.b c"]).count() == 1
