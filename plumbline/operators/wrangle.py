@@ -125,6 +125,9 @@ def mutate_with_summaries(
     expressions may use these names, which are constants of the plan, not columns of
     the result.
     """
+    taken = [name for name in summaries if name in df.columns]
+    if taken:
+        raise ValueError(f"the frame already has columns {taken}")
     constants = {
         name: F.lit(summary_value(df, column, how)) for name, (column, how) in summaries.items()
     }

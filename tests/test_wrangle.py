@@ -95,3 +95,9 @@ def test_filter_reaches_the_scan(spark):
     plan = wrangle.select_columns(wrangle.filter_rows(events, "value > 50"), ["event_id"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,50.0)" in text and "event_type" not in text
+
+
+def test_summary_names_must_be_new(spark):
+    df = spark.createDataFrame([(1.0,)], "v double")
+    with pytest.raises(ValueError, match="already"):
+        wrangle.mutate_with_summaries(df, {"v": ("v", "mean")}, {"w": "v"})
