@@ -9,12 +9,13 @@ CHECKS = Checks()
 
 
 def dirty(spark, sf_dir):
-    """Labelled documents twice, labels mostly missing, a constant, and half the lengths missing."""
-    docs = labelled(spark, sf_dir).selectExpr(
-        "doc_id", "lang", "n_chars", "quality", "toxic", "'doc' AS kind",
+    """Labelled documents twice, rare labels only, a constant, and half the lengths missing."""
+    docs = labelled(spark, sf_dir)
+    return docs.unionByName(docs.filter("quality IS NOT NULL")).selectExpr(
+        "doc_id", "lang", "n_chars", "nullif(quality, 1) AS low_quality",
+        "nullif(toxic, 0) AS toxic", "'doc' AS kind",
         "IF(n_chars < 1400, NULL, n_chars) AS long_chars",
     )
-    return docs.unionByName(docs.filter("quality IS NOT NULL"))
 
 
 @CHECKS.add(
@@ -32,7 +33,7 @@ def auto_clean_result(spark, sf_dir):
 
 @CHECKS.add(
     "auto_clean_steps",
-    """SELECT * FROM (VALUES (1, 'drop_duplicates', ''), (2, 'drop_sparse_columns', 'quality, toxic'),
+    """SELECT * FROM (VALUES (1, 'drop_duplicates', ''), (2, 'drop_sparse_columns', 'low_quality, toxic'),
         (3, 'drop_constant_columns', 'kind'), (4, 'impute', 'long_chars')) v(iteration, rule, columns)""",
 )
 def auto_clean_steps(spark, sf_dir):
