@@ -217,17 +217,10 @@ def contingency_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     levels = cells.select("y").distinct()
     if levels.limit(t.GRID_LEVELS + 1).count() > t.GRID_LEVELS:
         raise ValueError(f"{y!r} has more than {t.GRID_LEVELS} levels; use contingency_cells")
-    # The counted levels as one row; every level of x is then paired with each of them.
-    listed = levels.selectExpr("1 AS one", "struct(y) AS level").groupBy("one").agg(
-        F.collect_list("level").alias("levels")
-    )
-    grid = (
-        cells.select("x", F.lit(1).alias("one"))
-        .distinct()
-        .join(F.broadcast(listed), "one")
-        .select("x", F.explode("levels").alias("level"))
-        .select("x", "level.y")
-    )
+    # The counted levels as one array, which every level of x is paired with.
+    listed = levels.agg(F.collect_list(F.struct("y"))).scalar()
+    grid = cells.select("x").distinct().select("x", listed.alias("levels"))
+    grid = grid.select("x", F.explode("levels").alias("level")).select("x", "level.y")
     found = cells.withColumnsRenamed({"x": "cx", "y": "cy"})
     same = F.col("x").eqNullSafe(F.col("cx")) & F.col("y").eqNullSafe(F.col("cy"))
     return grid.join(found, same, "left").select(
