@@ -204,3 +204,43 @@ def laid_out(docs: DataFrame) -> DataFrame:
     level = lambda n: F.coalesce(F.expr(f"CAST(doc_id DIV {n} AS STRING)"), F.lit("none"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), level(1000), level(50), F.concat(number, F.lit(".txt")))
     return docs.select("doc_id", path.alias("path"), "text")
+
+
+def scan_sql() -> str:
+    listed = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
+    term = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+(?:[.-][\\p{{L}}\\p{{N}}]+)*')".format
+    return f"""
+WITH t(license, notice) AS (VALUES {listed}),
+f AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'unknown'),
+        coalesce((doc_id // 1000)::VARCHAR, 'none'), coalesce((doc_id // 50)::VARCHAR, 'none'),
+        coalesce(doc_id::VARCHAR, 'none') || '.txt') AS path FROM documents),
+v AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest({term("notice")}) AS term FROM t) GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM f),
+c AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({term("text")})) AS term FROM f) GROUP BY term),
+idf AS (SELECT term, 1 + ln((n + 1) / (coalesce(df, 0) + 1)) AS idf
+        FROM (SELECT DISTINCT term FROM v) LEFT JOIN c USING (term), n),
+l AS (SELECT path, len({term("text")}) AS n_terms, unnest(string_split(text, chr(10))) AS line FROM f),
+e AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest({term("line")}) AS term FROM (SELECT DISTINCT line FROM l))
+      GROUP BY ALL),
+w AS (SELECT line, term, tf, tf * coalesce(idf, 1 + ln(n + 1)) AS w FROM e LEFT JOIN idf USING (term), n),
+m AS (SELECT line, sqrt(sum(w * w)) AS norm, sum(tf)::BIGINT AS n_notice FROM w GROUP BY line),
+y AS (SELECT license, term, tf * idf AS w FROM v JOIN idf USING (term)),
+yn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM y GROUP BY license),
+s AS (SELECT w.line, y.license, round(sum(w.w * y.w) / any_value(m.norm * yn.norm), 6) AS score, any_value(m.n_notice) AS n_notice
+      FROM w JOIN y USING (term) JOIN m ON m.line = w.line JOIN yn ON yn.license = y.license GROUP BY ALL),
+b AS (SELECT * FROM s WHERE score >= {LEAST_COSINE}
+      QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
+o AS (SELECT l.path, b.license, b.score, b.n_notice, max(l.n_terms) OVER (PARTITION BY l.path) AS n_terms
+      FROM l JOIN b USING (line) QUALIFY row_number() OVER (PARTITION BY l.path ORDER BY score DESC, license, n_notice) = 1),
+h AS (SELECT regexp_replace(path, '/[^/]*$', '') AS above, path, license, score FROM o
+      WHERE n_notice >= {FILE_SHARE} * n_terms
+      QUALIFY row_number() OVER (PARTITION BY above ORDER BY score DESC, path) = 1),
+g AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM f),
+u AS (SELECT folder, array_to_string(string_split(folder, '/')[1:i], '/') AS above, i
+      FROM g, range(0, 20) r(i) WHERE i <= len(string_split(folder, '/'))),
+near AS (SELECT u.folder, h.license, h.path FROM u JOIN h USING (above)
+         QUALIFY row_number() OVER (PARTITION BY folder ORDER BY i DESC) = 1)
+SELECT f.doc_id, f.path, o.license AS own_license, o.score AS own_score, coalesce(o.license, near.license) AS license,
+       CASE WHEN o.license IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS via,
+       CASE WHEN o.license IS NULL THEN near.path END AS license_path
+FROM f LEFT JOIN o ON o.path = f.path LEFT JOIN near ON near.folder = regexp_replace(f.path, '/[^/]*$', '')"""

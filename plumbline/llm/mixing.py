@@ -5,8 +5,6 @@ DataFrame functions only; the driver sees one row of totals per round of the bis
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +53,12 @@ def bisect_exponent(shares: DataFrame, measure: str, target: float) -> float:
     return high
 
 
+def _identity() -> Column:
+    """Rows of one doc_id are one document; without a doc_id, rows of one text are."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
+    return F.md5(F.concat(name, F.lit("/mix")))
+
+
 def mix(
     docs: DataFrame,
     max_repetition: float | None = MAX_REPETITION,
@@ -78,14 +82,30 @@ def mix(
     have weight 0 and one pass. Repeated rows and null doc_ids are documents like
     others. Other columns are not read. No rows give no rows.
     """
-    identity = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), F.lit("mix"))
+    return _uses(docs, max_repetition, target_entropy).drop("digest")
+
+
+def repeat(
+    docs: DataFrame,
+    max_repetition: float | None = MAX_REPETITION,
+    target_entropy: float | None = None,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix uses its document."""
+    uses = _uses(docs, max_repetition, target_entropy).groupBy("digest")
+    uses = uses.agg((F.max("pass") + 1).alias("__uses")).withColumnRenamed("digest", "__digest")
+    again = F.explode(F.sequence(F.lit(1), F.col("__uses")))
+    named = docs.withColumn("__digest", _identity()).join(uses, "__digest").withColumn("__use", again)
+    return named.select(*[F.col(f"`{name}`") for name in docs.columns])
+
+
+def _uses(docs: DataFrame, max_repetition: float | None, target_entropy: float | None) -> DataFrame:
     rows = stage(
         docs.select(
             "doc_id",
             "source",
             F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
             word_count().alias("n_tokens"),
-            F.md5(identity).alias("digest"),
+            _identity().alias("digest"),
         ).withColumn("block", F.substring("digest", 1, BLOCK_DIGITS))
     )
     blocks = stage(rows.groupBy("key", "block").agg(F.sum("n_tokens").alias("held")))
@@ -142,11 +162,30 @@ def mix(
         .withColumn("upto", F.sum("n_tokens").over(upto))
         .filter(F.col("before") + F.col("upto") <= F.col("room"))
     )
-    wanted = ["doc_id", "source", "n_tokens", "weight", "pass", "block", "turn"]
+    wanted = ["digest", "doc_id", "source", "n_tokens", "weight", "pass", "block", "turn"]
     return whole.select(*wanted).unionByName(part.select(*wanted))
 
 
-def natural_entropy(tokens: list[int]) -> float:
-    """The entropy of natural shares in nats; a target above it evens the sources out."""
-    total = sum(tokens)
-    return -sum(t / total * math.log(t / total) for t in tokens if t)
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
+         md5(coalesce(doc_id::VARCHAR, md5(text), '') || '/mix') AS g FROM documents),
+b AS (SELECT k, substr(g, 1, 2) AS block, sum(n)::BIGINT AS held FROM d GROUP BY ALL),
+s AS (SELECT k, sum(held)::BIGINT AS total FROM b GROUP BY k),
+q AS (SELECT k, total, total / (SELECT sum(total) FROM s) AS q FROM s WHERE total > 0),
+x AS (SELECT CASE WHEN max(q) / min(q) <= 2 THEN 0 ELSE 1 - ln(2.0) / ln(max(q) / min(q)) END AS x FROM q),
+z AS (SELECT sum(pow(q, x)) AS z, max(total / pow(q, x)) AS m FROM q, x),
+w AS (SELECT k, total, pow(q, x) / z AS weight, pow(q, x) * m AS budget FROM q, x, z
+      UNION ALL SELECT k, total, 0.0, 0.0 FROM s WHERE total = 0),
+p AS (SELECT *, unnest(range(0, greatest(1, ceil((budget - 0.001) / greatest(total, 1))::BIGINT))) AS pass FROM w),
+r AS (SELECT *, CASE WHEN pass = 0 THEN total ELSE least(total, floor(budget - pass * total + 0.001)) END AS room FROM p),
+t AS (SELECT r.*, b.block, b.held,
+        coalesce(sum(b.held) OVER (PARTITION BY r.k, r.pass ORDER BY md5(r.k || '/' || b.block || '/' || r.pass)
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN b USING (k)),
+u AS (SELECT d.doc_id, d.source, d.n, t.*, sum(d.n) OVER (PARTITION BY t.k, t.block, t.pass
+        ORDER BY md5(d.g || '/' || t.pass), d.doc_id, d.n ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN t ON t.k = d.k AND t.block = substr(d.g, 1, 2) WHERE t.pass = 0 OR t.before < t.room)
+SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, pass::INTEGER AS pass, block,
+       CASE WHEN budget > 0 THEN round((pass * total + before) / budget, 6) ELSE 0.0 END AS turn
+FROM u WHERE before + held <= room OR before + upto <= room"""

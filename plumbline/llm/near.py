@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.shared import words_of
 from plumbline.session import stage
 
 WORDS = 5
@@ -37,11 +38,6 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _TURNS = np.random.default_rng(20).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words: A-Z lowered, cut at spaces and the control characters 9 to 13."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def shingles(words: list[bytes]) -> np.ndarray:
     """The sorted distinct 64-bit hashes of all shingles; of all words as one, if they are fewer."""
     if not words:

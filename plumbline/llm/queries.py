@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, near, packing, sharding, syncmers
+import corpus_pipeline
+from plumbline.llm import exact, language, licenses, mixing, near, packing, pii, pseudo, sharding, syncmers
 from plumbline.llm.shared import table
 
 
@@ -12,6 +13,15 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark, sf_dir):
+    uses = mixing.mix(table(spark, sf_dir, "documents"), max_repetition=2.0)
+    return uses.withColumns({c: F.round(c, 6) for c in ("weight", "turn")})
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(licenses.laid_out(table(spark, sf_dir, "documents")))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -20,6 +30,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark, sf_dir):
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -29,11 +43,37 @@ def op8_fingerprints(spark, sf_dir):
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark, sf_dir):
+    return pseudo.score(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op4_exact_dedup, op5_packing, op7_sharding, op8_fingerprints)
+    for f in (
+        op1_minhash_near_dedup,
+        op2_source_mixing,
+        op3_license_scan,
+        op4_exact_dedup,
+        op5_packing,
+        op6_language_id,
+        op7_sharding,
+        op8_fingerprints,
+        op9_personal_data,
+        op10_lm_scoring,
+        pipeline,
+    )
 }
 ORACLES = {
     "op1_minhash_near_dedup": near.NEAR_SQL,
+    "op2_source_mixing": mixing.MIX_SQL,
+    "op3_license_scan": licenses.scan_sql(),
     "op4_exact_dedup": exact.EXACT_SQL,
 }
