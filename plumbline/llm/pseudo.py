@@ -28,8 +28,8 @@ HIDDEN = 16
 ROUNDS = 2  # each over all documents
 MASKED = 8  # one token in so many is predicted in a round of training
 RATE = 0.1
-STEP = 2048  # tokens of a training step
-CHUNK = 8192  # tokens scored at once
+STEP = 1024  # tokens of a training step
+CHUNK = 1024  # tokens scored at once
 COUNTED = 200_000  # distinct words that a task counts before it hands them on
 
 SIZES = [(len(OFFSETS), CLASSES, HIDDEN), (HIDDEN, CLASSES), (CLASSES,)]
@@ -68,12 +68,8 @@ class Vocabulary:
         self.start = np.log(n / n.sum()).astype(np.float32)
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        get = self.classes.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(found < 0):
-            found[i] = class_of_rare(words[i])
-        return found
+        words, known = words_of(text), self.classes
+        return np.fromiter((known[w] if w in known else class_of_rare(w) for w in words), np.int64, len(words))
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -116,17 +112,21 @@ def hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.nda
     return np.tanh(total)
 
 
-def log_softmax(weights: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-    scores = h @ weights[1] + weights[2]
+def scores_of(weights: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Scores of all classes, the largest of a token at 0."""
+    scores = h @ weights[1]
+    scores += weights[2]
     scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    return scores
 
 
 def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
     """One step of adaptive gradient descent on the tokens at ``at``, in place."""
     weights = parts(flat)
     h = hidden(weights, ids, at)
-    error = np.exp(log_softmax(weights, h))
+    error = scores_of(weights, h)
+    np.exp(error, out=error)
+    error /= error.sum(axis=1, keepdims=True)
     error[np.arange(len(at)), ids[at]] -= 1
     error /= len(at)
     gradient = np.zeros_like(flat)
@@ -206,8 +206,10 @@ def log_probabilities(words: Vocabulary, flat: np.ndarray, ids: np.ndarray, at:
     out = np.empty(len(at))
     for i in range(0, len(at), CHUNK):
         here = at[i : i + CHUNK]
-        logs = log_softmax(weights, hidden(weights, ids, here))
-        out[i : i + CHUNK] = logs[np.arange(len(here)), ids[here]]
+        scores = scores_of(weights, hidden(weights, ids, here))
+        own = scores[np.arange(len(here)), ids[here]]
+        np.exp(scores, out=scores)
+        out[i : i + CHUNK] = own - np.log(scores.sum(axis=1))
     return out + words.within[ids[at]]
 
 
