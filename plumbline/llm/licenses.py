@@ -28,6 +28,7 @@ TEMPLATES = [
 ]
 TERM = "[\\p{L}\\p{N}]+(?:[.-][\\p{L}\\p{N}]+)*"
 LEAST_COSINE = 0.7
+COPIES = 32
 FILE_SHARE = 0.3  # from this share of a file's terms on, its notice makes it a licence file
 LICENSE_NAME = "(?i)(^|/)(licen[cs]e|copying|notice)([.][^/]*)?$"
 
@@ -127,8 +128,11 @@ def notices(files: DataFrame, templates: list[tuple[str, str]] | None = None, le
         .agg(F.min(F.struct((-F.col("score")).alias("low"), "license", "n_notice")).alias("best"))
         .select("line_key", "best.license", (-F.col("best.low")).alias("score"), "best.n_notice")
     )
+    # A notice that many files share is a hot key: its rows are dealt over COPIES copies of its score.
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    lines = lines.withColumn("copy", F.pmod(F.xxhash64("path"), F.lit(COPIES)).cast("int"))
     return (
-        lines.join(best, "line_key")
+        lines.join(best, ["line_key", "copy"])
         .groupBy("path")
         .agg(
             F.min(F.struct((-F.col("score")).alias("low"), "license", "n_notice")).alias("best"),
