@@ -26,9 +26,9 @@ HASHED = 63  # classes of the other words
 CLASSES = FREQUENT + HASHED + 1  # and one for the edge of a text, which is never predicted
 HIDDEN = 16
 ROUNDS = 2  # each over all documents
-MASKED = 8  # one token in so many is predicted in a round of training
-RATE = 0.1
-STEP = 1024  # tokens of a training step
+MASKED = 10  # one token in so many is predicted in a round of training
+RATE = 0.2
+STEP = 256  # tokens of a training step
 CHUNK = 1024  # tokens scored at once
 COUNTED = 200_000  # distinct words that a task counts before it hands them on
 

@@ -76,7 +76,7 @@ def matches(a: str, b: str) -> Column:
 
     Every anchor of ``a`` is matched with the first of the same hash in ``b``.
     """
-    there = f"element_at(filter(`{b}`, y -> y.hash = x.hash), 1).place"
+    there = f"get(filter(`{b}`, y -> y.hash = x.hash), 0).place"
     return F.expr(
         f"filter(transform(`{a}`, x -> named_struct('here', x.place, 'there', {there}, 'hash', x.hash)), "
         "m -> m.there IS NOT NULL)"
