@@ -39,7 +39,7 @@ DOC_NUMBERS = ["doc_id", "n_chars", "quality", "toxic"]
                       quantile_cont("<c>"::DOUBLE, 0.25) AS q1, quantile_cont("<c>"::DOUBLE, 0.75) AS q3,
                       min("<c>")::DOUBLE AS min, max("<c>")::DOUBLE AS max FROM <source>''',
             DOC_NUMBERS, source=LABELLED)})
-        SELECT s.*, mode, mode_tie_count, mode_count, outlier_count AS n_outliers
+        SELECT s.*, mode, mode::BIGINT::VARCHAR AS mode_text, mode_tie_count, mode_count, outlier_count AS n_outliers
         FROM summ s JOIN modes m ON s."column" = m."column" JOIN outl o ON s."column" = o."column" """,
 )
 def univariate_numeric(spark, sf_dir):

@@ -320,12 +320,13 @@ def quality_report(spark, sf_dir):
     "column_report",
     f"""WITH facts AS ({typed({"value": ("double", "number")}, "events")}),
         outl AS ({outlier_sql("events", ["value"], "both")}), summ AS ({union(SUMMARY, ["value"], source="events")})
-        SELECT f."column", dtype, r AS n_rows, m AS n_missing, u AS n_unique, {TYPE_RULE} AS semantic_type,
-               mean, std, min, q1, median, q3, max, iqr, outlier_count, round(outlier_pct, 6) AS outlier_pct
+        SELECT 0::INTEGER AS position, f."column", dtype, 'fractional' AS family, r AS n_rows, m AS n_missing,
+               round(m / greatest(1, r), 6) AS missing_pct, u AS n_unique, {TYPE_RULE} AS semantic_type,
+               u <= 1 AS is_constant, u = r - m AS is_all_unique,
+               mean, std, min, q1, median, q3, max, iqr, outlier_count, round(outlier_pct, 6) AS outlier_pct,
+               round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound,
+               round(min_outlier, 6) AS min_outlier, round(max_outlier, 6) AS max_outlier
         FROM facts f JOIN summ s ON f."column" = s."column" JOIN outl o ON f."column" = o."column" """,
 )
 def column_report(spark, sf_dir):
-    found = profile.column_report(table(spark, sf_dir, "events"), "value")
-    drop = ["position", "family", "missing_pct", "is_constant", "is_all_unique"]
-    bounds = ["lower_bound", "upper_bound", "min_outlier", "max_outlier"]
-    return rounded(found.drop(*drop, *bounds))
+    return rounded(profile.column_report(table(spark, sf_dir, "events"), "value"))

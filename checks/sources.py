@@ -108,7 +108,7 @@ def semantic_types(spark, sf_dir):
 
 
 EXAMPLES = union(
-    """SELECT '<c>' AS "column", string_agg(v::VARCHAR, '|' ORDER BY v) AS example_values
+    """SELECT '<c>' AS "column", list(v::VARCHAR ORDER BY v) AS example_values
        FROM (SELECT DISTINCT "<c>" AS v FROM <source> WHERE "<c>" IS NOT NULL ORDER BY v LIMIT 5)""",
     list(DOCS),
     source=LABELLED,

@@ -86,6 +86,13 @@ def sql_double(value: float | None) -> str:
     return "CAST(NULL AS DOUBLE)" if value is None else f"CAST('{float(value)!r}' AS DOUBLE)"
 
 
+def drawn(names: list[str], seed: int) -> Column:
+    """A number in [0, 1) that depends on the seed and the values alone, for seeded samples."""
+    texts = [F.coalesce(col(n).cast("string"), F.lit("-")) for n in names]
+    digest = F.md5(F.concat_ws(":", F.lit(str(int(seed))), *texts))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+
+
 def number(name: str) -> str:
     """SQL text for the column as a double."""
     return f"CAST({quoted(name)} AS DOUBLE)"

@@ -45,8 +45,10 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     total = d.copy()
     active = np.ones(x.shape, dtype=bool)
     m = 0
-    while active.any() and m < 1_000_000:
+    while active.any():
         m += 1
+        if m > 10_000_000:
+            raise ArithmeticError("the continued fraction of the incomplete beta function did not converge")
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -115,6 +117,11 @@ def _binomial_upper(k: int, n: int, p: float) -> float:
     return 1.0 - lower
 
 
+def _binomial_lower(k: int, n: int, p: float) -> float:
+    """P(X <= k): the failures' upper tail, so that small values keep their digits."""
+    return 1.0 if k >= n else _binomial_upper(n - k, n, 1.0 - p)
+
+
 def _log_pmf(k: int, n: int, p: float) -> float:
     return (
         math.lgamma(n + 1.0) - math.lgamma(k + 1.0) - math.lgamma(n - k + 1.0)
@@ -132,7 +139,7 @@ def binomial_p(k: int, n: int, p: float, alternative: str) -> float:
     if alternative == "greater":
         return _binomial_upper(k, n, p)
     if alternative == "less":
-        return 1.0 - _binomial_upper(k + 1, n, p) if k < n else 1.0
+        return _binomial_lower(k, n, p)
     mode = min(n, int((n + 1) * p))
     limit = _log_pmf(k, n, p) + math.log1p(1e-7)
     if _log_pmf(mode, n, p) <= limit:
@@ -142,13 +149,13 @@ def binomial_p(k: int, n: int, p: float, alternative: str) -> float:
         while low + 1 < high:
             mid = (low + high) // 2
             low, high = (low, mid) if _log_pmf(mid, n, p) <= limit else (mid, high)
-        tails = (1.0 - _binomial_upper(k + 1, n, p)) + _binomial_upper(high, n, p)
+        tails = _binomial_lower(k, n, p) + _binomial_upper(high, n, p)
     else:
         low, high = -1, mode  # largest i below the mode that is as unlikely as k
         while low + 1 < high:
             mid = (low + high) // 2
             low, high = (mid, high) if _log_pmf(mid, n, p) <= limit else (low, mid)
-        tails = _binomial_upper(k, n, p) + (1.0 - _binomial_upper(low + 1, n, p))
+        tails = _binomial_upper(k, n, p) + (_binomial_lower(low, n, p) if low >= 0 else 0.0)
     return min(1.0, tails)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.columns import (
     TEXT,
     col,
+    drawn,
     families,
     number,
     numeric_columns,
@@ -119,7 +120,10 @@ def _with_target(target: str, others: list[str]) -> list[str]:
 
 
 def type_consistency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column, n, numeric_pct, date_pct``: how much of a text column reads as another type."""
+    """``column, n, numeric_pct, date_pct``: how much of a text column reads as another type.
+
+    A plain number is a number, even if it could be a year.
+    """
     columns = resolve_all(df, columns)
     columns = [c for c in columns if isinstance(df.schema[c].dataType, TEXT)]
     names = [quoted(c) for c in columns]
@@ -129,7 +133,8 @@ def type_consistency(df: DataFrame, columns: list[str] | None = None) -> DataFra
         {
             "n": [f"count({c})" for c in names],
             "n_numeric": [f"count_if({c} RLIKE {sql_text(DOUBLE_TEXT)})" for c in names],
-            "n_date": [f"count(try_cast({c} AS TIMESTAMP_NTZ))" for c in names],
+            "n_date": [f"count_if(NOT {c} RLIKE {sql_text(DOUBLE_TEXT)} AND try_cast({c} AS TIMESTAMP_NTZ) IS NOT NULL)"
+                for c in names],
         },
     )
     return long.selectExpr(
@@ -165,7 +170,16 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 
 
 def stratified_sample(
-    df: DataFrame, target: str, fractions: dict[object, float], seed: int = 0
+    df: DataFrame, target: str, fractions: dict[object, float], seed: int = 0,
+    key: list[str] | None = None,
 ) -> DataFrame:
-    """A seeded sample with its own fraction per class; unnamed classes are left out."""
-    return df.sampleBy(col(resolve(df, target)), fractions, seed)
+    """A seeded sample with its own fraction per class; unnamed classes are left out.
+
+    A row is drawn by a digest of seed and ``key`` (all columns if none is given), so every
+    cluster draws the same rows, and rows with equal keys are drawn together.
+    """
+    target = resolve(df, target)
+    share = F.lit(0.0)
+    for value, fraction in fractions.items():
+        share = F.when(col(target).eqNullSafe(F.lit(value)), F.lit(float(fraction))).otherwise(share)
+    return df.filter(drawn(resolve_all(df, key), seed) < share)

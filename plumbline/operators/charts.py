@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import thresholds as t
 from plumbline.columns import (
     col,
+    drawn,
     number,
     numeric_columns,
     present,
@@ -28,8 +29,7 @@ from plumbline.operators.outliers import (
 )
 from plumbline.operators.profile import column_measures, profile_from_measures
 from plumbline.plans.per_column import pin
-from plumbline.plans.ranks import directly, ranked_quantiles, small_side
-from plumbline.session import stage
+from plumbline.plans.ranks import group_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -78,8 +78,8 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     """``by, n, q1, median, q3, whisker_low, whisker_high, n_fliers`` of a numeric column.
 
     Whiskers are the furthest values within 1.5 IQR of the box. Rows with a missing group
-    key are left out. Quartiles, whiskers and fliers all come from the value frequencies
-    of each group, so a hot group is never gathered.
+    key are left out. Quartiles come from brackets, whiskers and fliers from sums that
+    are combined before the shuffle, so a hot group is never gathered.
     """
     df = present(df)
     column, by = require_numeric(df, column), resolve_all(df, by or [])
@@ -87,29 +87,19 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     named = [f"{quoted(c)} AS {k}" for c, k in zip(by, keys)] or ["0 AS k0"]
     rows = df.selectExpr(*named, f"{number(column)} AS value")
     rows = rows.filter(" AND ".join(f"{name} IS NOT NULL" for name in [*keys, "value"]))
-    rows, direct = directly(rows)
-    freq = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    if direct:
-        quartiles = freq.groupBy(*keys).agg(
-            F.expr("percentile(value, array(0.25, 0.5, 0.75), cnt)").alias("q")
-        )
-    else:
-        freq = stage(freq)
-        quartiles = stage(ranked_quantiles(freq, keys, QUARTILES, staged=True))
+    quartiles = group_quantiles(rows, keys, "value", QUARTILES)
     boxes = quartiles.selectExpr(*keys, "q[0] AS q1", "q[1] AS median", "q[2] AS q3")
-    if not direct:
-        boxes = small_side(boxes, quartiles.count())
     fence = f"{t.IQR_FENCE}D * (q3 - q1)"
     inside = f"value >= q1 - {fence} AND value <= q3 + {fence}"
     out = (
-        freq.join(boxes, keys)
+        rows.join(boxes, keys)
         .groupBy(*keys)
         .agg(
-            F.expr("sum(cnt) AS n"),
+            F.expr("count(*) AS n"),
             *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
             F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),
             F.expr(f"max(value) FILTER (WHERE {inside}) AS whisker_high"),
-            F.expr(f"coalesce(sum(cnt) FILTER (WHERE NOT ({inside})), 0L) AS n_fliers"),
+            F.expr(f"count_if(NOT ({inside})) AS n_fliers"),
         )
     )
     return out.selectExpr(
@@ -122,14 +112,20 @@ def scatter_points(
     df: DataFrame, x: str, y: str, hue: str | None = None,
     fraction: float | None = None, seed: int = 0,
 ) -> DataFrame:
-    """``x, y`` (and ``hue``) of the rows that have both; ``fraction`` draws a seeded sample."""
+    """``x, y`` (and ``hue``) of the rows that have both.
+
+    ``fraction`` draws by a digest of seed and point, so every cluster draws the same;
+    equal points are drawn together.
+    """
     df = present(df)
     names = {"x": resolve(df, x), "y": resolve(df, y)}
     if hue is not None:
         names["hue"] = resolve(df, hue)
     points = df.select(*[col(c).alias(k) for k, c in names.items()])
     points = points.filter("x IS NOT NULL AND y IS NOT NULL")
-    return points if fraction is None else points.sample(fraction=fraction, seed=seed)
+    if fraction is None:
+        return points
+    return points.filter(drawn(list(names), seed) < fraction)
 
 
 def scatter_grid(df: DataFrame, x: str, y: str, cells: int = 20) -> DataFrame:
@@ -214,15 +210,7 @@ def composition(df: DataFrame, column: str) -> DataFrame:
     return category_counts(df, [column]).drop("column")
 
 
-# What each kind of chart shows.
-CHART_ROLES = {
-    "histogram": "distribution",
-    "box": "distribution",
-    "scatter": "relationship",
-    "line": "relationship",
-    "bar": "comparison",
-    "pie": "composition",
-}
+CHARTS = ("bar", "box", "histogram", "line", "pie", "scatter")
 
 
 def chart_kind(name: str) -> str:
@@ -230,8 +218,8 @@ def chart_kind(name: str) -> str:
     plain = name.lower().replace("_", "").replace("-", "").replace(" ", "")
     kind = plain.removesuffix("chart").removesuffix("plot")
     kind = "histogram" if kind == "hist" else kind
-    if kind not in CHART_ROLES:
-        raise ValueError(f"chart must be one of {list(CHART_ROLES)}, not {name!r}")
+    if kind not in CHARTS:
+        raise ValueError(f"chart must be one of {CHARTS}, not {name!r}")
     return kind
 
 
@@ -283,6 +271,8 @@ def comparison_chart(df: DataFrame, column: str, chart: str = "box") -> DataFram
             name: side.selectExpr("count(*) AS n", "min(value) AS low", "max(value) AS high").first()
             for name, side in sides.items()
         }
+        if not ends["with_outliers"]["n"]:
+            raise ValueError(f"column {column!r} has no values")
         bins = max(1, min(30, int(ends["with_outliers"]["n"] ** 0.5)))
         parts = {
             name: _binned(side, "value", bins, ends[name]["low"], ends[name]["high"])

@@ -45,23 +45,28 @@ def auto_clean(df: DataFrame, max_iterations: int = 4) -> tuple[DataFrame, DataF
 
     In order of preference: drop duplicate rows above 1 %, drop columns missing above
     60 %, drop constant columns, fill columns missing above 30 %. It stops when the frame
-    passes the exit test or no rule applies. Frames without duplicates are written to the
-    shared folder, so that later rounds do not repeat the shuffle.
+    passes the exit test or no rule applies. The frame is written to the shared folder
+    first, and again without its duplicates, so that no round repeats what made it. Rows
+    are measured again only after they have changed; dropping columns leaves the others'
+    measures.
     """
-    steps = []
+    df = stage(df)
+    steps, report = [], None
     for iteration in range(1, max_iterations + 1):
-        overall, duplicate_pct, is_ready, columns = _facts(quality_report(df))
+        report = quality_report(df) if report is None else report
+        overall, duplicate_pct, is_ready, columns = _facts(report)
         rule = None if is_ready else next_rule(duplicate_pct, columns)
         if rule is None:
             break
         name, chosen = rule
         if name == "drop_duplicates":
-            df = stage(drop_duplicate_rows(df))
+            df, report = stage(drop_duplicate_rows(df)), None
         elif name == "impute":
-            df = impute(df, chosen)
+            df, report = impute(df, chosen), None
         elif len(chosen) == len(df.columns):
             break  # nothing would be left
         else:
             df = drop_columns(df, chosen)
+            report = report.without(chosen, df)
         steps.append((iteration, name, ", ".join(chosen), overall))
     return df, df.sparkSession.createDataFrame(steps, STEPS)

@@ -28,11 +28,12 @@ from plumbline.operators.outliers import (
     limits_from_row,
     summary_from_measures,
 )
-from plumbline.operators.profile import column_measures, frequencies
-from plumbline.plans.frequency import NUMERIC_VALUE
+from plumbline.operators.profile import column_measures
+from plumbline.plans.frequency import NUMERIC_VALUE, countable, text_key, value_frequencies
 from plumbline.plans.per_column import pin, wide_to_long
-from plumbline.plans.ranks import directly, ranked_quantiles, working_copy
+from plumbline.plans.ranks import group_quantiles
 
+GRID_PIECES = 64  # tasks that pair the levels of a contingency table
 PAIRS_PER_SCAN = 100  # keeps the generated code of one aggregate within what the JVM compiles
 
 
@@ -40,13 +41,17 @@ PAIRS_PER_SCAN = 100  # keeps the generated code of one aggregate within what th
 
 
 def _most_frequent(freq: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, value, cnt``: every value that reaches the highest count of its column."""
-    freq = freq.selectExpr("cid", f"{NUMERIC_VALUE} AS value", "cnt").filter("value IS NOT NULL")
+    """``column, value, exact, cnt``: every value that reaches the highest count of its column.
+
+    ``exact`` is the value as a text, which keeps integers and decimals beyond a double's digits.
+    """
+    exact = "coalesce(CAST(whole AS STRING), txt, CAST(num AS STRING)) AS exact"
+    freq = freq.selectExpr("cid", f"{NUMERIC_VALUE} AS value", exact, "cnt").filter("value IS NOT NULL")
     highest = freq.groupBy("cid").agg(F.max("cnt").alias("cnt"))
     # One row per column on the broadcast side.
     ties = freq.join(F.broadcast(highest), ["cid", "cnt"])
     names = ", ".join(sql_text(c) for c in columns)
-    return ties.selectExpr(f"array({names})[cid] AS column", "value", "cnt")
+    return ties.selectExpr(f"array({names})[cid] AS column", "value", "exact", "cnt")
 
 
 def mode_ties(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -57,8 +62,7 @@ def mode_ties(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     df = present(df)
     columns = numeric_columns(df, columns)
-    df, direct = directly(df)
-    return _most_frequent(frequencies(df, columns, direct), columns)
+    return _most_frequent(value_frequencies(df, columns), columns).drop("exact")
 
 
 def univariate_numeric(
@@ -66,34 +70,31 @@ def univariate_numeric(
 ) -> DataFrame:
     """Location, spread, modes and outliers of each numeric column.
 
-    ``mode`` is the smallest mode and ``mode_tie_count`` how many there are; see
-    :func:`mode_ties` for all of them.
+    ``mode`` is the smallest mode, ``mode_text`` the same with all its digits, and
+    ``mode_tie_count`` how many there are; see :func:`mode_ties` for all of them.
     """
     df = present(df)
     columns = numeric_columns(df, columns)
     if not columns:
         raise ValueError("no numeric columns to summarise")
     df = df.select(*[col(c) for c in columns])
-    with working_copy(df) as (copy, direct):
-        freq = frequencies(copy, columns, direct)
-        modes = (
-            _most_frequent(freq, columns)
-            .groupBy("column")
-            .agg(
-                F.min("value").alias("mode"),
-                F.count(F.lit(1)).alias("mode_tie_count"),
-                F.max("cnt").alias("mode_count"),
-            )
-        )
-        # One plan, in which the shuffled frequencies are used for quartiles and modes.
-        measures = column_measures(copy, columns, True, direct, freq)
-        measures = pin(measures.join(F.broadcast(modes), "column", "left"))
-        rows = summary_from_measures(measures).collect()
-        limits = {row["column"]: limits_from_row(row, method) for row in rows}
-        counts = pin(counts_with_limits(copy, limits, method))
+    freq = value_frequencies(df, countable(df, columns))
+    first = F.min(F.struct("value", F.expr("CAST(exact AS DECIMAL(38, 10)) AS digits"), "exact")).alias("first")
+    modes = (
+        _most_frequent(freq, columns)
+        .groupBy("column")
+        .agg(first, F.count(F.lit(1)).alias("mode_tie_count"), F.max("cnt").alias("mode_count"))
+        .select("column", F.col("first.value").alias("mode"), F.col("first.exact").alias("mode_text"), "mode_tie_count", "mode_count")
+    )
+    # One plan, in which the shuffled frequencies are used for distinct counts and modes.
+    measures = column_measures(df, columns, True, freq)
+    measures = pin(measures.join(F.broadcast(modes), "column", "left"))
+    rows = summary_from_measures(measures).collect()
+    limits = {row["column"]: limits_from_row(row, method) for row in rows}
+    counts = pin(counts_with_limits(df, limits, method))
     described = measures.selectExpr(
         "column", "n_rows AS n", "n_missing", "n_missing / greatest(1, n_rows) AS missing_pct",
-        "mode", "mode_tie_count", "mode_count", *SUMMARY,
+        "mode", "mode_text", "mode_tie_count", "mode_count", *SUMMARY,
     )
     found = counts.selectExpr("column", "IF(n = 0, NULL, outlier_count) AS n_outliers")
     return described.join(F.broadcast(found), "column", "left")
@@ -108,9 +109,18 @@ def category_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     if columns is None:
         columns = [c for c in df.columns if not is_numeric(df, c)]
     columns = resolve_all(df, columns)
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "column string, value string, is_missing boolean, count bigint, share double"
+        )
     cells = ", ".join(f"{sql_text(c)}, CAST({quoted(c)} AS STRING)" for c in columns)
     long = df.selectExpr(f"stack({len(columns)}, {cells}) AS (column, value)")
-    counted = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    # Values are told apart by a key of bounded width; each carries one copy of its text.
+    counted = (
+        long.groupBy("column", F.expr(text_key("value")).alias("key"))
+        .agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("count"))
+        .drop("key")
+    )
     rows = df.agg(F.count(F.lit(1))).scalar()
     return counted.select(
         "column", "value", F.col("value").isNull().alias("is_missing"), "count",
@@ -182,18 +192,13 @@ def group_summary(df: DataFrame, numeric: str, category: str) -> DataFrame:
     numeric, category = require_numeric(df, numeric), resolve(df, category)
     rows = df.selectExpr(f"{quoted(category)} AS category", f"{number(numeric)} AS value")
     rows = rows.filter("category IS NOT NULL")
-    rows, direct = directly(rows)
     measures = [
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"),
     ]
     names = ["category", "count", "mean", "median", "std", "min", "max"]
-    if direct:
-        median = F.expr("percentile(value, 0.5)").alias("median")
-        return rows.groupBy("category").agg(*measures, median).select(*names)
-    freq = rows.filter("value IS NOT NULL").groupBy("category", "value")
-    medians = ranked_quantiles(freq.agg(F.count(F.lit(1)).alias("cnt")), ["category"], [0.5])
+    medians = group_quantiles(rows, ["category"], "value", [0.5])
     medians = medians.selectExpr("category", "q[0] AS median")
     return rows.groupBy("category").agg(*measures).join(medians, "category", "left").select(*names)
 
@@ -210,17 +215,15 @@ def contingency_cells(df: DataFrame, x: str, y: str) -> DataFrame:
 def contingency_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     """``x, y, count`` of every combination of levels, zeros included.
 
-    The levels of ``y`` are listed first and must be few; for two columns of many levels
-    :func:`contingency_cells` holds the same table without its zeros.
+    The table is as large as the product of both numbers of levels, whatever they are;
+    :func:`contingency_cells` holds the same without its zeros. Cells are counted first,
+    so only levels are paired: those of ``x`` are dealt over pieces, those of ``y`` go to each.
     """
     cells = contingency_cells(df, x, y)
-    levels = cells.select("y").distinct()
-    if levels.limit(t.GRID_LEVELS + 1).count() > t.GRID_LEVELS:
-        raise ValueError(f"{y!r} has more than {t.GRID_LEVELS} levels; use contingency_cells")
-    # The counted levels as one array, which every level of x is paired with.
-    listed = levels.agg(F.collect_list(F.struct("y"))).scalar()
-    grid = cells.select("x").distinct().select("x", listed.alias("levels"))
-    grid = grid.select("x", F.explode("levels").alias("level")).select("x", "level.y")
+    piece = F.pmod(F.xxhash64("x"), F.lit(GRID_PIECES)).alias("piece")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_PIECES - 1).cast("long"))).alias("piece")
+    levels = cells.select("x").distinct().select("x", piece)
+    grid = levels.join(cells.select("y").distinct().select("y", pieces), "piece").select("x", "y")
     found = cells.withColumnsRenamed({"x": "cx", "y": "cy"})
     same = F.col("x").eqNullSafe(F.col("cx")) & F.col("y").eqNullSafe(F.col("cy"))
     return grid.join(found, same, "left").select(
@@ -228,25 +231,30 @@ def contingency_counts(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def contingency_proportions(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``x, y, proportion`` of all rows."""
+def _contingency(df: DataFrame, x: str, y: str, zeros: bool) -> DataFrame:
+    return contingency_counts(df, x, y) if zeros else contingency_cells(df, x, y)
+
+
+def contingency_proportions(df: DataFrame, x: str, y: str, zeros: bool = True) -> DataFrame:
+    """``x, y, proportion`` of all rows; without ``zeros``, of the combinations that occur."""
     rows = df.agg(F.count(F.lit(1))).scalar()
-    counts = contingency_counts(df, x, y)
+    counts = _contingency(df, x, y, zeros)
     return counts.select("x", "y", (F.col("count") / rows).alias("proportion"))
 
 
-def contingency_expected(df: DataFrame, x: str, y: str) -> DataFrame:
+def contingency_expected(df: DataFrame, x: str, y: str, zeros: bool = True) -> DataFrame:
     """``x, y, count, expected``: row total times column total over all rows.
 
-    The margins are sums over the cells, which are few next to the rows.
+    The margins are sums over the cells that occur.
     """
-    counts = contingency_counts(df, x, y)
-    row_sums = counts.groupBy(F.col("x").alias("rx")).agg(F.sum("count").alias("row_sum"))
-    col_sums = counts.groupBy(F.col("y").alias("cy")).agg(F.sum("count").alias("col_sum"))
+    cells = contingency_cells(df, x, y)
+    counts = _contingency(df, x, y, zeros)
+    row_sums = cells.groupBy(F.col("x").alias("rx")).agg(F.sum("count").alias("row_sum"))
+    col_sums = cells.groupBy(F.col("y").alias("cy")).agg(F.sum("count").alias("col_sum"))
     rows = df.agg(F.count(F.lit(1))).scalar()
     return (
         counts.join(row_sums, F.col("x").eqNullSafe(F.col("rx")))
-        .join(F.broadcast(col_sums), F.col("y").eqNullSafe(F.col("cy")))  # listed levels only
+        .join(col_sums, F.col("y").eqNullSafe(F.col("cy")))
         .select("x", "y", "count", (F.col("row_sum") * F.col("col_sum") / rows).alias("expected"))
     )
 
@@ -260,7 +268,7 @@ def bivariate(df: DataFrame, x: str, y: str) -> DataFrame:
         return group_summary(df, x, y)
     if is_numeric(df, y):
         return group_summary(df, y, x)
-    return contingency_expected(df, x, y)
+    return contingency_expected(df, x, y, zeros=False)
 
 
 # ---- many columns -----------------------------------------------------------
@@ -353,21 +361,23 @@ def _pair_sums(
 def _correlation(n: str, sx: str, sy: str, sxy: str, sxx: str, syy: str) -> str:
     spread_x = f"({sxx} - {sx} * {sx} / {n})"
     spread_y = f"({syy} - {sy} * {sy} / {n})"
-    return (
-        f"IF({n} > 1, greatest(-1D, least(1D, try_divide({sxy} - {sx} * {sy} / {n},"
-        f" sqrt({spread_x}) * sqrt({spread_y})))), NULL)"
-    )
+    quotient = f"try_divide({sxy} - {sx} * {sy} / {n}, sqrt({spread_x}) * sqrt({spread_y}))"
+    # NaN, from infinities, counts as missing; Spark takes it for the largest number.
+    return f"IF({n} > 1 AND NOT isnan({quotient}), greatest(-1D, least(1D, {quotient})), NULL)"
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``col_a, col_b, correlation`` for all ordered pairs, the diagonal included.
 
-    The diagonal is 1, or NULL for a constant column.
+    The diagonal is 1, or NULL for a column that is constant or holds an infinity.
     """
     df = present(df)
     columns = numeric_columns(df, columns)
     pairs = correlation_pairs(df, columns).select("col_a", "col_b", "correlation")
-    spreads = [f"IF(min({number(c)}) < max({number(c)}), 1D, NULL)" for c in columns]
+    finite = "max({0}) < double('inf') AND min({0}) > -double('inf')".format
+    spreads = [
+        f"IF(min({number(c)}) < max({number(c)}) AND {finite(number(c))}, 1D, NULL)" for c in columns
+    ]
     diagonal = wide_to_long(df, columns, {"correlation": spreads}).selectExpr(
         "column AS col_a", "column AS col_b", "correlation"
     )

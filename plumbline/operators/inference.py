@@ -19,8 +19,7 @@ from plumbline.functions.distributions import (
     student_critical,
     student_p_value,
 )
-from plumbline.plans.ranks import group_quantiles, order_statistics
-from plumbline.session import stage
+from plumbline.plans.ranks import order_statistics
 
 
 def _check(test: str, alternative: str, alpha: float) -> tuple[str, str]:
@@ -256,31 +255,29 @@ def sample_means(
     """``sample, sample_mean`` of samples drawn with replacement from a column.
 
     A draw is a rank derived from an MD5 digest of seed, sample and draw, so the same
-    seed gives the same samples on any cluster. The ranks are looked up in the ordered
-    value frequencies; the rows themselves are shuffled once and never gathered.
+    seed gives the same samples on any cluster. The ranks are looked up in buckets of
+    ordered values; only value frequencies are shuffled.
     """
     df = present(df)
     column = require_numeric(df, column)
     if sample_size <= 0 or n_samples <= 0:
         raise ValueError("sample_size and n_samples must be positive")
-    values = df.selectExpr("0 AS g", f"{number(column)} AS value").filter("value IS NOT NULL")
-    freq = stage(values.groupBy("g", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    size, distinct = freq.agg(F.sum("cnt"), F.count(F.lit(1))).first()
-    if size is None:
+    values = df.selectExpr(f"{number(column)} AS value").filter("value IS NOT NULL")
+    size = values.count()
+    if not size:
         raise ValueError(f"column {column!r} has no values")
     draws = (
         df.sparkSession.range(n_samples * sample_size)
         .selectExpr(f"id DIV {sample_size} AS sample", f"id % {sample_size} AS draw")
         .selectExpr(
             "sample",
-            "0 AS g",
             f"CAST(conv(substr(md5(concat_ws(':', {int(seed)}, sample, draw)), 1, 15), 16, 10)"
             f" AS BIGINT) % {size} AS rank",
         )
     )
-    found = order_statistics(freq, ["g"], draws, distinct)
+    found = order_statistics(values, "value", draws)
     return (
-        draws.join(found, ["g", "rank"])
+        draws.join(found, "rank")
         .groupBy("sample")
         .agg(F.avg("value").alias("sample_mean"))
     )
@@ -293,19 +290,19 @@ def sampling_distribution(
     df: DataFrame, column: str, sample_size: int = 30, n_samples: int = 1000, seed: int = 0
 ) -> DataFrame:
     """One row: population estimates, and mean, deviation and percentiles of sample means."""
-    means = stage(sample_means(df, column, sample_size, n_samples, seed))
+    means = sample_means(df, column, sample_size, n_samples, seed)
     one = F.lit(0).alias("g")
     population = one_sample_moments(df, column).select(
         one, F.col("n").alias("population_n"), F.col("mean").alias("population_mean"),
         F.col("std").alias("population_std"),
     )
+    # There are as many means as the caller asks for, so their percentiles fit one task.
     sampled = means.agg(
-        F.avg("sample_mean").alias("mean_of_means"), F.stddev_samp("sample_mean").alias("std_of_means")
+        F.avg("sample_mean").alias("mean_of_means"), F.stddev_samp("sample_mean").alias("std_of_means"),
+        F.percentile("sample_mean", F.array(*[F.lit(p) for p in PERCENTILES])).alias("q"),
     ).select(one, "*")
-    places = group_quantiles(means.select(one, "sample_mean"), ["g"], "sample_mean", PERCENTILES)
     return (
         population.join(F.broadcast(sampled), "g")
-        .join(F.broadcast(places), "g")
         .selectExpr(
             "population_n", "population_mean", "population_std",
             f"CAST({sample_size} AS BIGINT) AS sample_size",

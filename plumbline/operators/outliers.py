@@ -6,16 +6,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import thresholds as t
 from plumbline.columns import (
+    INTEGRAL,
     col,
     number,
     numeric_columns,
     present,
+    quoted,
     require_numeric,
     resolve,
     sql_double,
+    sql_text,
 )
 from plumbline.functions.text import four_digits, percent
 from plumbline.operators.profile import column_measures
@@ -64,13 +68,17 @@ class Limits:
 
     def flag(self, value: str) -> str:
         """SQL that is true for outliers, false for other values and for missing ones."""
+        return f"coalesce({self.test(value)}, false)"
+
+    def test(self, value: str) -> str:
+        """SQL that is true for outliers, and false or NULL for other values."""
         tests = []
         if self.lower is not None:
             tests += [f"{value} < {sql_double(self.lower)}", f"{value} > {sql_double(self.upper)}"]
         if self.std is not None and self.std > 0:
             score = f"({value} - {sql_double(self.mean)}) / {sql_double(self.std)}"
             tests.append(f"abs({score}) > {t.Z_LIMIT}D")
-        return f"coalesce({' OR '.join(tests)}, false)" if tests else "false"
+        return f"({' OR '.join(tests)})" if tests else "false"
 
 
 def limits_from_row(row: Row, method: str) -> Limits:
@@ -138,7 +146,9 @@ def outlier_rows(df: DataFrame, column: str, method: str = "both") -> DataFrame:
     """All rows whose value in ``column`` is an outlier."""
     column = require_numeric(df, column)
     limits = column_limits(df, [column], method)[column]
-    return present(df).filter(limits.flag(number(column)))
+    value = raw_number(df, column)
+    # On the column itself, so that the scan can use it; NaN is larger than any number.
+    return present(df.filter(f"{limits.test(value)} AND NOT isnan({value})"))
 
 
 def outlier_preview(
@@ -216,11 +226,19 @@ def outlier_options(metadata: DataFrame) -> DataFrame:
     return everything.unionByName(single)
 
 
+def raw_number(df: DataFrame, column: str) -> str:
+    """SQL for the column as a double; a double column stands for itself."""
+    return quoted(column) if df.schema[column].dataType.simpleString() == "double" else number(column)
+
+
 def _chosen_bounds(
     df: DataFrame, metadata: DataFrame, columns: list[str] | None
 ) -> list[tuple[str, float | None, float | None]]:
-    """The stored bounds to apply; one row per column reaches the driver."""
-    wanted = None if columns is None else {c.lower() for c in columns}
+    """The stored bounds to apply; one row per column reaches the driver.
+
+    A name that the frame lacks is an error; a column without stored bounds is left alone.
+    """
+    wanted = None if columns is None else {resolve(df, c).lower() for c in columns}
     bounds = []
     for row in metadata.select("column", "lower_bound", "upper_bound").collect():
         if wanted is not None and row["column"].lower() not in wanted:
@@ -240,28 +258,73 @@ def remove_outliers(
 
     Without bounds (no outliers, no matching column, z-scores only) the frame is unchanged.
     """
-    df = present(df)
     tests = []
     for column, lower, upper in _chosen_bounds(df, metadata, columns):
+        value = raw_number(df, column)
+        tests.append(f"NOT isnan({value})")
         if lower is not None:
-            tests.append(f"{number(column)} >= {sql_double(lower)}")
+            tests.append(f"{value} >= {sql_double(lower)}")
         if upper is not None:
-            tests.append(f"{number(column)} <= {sql_double(upper)}")
-    return df.filter(" AND ".join(tests)) if tests else df
+            tests.append(f"{value} <= {sql_double(upper)}")
+    return present(df.filter(" AND ".join(tests)) if tests else df)
+
+
+def removal_report(df: DataFrame, metadata: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``column, n_rows, n_outside, filter, message``: what :func:`remove_outliers` does.
+
+    One row per column that it filters by, and a last one without a column for all
+    together, whose ``n_outside`` is the number of rows removed. Without bounds to apply
+    that row alone says so. Rows with a missing value count as outside.
+    """
+    bounds = _chosen_bounds(df, metadata, columns)
+    tests = []
+    for column, lower, upper in bounds:
+        value = raw_number(df, column)
+        parts = [f"NOT isnan({value})"]
+        parts += [f"{value} >= {sql_double(lower)}"] if lower is not None else []
+        parts += [f"{value} <= {sql_double(upper)}"] if upper is not None else []
+        tests.append(f"coalesce({' AND '.join(parts)}, false)")
+    hints = [
+        " and ".join(
+            [f"`{c}` >= {lower:.4f}"] * (lower is not None) + [f"`{c}` <= {upper:.4f}"] * (upper is not None)
+        )
+        for c, lower, upper in bounds
+    ]
+    every = " AND ".join(tests) or "true"
+    counts = [f"count_if(NOT ({test})) AS c{i}" for i, test in enumerate([*tests, every])]
+    wide = df.selectExpr("count(*) AS n_rows", *counts)
+    message = "'Outliers removed'" if bounds else "'No outliers to remove'"
+    cells = [
+        f"{sql_text(c)}, c{i}, {sql_text(hint)}, CAST(NULL AS STRING)"
+        for i, ((c, _, _), hint) in enumerate(zip(bounds, hints, strict=True))
+    ]
+    cells.append(f"CAST(NULL AS STRING), c{len(tests)}, {sql_text(' and '.join(hints))}, {message}")
+    long = wide.selectExpr("n_rows", f"stack({len(cells)}, {', '.join(cells)}) AS (column, n_outside, filter, message)")
+    return long.select("column", "n_rows", "n_outside", "filter", "message")
 
 
 def clip_outliers(
     df: DataFrame, metadata: DataFrame, columns: list[str] | None = None
 ) -> DataFrame:
-    """Values outside the stored bounds moved to the nearest bound; missing ones stay missing."""
+    """Values outside the stored bounds moved to the nearest bound; missing ones stay missing.
+
+    Integer and decimal columns keep their type if their bounds are whole; else they become doubles.
+    """
     df = present(df)
     for column, lower, upper in _chosen_bounds(df, metadata, columns):
+        kind = df.schema[column].dataType
+        # A whole bound fits a whole column; then values inside keep all their digits.
+        fits = isinstance(kind, INTEGRAL + (T.DecimalType,)) and all(
+            b is None or float(b).is_integer() for b in (lower, upper)
+        )
+        shown = (lambda x: f"CAST({x} AS {kind.simpleString()})") if fits else (lambda x: x)  # noqa: B023
         cases = ""
         if lower is not None:
-            cases += f" WHEN {number(column)} < {sql_double(lower)} THEN {sql_double(lower)}"
+            cases += f" WHEN {number(column)} < {sql_double(lower)} THEN {shown(sql_double(lower))}"
         if upper is not None:
-            cases += f" WHEN {number(column)} > {sql_double(upper)} THEN {sql_double(upper)}"
-        df = df.withColumn(column, F.expr(f"CASE{cases} ELSE {number(column)} END"))
+            cases += f" WHEN {number(column)} > {sql_double(upper)} THEN {shown(sql_double(upper))}"
+        inside = quoted(column) if fits else number(column)
+        df = df.withColumn(column, F.expr(f"CASE{cases} ELSE {inside} END"))
     return df
 
 

@@ -10,7 +10,6 @@ from plumbline.columns import (
     col,
     families,
     number,
-    numeric_columns,
     present,
     quoted,
     resolve_all,
@@ -18,17 +17,16 @@ from plumbline.columns import (
 )
 from plumbline.functions.text import percent
 from plumbline.plans.frequency import (
-    NUMERIC_VALUE,
     PRESENT,
     countable,
     row_key,
     value_frequencies,
 )
 from plumbline.plans.per_column import wide_to_long
-from plumbline.plans.ranks import directly, ranked_quantiles, spread
-from plumbline.session import stage
+from plumbline.plans.ranks import column_quantiles, sketched
 
 QUARTILES = [0.25, 0.5, 0.75]
+EXAMPLE_ROWS = 64  # smallest rows in which a round looks for distinct values
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
@@ -71,12 +69,11 @@ def distinct_counts(
     if not exact:
         sketches = [f"approx_count_distinct({quoted(c)})" for c in columns]
         return wide_to_long(df, columns, {"n_unique": sketches})
-    found = (
-        value_frequencies(spread(df, df.count()), columns)
-        .groupBy("cid")
-        .agg(F.expr(f"count_if({PRESENT}) AS n_unique"))
-    )
-    return name_columns(found, columns)
+    return name_columns(_distinct(value_frequencies(df, columns)), columns)
+
+
+def _distinct(freq: DataFrame) -> DataFrame:
+    return freq.groupBy("cid").agg(F.expr(f"count_if({PRESENT}) AS n_unique"))
 
 
 def name_columns(per_column: DataFrame, columns: list[str]) -> DataFrame:
@@ -112,28 +109,19 @@ def schema_table(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def frequencies(df: DataFrame, columns: list[str], direct: bool) -> DataFrame:
-    """The value frequencies of the countable columns, written down if the frame is large."""
-    freq = value_frequencies(df, countable(df, columns))
-    return freq if direct else stage(freq)
-
-
 def column_measures(
     df: DataFrame,
     columns: list[str],
     exact: bool = True,
-    direct: bool | None = None,
     freq: DataFrame | None = None,
 ) -> DataFrame:
     """One row per column with everything that does not depend on outliers.
 
-    Counts and moments come from one scan that moves no rows; distinct counts and
-    quartiles share one table of value frequencies, which the caller may pass as ``freq``.
+    Counts and moments come from one scan that moves no rows, distinct counts from the
+    value frequencies (which the caller may pass as ``freq``), quartiles from brackets.
     """
     kinds = families(df)
     numeric = {c for c in columns if kinds[c] in ("integral", "fractional", "decimal")}
-    if exact and direct is None:
-        df, direct = directly(df)
 
     def moments(aggregate: str) -> list[str]:
         return [
@@ -150,19 +138,22 @@ def column_measures(
     }
     known = schema_table(df, columns)
     scalars = countable(df, columns)
+    numbers = [c for c in columns if c in numeric]
     if exact:
-        if freq is None:
-            freq = frequencies(df, columns, direct)
-        found = distinct_and_quartiles(freq, df, scalars, direct)
+        distinct = _distinct(value_frequencies(df, scalars) if freq is None else freq)
+        quartiles = column_quantiles(df, [number(c) for c in numbers], QUARTILES)
+        quartiles = name_columns(quartiles, numbers).drop("cid")
     else:
         measures["n_unique"] = [
             f"approx_count_distinct({quoted(c)})" if c in scalars else "max(CAST(NULL AS BIGINT))"
             for c in columns
         ]
-        found = sketched_quartiles(df, [c for c in columns if c in numeric])
+        quartiles = sketched_quartiles(df, numbers)
     # Every side has one row per column of the frame.
     out = known.join(F.broadcast(wide_to_long(df, columns, measures).drop("cid")), "column")
-    out = out.join(F.broadcast(found), "column", "left")
+    if exact:
+        out = out.join(F.broadcast(name_columns(distinct, scalars).drop("cid")), "column", "left")
+    out = out.join(F.broadcast(quartiles), "column", "left")
     n_unique = "IF(family = 'other', NULL, coalesce(n_unique, 0L))"
     return out.withColumn("n_unique", F.expr(n_unique))
 
@@ -173,37 +164,9 @@ def sketched_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     Sketches of groups of tasks are merged first and then with each other, so that no
     task merges the sketches of all tasks.
     """
-    if not columns:
-        return df.sparkSession.createDataFrame([], "column string, q array<double>")
-    sketches = [
-        f"kll_sketch_agg_double({number(c)}, {t.SKETCH_SIZE}) AS k{i}" for i, c in enumerate(columns)
-    ]
-    group = F.expr(f"spark_partition_id() % {t.SKETCH_GROUPS}").alias("g")
-    grouped = df.groupBy(group).agg(*[F.expr(s) for s in sketches])
-    merged = [f"kll_merge_agg_double(k{i})" for i in range(len(columns))]
-    return wide_to_long(grouped, columns, {"sketch": merged}).selectExpr(
-        "column",
-        "IF(kll_sketch_get_n_double(sketch) > 0,"
-        " kll_sketch_get_quantile_double(sketch, array(0.25D, 0.5D, 0.75D)), NULL) AS q",
-    )
-
-
-def distinct_and_quartiles(
-    freq: DataFrame, df: DataFrame, columns: list[str], direct: bool
-) -> DataFrame:
-    """``column, n_unique, q``; ``q`` holds the three quartiles of numeric columns."""
-    numeric = [i for i, c in enumerate(columns) if c in numeric_columns(df)]
-    n_unique = f"count_if({PRESENT}) AS n_unique"
-    if direct:
-        ids = ", ".join(map(str, [-1, *numeric]))
-        quartiles = f"percentile(IF(cid IN ({ids}), {NUMERIC_VALUE}, NULL), array(0.25, 0.5, 0.75), cnt)"
-        found = freq.groupBy("cid").agg(F.expr(n_unique), F.expr(f"{quartiles} AS q"))
-        return name_columns(found, columns).drop("cid")
-    found = freq.groupBy("cid").agg(F.expr(n_unique))
-    values = freq.selectExpr("cid", f"{NUMERIC_VALUE} AS value", "cnt")
-    values = values.filter(F.col("cid").isin(numeric) & F.col("value").isNotNull())
-    quartiles = ranked_quantiles(values, ["cid"], QUARTILES, staged=True)
-    return name_columns(found.join(F.broadcast(quartiles), "cid", "left"), columns).drop("cid")
+    found = sketched(df, [number(c) for c in columns], [QUARTILES] * len(columns))
+    rows = [(c, q) for c, (_, q) in zip(columns, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, q array<double>")
 
 
 # The profile of a column from its measures.
@@ -255,31 +218,33 @@ def column_flags(df: DataFrame) -> DataFrame:
 def example_values(
     df: DataFrame, columns: list[str] | None = None, n: int = t.EXAMPLE_VALUES
 ) -> DataFrame:
-    """``column, example_values``: the ``n`` smallest distinct values as texts, joined by ``|``.
+    """``column, example_values``: the ``n`` smallest distinct values as an array of texts.
 
-    Scan number i finds, for all columns at once, the smallest value above those found
-    before. No values are shuffled, and ``n`` values per column reach the driver.
+    Spark keeps the smallest rows of each column per task, so no column is shuffled. A
+    round that meets only repeated values is followed by one above them. ``n`` values per
+    column reach the driver.
     """
     df = present(df)
     columns = countable(df, resolve_all(df, columns))
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for _ in range(n):
-        measures = []
-        for c in columns:
-            above = ""
+    pending = columns
+    while pending:
+        parts = None
+        for c in pending:
+            rows = df.select(col(c).alias("v")).filter("v IS NOT NULL")
             if found[c]:
                 kind = df.schema[c].dataType.simpleString()
-                above = f" FILTER (WHERE {quoted(c)} > CAST({sql_text(found[c][-1])} AS {kind}))"
-            measures.append(f"CAST(min({quoted(c)}){above} AS STRING)")
-        smallest = df.selectExpr(*[f"{m} AS m{i}" for i, m in enumerate(measures)]).first()
-        for i, c in enumerate(columns):
-            if smallest[i] is not None:
-                found[c].append(smallest[i])
-        columns = [c for i, c in enumerate(columns) if smallest[i] is not None]
-        if not columns:
-            break
-    rows = [(c, "|".join(values)) for c, values in found.items() if values]
-    return df.sparkSession.createDataFrame(rows, "column string, example_values string")
+                rows = rows.filter(f"v > CAST({sql_text(found[c][-1])} AS {kind})")
+            smallest = rows.orderBy("v").limit(EXAMPLE_ROWS).distinct().orderBy("v").limit(n - len(found[c]))
+            values = F.expr("transform(array_sort(collect_list(struct(v))), x -> CAST(x.v AS STRING)) AS vs")
+            part = smallest.agg(values).select(F.lit(c).alias("column"), "vs")
+            parts = part if parts is None else parts.unionByName(part)
+        more = {r["column"]: r["vs"] for r in parts.collect()}
+        for c in pending:
+            found[c] += more[c]
+        pending = [c for c in pending if more[c] and len(found[c]) < n]
+    rows = [(c, values) for c, values in found.items() if values]
+    return df.sparkSession.createDataFrame(rows, "column string, example_values array<string>")
 
 
 def ingest_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -25,7 +25,6 @@ from plumbline.operators.profile import (
     profile_from_measures,
 )
 from plumbline.plans.per_column import pin
-from plumbline.plans.ranks import working_copy
 
 def score_from_parts(profile: DataFrame, outliers: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row: the ratios, the five components, ``overall`` and ``notes``.
@@ -92,6 +91,13 @@ class QualityReport:
     counts: DataFrame
     duplicates: DataFrame
 
+    def without(self, dropped: list[str], df: DataFrame) -> QualityReport:
+        """The report of ``df``, which is the reported frame without some columns: only
+        duplicates are measured again."""
+        left = ~F.col("column").isin(dropped)
+        duplicates = pin(duplicate_rows(df))
+        return QualityReport(pin(self.measures.filter(left)), pin(self.counts.filter(left)), duplicates)
+
     @property
     def profile(self) -> DataFrame:
         return profile_from_measures(self.measures)
@@ -126,12 +132,12 @@ def quality_report(df: DataFrame, method: str = "both", exact: bool = True) -> Q
     Each scan of the data runs once, when the report is made; what it leaves behind
     has one row per column.
     """
-    with working_copy(present(df)) as (copy, direct):
-        measures = pin(column_measures(copy, df.columns, exact, direct))
-        rows = summary_from_measures(measures).collect()
-        limits = {row["column"]: limits_from_row(row, method) for row in rows}
-        counts = pin(counts_with_limits(copy, limits, method))
-        duplicates = pin(duplicate_rows(copy))
+    df = present(df)
+    measures = pin(column_measures(df, df.columns, exact))
+    rows = summary_from_measures(measures).collect()
+    limits = {row["column"]: limits_from_row(row, method) for row in rows}
+    counts = pin(counts_with_limits(df, limits, method))
+    duplicates = pin(duplicate_rows(df))
     return QualityReport(measures, counts, duplicates)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from plumbline.columns import (
     UnknownColumn,
     col,
+    families,
     is_numeric,
     number,
     numeric_columns,
@@ -18,7 +19,7 @@ from plumbline.columns import (
     resolve_all,
 )
 from plumbline.plans.frequency import row_key
-from plumbline.plans.ranks import group_quantiles
+from plumbline.plans.ranks import column_quantiles
 
 SYMMETRIC_SKEW = 0.5  # below this absolute skewness a column is filled with its mean
 
@@ -107,8 +108,7 @@ def summary_value(df: DataFrame, column: str, how: str) -> object:
         )
         return top[0]["value"] if top else None
     if how == "median":
-        value = df.selectExpr("0 AS g", f"{number(column)} AS value")
-        row = group_quantiles(value, ["g"], "value", [0.5]).collect()
+        row = column_quantiles(df, [number(column)], [0.5]).collect()
         return row[0]["q"][0] if row else None
     names = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "skew": "skewness"}
     if how not in names:
@@ -135,15 +135,39 @@ def mutate_with_summaries(
     return mutate(out, expressions).drop(*constants)
 
 
-def impute_value(df: DataFrame, column: str, how: str = "auto") -> object:
-    """What :func:`impute` fills a column with."""
-    if how == "auto":
-        if not is_numeric(df, column):
-            how = "mode"
+def impute_values(df: DataFrame, columns: list[str], how: str = "auto") -> dict[str, object]:
+    """What :func:`impute` fills each column with: one scan for means and skewness, one plan
+    for all medians, one for all modes (as texts). A column without values has none."""
+    df = present(df)
+    numbers = [c for c in columns if is_numeric(df, c)] if how != "mode" else []
+    measured = [f"avg({number(c)}) AS m{i}" for i, c in enumerate(numbers)]
+    measured += [f"skewness({number(c)}) AS s{i}" for i, c in enumerate(numbers)]
+    row = df.selectExpr(*measured).first() if numbers else None
+    fills: dict[str, object] = {}
+    skewed = []
+    for i, c in enumerate(numbers):
+        skew = row[f"s{i}"]
+        # The skewness of a constant is not a number; its mean is the constant.
+        symmetric = skew is None or skew != skew or abs(skew) < SYMMETRIC_SKEW
+        if how == "mean" or how == "auto" and symmetric:
+            fills[c] = row[f"m{i}"]
         else:
-            skew = summary_value(df, column, "skew")
-            how = "mean" if skew is None or abs(skew) < SYMMETRIC_SKEW else "median"
-    return summary_value(df, column, how)
+            skewed.append(c)
+    medians = column_quantiles(df, [number(c) for c in skewed], [0.5]).collect() if skewed else []
+    fills |= {skewed[r["cid"]]: r["q"][0] for r in medians}
+    tops = None
+    for i, c in enumerate(columns):
+        if c not in numbers:
+            top = df.filter(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            top = top.orderBy(F.col("n").desc(), "v").limit(1).select(F.lit(i).alias("i"), F.col("v").cast("string"))
+            tops = top if tops is None else tops.unionByName(top)
+    fills |= {columns[r["i"]]: r["v"] for r in tops.collect()} if tops is not None else {}
+    return fills
+
+
+def impute_value(df: DataFrame, column: str, how: str = "auto") -> object:
+    """What :func:`impute` fills a column with; a mode is given as a text."""
+    return impute_values(df, [resolve(df, column)], how).get(resolve(df, column))
 
 
 def impute(df: DataFrame, columns: list[str], how: str = "auto") -> DataFrame:
@@ -157,7 +181,7 @@ def impute(df: DataFrame, columns: list[str], how: str = "auto") -> DataFrame:
     columns = resolve_all(df, columns)
     if how in ("mean", "median") and len(numeric_columns(df, columns)) < len(columns):
         raise TypeError(f"{how} needs numeric columns, got {columns}")
-    fills = {c: impute_value(df, c, how) for c in columns}
+    fills = impute_values(df, columns, how)
     out = []
     for c in df.columns:
         fill = fills.get(c)
@@ -175,8 +199,13 @@ def impute(df: DataFrame, columns: list[str], how: str = "auto") -> DataFrame:
 
 def drop_missing_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows where none of the columns is missing."""
-    df = present(df)
-    return df.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in resolve_all(df, columns)))
+    kinds = families(df)
+    tests = []
+    for c in resolve_all(df, columns):
+        tests.append(f"{quoted(c)} IS NOT NULL")  # on the column itself, so that the scan can use it
+        if kinds[c] == "fractional":
+            tests.append(f"NOT isnan({quoted(c)})")
+    return present(df.filter(" AND ".join(tests)))
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:

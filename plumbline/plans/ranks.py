@@ -1,220 +1,224 @@
-"""Exact quantiles and order statistics that never need a whole group in one task."""
+"""Exact quantiles and order statistics, by one plan at every size.
+
+A first scan makes sketches, merged in two levels. They give a bracket of values around
+each wanted rank. A second scan counts what lies below the brackets, and only the
+values inside them, about a hundredth, are grouped and ordered.
+"""
 
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline import thresholds
-from plumbline.session import stage
+from plumbline import thresholds as t
+from plumbline.columns import sql_double
+from plumbline.plans.per_column import wide_to_long
+
 
+def bucket_sql(bounds: list[float], value: str) -> str:
+    """SQL for the number of ``bounds`` (ascending) that are at most ``value``, in two steps."""
+    literal = lambda b: f"{float(b)!r}D" if math.isfinite(b) else sql_double(b)
+    step = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    listed = [f"CAST(array({', '.join(map(literal, part))}) AS array<double>)" for part in parts]
+    tops = f"CAST(array({', '.join(literal(part[0]) for part in parts[1:])}) AS array<double>)"
+    part = f"size(filter({tops}, b -> b <= {value}))"
+    return f"({part} * {step} + size(filter(array({', '.join(listed)})[{part}], b -> b <= {value})))"
 
-def directly(df: DataFrame) -> tuple[DataFrame, bool]:
-    """The frame, dealt to all cores if small, and whether Spark's ``percentile`` may be used.
 
-    ``percentile`` keeps the distinct values of a group in one task. Counting the rows
-    first bounds that; beyond the bound the caller ranks slices instead.
+def sketched(df: DataFrame, cells: list[str], shares: list[list[float]]) -> list[tuple[int, list]]:
+    """Per cell the number of values and the sketched values at its ``shares`` (each cell has as many).
+
+    Cells are SQL doubles. Sketches of groups of tasks are merged before those of all, so
+    no task merges the sketches of every task. One row per cell reaches the driver.
     """
-    rows = df.count()
-    return spread(df, rows), _few(df, rows)
+    if not cells:
+        return []
+    names = [str(i) for i in range(len(cells))]
+    each = [F.expr(f"kll_sketch_agg_double({c}, {t.SKETCH_SIZE}) AS k{i}") for i, c in enumerate(cells)]
+    group = F.expr(f"spark_partition_id() % {t.SKETCH_GROUPS}").alias("part")
+    grouped = df.groupBy(group).agg(*each)
+    merged = [f"kll_merge_agg_double(k{i})" for i in range(len(cells))]
+    found = []
+    for i, share in enumerate(shares):
+        wanted = ", ".join(sql_double(s) for s in share)
+        sketch = merged[i]
+        found.append(
+            f"IF(kll_sketch_get_n_double({sketch}) > 0,"
+            f" kll_sketch_get_quantile_double({sketch}, array({wanted})), NULL)"
+        )
+    counts = [f"kll_sketch_get_n_double({sketch})" for sketch in merged]
+    rows = wide_to_long(grouped, names, {"n": counts, "q": found}).collect()
+    by_name = {row["column"]: (row["n"] or 0, row["q"]) for row in rows}
+    return [by_name[name] for name in names]
 
 
-def _few(df: DataFrame, rows: int) -> bool:
-    cells = rows * len(df.columns)
-    return rows <= thresholds.DIRECT_ROWS and cells <= thresholds.DIRECT_CELLS
+def _ends(p: float) -> tuple[float, float]:
+    return max(0.0, p - t.RANK_MARGIN), min(1.0, p + t.RANK_MARGIN)
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Deal the rows of a small frame to all cores.
+def column_quantiles(df: DataFrame, cells: list[str], probs: list[float]) -> DataFrame:
+    """``cid, q``: the linearly interpolated quantiles of each cell, in the order of ``probs``.
 
-    A small file is read by one task. Frames of more than ``DIRECT_ROWS`` rows come in
-    many tasks anyway and are left alone, as is what a single task handles at once.
+    ``cells`` are SQL doubles, NULL where missing; ``cid`` is the place among them. A cell
+    without values gives no row. While a bracket holds more than ``BRACKET_VALUES``
+    values, it is narrowed by another sketch of the values inside it.
     """
-    if thresholds.SPREAD_ROWS <= rows <= thresholds.DIRECT_ROWS:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    shares = [0.0, 1.0, *[end for p in probs for end in _ends(p)]]
+    wanted = []  # cid, place of the probability, rank, share of the next, bracket
+    for cid, (n, q) in enumerate(sketched(df, cells, [shares] * len(cells))):
+        for j, p in enumerate(probs if n else []):
+            place = (n - 1) * p
+            few = n * t.RANK_MARGIN < 4
+            low, high = (q[0], q[1]) if few else (q[2 + 2 * j], q[3 + 2 * j])
+            wanted.append([cid, j, math.floor(place), place - math.floor(place), low, high])
+    empty = df.sparkSession.createDataFrame([], "cid int, q array<double>")
+    if not wanted:
+        return empty
+    while True:
+        inside = [f"{cells[w[0]]} >= {sql_double(w[4])} AND {cells[w[0]]} <= {sql_double(w[5])}" for w in wanted]
+        row = df.selectExpr(
+            *[f"count_if({cells[w[0]]} < {sql_double(w[4])}) AS b{i}" for i, w in enumerate(wanted)],
+            *[f"count_if({text}) AS i{i}" for i, text in enumerate(inside)],
+        ).first()
+        below = [row[f"b{i}"] for i in range(len(wanted))]
+        held = [row[f"i{i}"] for i in range(len(wanted))]
+        wide = [
+            i for i, w in enumerate(wanted)
+            if held[i] > t.BRACKET_VALUES and held[i] * t.RANK_MARGIN >= 4 and w[4] < w[5]
+        ]
+        if not wide:
+            break
+        cut = [f"IF({inside[i]}, {cells[wanted[i][0]]}, NULL)" for i in wide]
+        at = [(wanted[i][2] - below[i]) / held[i] for i in wide]
+        narrowed = sketched(df, cut, [list(_ends(p)) for p in at])
+        before = [w[4:] for w in wanted]
+        for i, (_, q) in zip(wide, narrowed, strict=True):
+            wanted[i][4:] = q
+        if before == [w[4:] for w in wanted]:
+            break  # what is left are few heavy values
+    brackets = df.sparkSession.createDataFrame(
+        [(*w, b) for w, b in zip(wanted, below, strict=True)],
+        "cid int, place int, rank long, share double, low double, high double, below long",
+    )
+    near: dict[int, list[str]] = {}
+    for w, text in zip(wanted, inside, strict=True):
+        near.setdefault(w[0], []).append(text)
+    listed = ", ".join(f"{cid}, IF({' OR '.join(texts)}, {cells[cid]}, NULL)" for cid, texts in near.items())
+    values = (
+        df.selectExpr(f"stack({len(near)}, {listed}) AS (cid, value)")
+        .filter("value IS NOT NULL")
+        .groupBy("cid", "value")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    # One row per cell and probability.
+    found = values.join(F.broadcast(brackets), "cid").filter("value BETWEEN low AND high")
+    return _interpolated(found, ["cid"], len(probs))
+
+
+def _interpolated(found: DataFrame, by: list[str], places: int) -> DataFrame:
+    """``by, q`` from ``by, place, rank, share, below, value, cnt``: the values of each bracket."""
+    order = Window.partitionBy(*by, "place").orderBy("value")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("upto", F.col("below") + F.sum("cnt").over(upto))
+    at = lambda rank: f"max(IF(upto - cnt <= {rank} AND {rank} < upto, value, NULL))"
+    found = found.groupBy(*by, "place").agg(
+        F.expr(f"{at('rank')} AS low"), F.expr(f"{at('rank + 1')} AS high"), F.first("share").alias("share")
+    )
+    found = found.selectExpr(
+        *by,
+        "place",
+        "CASE WHEN low IS NULL OR (share > 0 AND high IS NULL) THEN CAST(raise_error('rank outside its bracket') AS DOUBLE)"
+        " WHEN share = 0 THEN low ELSE low * (1 - share) + high * share END AS value",
+    )
+    wanted = [F.expr(f"max(IF(place = {j}, value, NULL))") for j in range(places)]
+    return found.groupBy(*by).agg(F.array(*wanted).alias("q"))
 
 
-@contextmanager
-def working_copy(df: DataFrame):
-    """``(frame, direct)`` for a run of several jobs over the same frame.
+def group_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles of ``value`` per group: ``by, q``. Rows with a missing value are left out.
 
-    A frame that fits directly is dealt to all cores and cached for the length of the
-    block; a larger one is scanned by each job, reading only the columns it needs.
-    """
-    rows = df.count()
-    if not _few(df, rows):
-        yield df, False
-        return
-    copy = spread(df, rows).persist()
-    try:
-        yield copy, True
-    finally:
-        copy.unpersist()
-
-
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast when its counted rows are few."""
-    return F.broadcast(df) if rows <= thresholds.BROADCAST_ROWS else df
-
-
-def order_statistics(
-    freq: DataFrame, by: list[str], targets: DataFrame, distinct: int | None = None
-) -> DataFrame:
-    """The value at each wanted 0-based rank of each group.
-
-    ``freq`` has ``by``, ``value`` (a non-missing double) and ``cnt``, one row per
-    distinct value; it is read more than once, so give a staged table. ``targets`` has
-    ``by`` and ``rank``. The result has ``by, rank, value``.
-
-    The frequency table is range-partitioned by group and value into slices of bounded
-    size, so a hot group spreads over many slices. Slice totals give each slice the rank
-    it starts at; only slices that hold a wanted rank are then ranked inside.
+    As :func:`column_quantiles`, with the brackets of each group joined to its rows. The
+    values of one bracket, about a hundredth of a group, are ordered in one task.
     """
-    distinct = freq.count() if distinct is None else distinct
-    slices = max(1, math.ceil(distinct / thresholds.SLICE_ROWS))
-    ordered = stage(
-        freq.repartitionByRange(slices, *by, "value").withColumn("slice", F.spark_partition_id())
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
+    part = F.expr(f"spark_partition_id() % {t.SKETCH_GROUPS}").alias("part")
+    sketches = rows.groupBy(*by, part).agg(F.expr(f"kll_sketch_agg_double(value, {t.SKETCH_SIZE}) AS s"))
+    shares = ", ".join(sql_double(s) for s in [0.0, 1.0, *[end for p in probs for end in _ends(p)]])
+    marks = sketches.groupBy(*by).agg(F.expr("kll_merge_agg_double(s) AS s"))
+    marks = marks.selectExpr(
+        *by, "kll_sketch_get_n_double(s) AS n", f"kll_sketch_get_quantile_double(s, array({shares})) AS ends"
     )
-
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ordered.groupBy(*by, "slice")
-        .agg(F.sum("cnt").alias("total"))
-        .withColumn("start", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
-        .withColumn(
-            "width", F.ceil(F.sum("total").over(group) / F.count(F.lit(1)).over(group)).cast("long")
-        )
+    few = f"n * {sql_double(t.RANK_MARGIN)} < 4"
+    brackets = ", ".join(
+        f"named_struct('place', {j}, 'rank', CAST(floor((n - 1) * {sql_double(p)}) AS BIGINT),"
+        f" 'share', (n - 1) * {sql_double(p)} - floor((n - 1) * {sql_double(p)}),"
+        f" 'low', IF({few}, ends[0], ends[{2 + 2 * j}]), 'high', IF({few}, ends[1], ends[{3 + 2 * j}]))"
+        for j, p in enumerate(probs)
     )
-    # Ranks are matched to slices through buckets of one average slice each, so that a
-    # group of many slices does not pair every rank with every slice.
-    spans = starts.withColumn(
-        "bucket",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("start") / F.col("width")),
-                F.floor((F.col("start") + F.col("total") - 1) / F.col("width")),
-            )
-        ),
+    marks = marks.selectExpr(*by, f"array({brackets}) AS brackets")
+    touched = rows.join(marks, by).select(
+        *by, F.expr("explode(filter(brackets, b -> value <= b.high)) AS b"), "value"
     )
-    widths = starts.groupBy(*by).agg(F.first("width").alias("width"))
-    located = (
-        targets.select(*by, "rank")
-        .distinct()
-        .join(widths, by)
-        .withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
-        .drop("width")
-        .join(spans, [*by, "bucket"])
-        .filter(
-            (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("total"))
-        )
-        .select(*by, "slice", "rank", (F.col("rank") - F.col("start") + 1).alias("position"))
+    counted = (
+        touched.select(*by, "b.*", F.expr("IF(value < b.low, NULL, value) AS value"))
+        .groupBy(*by, "place", "rank", "share", "value")
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    located = stage(located)
-    wanted = located.select(*by, "slice").distinct()
-    chosen = ordered.join(small_side(wanted, located.count()), [*by, "slice"], "left_semi")
+    # Values below a bracket are one row, without a value, that comes first.
+    return _interpolated(counted.withColumn("below", F.lit(0).cast("long")), by, len(probs))
 
-    upto = (
-        Window.partitionBy(*by, "slice")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def order_statistics(df: DataFrame, value: str, targets: DataFrame) -> DataFrame:
+    """``rank, value``: the value at each wanted 0-based rank of a column without missing values.
+
+    ``targets`` has ``rank``. Sketched cut points divide the values into buckets; their
+    totals, one row each, say which bucket holds a rank. Only buckets that hold one are
+    ordered, each by itself.
+    """
+    cuts = [i / t.RANK_BUCKETS for i in range(1, t.RANK_BUCKETS)]
+    n, q = sketched(df, [value], [cuts])[0]
+    bounds = sorted(set(q or []))
+    freq = (
+        df.selectExpr(f"{value} AS value")
+        .withColumn("bucket", F.expr(bucket_sql(bounds, "value")))
+        .groupBy("bucket", "value")
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    totals = freq.groupBy("bucket").agg(F.sum("cnt").alias("total")).collect()
+    buckets, starts, start = [], [], 0
+    for row in sorted(totals, key=lambda r: r["bucket"]):
+        buckets.append(row["bucket"])
+        starts.append(float(start))
+        start += row["total"]
+    place = F.expr(f"{bucket_sql(starts, 'CAST(rank AS DOUBLE)')} - 1")
+    pick = lambda listed: F.element_at(F.array(*[F.lit(x) for x in listed]), F.col("place") + 1)
+    marks = (
+        targets.select("rank").distinct().filter(F.col("rank") < start).withColumn("place", place)
+        .select("rank", pick(buckets).alias("bucket"), (F.col("rank") - pick([int(s) for s in starts])).alias("position"))
+    ) if buckets else None
+    if marks is None:
+        return targets.sparkSession.createDataFrame([], "rank long, value double")
+    upto = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = freq.join(marks.select("bucket").distinct(), "bucket", "left_semi")
     values = chosen.select(
-        *by,
-        "slice",
-        F.sum("cnt").over(upto).alias("position"),
-        F.lit(0).alias("is_target"),
-        F.lit(None).cast("long").alias("rank"),
-        F.col("value").alias("known"),
+        "bucket", (F.sum("cnt").over(upto) - 1).alias("position"), F.lit(1).alias("is_value"),
+        F.lit(None).cast("long").alias("rank"), F.col("value").alias("known"),
     )
-    marks = located.select(
-        *by, "slice", "position", F.lit(1).alias("is_target"), "rank",
-        F.lit(None).cast("double").alias("known"),
+    wanted = marks.select(
+        "bucket", "position", F.lit(0).alias("is_value"), "rank", F.lit(None).cast("double").alias("known")
     )
     # Read from the far end: the last value met at or beyond a position holds it.
     back = (
-        Window.partitionBy(*by, "slice")
-        .orderBy(F.col("position").desc(), F.col("is_target"))
+        Window.partitionBy("bucket")
+        .orderBy(F.col("position").desc(), F.col("is_value").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        values.unionByName(marks)
+        values.unionByName(wanted.select(*values.columns))
         .withColumn("value", F.last("known", ignorenulls=True).over(back))
-        .filter(F.col("is_target") == 1)
-        .select(*by, "rank", "value")
-    )
-
-
-def ranked_quantiles(
-    freq: DataFrame, by: list[str], probs: list[float], staged: bool = False
-) -> DataFrame:
-    """Linearly interpolated quantiles per group: ``by, q`` with ``q`` in the order of ``probs``.
-
-    ``staged`` says that reading ``freq`` again is cheap.
-    """
-    freq = freq.select(*by, "value", "cnt")
-    if not staged:
-        freq = stage(freq)
-    sizes = freq.groupBy(*by).agg(F.sum("cnt").alias("n"))
-    place = (F.col("n") - 1) * F.col("p.prob")
-    points = (
-        sizes.withColumn(
-            "p",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("place"), F.lit(float(p)).alias("prob"))
-                        for i, p in enumerate(probs)
-                    ]
-                )
-            ),
-        )
-        .withColumn("low", F.floor(place))
-        .withColumn("share", place - F.col("low"))
-        .select(
-            *by,
-            F.col("p.place").alias("place"),
-            F.explode(
-                F.array(
-                    F.struct(F.col("low").alias("rank"), (1 - F.col("share")).alias("weight")),
-                    F.struct((F.col("low") + 1).alias("rank"), F.col("share").alias("weight")),
-                )
-            ).alias("point"),
-        )
-        .select(*by, "place", "point.rank", "point.weight")
-        .filter(F.col("weight") > 0)
-    )
-    found = order_statistics(freq, by, points)
-    weighted = F.col("weight") * F.col("value")
-    return (
-        points.join(found, [*by, "rank"])
-        .groupBy(*by)
-        .agg(
-            F.array(
-                *[F.sum(F.when(F.col("place") == i, weighted)) for i in range(len(probs))]
-            ).alias("q")
-        )
+        .filter("is_value = 0")
+        .select("rank", "value")
     )
-
-
-def quantile_array(value: Column, probs: list[float], weight: Column | None = None) -> Column:
-    """Spark's exact interpolated percentile as an aggregate; for frames that fit directly."""
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return F.percentile(value, wanted) if weight is None else F.percentile(value, wanted, weight)
-
-
-def group_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float], direct: bool | None = None
-) -> DataFrame:
-    """Exact quantiles of ``value`` per group: ``by, q``. Rows with a missing value are left out."""
-    if direct is None:
-        df, direct = directly(df)
-    rows = df.filter(F.col(value).isNotNull())
-    if direct:
-        return rows.groupBy(*by).agg(quantile_array(F.col(value), probs).alias("q"))
-    freq = rows.groupBy(*by, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    return ranked_quantiles(freq, by, probs)

@@ -21,20 +21,29 @@ class IngestionError(ValueError):
 
 
 def read_csv_texts(
-    spark: SparkSession, path: str, missing: list[str] = MISSING_TEXTS, multiline: bool = False
+    spark: SparkSession, path: str, missing: list[str] = MISSING_TEXTS, multiline: bool = False,
+    bad_rows: str | None = None,
 ) -> DataFrame:
     """A CSV file with a header; every column a text, with NULL for the texts that mean missing.
 
+    A row with more or fewer cells than the header is an error when it is read, unless
+    ``bad_rows`` names a column that keeps such rows whole (NULL for all others).
     ``multiline`` allows line breaks inside quotes, at the price of one task per file.
     """
     try:
-        raw = (
+        reader = (
             spark.read.option("header", True)
             .option("multiLine", multiline)
             .option("escape", '"')
             .option("encoding", "UTF-8")
-            .csv(path)
+            .option("columnPruning", False)  # else cells that no one reads are not counted
         )
+        raw = reader.csv(path)
+        if bad_rows is None:
+            raw = reader.schema(raw.schema).option("mode", "FAILFAST").csv(path)
+        else:
+            schema = T.StructType([*raw.schema.fields, T.StructField(bad_rows, T.StringType())])
+            raw = reader.schema(schema).option("columnNameOfCorruptRecord", bad_rows).csv(path)
     except Exception as error:
         raise IngestionError(f"cannot read {path!r} as CSV: {error}") from error
     if not raw.columns:
@@ -88,11 +97,20 @@ def cast_texts(texts: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def read_csv(
     spark: SparkSession, path: str, types: dict[str, str] | None = None,
-    missing: list[str] = MISSING_TEXTS, multiline: bool = False,
+    missing: list[str] = MISSING_TEXTS, multiline: bool = False, bad_rows: str | None = None,
 ) -> DataFrame:
-    """A typed CSV file. Known ``types`` save the scan that finds them."""
-    texts = read_csv_texts(spark, path, missing, multiline)
-    return cast_texts(texts, types or infer_types(texts))
+    """A typed CSV file. Known ``types`` save the scan that finds them.
+
+    Rows that don't fit the header raise :class:`IngestionError`, or go to the column ``bad_rows``.
+    """
+    texts = read_csv_texts(spark, path, missing, multiline, bad_rows)
+    try:
+        types = types or infer_types(texts)
+    except Exception as error:
+        if "MALFORMED" in str(error):
+            raise IngestionError(f"{path!r} has rows that don't fit its header: {error}") from error
+        raise
+    return cast_texts(texts, types | ({bad_rows: "string"} if bad_rows else {}))
 
 
 def read_json(

@@ -28,14 +28,9 @@ SAMPLE_ROWS = 20
 EXAMPLE_VALUES = 5
 PREVIEW_MEANS = 50
 
-# Values that only choose between two exact plans.
-DIRECT_ROWS = 1_000_000  # up to here Spark's percentile may hold a group in one task
-DIRECT_CELLS = 20_000_000  # and up to here, rows times columns, all columns of a frame
-SPREAD_ROWS = 50_000  # from here a small frame is dealt to all cores
-SLICE_ROWS = 1_000_000  # distinct values per slice of an ordered frequency table
-BROADCAST_ROWS = 100_000  # counted tables up to here are broadcast
-GRID_LEVELS = 10_000  # levels of one side of a zero-filled contingency table
-
-# Size of approximate results.
+# Sketches: how sure brackets are, and how finely values are cut.
 SKETCH_SIZE = 4000  # ranks of sketched quartiles are off by about a thousandth
+RANK_MARGIN = 0.006  # a bracket reaches this share of the ranks to either side
+BRACKET_VALUES = 5_000_000  # brackets that hold more are narrowed by another sketch
+RANK_BUCKETS = 1024  # buckets that order statistics are looked up in
 SKETCH_GROUPS = 512  # tasks whose sketches are merged together first

@@ -30,11 +30,13 @@ def spark():
 
 @pytest.fixture
 def sliced(monkeypatch):
-    """Force the plans for frames too large for one task, with slices of a few values."""
+    """Brackets that must be narrowed, and buckets of a few values."""
     from plumbline import thresholds
 
-    monkeypatch.setattr(thresholds, "DIRECT_ROWS", 0)
-    monkeypatch.setattr(thresholds, "SLICE_ROWS", 7)
+    monkeypatch.setattr(thresholds, "BRACKET_VALUES", 3)
+    monkeypatch.setattr(thresholds, "SKETCH_SIZE", 200)
+    monkeypatch.setattr(thresholds, "RANK_MARGIN", 0.1)
+    monkeypatch.setattr(thresholds, "RANK_BUCKETS", 7)
 
 
 def rows(df, *order):

@@ -101,14 +101,37 @@ def test_values_and_categories_with_missing(spark):
     assert len(describe.contingency_cells(df, "x", "y").collect()) == 4
 
 
-def test_too_many_levels(spark, monkeypatch):
-    from plumbline import thresholds
-
-    monkeypatch.setattr(thresholds, "GRID_LEVELS", 2)
-    df = spark.createDataFrame([("a", i) for i in range(4)], "x string, y int")
-    with pytest.raises(ValueError, match="contingency_cells"):
-        describe.contingency_counts(df, "x", "y")
-    assert describe.contingency_cells(df, "x", "y").count() == 4
+def test_many_levels_on_both_sides(spark):
+    """Cells of 12,000 by 12,000 levels; zeros are given where they are asked for."""
+    df = spark.range(12_000).selectExpr("CAST(id AS STRING) AS x", "CAST((id * 7) % 12000 AS STRING) AS y")
+    found = describe.bivariate(df, "x", "y")
+    assert found.count() == 12_000 and found.agg({"expected": "max"}).first()[0] == pytest.approx(1 / 12_000)
+    few = df.limit(300)
+    assert describe.contingency_counts(few, "x", "y").count() == 90_000
+    assert describe.contingency_proportions(few, "x", "y", zeros=False).count() == 300
+
+
+def test_infinities_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 1.0, 2.0), (float("inf"), 3.0, 2.0), (4.0, 9.0, 2.0)], "a double, b double, c double")
+    found = {(r["col_a"], r["col_b"]): r["correlation"] for r in describe.correlation_matrix(df).collect()}
+    assert found["b", "b"] == 1.0
+    assert all(v is None for k, v in found.items() if k != ("b", "b"))
+
+
+def test_modes_keep_all_digits(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740993,), (1,)], "v bigint")
+    assert describe.univariate_numeric(df).first()["mode_text"] == "9007199254740993"
+
+
+def test_categories_of_numbers_alone(spark):
+    df = spark.range(3)
+    assert describe.category_counts(df).count() == 0
+    assert describe.univariate_categorical(df).count() == 0
+
+
+def test_long_categories_keep_their_text(spark):
+    df = spark.createDataFrame([("x" * 500,), ("x" * 500,), ("y" * 500,)], "t string")
+    assert {r["value"]: r["count"] for r in describe.category_counts(df).collect()} == {"x" * 500: 2, "y" * 500: 1}
 
 
 def test_missing_group_keys_are_left_out(spark):

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import thresholds
 from plumbline.operators import charts, describe
-from plumbline.plans.ranks import group_quantiles, order_statistics
-from plumbline.session import stage
+from plumbline.plans.ranks import bucket_sql, column_quantiles, group_quantiles, order_statistics
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
@@ -21,47 +20,70 @@ def skewed_groups(seed, n=3000):
     return pd.DataFrame({"k": group, "value": value})
 
 
-@pytest.mark.parametrize("slice_rows", [3, 50, 100_000])
-def test_group_quantiles_in_slices(spark, monkeypatch, slice_rows):
-    monkeypatch.setattr(thresholds, "SLICE_ROWS", slice_rows)
+@pytest.fixture
+def rough(monkeypatch):
+    """Sketches of few values, so that brackets miss most values even of small groups."""
+    monkeypatch.setattr(thresholds, "SKETCH_SIZE", 200)
+    monkeypatch.setattr(thresholds, "RANK_MARGIN", 0.1)
+
+
+def test_group_quantiles(spark, rough):
     frame = skewed_groups(7)
-    df = spark.createDataFrame(frame)
-    direct = by(group_quantiles(df, ["k"], "value", PROBS, direct=True), "k")
-    ranked = by(group_quantiles(df, ["k"], "value", PROBS, direct=False), "k")
+    found = by(group_quantiles(spark.createDataFrame(frame).repartition(5), ["k"], "value", PROBS), "k")
     expected = frame.groupby("k")["value"].quantile(PROBS).unstack()
-    assert set(ranked) == set(direct) == set(expected.index)
+    assert set(found) == set(expected.index)
     for k in expected.index:
-        assert ranked[k]["q"] == pytest.approx(list(expected.loc[k]))
-        assert direct[k]["q"] == pytest.approx(list(expected.loc[k]))
+        assert found[k]["q"] == pytest.approx(list(expected.loc[k]))
+
+
+@pytest.mark.parametrize("held", [3, 40, 5_000_000])
+def test_column_quantiles_narrow_their_brackets(spark, monkeypatch, rough, held):
+    monkeypatch.setattr(thresholds, "BRACKET_VALUES", held)
+    frame = skewed_groups(9)
+    frame["other"] = np.where(frame["k"] == "hot", np.inf, -frame["value"])
+    frame["none"] = np.nan
+    df = spark.createDataFrame(frame).replace(float("nan"), None).repartition(4)
+    found = by(column_quantiles(df, ["value", "other", "none"], PROBS[1:-1]), "cid")
+    assert set(found) == {0, 1}
+    for i, name in enumerate(("value", "other")):
+        assert found[i]["q"] == pytest.approx(list(frame[name].quantile(PROBS[1:-1]).fillna(np.inf)))
+
+
+def test_no_exchange_carries_all_cells(spark):
+    """Only values in brackets are grouped: two of a hundred here."""
+    df = spark.range(200_000).selectExpr("CAST(id AS DOUBLE) AS v")
+    found = column_quantiles(df, ["v"], [0.5])
+    assert found.first()["q"] == [99_999.5]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "v#" in text and ">= " in text and "<= " in text and "percentile" not in text
 
 
-def test_every_rank(spark, monkeypatch):
-    monkeypatch.setattr(thresholds, "SLICE_ROWS", 11)
+@pytest.mark.parametrize("buckets", [1, 2, 7, 1024])
+def test_every_rank(spark, monkeypatch, buckets):
+    monkeypatch.setattr(thresholds, "RANK_BUCKETS", buckets)
     frame = skewed_groups(3, 800)
-    df = spark.createDataFrame(frame).withColumn("g", F.lit(0))
-    freq = stage(df.groupBy("g", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    targets = spark.range(len(frame)).select(F.lit(0).alias("g"), F.col("id").alias("rank"))
-    found = order_statistics(freq, ["g"], targets).orderBy("rank").collect()
+    targets = spark.range(len(frame)).select(F.col("id").alias("rank"))
+    found = order_statistics(spark.createDataFrame(frame), "value", targets).orderBy("rank").collect()
     assert [r["value"] for r in found] == sorted(frame["value"])
+    assert [r["rank"] for r in found] == list(range(len(frame)))
 
 
-def test_unbroadcast_slices(spark, monkeypatch):
-    monkeypatch.setattr(thresholds, "SLICE_ROWS", 5)
-    monkeypatch.setattr(thresholds, "BROADCAST_ROWS", 0)
-    frame = skewed_groups(11, 500)
-    found = by(group_quantiles(spark.createDataFrame(frame), ["k"], "value", [0.5], direct=False), "k")
-    for k, median in frame.groupby("k")["value"].median().items():
-        assert found[k]["q"] == [pytest.approx(median)]
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 50])
+def test_buckets(spark, n):
+    bounds = [float(2 * i) for i in range(n)]
+    rows = spark.range(-3, 2 * n + 3).selectExpr("id", f"{bucket_sql(bounds, 'CAST(id AS DOUBLE)')} AS bucket")
+    assert all(r["bucket"] == sum(b <= r["id"] for b in bounds) for r in rows.collect())
 
 
-def test_group_summary_and_boxes_in_slices(spark, monkeypatch):
+def test_group_summary_and_boxes(spark, rough):
     frame = skewed_groups(5, 900)
     df = spark.createDataFrame(frame)
-    direct = [by(describe.group_summary(df, "value", "k"), "category"), by(charts.box_stats(df, "value", ["k"]), "k")]
-    monkeypatch.setattr(thresholds, "DIRECT_ROWS", 0)
-    monkeypatch.setattr(thresholds, "SLICE_ROWS", 10)
-    sliced = [by(describe.group_summary(df, "value", "k"), "category"), by(charts.box_stats(df, "value", ["k"]), "k")]
-    for a, b in zip(direct, sliced):
-        assert set(a) == set(b)
-        for k in a:
-            assert list(b[k])[1:] == pytest.approx(list(a[k])[1:], nan_ok=True)
+    medians = by(describe.group_summary(df, "value", "k"), "category")
+    boxes = by(charts.box_stats(df, "value", ["k"]), "k")
+    for k, values in frame.groupby("k")["value"]:
+        q1, median, q3 = values.quantile([0.25, 0.5, 0.75])
+        inside = values[(values >= q1 - 1.5 * (q3 - q1)) & (values <= q3 + 1.5 * (q3 - q1))]
+        assert medians[k]["median"] == pytest.approx(median)
+        assert list(boxes[k])[1:] == pytest.approx(
+            [len(values), q1, median, q3, inside.min(), inside.max(), len(values) - len(inside)]
+        )

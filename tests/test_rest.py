@@ -64,8 +64,8 @@ def test_json(spark, tmp_path):
 
 def test_profile_of_a_file(spark, tmp_path):
     found = by(profile.ingest_profile(read_csv(spark, patients_file(tmp_path))), "column")
-    assert found["Visits"]["example_values"] == "0|1|2|3|4"
-    assert found["City"]["example_values"] == "La Paz|Lima|Quito"
+    assert found["Visits"]["example_values"] == ["0", "1", "2", "3", "4"]
+    assert found["City"]["example_values"] == ["La Paz", "Lima", "Quito"]
     assert found["City"]["semantic_type"] == "categorical"
     assert found["Visits"]["semantic_type"] == "numeric_categorical"
 
@@ -269,6 +269,17 @@ def test_plans(spark):
         assert "SinglePartition, ENSURE_REQUIREMENTS, [plan_id" not in text or "Window" not in text, name
 
 
+def test_filters_reach_the_scan(spark):
+    from plumbline.operators import outliers, wrangle
+
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    metadata = outliers.outlier_metadata(events, ["value"], "iqr")
+    pushed = lambda df: plan(df).split("PushedFilters: [")[1].split("]")[0]
+    assert "LessThanOrEqual(value" in pushed(outliers.remove_outliers(events, metadata, ["value"]))
+    assert "LessThan(value" in pushed(outliers.outlier_rows(events, "value", "iqr"))
+    assert "IsNotNull(value)" in pushed(wrangle.drop_missing_rows(events, ["value"]))
+
+
 def test_profile_reads_only_its_columns(spark):
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
     text = plan(profile.missing_profile(lines, ["l_tax"]))
