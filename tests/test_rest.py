@@ -129,15 +129,15 @@ def test_recommendations(spark):
 def test_datasets_and_lineage(spark):
     catalog = DatasetCatalog(spark, new_folder(spark, "catalog"))
     assert catalog.datasets().count() == 0
-    df = spark.createDataFrame([(1, "Alice"), (2, "Bob")], "id int, name string")
-    root = catalog.save(df, "sample.csv")
+    df = spark.createDataFrame([(1, "fir"), (2, "oak")], "id int, tree string")
+    root = catalog.save(df, "trees.csv")
     child = catalog.save(df.filter("id > 1"), "filtered", parent_dataset_id=root, transformation_note="id > 1")
     leaf = catalog.save(df.select("id"), "selected", parent_dataset_id=child)
     assert root.startswith("ds_") and catalog.has(leaf) and not catalog.has("ds_none")
     assert [r["dataset_id"] for r in catalog.lineage(leaf).collect()] == [leaf, child, root]
     row = catalog.metadata(root).first()
-    assert (row["n_rows"], row["n_columns"], row["columns"]) == (2, 2, ["id", "name"])
-    assert row["column_types"] == {"id": "int", "name": "string"}
+    assert (row["n_rows"], row["n_columns"], row["columns"]) == (2, 2, ["id", "tree"])
+    assert row["column_types"] == {"id": "int", "tree": "string"}
     assert [r["dataset_id"] for r in catalog.list_datasets().collect()] == [leaf, child, root]
     catalog.save(df.union(df), "again.csv", dataset_id=root)  # the newest listing counts
     assert catalog.load(root).count() == 4 and catalog.datasets().count() == 3
@@ -174,14 +174,14 @@ def test_long_lineage(spark):
 def test_runs(spark):
     history = RunHistory(spark, new_folder(spark, "history"))
     assert history.runs().count() == 0
-    a = history.save("ds_1", "first?", "inference", readiness_overall=70.0, p_values={"t_test": 0.05, "z": 0.2})
-    b = history.save("ds_1", "second?", "nonsense", readiness_overall=85.0, p_values={"t_test": 0.01})
+    a = history.save("ds_1", "first?", "inference", readiness_overall=61.5, p_values={"t_test": 0.08, "z": 0.2})
+    b = history.save("ds_1", "second?", "nonsense", readiness_overall=92.0, p_values={"t_test": 0.03})
     runs = history.runs()
     assert by(runs, "run_id")[b]["run_type"] == "full"
     compared = compare_runs(runs, a, b).first()
-    assert compared["readiness_delta"] == 15.0 and compared["same_dataset"]
+    assert compared["readiness_delta"] == 30.5 and compared["same_dataset"]
     tests = by(compare_p_values(runs, a, b), "test")
-    assert tests["t_test"]["delta"] == pytest.approx(-0.04) and tests["z"]["p_b"] is None
+    assert tests["t_test"]["delta"] == pytest.approx(-0.05) and tests["z"]["p_b"] is None
     assert compare_runs(runs, a, "run_none").count() == 0
     for i in range(3):
         history.save("ds_2", f"q{i}")

@@ -1,21 +1,21 @@
 import pytest
-from data import perfect
+from data import readings
 
 from plumbline.columns import UnknownColumn
 from plumbline.operators import describe, wrangle
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    return spark.createDataFrame(perfect())
+def sites(spark):
+    return spark.createDataFrame(readings())
 
 
-def test_filter_and_select(people):
-    assert wrangle.filter_rows(people, "age > 50").count() == 47
-    assert wrangle.select_columns(people, ["income", "age"]).columns == ["income", "age"]
-    with pytest.raises(UnknownColumn, match="wage"):
-        wrangle.select_columns(people, ["wage"])
-    assert wrangle.drop_columns(people, ["ID"]).columns == ["age", "income", "score"]
+def test_filter_and_select(sites):
+    assert wrangle.filter_rows(sites, "flow > 500").count() == (readings()["flow"] > 500).sum()
+    assert wrangle.select_columns(sites, ["height", "depth"]).columns == ["height", "depth"]
+    with pytest.raises(UnknownColumn, match="fluw"):
+        wrangle.select_columns(sites, ["fluw"])
+    assert wrangle.drop_columns(sites, ["SITE"]).columns == ["depth", "flow", "height"]
 
 
 def test_missing_values_in_conditions(spark):
@@ -81,13 +81,13 @@ def test_awkward_names(spark):
     assert wrangle.filter_rows(df, wrangle.compare("a.b c", ">", 0)).count() == 1
 
 
-def test_row_counts_and_duplicates(spark, people):
-    counted = wrangle.row_counts(people, people.filter("age > 50")).first()
-    assert tuple(counted) == (100, 47, 53)
+def test_row_counts_and_duplicates(spark, sites):
+    counted = wrangle.row_counts(sites, sites.filter("depth >= 40")).first()
+    assert tuple(counted) == (130, 50, 80)  # depths are 0 to 64.5 in halves
     maps = spark.sql("SELECT map('a', id % 2) AS m, id % 2 AS k FROM range(6)")
     assert wrangle.drop_duplicate_rows(maps).count() == 2
-    twice = people.unionAll(people)
-    assert wrangle.drop_duplicate_rows(twice).count() == 100
+    twice = sites.unionAll(sites)
+    assert wrangle.drop_duplicate_rows(twice).count() == 130
 
 
 def test_filter_reaches_the_scan(spark):
