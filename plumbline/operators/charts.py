@@ -298,7 +298,7 @@ def chart_recommendations(df: DataFrame, most: int = 7) -> DataFrame:
     one row per column or pair of columns.
     """
     df = present(df)
-    measures = pin(column_measures(df, df.columns))
+    measures = column_measures(df, df.columns)
     profile, summary = profile_from_measures(measures), summary_from_measures(measures)
     limits = {row["column"]: limits_from_row(row, "both") for row in summary.collect()}
     counts = pin(counts_with_limits(df, limits, "both"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from plumbline import thresholds as t
 from plumbline.operators.readiness import QualityReport, exit_test, quality_report
 from plumbline.operators.wrangle import drop_columns, drop_duplicate_rows, impute
+from plumbline.plans.per_column import together
 from plumbline.session import stage
 
 # Fixed values of the rules.
@@ -19,8 +20,9 @@ STEPS = "iteration int, rule string, columns string, overall_before double"
 
 def _facts(report: QualityReport) -> tuple[float, float, bool, list]:
     """Score, duplicate share, exit and one row per column."""
-    ready = exit_test(report).first()
-    columns = report.columns.select("column", "missing_pct", "is_constant").collect()
+    ready, columns = together(
+        exit_test(report).first, report.profile.select("column", "missing_pct", "is_constant").collect
+    )
     return ready["overall"], ready["duplicate_pct"], ready["is_ready"], columns
 
 

@@ -28,7 +28,7 @@ from plumbline.operators.outliers import (
     limits_from_row,
     summary_from_measures,
 )
-from plumbline.operators.profile import column_measures
+from plumbline.operators.profile import column_measures, distinct_of
 from plumbline.plans.frequency import NUMERIC_VALUE, countable, text_key, value_frequencies
 from plumbline.plans.per_column import pin, wide_to_long
 from plumbline.plans.ranks import group_quantiles
@@ -41,7 +41,7 @@ PAIRS_PER_SCAN = 100  # keeps the generated code of one aggregate within what th
 
 
 def _most_frequent(freq: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, value, exact, cnt``: every value that reaches the highest count of its column.
+    """``cid, column, value, exact, cnt``: every value that reaches the highest count of its column.
 
     ``exact`` is the value as a text, which keeps integers and decimals beyond a double's digits.
     """
@@ -51,7 +51,7 @@ def _most_frequent(freq: DataFrame, columns: list[str]) -> DataFrame:
     # One row per column on the broadcast side.
     ties = freq.join(F.broadcast(highest), ["cid", "cnt"])
     names = ", ".join(sql_text(c) for c in columns)
-    return ties.selectExpr(f"array({names})[cid] AS column", "value", "exact", "cnt")
+    return ties.selectExpr("cid", f"array({names})[cid] AS column", "value", "exact", "cnt")
 
 
 def mode_ties(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def mode_ties(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     df = present(df)
     columns = numeric_columns(df, columns)
-    return _most_frequent(value_frequencies(df, columns), columns).drop("exact")
+    return _most_frequent(value_frequencies(df, columns), columns).drop("cid", "exact")
 
 
 def univariate_numeric(
@@ -82,13 +82,13 @@ def univariate_numeric(
     first = F.min(F.struct("value", F.expr("CAST(exact AS DECIMAL(38, 10)) AS digits"), "exact")).alias("first")
     modes = (
         _most_frequent(freq, columns)
-        .groupBy("column")
+        .groupBy("cid")
         .agg(first, F.count(F.lit(1)).alias("mode_tie_count"), F.max("cnt").alias("mode_count"))
-        .select("column", F.col("first.value").alias("mode"), F.col("first.exact").alias("mode_text"), "mode_tie_count", "mode_count")
+        .select("cid", F.col("first.value").alias("mode"), F.col("first.exact").alias("mode_text"), "mode_tie_count", "mode_count")
     )
     # One plan, in which the shuffled frequencies are used for distinct counts and modes.
-    measures = column_measures(df, columns, True, freq)
-    measures = pin(measures.join(F.broadcast(modes), "column", "left"))
+    counted = distinct_of(freq).join(F.broadcast(modes), "cid", "left")
+    measures = column_measures(df, columns, True, counted)
     rows = summary_from_measures(measures).collect()
     limits = {row["column"]: limits_from_row(row, method) for row in rows}
     counts = pin(counts_with_limits(df, limits, method))

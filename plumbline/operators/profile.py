@@ -22,7 +22,7 @@ from plumbline.plans.frequency import (
     row_key,
     value_frequencies,
 )
-from plumbline.plans.per_column import wide_to_long
+from plumbline.plans.per_column import together, wide_to_long
 from plumbline.plans.ranks import column_quantiles, sketched
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -69,10 +69,11 @@ def distinct_counts(
     if not exact:
         sketches = [f"approx_count_distinct({quoted(c)})" for c in columns]
         return wide_to_long(df, columns, {"n_unique": sketches})
-    return name_columns(_distinct(value_frequencies(df, columns)), columns)
+    return name_columns(distinct_of(value_frequencies(df, columns)), columns)
 
 
-def _distinct(freq: DataFrame) -> DataFrame:
+def distinct_of(freq: DataFrame) -> DataFrame:
+    """``cid, n_unique`` from value frequencies."""
     return freq.groupBy("cid").agg(F.expr(f"count_if({PRESENT}) AS n_unique"))
 
 
@@ -110,15 +111,14 @@ def schema_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_measures(
-    df: DataFrame,
-    columns: list[str],
-    exact: bool = True,
-    freq: DataFrame | None = None,
+    df: DataFrame, columns: list[str], exact: bool = True, distinct: DataFrame | None = None
 ) -> DataFrame:
-    """One row per column with everything that does not depend on outliers.
+    """One row per column with everything that does not depend on outliers, measured now.
 
     Counts and moments come from one scan that moves no rows, distinct counts from the
-    value frequencies (which the caller may pass as ``freq``), quartiles from brackets.
+    value frequencies, quartiles from brackets; the three run at the same time. A caller
+    that needs the frequencies itself may pass ``distinct``: ``cid, n_unique`` and more
+    columns, which are kept.
     """
     kinds = families(df)
     numeric = {c for c in columns if kinds[c] in ("integral", "fractional", "decimal")}
@@ -136,26 +136,44 @@ def column_measures(
         "min": moments("min"),
         "max": moments("max"),
     }
-    known = schema_table(df, columns)
     scalars = countable(df, columns)
     numbers = [c for c in columns if c in numeric]
     if exact:
-        distinct = _distinct(value_frequencies(df, scalars) if freq is None else freq)
-        quartiles = column_quantiles(df, [number(c) for c in numbers], QUARTILES)
-        quartiles = name_columns(quartiles, numbers).drop("cid")
+        if distinct is None:
+            distinct = distinct_of(value_frequencies(df, scalars))
+        moved, counted, ranked = together(
+            wide_to_long(df, columns, measures).collect,
+            distinct.collect,
+            lambda: column_quantiles(df, [number(c) for c in numbers], QUARTILES).collect(),
+        )
+        extras = [f for f in distinct.schema.fields if f.name not in ("cid", "n_unique")]
+        found = {scalars[r["cid"]]: r for r in counted}
+        quartiles = {numbers[r["cid"]]: r["q"] for r in ranked}
     else:
         measures["n_unique"] = [
             f"approx_count_distinct({quoted(c)})" if c in scalars else "max(CAST(NULL AS BIGINT))"
             for c in columns
         ]
-        quartiles = sketched_quartiles(df, numbers)
-    # Every side has one row per column of the frame.
-    out = known.join(F.broadcast(wide_to_long(df, columns, measures).drop("cid")), "column")
-    if exact:
-        out = out.join(F.broadcast(name_columns(distinct, scalars).drop("cid")), "column", "left")
-    out = out.join(F.broadcast(quartiles), "column", "left")
-    n_unique = "IF(family = 'other', NULL, coalesce(n_unique, 0L))"
-    return out.withColumn("n_unique", F.expr(n_unique))
+        moved, ranked = together(
+            wide_to_long(df, columns, measures).collect, lambda: sketched_quartiles(df, numbers).collect()
+        )
+        extras = []
+        found = {r["column"]: r for r in moved}
+        quartiles = {r["column"]: r["q"] for r in ranked}
+    moved = {r["column"]: r for r in moved}
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = []
+    for i, c in enumerate(columns):
+        n_unique = None if kinds[c] == "other" else found[c]["n_unique"] if c in found else 0
+        own = [moved[c][m] for m in ("n_rows", "n_missing", "mean", "std", "min", "max")]
+        more = [found[c][f.name] if c in found else None for f in extras]
+        rows.append((c, i, types[c], kinds[c], *own, n_unique, quartiles.get(c), *more))
+    schema = (
+        "column string, position int, dtype string, family string, n_rows bigint, n_missing bigint,"
+        " mean double, std double, min double, max double, n_unique bigint, q array<double>"
+    )
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in extras)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def sketched_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:

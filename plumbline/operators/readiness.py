@@ -24,7 +24,7 @@ from plumbline.operators.profile import (
     issues_from_profile,
     profile_from_measures,
 )
-from plumbline.plans.per_column import pin
+from plumbline.plans.per_column import pin, together
 
 def score_from_parts(profile: DataFrame, outliers: DataFrame, duplicates: DataFrame) -> DataFrame:
     """One row: the ratios, the five components, ``overall`` and ``notes``.
@@ -95,8 +95,8 @@ class QualityReport:
         """The report of ``df``, which is the reported frame without some columns: only
         duplicates are measured again."""
         left = ~F.col("column").isin(dropped)
-        duplicates = pin(duplicate_rows(df))
-        return QualityReport(pin(self.measures.filter(left)), pin(self.counts.filter(left)), duplicates)
+        kept = [self.measures.filter(left), self.counts.filter(left), duplicate_rows(df)]
+        return QualityReport(*together(*[lambda part=part: pin(part) for part in kept]))
 
     @property
     def profile(self) -> DataFrame:
@@ -133,11 +133,12 @@ def quality_report(df: DataFrame, method: str = "both", exact: bool = True) -> Q
     has one row per column.
     """
     df = present(df)
-    measures = pin(column_measures(df, df.columns, exact))
+    measures, duplicates = together(
+        lambda: column_measures(df, df.columns, exact), lambda: pin(duplicate_rows(df))
+    )
     rows = summary_from_measures(measures).collect()
     limits = {row["column"]: limits_from_row(row, method) for row in rows}
     counts = pin(counts_with_limits(df, limits, method))
-    duplicates = pin(duplicate_rows(df))
     return QualityReport(measures, counts, duplicates)
 
 

@@ -6,6 +6,9 @@ parsed text is built much faster than a tree of calls.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from plumbline.columns import sql_text
@@ -41,3 +44,9 @@ def pin(df: DataFrame) -> DataFrame:
     rows instead of scanning the data again.
     """
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def together(*jobs: Callable) -> list:
+    """What independent jobs give, run at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [future.result() for future in [pool.submit(job) for job in jobs]]
