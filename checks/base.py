@@ -107,3 +107,27 @@ def rounded_outlier_sql(source: str, columns: list[str], method: str) -> str:
         round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound,
         round(min_outlier, 6) AS min_outlier, round(max_outlier, 6) AS max_outlier
         FROM ({outlier_sql(source, columns, method)})"""
+
+
+def normal_p_sql(tests: str, keys: str, alternative: str = "two-sided") -> str:
+    """``keys, p_value`` of each ``statistic``, unrounded, by Simpson's rule over the density on [0, |z|]."""
+    p = {
+        "two-sided": "1 - 2 * area",
+        "greater": "0.5 - sign(statistic) * area",
+        "less": "0.5 + sign(statistic) * area",
+    }[alternative]
+    return f"""
+        SELECT {keys}, {p} AS p_value
+        FROM (SELECT {keys}, any_value(statistic) AS statistic,
+                     sum(abs(statistic) / 3 / 4000 * (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                         * exp(-pow(statistic * i / 4000, 2) / 2) / sqrt(2 * pi())) AS area
+              FROM ({tests}), range(4001) r(i) GROUP BY {keys})"""
+
+
+def student_margin_sql(df: str) -> str:
+    """The 97.5 % point of Student's distribution for hundreds of degrees of freedom, by its series in 1 / df."""
+    z = "1.959963984540054::DOUBLE"
+    return (
+        f"({z} + (pow({z}, 3) + {z}) / (4 * {df}) + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / (96 * pow({df}, 2))"
+        f" + (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / (384 * pow({df}, 3)))"
+    )

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Checks, rounded, table
+from checks.base import Checks, normal_p_sql, rounded, table
 from plumbline.catalog import datasets as ds
 from plumbline.catalog import runs as rn
 from plumbline.operators import inference
+from plumbline.session import new_folder
 
 CHECKS = Checks()
 
@@ -149,12 +150,13 @@ def get_run(spark, sf_dir):
 @CHECKS.add(
     "compare_runs",
     f"""SELECT a.run_id AS run_a, b.run_id AS run_b, a.dataset_id = b.dataset_id AS same_dataset,
+               strftime(a.created_at, '%Y-%m-%d %H:%M') AS created_a, strftime(b.created_at, '%Y-%m-%d %H:%M') AS created_b,
                round(b.readiness_overall - a.readiness_overall, 6) AS readiness_delta,
                substr(a.summary, 1, 500) AS summary_a, substr(b.summary, 1, 500) AS summary_b
         FROM {RUNS} a, {RUNS} b WHERE a.run_id = 'run_3' AND b.run_id = 'run_17'""",
 )
 def compare_runs(spark, sf_dir):
-    return rounded(rn.compare_runs(runs(spark, sf_dir), "run_3", "run_17"))
+    return rounded(minutes(rn.compare_runs(runs(spark, sf_dir), "run_3", "run_17"), "created_a", "created_b"))
 
 
 TESTS = f"""(SELECT run_id, 't_' || lang AS test, 1.0::DOUBLE / (1 + n_chars) AS p FROM {RUNS}
@@ -204,26 +206,103 @@ def run_type(spark, sf_dir):
     )
 
 
-STATS = """SELECT event_type, count(*) AS n, (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS t,
+STATS = """SELECT event_type, (avg(value) - 50) / (stddev_samp(value) / sqrt(count(*))) AS statistic,
+    (avg(value) - 50) / stddev_samp(value) AS d,
     avg(value) - 1.959963984540054 * stddev_samp(value) / sqrt(count(*)) AS lo,
     avg(value) + 1.959963984540054 * stddev_samp(value) / sqrt(count(*)) AS hi FROM events GROUP BY event_type"""
 
 
 @CHECKS.add(
     "structured_results",
-    f"SELECT event_type, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, 1::INT AS n_tests FROM ({STATS})",
+    f"""SELECT event_type, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(p_value, 6) AS p_value,
+               round(d, 6) AS effect_size, 1::INT AS n_tests
+        FROM ({STATS}) JOIN ({normal_p_sql(f"SELECT event_type, statistic FROM ({STATS})", "event_type")}) USING (event_type)""",
 )
 def structured_results(spark, sf_dir):
     """A z test per event type, gathered into the maps of a run record."""
     tests = inference.one_sample_test(
         table(spark, sf_dir, "events"), "value", "z", mu=50.0, by=["event_type"]
-    ).withColumn("cohen_d", F.lit(None).cast("double"))
+    ).withColumn("cohen_d", F.expr("(mean - hypothesized_mean) / std"))
     found = rn.structured_results(tests, ["event_type"])
     return rounded(
         found.selectExpr(
             "event_type",
             "confidence_intervals['one_sample_z'][0] AS ci_low",
             "confidence_intervals['one_sample_z'][1] AS ci_high",
+            "p_values['one_sample_z'] AS p_value",
+            "effect_sizes['one_sample_z'] AS effect_size",
             "size(p_values) AS n_tests",
         )
     )
+
+
+# ---- on a catalog folder -------------------------------------------------------
+
+
+@CHECKS.add(
+    "session_listing",
+    """SELECT 'orders' AS dataset_id, count(*) AS n_rows, 3::BIGINT AS n_columns,
+              'o_orderkey, o_custkey, o_totalprice' AS columns, true AS in_memory FROM orders
+       UNION ALL SELECT 'costly', count(*), 3, 'o_orderkey, o_custkey, o_totalprice', true FROM orders
+                 WHERE o_totalprice > 150000
+       UNION ALL SELECT 'suppliers', count(*), 2, 's_suppkey, s_name', false FROM supplier""",
+)
+def session_listing(spark, sf_dir):
+    """Two registered frames, one made from the other, and a saved one; the cleared one is gone."""
+    catalog = ds.DatasetCatalog(spark, new_folder(spark, "catalog"))
+    catalog.register(table(spark, sf_dir, "region"), "forgotten")
+    catalog.clear()
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    catalog.save(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s.parquet", "suppliers")
+    catalog.register(orders, "orders", "orders.parquet")
+    catalog.register(orders.filter("o_totalprice > 150000"), "costly", "", "orders", "o_totalprice > 150000")
+    return catalog.listing().withColumn("columns", F.array_join("columns", ", "))
+
+
+@CHECKS.add(
+    "session_lineage",
+    """SELECT 'mean' AS dataset_id, 0 AS depth, 'by segment' AS transformation_note, count(DISTINCT c_mktsegment) AS n_rows
+              FROM customer WHERE c_acctbal > 0
+       UNION ALL SELECT 'solvent', 1, 'c_acctbal > 0', count(*) FROM customer WHERE c_acctbal > 0
+       UNION ALL SELECT 'customers', 2, NULL, count(*) FROM customer""",
+)
+def session_lineage(spark, sf_dir):
+    """A chain through frames of the session to a saved one."""
+    catalog = ds.DatasetCatalog(spark, new_folder(spark, "catalog"))
+    catalog.save(table(spark, sf_dir, "customer"), "customer.parquet", "customers")
+    solvent = catalog.get("customers").filter("c_acctbal > 0")
+    catalog.register(solvent, "solvent", "", "customers", "c_acctbal > 0")
+    catalog.register(solvent.groupBy("c_mktsegment").agg(F.avg("c_acctbal")), "mean", "", "solvent", "by segment")
+    return catalog.lineage("mean").select("dataset_id", "depth", "transformation_note", "n_rows")
+
+
+@CHECKS.add(
+    "dataset_metadata",
+    """SELECT 'ds_nation' AS dataset_id, 'nation.parquet' AS filename, count(*) AS n_rows, 2::BIGINT AS n_columns,
+              'n_nationkey, n_name' AS columns, 'string' AS type_of_name, 'ds_root' AS parent_dataset_id,
+              'two columns' AS transformation_note, true AS has_path, true AS has_time FROM nation""",
+)
+def dataset_metadata(spark, sf_dir):
+    """The catalog row of a saved frame, read back."""
+    catalog = ds.DatasetCatalog(spark, new_folder(spark, "catalog"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    catalog.save(nations, "nation.parquet", "ds_nation", "ds_root", "two columns")
+    return catalog.metadata("ds_nation").selectExpr(
+        "dataset_id", "filename", "n_rows", "n_columns", "array_join(columns, ', ') AS columns",
+        "column_types['n_name'] AS type_of_name", "parent_dataset_id", "transformation_note",
+        "path IS NOT NULL AS has_path", "ingested_at IS NOT NULL AS has_time",
+    )
+
+
+@CHECKS.add("saved_runs", f"SELECT {SUMMARY} FROM {RUNS}")
+def saved_runs(spark, sf_dir):
+    """Runs appended to a history twice, the first time without a summary; the newest row counts."""
+    history = rn.RunHistory(spark, new_folder(spark, "history"))
+    rows = runs(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    for name, kind in (("confidence_intervals", "map<string,array<double>>"), ("effect_sizes", "map<string,double>"),
+                       ("highlights", "map<string,string>"), ("plot_paths", "array<string>"), ("session_id", "string")):
+        rows = rows.withColumn(name, F.lit(None).cast(kind))
+    earlier = rows.withColumn("created_at", F.expr("created_at - INTERVAL 1 DAY")).withColumn("summary", F.lit(""))
+    history.append(earlier)
+    history.append(rows)
+    return rounded(minutes(rn.run_summaries(history.runs()), "created_at"))

@@ -191,8 +191,14 @@ ROLE_NUMBERS = " UNION ALL ".join(
             SELECT 1 AS role, 2 AS keep, 'histogram' AS chart, "column" AS x, NULL AS y,
                    outlier_count::DOUBLE AS score FROM outl
             UNION ALL SELECT 2, 2, 'box', c, NULL, rng / iqr FROM spans
-            UNION ALL SELECT 3, 1, 'bar', 'event_type', NULL, count(DISTINCT event_type)::DOUBLE FROM events
-            UNION ALL SELECT 6, 1, 'pie', 'event_type', NULL, -count(DISTINCT event_type)::DOUBLE FROM events
+            UNION ALL SELECT 3, 1, 'bar', 'event_type', NULL, count(DISTINCT event_type)::DOUBLE
+                      FROM events HAVING count(DISTINCT event_type) BETWEEN 3 AND 10
+            UNION ALL SELECT 3, 1, 'bar', 'props', NULL, count(DISTINCT props)::DOUBLE
+                      FROM events HAVING count(DISTINCT props) BETWEEN 3 AND 10
+            UNION ALL SELECT 6, 1, 'pie', 'event_type', NULL, -count(DISTINCT event_type)::DOUBLE
+                      FROM events HAVING count(DISTINCT event_type) BETWEEN 2 AND 6
+            UNION ALL SELECT 6, 1, 'pie', 'props', NULL, -count(DISTINCT props)::DOUBLE
+                      FROM events HAVING count(DISTINCT props) BETWEEN 2 AND 6
             UNION ALL SELECT 4, 1, 'scatter', 'event_id', 'user_id', abs(corr(event_id, user_id)) FROM events
             UNION ALL SELECT 4, 1, 'scatter', 'event_id', 'value', abs(corr(event_id, value)) FROM events
             UNION ALL SELECT 4, 1, 'scatter', 'user_id', 'value', abs(corr(user_id, value)) FROM events
@@ -202,4 +208,4 @@ ROLE_NUMBERS = " UNION ALL ".join(
         WHERE place <= keep ORDER BY ranked.place, role LIMIT 7""",
 )
 def chart_recommendations(spark, sf_dir):
-    return rounded(charts.chart_recommendations(table(spark, sf_dir, "events").drop("props")))
+    return rounded(charts.chart_recommendations(table(spark, sf_dir, "events")))

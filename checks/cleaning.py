@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.base import LABELLED, Checks, labelled, rounded
+from checks.quality import scored_sql
 from plumbline.operators.clean import auto_clean
 
 CHECKS = Checks()
@@ -31,11 +32,29 @@ def auto_clean_result(spark, sf_dir):
     return rounded(cleaned)
 
 
-@CHECKS.add(
-    "auto_clean_steps",
-    """SELECT * FROM (VALUES (1, 'drop_duplicates', ''), (2, 'drop_sparse_columns', 'low_quality, toxic'),
-        (3, 'drop_constant_columns', 'kind'), (4, 'impute', 'long_chars')) v(iteration, rule, columns)""",
-)
+DIRTY = f"""(SELECT doc_id, lang, n_chars, nullif(quality, 1) AS low_quality, nullif(toxic, 0) AS toxic, 'doc' AS kind,
+    CASE WHEN n_chars >= 1400 THEN n_chars END AS long_chars
+    FROM (SELECT * FROM {LABELLED} UNION ALL SELECT * FROM {LABELLED} WHERE quality IS NOT NULL))"""
+COLUMNS = ["doc_id", "lang", "n_chars", "low_quality", "toxic", "kind", "long_chars"]
+# What each rule leaves out before the next is chosen.
+STEPS = [
+    ("drop_duplicates", "", DIRTY, COLUMNS),
+    ("drop_sparse_columns", "low_quality, toxic", f"(SELECT DISTINCT * FROM {DIRTY})", COLUMNS),
+    ("drop_constant_columns", "kind", f"(SELECT DISTINCT doc_id, lang, n_chars, kind, long_chars FROM {DIRTY})",
+     ["doc_id", "lang", "n_chars", "kind", "long_chars"]),
+    ("impute", "long_chars", f"(SELECT DISTINCT doc_id, lang, n_chars, long_chars FROM {DIRTY})",
+     ["doc_id", "lang", "n_chars", "long_chars"]),
+]
+
+
+def _step(i: int, rule: str, chosen: str, source: str, columns: list[str]) -> str:
+    numbers = [c for c in columns if c not in ("lang", "kind")]
+    scored = scored_sql({c: ("", "") for c in columns}, source, numbers)
+    return f"SELECT * FROM ({scored} SELECT {i} AS iteration, '{rule}' AS rule, '{chosen}' AS columns, overall AS overall_before FROM scored)"
+
+
+@CHECKS.add("auto_clean_steps", " UNION ALL ".join(_step(i, *step) for i, step in enumerate(STEPS, 1)))
 def auto_clean_steps(spark, sf_dir):
+    """Each rule with the score of the frame before it."""
     _, steps = auto_clean(dirty(spark, sf_dir))
-    return steps.drop("overall_before")
+    return rounded(steps)

@@ -90,6 +90,27 @@ def univariate_categorical(spark, sf_dir):
     )
 
 
+TEXT_SUMMARY = """SELECT '<c>' AS "column", 'categorical' AS kind, count(*) AS n, count(*) - count("<c>") AS n_missing,
+    round((count(*) - count("<c>")) / count(*), 6) AS missing_pct, any_value(mode) AS mode,
+    any_value(mode_count) AS mode_count, any_value(ties) AS mode_tie_count, count(DISTINCT "<c>") AS n_unique,
+    NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS q1, NULL::DOUBLE AS median,
+    NULL::DOUBLE AS q3, NULL::DOUBLE AS max, NULL::DOUBLE AS iqr, NULL::BIGINT AS n_outliers
+    FROM <source>, (SELECT min(v) AS mode, max(k) AS mode_count, count(*) AS ties FROM
+        (SELECT "<c>" AS v, count(*) AS k FROM <source> WHERE "<c>" IS NOT NULL GROUP BY 1
+         QUALIFY count(*) = max(count(*)) OVER ()))"""
+
+
+@CHECKS.add(
+    "univariate",
+    f"""{union(TEXT_SUMMARY, ["lang", "source"], source=LABELLED)}
+        UNION ALL SELECT "column", 'numeric', n, n_missing, missing_pct, mode_text, mode_count, mode_tie_count, NULL,
+               mean, std, min, q1, median, q3, max, iqr, n_outliers FROM ({CHECKS[0].sql})""",
+)
+def univariate(spark, sf_dir):
+    """All columns of a table in one result."""
+    return rounded(describe.univariate(labelled(spark, sf_dir)))
+
+
 @CHECKS.add(
     "bivariate_numeric",
     f"""SELECT 'l_extendedprice' AS x, 'discount' AS y, count(*) AS n_complete,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.base import Checks, labelled, rounded, table
+from checks.base import Checks, labelled, normal_p_sql, rounded, student_margin_sql, table
 from plumbline.operators import inference
 
 CHECKS = Checks()
@@ -22,16 +22,20 @@ def one_sample_t_stat(spark, sf_dir):
 
 
 # The interval needs the 97.5 % point of the normal distribution, which SQL takes as a number.
+ONE_Z = """SELECT 1 AS k, count(value) AS n, avg(value) AS m, stddev_samp(value) / sqrt(count(value)) AS se,
+    (avg(value) - 50) / (stddev_samp(value) / sqrt(count(value))) AS statistic FROM events"""
+
+
 @CHECKS.add(
     "one_sample_z_stat",
-    """SELECT n, round(m, 6) AS mean, round((m - 50) / se, 6) AS statistic,
-              round(m - 1.959963984540054 * se, 6) AS ci_low, round(m + 1.959963984540054 * se, 6) AS ci_high
-       FROM (SELECT count(value) AS n, avg(value) AS m, stddev_samp(value) / sqrt(count(value)) AS se
-             FROM events)""",
+    f"""SELECT n, round(m, 6) AS mean, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
+               p_value <= 0.05 AS reject_null,
+               round(m - 1.959963984540054 * se, 6) AS ci_low, round(m + 1.959963984540054 * se, 6) AS ci_high
+        FROM ({ONE_Z}) JOIN ({normal_p_sql(f"SELECT k, statistic FROM ({ONE_Z})", "k")}) USING (k)""",
 )
 def one_sample_z_stat(spark, sf_dir):
     tested = inference.one_sample_test(table(spark, sf_dir, "events"), "value", "z", mu=50.0)
-    return rounded(tested.select("n", "mean", "statistic", "ci_low", "ci_high"))
+    return rounded(tested.select("n", "mean", "statistic", "p_value", "reject_null", "ci_low", "ci_high"))
 
 
 MOMENTS = """SELECT count(*) FILTER (WHERE g = '<a>') AS n_a, count(*) FILTER (WHERE g = '<b>') AS n_b,
@@ -66,18 +70,43 @@ def two_sample_t_stat(spark, sf_dir):
     return rounded(found.drop("cohen_d"), 5)
 
 
+TWO_Z = f"""SELECT 1 AS k, n_a, n_b, mean_a - mean_b AS d, sqrt(std_a * std_a / n_a + std_b * std_b / n_b) AS se,
+    (mean_a - mean_b) / sqrt(std_a * std_a / n_a + std_b * std_b / n_b) AS statistic FROM ({VALUES})"""
+
+
 @CHECKS.add(
     "two_sample_z_stat",
-    f"""WITH v AS (SELECT *, sqrt(std_a * std_a / n_a + std_b * std_b / n_b) AS se FROM ({VALUES}))
-        SELECT n_a, n_b, round((mean_a - mean_b) / se, 6) AS statistic,
-               round(mean_a - mean_b - 1.959963984540054 * se, 6) AS ci_low,
-               round(mean_a - mean_b + 1.959963984540054 * se, 6) AS ci_high FROM v""",
+    f"""SELECT n_a, n_b, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, p_value <= 0.05 AS reject_null,
+               round(d - 1.959963984540054 * se, 6) AS ci_low, round(d + 1.959963984540054 * se, 6) AS ci_high
+        FROM ({TWO_Z}) JOIN ({normal_p_sql(f"SELECT k, statistic FROM ({TWO_Z})", "k")}) USING (k)""",
 )
 def two_sample_z_stat(spark, sf_dir):
     tested = inference.two_sample_test(
         table(spark, sf_dir, "events"), "value", "event_type", "click", "purchase", "z"
     )
-    return rounded(tested.select("n_a", "n_b", "statistic", "ci_low", "ci_high"))
+    return rounded(tested.select("n_a", "n_b", "statistic", "p_value", "reject_null", "ci_low", "ci_high"))
+
+
+BY_TYPE = """SELECT event_type, (avg(value) - 50.3) / (stddev_samp(value) / sqrt(count(value))) AS statistic
+    FROM events GROUP BY event_type"""
+
+
+@CHECKS.add(
+    "one_sided_tests",
+    " UNION ALL ".join(
+        f"""SELECT event_type, '{a}' AS alternative, round(p_value, 6) AS p_value, p_value <= 0.05 AS reject_null
+            FROM ({normal_p_sql(BY_TYPE, "event_type", a)})"""
+        for a in ("less", "greater")
+    ),
+)
+def one_sided_tests(spark, sf_dir):
+    """Both one-sided z tests of every event type."""
+    events = table(spark, sf_dir, "events")
+    less, greater = (
+        inference.one_sample_test(events, "value", "z", 50.3, alternative=a, by=["event_type"])
+        for a in ("less", "greater")
+    )
+    return rounded(less.unionByName(greater).select("event_type", "alternative", "p_value", "reject_null"))
 
 
 @CHECKS.add(
@@ -110,12 +139,15 @@ def binomial_counts(spark, sf_dir):
 
 
 def student_p_sql(tests: str, keys: str) -> str:
-    """Two-sided p-values of ``statistic, df``, by Simpson's rule over the density on [0, |t|]."""
+    """Two-sided p-values and intervals of ``statistic, df, estimate, se``; the p-values by
+    Simpson's rule over the density on [0, |t|]."""
     return f"""
         SELECT {keys}, round(any_value(statistic), 6) AS statistic, round(any_value(df), 6) AS df,
                round(1 - 2 * sum(weight * density), 6) AS p_value,
-               1 - 2 * sum(weight * density) <= 0.05 AS reject_null
-        FROM (SELECT {keys}, statistic, df,
+               1 - 2 * sum(weight * density) <= 0.05 AS reject_null,
+               round(any_value(estimate - se * {student_margin_sql("df")}), 6) AS ci_low,
+               round(any_value(estimate + se * {student_margin_sql("df")}), 6) AS ci_high
+        FROM (SELECT {keys}, statistic, df, estimate, se,
                      abs(statistic) / 3 / 4000 * (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
                          AS weight,
                      exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
@@ -127,7 +159,8 @@ def student_p_sql(tests: str, keys: str) -> str:
 @CHECKS.add(
     "one_sample_t_test",
     student_p_sql(
-        """SELECT l_returnflag, (count(*) - 1)::DOUBLE AS df,
+        """SELECT l_returnflag, (count(*) - 1)::DOUBLE AS df, avg(l_quantity) AS estimate,
+                  stddev_samp(l_quantity) / sqrt(count(*)) AS se,
                   (avg(l_quantity) - 25.4) / (stddev_samp(l_quantity) / sqrt(count(*))) AS statistic
            FROM lineitem GROUP BY l_returnflag""",
         "l_returnflag",
@@ -137,14 +170,16 @@ def one_sample_t_test(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     found = inference.one_sample_test(lines, "l_quantity", "t", 25.4, by=["l_returnflag"])
     return rounded(
-        found.selectExpr("l_returnflag", "statistic", "CAST(df AS DOUBLE) AS df", "p_value", "reject_null")
+        found.selectExpr(
+            "l_returnflag", "statistic", "CAST(df AS DOUBLE) AS df", "p_value", "reject_null", "ci_low", "ci_high"
+        )
     )
 
 
 @CHECKS.add(
     "two_sample_t_test",
     student_p_sql(
-        f"""SELECT n_a, (mean_a - mean_b) / sqrt(va + vb) AS statistic,
+        f"""SELECT n_a, (mean_a - mean_b) / sqrt(va + vb) AS statistic, mean_a - mean_b AS estimate, sqrt(va + vb) AS se,
                    (va + vb) * (va + vb) / (va * va / (n_a - 1) + vb * vb / (n_b - 1)) AS df
             FROM (SELECT *, std_a * std_a / n_a AS va, std_b * std_b / n_b AS vb FROM ({VALUES}))""",
         "n_a",
@@ -154,7 +189,7 @@ def two_sample_t_test(spark, sf_dir):
     found = inference.two_sample_test(
         table(spark, sf_dir, "events"), "value", "event_type", "click", "purchase"
     )
-    return rounded(found.select("n_a", "statistic", "df", "p_value", "reject_null"))
+    return rounded(found.select("n_a", "statistic", "df", "p_value", "reject_null", "ci_low", "ci_high"))
 
 
 @CHECKS.add(

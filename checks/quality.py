@@ -230,11 +230,13 @@ def unkeyed(spark, sf_dir):
     return labelled(spark, sf_dir).drop("doc_id")
 
 
-SCORED = f"""
-    WITH facts AS ({typed(UNKEYED_COLUMNS, UNKEYED)}),
-    outl AS ({outlier_sql(UNKEYED, ["n_chars", "quality", "toxic"], "both")}),
-    dup AS (SELECT count(*) AS r, (SELECT count(*) FROM (SELECT DISTINCT * FROM {UNKEYED})) AS d
-            FROM {UNKEYED}),
+def scored_sql(columns: dict[str, tuple[str, str]], source: str, numbers: list[str]) -> str:
+    """The readiness of ``source`` as the common table ``scored``."""
+    return f"""
+    WITH facts AS ({typed(columns, source)}),
+    outl AS ({outlier_sql(source, numbers, "both")}),
+    dup AS (SELECT count(*) AS r, (SELECT count(*) FROM (SELECT DISTINCT * FROM {source})) AS d
+            FROM {source}),
     ratios AS (
         SELECT (SELECT avg(m / r) FROM facts) AS avg_missing,
                (SELECT (r - d) / r FROM dup) AS duplicate_pct,
@@ -259,6 +261,9 @@ SCORED = f"""
 """
 
 
+SCORED = scored_sql(UNKEYED_COLUMNS, UNKEYED, ["n_chars", "quality", "toxic"])
+
+
 @CHECKS.add(
     "readiness_score",
     SCORED

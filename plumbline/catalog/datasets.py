@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,7 @@ class DatasetCatalog:
         self.root = root.rstrip("/")
         self.listing_path = f"{self.root}/datasets"
         self._views: dict[str, str] = {}
+        self._steps: dict[str, DataFrame] = {}
 
     def save(
         self, df: DataFrame, filename: str, dataset_id: str | None = None,
@@ -129,19 +131,29 @@ class DatasetCatalog:
         return dataset_id in self._views or bool(self.metadata(dataset_id).take(1))
 
     def load(self, dataset_id: str) -> DataFrame:
-        """The saved frame; an id that is not listed is an error that names the known ones."""
+        """The saved frame; an id that is not listed is an error that names the newest known ones."""
         found = self.metadata(dataset_id).select("path").take(1)
         if not found:
             known = [r["dataset_id"] for r in self.list_datasets().select("dataset_id").take(20)]
             raise UnknownDataset(f"no dataset {dataset_id!r}; the newest are {known}")
         return self.spark.read.parquet(found[0]["path"])
 
-    def register(self, df: DataFrame, dataset_id: str | None = None) -> str:
-        """Make a frame known to this session only, as a temporary view."""
+    def register(
+        self, df: DataFrame, dataset_id: str | None = None, filename: str = "",
+        parent_dataset_id: str | None = None, transformation_note: str | None = None,
+    ) -> str:
+        """Make a frame known to this session only, as a temporary view, and note where it came from.
+
+        Nothing is computed; rows are counted when a listing is asked for.
+        """
         dataset_id = dataset_id or f"ds_{uuid.uuid4()}"
         view = f"dataset_{uuid.uuid4().hex}"
         df.createOrReplaceTempView(view)
         self._views[dataset_id] = view
+        row = describe_dataset(
+            df, dataset_id, filename, parent_dataset_id=parent_dataset_id, transformation_note=transformation_note
+        )
+        self._steps[dataset_id] = row.withColumn("ingested_at", F.lit(datetime.now(timezone.utc)))
         return dataset_id
 
     def get(self, dataset_id: str) -> DataFrame:
@@ -150,21 +162,29 @@ class DatasetCatalog:
             return self.spark.table(self._views[dataset_id])
         return self.load(dataset_id)
 
+    def session_datasets(self) -> DataFrame:
+        """The session's frames, with the columns of :meth:`datasets`; ``path`` is NULL."""
+        rows = self.spark.createDataFrame([], DATASET_SCHEMA)
+        for row in self._steps.values():
+            rows = rows.unionByName(row)
+        return rows
+
     def listing(self) -> DataFrame:
-        """Session and saved datasets together."""
-        rows = [
-            (d, self.spark.table(v).count(), len(self.spark.table(v).columns), self.spark.table(v).columns)
-            for d, v in self._views.items()
-        ]
-        schema = "dataset_id string, n_rows bigint, n_columns bigint, columns array<string>"
-        here = self.spark.createDataFrame(rows, schema)
-        return merge_listing(here, self.datasets())
+        """Session and saved datasets together, counted in one job."""
+        return merge_listing(self.session_datasets(), self.datasets())
 
     def clear(self) -> None:
         """Forget the session's frames; saved ones stay."""
         for view in self._views.values():
             self.spark.catalog.dropTempView(view)
         self._views.clear()
+        self._steps.clear()
 
     def lineage(self, dataset_id: str) -> DataFrame:
-        return lineage(self.datasets(), dataset_id)
+        """The dataset and its ancestors, whether the session or the catalog holds them.
+
+        An id that both hold stands for the session's frame.
+        """
+        here = self.session_datasets()
+        saved = self.datasets().join(here.select("dataset_id"), "dataset_id", "left_anti")
+        return lineage(here.unionByName(saved), dataset_id)

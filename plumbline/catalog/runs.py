@@ -96,30 +96,35 @@ def compare_p_values(runs: DataFrame, run_a: str, run_b: str) -> DataFrame:
 def compare_runs(runs: DataFrame, run_a: str, run_b: str) -> DataFrame:
     """One row about two runs, or none when either is missing.
 
-    ``run_a, run_b, same_dataset, readiness_delta`` (b minus a) and the start of both
-    summaries. :func:`compare_p_values` has the tests.
+    ``run_a, run_b, created_a, created_b, same_dataset, readiness_delta`` (b minus a) and
+    the start of both summaries. One scan finds both; of several rows of one run the
+    newest counts. :func:`compare_p_values` has the tests.
     """
-
-    def side(run_id: str, tag: str) -> DataFrame:
-        return get_run(runs, run_id).select(
-            F.lit(1).alias("one"),
-            F.col("run_id").alias(f"run_{tag}"),
-            F.col("dataset_id").alias(f"dataset_{tag}"),
-            F.col("readiness_overall").alias(f"score_{tag}"),
-            F.substring(F.coalesce("summary", F.lit("")), 1, SUMMARY_PREVIEW).alias(
-                f"summary_{tag}"
-            ),
-        )
-
-    # Run ids are unique, so each side has at most one row.
-    return side(run_a, "a").join(F.broadcast(side(run_b, "b")), "one").select(
-        "run_a", "run_b",
-        F.col("dataset_a").eqNullSafe(F.col("dataset_b")).alias("same_dataset"),
-        (F.col("score_b") - F.col("score_a")).alias("readiness_delta"),
-        "summary_a", "summary_b",
+    shown = F.struct(
+        "created_at", "dataset_id", "readiness_overall",
+        F.substring(F.coalesce("summary", F.lit("")), 1, SUMMARY_PREVIEW).alias("summary"),
+    )
+    sides = {"a": run_a, "b": run_b}
+    newest = [F.max(F.when(F.col("run_id") == run, shown)).alias(tag) for tag, run in sides.items()]
+    found = runs.filter(F.col("run_id").isin(run_a, run_b)).agg(*newest).filter("a IS NOT NULL AND b IS NOT NULL")
+    return found.select(
+        F.lit(run_a).alias("run_a"),
+        F.lit(run_b).alias("run_b"),
+        F.col("a.created_at").alias("created_a"),
+        F.col("b.created_at").alias("created_b"),
+        F.col("a.dataset_id").eqNullSafe(F.col("b.dataset_id")).alias("same_dataset"),
+        (F.col("b.readiness_overall") - F.col("a.readiness_overall")).alias("readiness_delta"),
+        F.col("a.summary").alias("summary_a"),
+        F.col("b.summary").alias("summary_b"),
     )
 
 
+def highlights(has_correlations: bool, n_columns_described: int | None = None) -> dict[str, str]:
+    """What a run's ``highlights`` say about its description."""
+    found = {"has_correlations": "true"} if has_correlations else {}
+    return found | ({} if n_columns_described is None else {"n_columns_described": str(n_columns_described)})
+
+
 def orphan_runs(runs: DataFrame, datasets: DataFrame) -> DataFrame:
     """Runs of datasets that the catalog does not list."""
     return runs.join(datasets.select("dataset_id"), "dataset_id", "left_anti")

@@ -156,6 +156,35 @@ def univariate_categorical(df: DataFrame, columns: list[str] | None = None) -> D
     )
 
 
+def univariate(df: DataFrame, columns: list[str] | None = None, method: str = "both") -> DataFrame:
+    """One row per column of any type: ``column, kind`` and what fits its kind.
+
+    ``kind`` is numeric or categorical. Both have ``n, n_missing, missing_pct, mode,
+    mode_count, mode_tie_count`` (the mode as a text); numeric columns add location,
+    spread and outliers, others the number of values. What does not fit is NULL.
+    """
+    columns = resolve_all(df, columns)
+    numeric = [c for c in columns if is_numeric(df, c)]
+    parts = []
+    if numeric:
+        found = univariate_numeric(df, numeric, method).drop("mode").withColumnRenamed("mode_text", "mode")
+        parts.append(found.withColumn("kind", F.lit("numeric")))
+    if len(numeric) < len(columns):
+        found = univariate_categorical(df, [c for c in columns if c not in numeric])
+        parts.append(found.withColumn("kind", F.lit("categorical")))
+    if not parts:
+        raise ValueError("no columns to summarise")
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    shared = ["column", "kind", "n", "n_missing", "missing_pct", "mode", "mode_count", "mode_tie_count"]
+    own = {
+        "n_unique": "bigint", "mean": "double", "std": "double", "min": "double", "q1": "double",
+        "median": "double", "q3": "double", "max": "double", "iqr": "double", "n_outliers": "bigint",
+    }
+    return out.select(
+        *shared, *[F.col(c) if c in out.columns else F.lit(None).cast(t).alias(c) for c, t in own.items()]
+    )
+
+
 # ---- two columns ------------------------------------------------------------
 
 

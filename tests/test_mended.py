@@ -5,7 +5,7 @@ from conftest import by, rows
 
 from plumbline.columns import UnknownColumn
 from plumbline.functions.distributions import binomial_p
-from plumbline.operators import advisories, charts, clean, outliers, profile, wrangle
+from plumbline.operators import advisories, charts, clean, describe, outliers, profile, wrangle
 from plumbline.sources.files import IngestionError, read_csv
 
 
@@ -93,3 +93,12 @@ def test_cleaning_stops_measuring_what_has_not_changed(spark, monkeypatch):
     _, steps = clean.auto_clean(df)
     assert [r["rule"] for r in steps.orderBy("iteration").collect()][:2] == ["drop_sparse_columns", "drop_constant_columns"]
     assert len(seen) <= 2
+
+
+def test_one_summary_of_all_columns(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, None)], "n int, t string")
+    found = by(describe.univariate(df), "column")
+    assert (found["n"]["kind"], found["n"]["mode"], found["n"]["n_unique"]) == ("numeric", "2", None)
+    assert (found["t"]["kind"], found["t"]["mode"], found["t"]["n_missing"], found["t"]["mean"]) == ("categorical", "a", 1, None)
+    for only in ("n", "t"):
+        assert describe.univariate(df, [only]).columns == describe.univariate(df).columns

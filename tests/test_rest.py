@@ -4,7 +4,9 @@ from data import patients_file
 from pyspark.sql import functions as F
 
 from plumbline.catalog.datasets import DatasetCatalog, UnknownDataset, latest_by_key, lineage
-from plumbline.catalog.runs import RunHistory, compare_p_values, compare_runs, recent_runs, run_type, runs_for_dataset
+from plumbline.catalog.runs import (
+    RunHistory, compare_p_values, compare_runs, highlights, recent_runs, run_type, runs_for_dataset,
+)
 from plumbline.operators import advisories, charts, clean, profile
 from plumbline.operators.readiness import quality_report
 from plumbline.session import new_folder
@@ -156,6 +158,17 @@ def test_session_datasets(spark):
         catalog.get(here)
 
 
+def test_lineage_through_the_session(spark):
+    catalog = DatasetCatalog(spark, new_folder(spark, "catalog"))
+    root = catalog.save(spark.range(9).toDF("a"), "nine")
+    step = catalog.register(spark.range(4).toDF("a"), filename="four", parent_dataset_id=root, transformation_note="a < 4")
+    leaf = catalog.save(spark.range(2).toDF("a"), "two", parent_dataset_id=step)
+    chain = [(r["dataset_id"], r["transformation_note"], r["n_rows"]) for r in catalog.lineage(leaf).collect()]
+    assert chain == [(leaf, None, 2), (step, "a < 4", 4), (root, None, 9)]
+    catalog.clear()
+    assert [r["dataset_id"] for r in catalog.lineage(leaf).collect()] == [leaf]
+
+
 def test_lineage_ends_and_cycles(spark):
     df = spark.createDataFrame([("a", "gone"), ("x", "y"), ("y", "x")], "dataset_id string, parent_dataset_id string")
     assert [r["dataset_id"] for r in lineage(df, "a").collect()] == ["a"]
@@ -182,7 +195,10 @@ def test_runs(spark):
     assert compared["readiness_delta"] == 30.5 and compared["same_dataset"]
     tests = by(compare_p_values(runs, a, b), "test")
     assert tests["t_test"]["delta"] == pytest.approx(-0.05) and tests["z"]["p_b"] is None
+    assert compared["created_a"] < compared["created_b"]
     assert compare_runs(runs, a, "run_none").count() == 0
+    told = history.save("ds_3", "q", highlights=highlights(True, 4))
+    assert by(history.runs(), "run_id")[told]["highlights"] == {"has_correlations": "true", "n_columns_described": "4"}
     for i in range(3):
         history.save("ds_2", f"q{i}")
     assert len(runs_for_dataset(history.runs(), "ds_2", 2).collect()) == 2
