@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.shared import free_names
+
 WIDTH = 4096  # hashed pairs and triples of characters
 SAMPLE = 2000  # labelled documents to learn from, shared evenly by the languages
 LEAST_EACH = 40
@@ -193,6 +195,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return pd.Series([UNKNOWN if (p := profile(t)) is None else model.predict(p)[0] for t in texts])
 
     guessed = F.pandas_udf(guess, "string")(F.col("text"))
-    found = docs.withColumn("__guess", guessed).filter(F.col("__guess") != UNKNOWN)
-    lang = F.coalesce(F.col("lang"), F.col("__guess")).alias("lang")
+    (name_of_guess,) = free_names(docs, 1)
+    found = docs.withColumn(name_of_guess, guessed).filter(F.col(name_of_guess) != UNKNOWN)
+    lang = F.coalesce(F.col("lang"), F.col(name_of_guess)).alias("lang")
     return found.select(*[lang if name == "lang" else F.col(f"`{name}`") for name in docs.columns])

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import word_count
+from plumbline.llm.shared import free_names, word_count
 from plumbline.session import stage
 
 BLOCK_DIGITS = 2  # hex digits of a block's number: 256 blocks a source
+SLICE_DIGITS = 3  # a block that the budget cuts is summed in 4096 slices
 LEVELS = 6  # halvings per round: 63 exponents are tried in one job
 ROUNDS = 6
 MAX_REPETITION = 2.0
@@ -91,10 +92,11 @@ def repeat(
     target_entropy: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix uses its document."""
-    uses = _uses(docs, max_repetition, target_entropy).groupBy("digest")
-    uses = uses.agg((F.max("pass") + 1).alias("__uses")).withColumnRenamed("digest", "__digest")
-    again = F.explode(F.sequence(F.lit(1), F.col("__uses")))
-    named = docs.withColumn("__digest", _identity()).join(uses, "__digest").withColumn("__use", again)
+    uses = _uses(docs, max_repetition, target_entropy).groupBy("digest").agg((F.max("pass") + 1).alias("uses"))
+    digest, number, use = free_names(docs, 3)
+    uses = uses.select(F.col("digest").alias(digest), F.col("uses").alias(number))
+    again = F.explode(F.sequence(F.lit(1), F.col(number)))
+    named = docs.withColumn(digest, _identity()).join(uses, digest).withColumn(use, again)
     return named.select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
@@ -151,15 +153,27 @@ def _uses(docs: DataFrame, max_repetition: float | None, target_entropy: float |
     )
     used = rows.join(plan, ["key", "block"])
     whole = used.filter("NOT cut")
+    # The block that crosses the budget grows with its source, so it is summed in slices of its permutation.
+    cut = (
+        used.filter("cut")
+        .withColumn("shuffled", F.md5(F.concat_ws("/", "digest", F.col("pass").cast("string"))))
+        .withColumn("slice", F.substring("shuffled", 1, SLICE_DIGITS))
+    )
+    earlier = Window.partitionBy("key", "block", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        cut.groupBy("key", "block", "pass", "slice")
+        .agg(F.sum("n_tokens").alias("sliced"))
+        .withColumn("start", F.coalesce(F.sum("sliced").over(earlier), F.lit(0)))
+        .drop("sliced")
+    )
     upto = (
-        Window.partitionBy("key", "block", "pass")
+        Window.partitionBy("key", "block", "pass", "slice")
         .orderBy("shuffled", "doc_id", "n_tokens")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     part = (
-        used.filter("cut")
-        .withColumn("shuffled", F.md5(F.concat_ws("/", "digest", F.col("pass").cast("string"))))
-        .withColumn("upto", F.sum("n_tokens").over(upto))
+        cut.join(starts, ["key", "block", "pass", "slice"])
+        .withColumn("upto", F.col("start") + F.sum("n_tokens").over(upto))
         .filter(F.col("before") + F.col("upto") <= F.col("room"))
     )
     wanted = ["digest", "doc_id", "source", "n_tokens", "weight", "pass", "block", "turn"]

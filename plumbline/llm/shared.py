@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``df`` has, in any case of letters."""
+    longest = max(map(len, df.columns), default=0)
+    return [f"c{i}_".ljust(longest + 4, "_") for i in range(n)]
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, with null counted as empty."""
     return F.coalesce(F.col(text), F.lit(""))

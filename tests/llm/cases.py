@@ -8,7 +8,8 @@ SF_DIR = "/root/testdata/sf0.001"
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, "
     # Columns whose names the operators use inside or give out.
-    "kept boolean, digest string, id long, node long, bucket int, slot int, key string, n long, place long, part int"
+    "kept boolean, digest string, id long, node long, bucket int, slot int, key string, n long, place long, part int, "
+    "__guess string, __digest string, __uses int, gone_id long, slice string, start long, c0_ int"
 )
 
 
@@ -42,7 +43,7 @@ def odd_rows() -> list[tuple]:
     ]
     langs = ["en", None, "fr"]
     sources = ["a", None, "", "b"]
-    extra = (True, "x", 1, 2, 3, 4, "k", 5, 6, 7)
+    extra = (True, "x", 1, 2, 3, 4, "k", 5, 6, 7, "g", "d", 8, 1, "s", 9, 10)
     return [(d, t, langs[i % 3], sources[i % 4], None, *extra) for i, (d, t) in enumerate(texts)]
 
 
