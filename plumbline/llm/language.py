@@ -185,17 +185,18 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; a null ``lang`` is filled in.
+    """The rows of ``docs`` whose text has a letter; a null ``lang`` is filled in.
 
-    Only texts without any letter are rejected. All columns pass through.
+    Only texts without any letter are rejected. If no labelled document could be learned
+    from, a null ``lang`` stays null. All columns pass through.
     """
     model = learn(docs, sample)
 
     def guess(texts: pd.Series) -> pd.Series:
-        return pd.Series([UNKNOWN if (p := profile(t)) is None else model.predict(p)[0] for t in texts])
+        return pd.Series([None if (p := profile(t)) is None else model.predict(p)[0] for t in texts], dtype=object)
 
     guessed = F.pandas_udf(guess, "string")(F.col("text"))
     (name_of_guess,) = free_names(docs, 1)
-    found = docs.withColumn(name_of_guess, guessed).filter(F.col(name_of_guess) != UNKNOWN)
-    lang = F.coalesce(F.col("lang"), F.col(name_of_guess)).alias("lang")
+    found = docs.withColumn(name_of_guess, guessed).filter(F.col(name_of_guess).isNotNull())
+    lang = (F.coalesce(F.col("lang"), F.col(name_of_guess)) if model.languages else F.col("lang")).alias("lang")
     return found.select(*[lang if name == "lang" else F.col(f"`{name}`") for name in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -272,3 +273,14 @@ def test_odd_and_empty(spark):
     rejected = {r[0] for r in odd_rows()} - {r["doc_id"] for r in table(language.keep_identified(odd(spark)))}
     assert rejected == {4, 5, 6, 7}
     assert {r["doc_id"]: r["lang_pred"] for r in table(language.identify(odd(spark)))}[7] == "und"
+
+
+def test_documents_stay_without_a_model(spark):
+    """Nothing to learn from: no labels, or only held-out labels. Texts with a letter stay, with the lang they had."""
+    texts = [(1, "plain words", None), (2, "12345 !!", None), (None, "no id", None), (4, None, None)]
+    unlabelled = table(language.keep_identified(frame(spark, texts, ", lang string")))
+    assert sorted(map(repr, unlabelled)) == sorted(repr(dict(zip(("doc_id", "text", "lang"), t))) for t in (texts[0], texts[2]))
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == language.HELD_OUT]
+    texts = [(i, f"words of {i}", "en" if i % 2 else None) for i in held]
+    kept = table(language.keep_identified(frame(spark, texts, ", lang string")))
+    assert len(held) > 4 and {(r["doc_id"], r["lang"]) for r in kept} == {(i, lang) for i, _, lang in texts}
