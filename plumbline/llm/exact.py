@@ -6,19 +6,28 @@ inside groups of (digest, salt), then between the winners of the salts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from plumbline.llm.shared import SPACE, whole_text
+from plumbline.llm.shared import SPACE, free_names, whole_text
 from plumbline.session import stage
 
 SALTS = 64  # groups that a hot digest is cut into
 HOT_SHARE = 4096  # a digest is hot beyond one row in so many; so at most this many are
 
 
+def _normal() -> Column:
+    return F.regexp_replace(whole_text(), SPACE, " ")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    normal = F.regexp_replace(whole_text(), SPACE, " ")
-    return docs.select("doc_id", normal.alias("content")).withColumn("digest", F.sha2("content", 256))
+    return docs.select("doc_id", _normal().alias("content")).withColumn("digest", F.sha2("content", 256))
+
+
+def _unhashed(kind: DataType) -> bool:
+    """Whether Spark cannot hash values of a type."""
+    return any(name in kind.simpleString() for name in ("map<", "variant"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -69,9 +78,33 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows with one doc_id all stay."""
-    gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """One row of ``docs`` for each group of equal texts, with all its columns.
+
+    It has the smallest doc_id of its group, or none if all of them are null. Among rows
+    with one doc_id and equal texts, the one with the least hash of all columns stays.
+    Rows are matched by doc_id and digest, so what happens to a row depends on its text,
+    never on another text under the same doc_id.
+    """
+    digest, gone_id, gone_digest, order = free_names(docs, 4)
+    names = [F.col(f"`{name}`") for name in docs.columns]
+    groups = exact_groups(docs).groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("n"))
+    groups = stage(groups.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_digest), "kept", "n"))
+    rows = docs.withColumn(digest, F.sha2(_normal(), 256))
+    same = (F.col(digest) == F.col(gone_digest)) & F.col("doc_id").eqNullSafe(F.col(gone_id))
+    gone = groups.filter("NOT kept").select(gone_id, gone_digest)
+    rows = rows.join(gone, same, "left_anti")
+    several = groups.filter("kept AND n > 1").select(gone_id, gone_digest)
+    if several.isEmpty():
+        return rows.select(*names)
+    # Rows that share doc_id and text are combined in their tasks first.
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not _unhashed(f.dataType)]
+    one = (
+        rows.join(several, same, "left_semi")
+        .groupBy(digest)
+        .agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias(order))
+        .select(f"{order}.*")
+    )
+    return rows.join(several, same, "left_anti").select(*names).unionByName(one)
 
 
 EXACT_SQL = """

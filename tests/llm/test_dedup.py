@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from cases import frame, none, odd, odd_rows, table, words
+from cases import SCHEMA, frame, none, odd, odd_rows, table, words
 from plumbline.llm import exact, near
 from plumbline.llm.components import components
 
@@ -32,6 +32,22 @@ def test_exact_salts_a_hot_group(spark):
     assert exact.keep_first(docs).count() == 101
 
 
+def test_exact_keeps_one_row_of_each_text(spark):
+    """Which rows survive: one a text, also of texts whose id is null, shared or that of a copy."""
+    normal = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    more = [(None, "null twice"), (None, "null  twice"), (1, "unique under the id of a kept row"), (2, "unique under the id of a copy")]
+    for rows in (odd_rows(), odd_rows() + [(d, t, *odd_rows()[0][2:]) for d, t in more]):
+        want = {}
+        for d, t in [r[:2] for r in rows]:
+            old = want.setdefault(normal(t), d)
+            want[normal(t)] = min((i for i in (old, d) if i is not None), default=None)
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        kept = exact.keep_first(docs)
+        assert kept.columns == docs.columns
+        found = [(r["doc_id"], normal(r["text"])) for r in table(kept)]
+        assert sorted(found, key=repr) == sorted(((d, t) for t, d in want.items()), key=repr)
+
+
 def brute_components(texts, least=75):
     sets = {}
     for d, t in texts:
