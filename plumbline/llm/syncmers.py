@@ -16,16 +16,17 @@ from plumbline.llm.shared import SPACE, whole_text
 
 S = 2  # words of an inner s-mer
 K = 6  # words of a k-mer, a multiple of S
-SKETCH = 64  # smallest distinct anchors that a fingerprint holds
+SKETCH = 64  # smallest distinct anchors that the sketch of a text holds
 ROWS_KEPT = 4  # buckets of neighbours per shuffle partition
 BLANK = " \t\n\r\x0b\x0c"
 
 
-def with_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
+def with_anchors(rows: DataFrame, text: str, name: str, sketched: str | None = None) -> DataFrame:
     """``rows`` with ``name``: the anchors of ``text`` in order, as structs ``hash, place``.
 
     ``place`` is the first word of the k-mer, from 0. A text of fewer words than a k-mer
-    has one anchor, the hash of all its words; one without words has none.
+    has one anchor, the hash of all its words; one without words has none. ``sketched``
+    names another column for the sketch.
     """
     words, inner = f"{name}__words", f"{name}__inner"
     bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(BLANK))
@@ -42,16 +43,19 @@ def with_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
     whole = ", ".join(at[::S])
     edge = f"least({', '.join(at)}) IN ({at[0]}, {at[-1]})"
     low = "& 4294967295L"
+    whole_words = f"array(named_struct('hash', xxhash64(`{words}`) {low}, 'place', 0))"
     rows = rows.withColumn(
         name,
         F.expr(
             f"""CASE WHEN size(`{words}`) >= {K} THEN filter(
                   transform(sequence(0, size(`{words}`) - {K}), i ->
                     IF({edge}, named_struct('hash', xxhash64({whole}) {low}, 'place', i), NULL)), a -> a IS NOT NULL)
-                WHEN size(`{words}`) > 0 THEN array(named_struct('hash', xxhash64(`{words}`) {low}, 'place', 0))
+                WHEN size(`{words}`) > 0 THEN {whole_words}
                 ELSE CAST(array() AS array<struct<hash: bigint, place: int>>) END"""
         ),
     )
+    if sketched is not None:
+        rows = rows.withColumn(sketched, sketch(name))
     return rows.drop(words, inner)
 
 
@@ -71,16 +75,16 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.size(both))
 
 
-def matches(a: str, b: str) -> Column:
-    """Pairs of places at which two texts share an anchor: ``here, there, hash`` in the order of ``a``.
+def full_likeness(a: str, b: str) -> Column:
+    """The share of the distinct hashes of either's anchors that both have: 0 to 1, and 1 for two texts without words."""
+    either, both = (f(F.col(f"{a}.hash"), F.col(f"{b}.hash")) for f in (F.array_union, F.array_intersect))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(both) / F.size(either))
 
-    Every anchor of ``a`` is matched with the first of the same hash in ``b``.
-    """
-    there = f"get(filter(`{b}`, y -> y.hash = x.hash), 0).place"
-    return F.expr(
-        f"filter(transform(`{a}`, x -> named_struct('here', x.place, 'there', {there}, 'hash', x.hash)), "
-        "m -> m.there IS NOT NULL)"
-    )
+
+def matches(a: str, b: str) -> Column:
+    """All pairs of places at which two texts share an anchor: ``here, there, hash`` in the order of ``a``, then of ``b``."""
+    pair = "named_struct('here', x.place, 'there', y.place, 'hash', x.hash)"
+    return F.expr(f"flatten(transform(`{a}`, x -> transform(filter(`{b}`, y -> y.hash = x.hash), y -> {pair})))")
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> tuple[Column, DataFrame]:
@@ -98,7 +102,7 @@ def _bucketed(docs: DataFrame, buckets: int) -> tuple[Column, DataFrame]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, sketch`` of every row, with ``next_text, next_sketch`` of the row that follows.
+    """``doc_id, text`` of every row, with ``next_text`` of the row that follows.
 
     Rows are ordered by doc_id; null ids come last, rows with one id by a hash of the
     text. The last is followed by the first. Buckets of neighbouring ids are sorted in
@@ -119,30 +123,33 @@ def with_next(docs: DataFrame) -> DataFrame:
         copied = rows.join(F.broadcast(guests), F.col("ord") == F.col("first"))
         copied = copied.select("doc_id", "text", "ord", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
         rows = rows.unionByName(copied)
-    rows = with_anchors(rows, "text", "anchors").withColumn("sketch", sketch("anchors")).drop("anchors")
     following = Window.partitionBy("bucket").orderBy("guest", "ord", F.xxhash64("text"))
-    return (
-        rows.withColumn("next_text", F.lead("text").over(following))
-        .withColumn("next_sketch", F.lead("sketch").over(following))
-        .filter("NOT guest")
-    )
+    return rows.withColumn("next_text", F.lead("text").over(following)).filter("NOT guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next``.
+    edited_fingerprint, near_edited, near_next, anchors, edited_anchors, like_edited, like_next``.
 
     The edited text has its last quarter replaced by as much of the beginning of the next
-    document. A fingerprint lists the smallest anchors of the whole text in hex; a null
-    or empty text has an empty one, and two empty ones are alike (1). A lone document is
-    followed by itself. Other columns are not read. No rows give no rows.
+    document. ``anchors`` and ``edited_anchors`` hold every anchor of the whole text with
+    its place, in order. ``like_edited`` and
+    ``like_next`` are exact over the distinct hashes of all anchors; two texts without
+    words are alike (1).
+
+    ``fingerprint`` and ``edited_fingerprint`` list in hex the ``SKETCH`` smallest hashes
+    among the chosen k-mers, and ``near_*`` estimate the likeness from these alone: a short
+    text without a chosen k-mer has an empty one, and two empty ones count as alike.
+    A lone document is followed by itself. Other columns are not read. No rows give no rows.
     """
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr(
         "concat(substring(text, 1, CAST(n_chars - n_chars DIV 4 AS INT)), substring(next_text, 1, CAST(n_chars DIV 4 AS INT)))"
     )
-    rows = rows.withColumn("edited", edited).drop("next_text", "text")
-    rows = with_anchors(rows, "edited", "anchors").withColumn("edited_sketch", sketch("anchors")).drop("anchors")
+    rows = rows.withColumn("edited", edited)
+    rows = with_anchors(rows, "text", "anchors", "sketch").drop("text")
+    rows = with_anchors(rows, "next_text", "next_anchors", "next_sketch").drop("next_text")
+    rows = with_anchors(rows, "edited", "edited_anchors", "edited_sketch")
     return rows.select(
         "doc_id",
         "n_chars",
@@ -151,4 +158,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         as_text("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"),
         likeness("sketch", "next_sketch").alias("near_next"),
+        "anchors",
+        "edited_anchors",
+        full_likeness("anchors", "edited_anchors").alias("like_edited"),
+        full_likeness("anchors", "next_anchors").alias("like_next"),
     )

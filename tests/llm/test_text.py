@@ -79,6 +79,41 @@ def test_positions_match(spark):
     assert found and all(m["there"] - m["here"] == 6 for m in found if m["here"] >= 11)
 
 
+def all_anchors(text):
+    ws = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    return brute_anchors(text) or ([(chained(ws) & 0xFFFFFFFF, 0)] if ws else [])
+
+
+def test_all_anchors_and_exact_likeness(spark):
+    """Long texts keep every anchor with its place; a passage of 40 in 3,000 words is seen."""
+    rng = random.Random(5)
+    passage = words(rng, 40)
+    long = [words(rng, 1500) + passage + words(rng, 1500), words(rng, 900) + passage + passage + words(rng, 2000)]
+    texts = [(i, " ".join(t)) for i, t in enumerate(long)] + [(2, None), (3, " ".join(words(rng, 30)))]
+    found = {r["doc_id"]: r for r in table(syncmers.fingerprints(frame(spark, texts).repartition(3)))}
+    for (d, t), (_, following) in zip(texts, texts[1:] + texts[:1], strict=True):
+        t, following = t or "", following or ""
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        own, changed, other = all_anchors(t), all_anchors(edited), all_anchors(following)
+        assert [tuple(a) for a in found[d]["anchors"]] == own
+        assert [tuple(a) for a in found[d]["edited_anchors"]] == changed
+        for name, b in (("like_edited", changed), ("like_next", other)):
+            x, y = {h for h, _ in own}, {h for h, _ in b}
+            assert found[d][name] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+    assert len(found[0]["anchors"]) > 1000 and 0 < found[0]["like_next"] < 0.02
+
+
+def test_matches_pair_all_repeats(spark):
+    rng = random.Random(6)
+    passage = words(rng, 30)
+    x, y = passage + words(rng, 5) + passage, words(rng, 7) + passage + passage
+    rows = spark.createDataFrame([(" ".join(x), " ".join(y))], "x string, y string")
+    rows = syncmers.with_anchors(syncmers.with_anchors(rows, "x", "p"), "y", "q")
+    found = [tuple(m) for m in rows.select(syncmers.matches("p", "q").alias("m")).first()["m"]]
+    assert found == [(i, j, h) for h, i in all_anchors(" ".join(x)) for g, j in all_anchors(" ".join(y)) if g == h]
+    assert {j - i for i, j, _ in found} >= {7, 37, -28, 2}
+
+
 def test_licences(spark):
     files = [
         (1, "pkg/LICENSE", "Licensed under the Apache License, Version 2.0."),
