@@ -24,9 +24,10 @@ BLANK = " \t\n\r\x0b\x0c"
 def with_anchors(rows: DataFrame, text: str, name: str, sketched: str | None = None) -> DataFrame:
     """``rows`` with ``name``: the anchors of ``text`` in order, as structs ``hash, place``.
 
-    ``place`` is the first word of the k-mer, from 0. A text of fewer words than a k-mer
-    has one anchor, the hash of all its words; one without words has none. ``sketched``
-    names another column for the sketch.
+    ``place`` is the first word of the k-mer, from 0. A text of fewer words than a k-mer,
+    or in which no k-mer is chosen, has one anchor, the hash of all its words; only one
+    without words has none. ``sketched`` names another column for the sketch of the chosen
+    k-mers alone, which a text of ``K`` words or more can be without.
     """
     words, inner = f"{name}__words", f"{name}__inner"
     bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(BLANK))
@@ -56,6 +57,7 @@ def with_anchors(rows: DataFrame, text: str, name: str, sketched: str | None = N
     )
     if sketched is not None:
         rows = rows.withColumn(sketched, sketch(name))
+    rows = rows.withColumn(name, F.expr(f"IF(size(`{name}`) = 0 AND size(`{words}`) > 0, {whole_words}, `{name}`)"))
     return rows.drop(words, inner)
 
 
@@ -133,7 +135,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by as much of the beginning of the next
     document. ``anchors`` and ``edited_anchors`` hold every anchor of the whole text with
-    its place, in order. ``like_edited`` and
+    its place, in order; only texts without words have none. ``like_edited`` and
     ``like_next`` are exact over the distinct hashes of all anchors; two texts without
     words are alike (1).
 

@@ -103,6 +103,19 @@ def test_all_anchors_and_exact_likeness(spark):
     assert len(found[0]["anchors"]) > 1000 and 0 < found[0]["like_next"] < 0.02
 
 
+def test_only_texts_without_words_have_no_anchor(spark):
+    rng = random.Random(7)
+    texts = [(i, " ".join(words(rng, 6 + i % 3))) for i in range(60)]
+    assert sum(not brute_anchors(t) for _, t in texts) > 5
+    texts += [(100, None), (101, ""), (102, " \t\n")]
+    found = {r["doc_id"]: r for r in table(syncmers.fingerprints(frame(spark, texts)))}
+    for d, t in texts:
+        assert [tuple(a) for a in found[d]["anchors"]] == all_anchors(t)
+        assert bool(found[d]["anchors"]) == bool((t or "").split())
+    assert all(found[i]["like_next"] == 0 for i in range(60))
+    assert found[100]["like_next"] == 1 and found[102]["like_next"] == 0
+
+
 def test_matches_pair_all_repeats(spark):
     rng = random.Random(6)
     passage = words(rng, 30)
