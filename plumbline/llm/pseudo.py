@@ -25,8 +25,7 @@ FREQUENT = 192  # words with a class of their own
 HASHED = 63  # classes of the other words
 CLASSES = FREQUENT + HASHED + 1  # and one for the edge of a text, which is never predicted
 HIDDEN = 16
-ROUNDS = 2  # each over all documents
-MASKED = 10  # one token in so many is predicted in a round of training
+ROUNDS = 2  # over all documents; each token is predicted in one of them
 RATE = 0.2
 STEP = 256  # tokens of a training step
 CHUNK = 1024  # tokens scored at once
@@ -163,9 +162,15 @@ def _slices(batch: pd.DataFrame, characters: int = 4_000_000) -> Iterator[pd.Dat
         yield piece
 
 
+def targets(at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The tokens to predict in a round of training: over all rounds, every token once."""
+    return at[turn::rounds]
+
+
 def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` rounds: every task trains on its documents from the same start,
-    then weights are averaged by the tokens they have seen, in the tasks and by a sum."""
+    then weights are averaged by the tokens they have seen, in the tasks and by a sum.
+    Every token is a target in exactly one round."""
     flat = initial(words)
     for turn in range(rounds):
         start = flat
@@ -175,7 +180,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
             for batch in batches:
                 for piece in _slices(batch):
                     ids, at, _ = _joined(words, piece["text"])
-                    at = at[turn * MASKED // rounds :: MASKED]
+                    at = targets(at, turn, rounds)
                     for i in range(0, len(at), STEP):
                         train_step(own, squares, ids, at[i : i + STEP])
                     seen += len(at)

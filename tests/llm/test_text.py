@@ -276,6 +276,13 @@ def test_scores_against_one_token_at_a_time(spark):
     assert found[3]["mean_log_prob"] is None
 
 
+def test_every_token_is_a_target_once():
+    for rounds in (1, 2, 3):
+        for n in (0, 1, 2, 25):
+            found = np.concatenate([pseudo.targets(np.arange(2, 2 + n), turn, rounds) for turn in range(rounds)])
+            assert sorted(found) == list(range(2, 2 + n))
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     size = sum(int(np.prod(s)) for s in pseudo.SIZES)
