@@ -1,18 +1,21 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
 Every token is predicted from the words on both sides. Frequent words are classes of
-their own; all others fall into hashed classes whose words share the probability
-evenly. Tasks train on their own documents and the weights are averaged.
+their own; all others fall into hashed classes whose words share the probability by
+their counts in the corpus. The classes are as many as the root of the distinct words,
+or CLASSES if that is more. Tasks train on their own documents and the weights are averaged.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,7 @@ from plumbline.session import stage
 
 OFFSETS = (-2, -1, 1, 2)
 EDGE = max(abs(o) for o in OFFSETS)
-FREQUENT = 192  # words with a class of their own
-HASHED = 63  # classes of the other words
-CLASSES = FREQUENT + HASHED + 1  # and one for the edge of a text, which is never predicted
+CLASSES = 256  # at least: three in four for a frequent word each, the others hashed, the last for the edge of a text
 HIDDEN = 16
 ROUNDS = 2  # over all documents; each token is predicted in one of them
 RATE = 0.2
@@ -31,16 +32,22 @@ STEP = 256  # tokens of a training step
 CHUNK = 1024  # tokens scored at once
 COUNTED = 200_000  # distinct words that a task counts before it hands them on
 
-SIZES = [(len(OFFSETS), CLASSES, HIDDEN), (HIDDEN, CLASSES), (CLASSES,)]
+CACHED = 50_000  # words whose counts every task holds; those of the others are joined
+BLOCK = 100_000  # texts among which a task drops copies before the join
 
 
-def class_of_rare(word: bytes) -> int:
-    return FREQUENT + xxhash.xxh32_intdigest(word) % HASHED
+def sizes(classes: int) -> list[tuple[int, ...]]:
+    return [(len(OFFSETS), classes, HIDDEN), (HIDDEN, classes), (classes,)]
+
+
+SIZES = sizes(CLASSES)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows(counts: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"word": list(counts), "n": list(counts.values()), "hashed": [class_of_rare(w) for w in counts]})
+        return pd.DataFrame(
+            {"word": list(counts), "n": list(counts.values()), "hash": [xxhash.xxh32_intdigest(w) for w in counts]}
+        )
 
     counts: Counter = Counter()
     for batch in batches:
@@ -53,51 +60,94 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Vocabulary:
-    """Classes of words, and the log probability of a word within its class."""
-
-    def __init__(self, frequent: list[bytes], hashed: dict[int, tuple[int, int]], counts: list[int]):
-        self.classes = {w: i for i, w in enumerate(frequent)}
-        self.within = np.zeros(CLASSES, np.float64)
-        n = np.ones(CLASSES)
-        n[: len(counts)] += counts
-        for c, (words, tokens) in hashed.items():
-            self.within[c] = -np.log(words)
+    """Classes of words, and the log probability of a word within its class.
+
+    That is the log of the word's count less that of its class. ``within`` has the latter
+    for every class; ``logs`` the former of the cached words, those of ``cached_from``
+    occurrences or more.
+    """
+
+    def __init__(self, size: int, frequent: list[tuple[bytes, int]], hashed: dict[int, int], cached: list, cached_from: int):
+        self.size, self.frequent, self.cached_from = size, size * 3 // 4, cached_from
+        self.classes = {w: i for i, (w, _) in enumerate(frequent)}
+        self.logs = {w: math.log(n) for w, n, _ in cached if w not in self.classes}
+        self.classes |= {w: self.hashed(h) for w, _, h in cached if w in self.logs}
+        self.within = np.zeros(size, np.float64)
+        n = np.ones(size)
+        n[: len(frequent)] += [count for _, count in frequent]
+        for c, tokens in hashed.items():
+            self.within[c] = -np.log(tokens)
             n[c] += tokens
-        n[CLASSES - 1] = 1e-9
+        n[size - 1] = 1e-9
         self.start = np.log(n / n.sum()).astype(np.float32)
 
+    def hashed(self, value: int) -> int:
+        """The class of a word without its own, by its hash."""
+        return self.frequent + value % (self.size - self.frequent - 1)
+
     def ids(self, text: str | None) -> np.ndarray:
         words, known = words_of(text), self.classes
-        return np.fromiter((known[w] if w in known else class_of_rare(w) for w in words), np.int64, len(words))
+        return np.fromiter(
+            (known[w] if w in known else self.hashed(xxhash.xxh32_intdigest(w)) for w in words), np.int64, len(words)
+        )
 
+    def cached_logs(self, text: str | None) -> float:
+        """The sum of the logs of the counts of the text's cached words."""
+        return sum(self.logs[w] for w in words_of(text) if w in self.logs)
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Word counts over all documents; the driver sees the most frequent words and one row per class."""
-    counts = docs.select("text").mapInPandas(_counted, "word binary, n long, hashed int")
-    counts = stage(counts.groupBy("word", "hashed").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "n").collect()
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``word, hash, n`` of every distinct word of all documents."""
+    counts = docs.select("text").mapInPandas(_counted, "word binary, n long, hash long")
+    return stage(counts.groupBy("word", "hash").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """Classes from the word counts over all documents.
+
+    The driver sees the frequent words, ``CACHED`` words, a row per class, and how many
+    words have each count: as many rows as the root of the tokens.
+    """
+    counts = counted(docs) if counts is None else counts
+    held = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    size = max(CLASSES, math.isqrt(sum(words for _, words in held)))
+    own = size * 3 // 4
+    above, floor, cached_from = 0, 1, 2**62
+    for n, words in held:
+        if above < own:
+            floor = n
+        above += words
+        if above <= CACHED:
+            cached_from = n
+    top = counts.filter(F.col("n") >= floor).orderBy(F.desc("n"), "word").limit(own).select("word", "n").collect()
     rest = counts
     if top:
         last = top[-1]
         higher = (F.col("n") > last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") <= F.lit(bytes(last["word"]))))
         rest = counts.filter(~higher)
-    hashed = rest.groupBy("hashed").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+    place = (F.lit(own) + F.pmod("hash", F.lit(size - own - 1))).cast("int").alias("place")
+    hashed = rest.groupBy(place).agg(F.sum("n").alias("n")).collect()
+    cached = counts.filter(F.col("n") >= cached_from).select("word", "n", "hash").collect()
     return Vocabulary(
-        [bytes(r["word"]) for r in top], {r["hashed"]: (r["words"], r["n"]) for r in hashed}, [r["n"] for r in top]
+        size,
+        [(bytes(r["word"]), r["n"]) for r in top],
+        {r["place"]: r["n"] for r in hashed},
+        [(bytes(r["word"]), r["n"], r["hash"]) for r in cached],
+        cached_from,
     )
 
 
 def initial(words: Vocabulary) -> np.ndarray:
     """Small fixed random weights; the bias starts at the words' frequencies."""
     random = np.random.default_rng(10)
-    parts = [random.normal(0, 0.1, s).astype(np.float32).ravel() for s in SIZES[:2]]
+    parts = [random.normal(0, 0.1, s).astype(np.float32).ravel() for s in sizes(words.size)[:2]]
     return np.concatenate([*parts, words.start])
 
 
 def parts(flat: np.ndarray) -> list[np.ndarray]:
     """The flat weights as embeddings by offset, output weights and bias (views)."""
     out, at = [], 0
-    for s in SIZES:
+    for s in sizes(len(flat) // (len(OFFSETS) * HIDDEN + HIDDEN + 1)):
         n = int(np.prod(s))
         out.append(flat[at : at + n].reshape(s))
         at += n
@@ -121,29 +171,29 @@ def scores_of(weights: list[np.ndarray], h: np.ndarray) -> np.ndarray:
 
 def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
     """One step of adaptive gradient descent on the tokens at ``at``, in place."""
-    weights = parts(flat)
+    weights, sums = parts(flat), parts(squares)
     h = hidden(weights, ids, at)
     error = scores_of(weights, h)
     np.exp(error, out=error)
     error /= error.sum(axis=1, keepdims=True)
     error[np.arange(len(at)), ids[at]] -= 1
     error /= len(at)
-    gradient = np.zeros_like(flat)
-    g = parts(gradient)
-    g[1][...] = h.T @ error
-    g[2][...] = error.sum(axis=0)
     inner = (error @ weights[1].T) * (1 - h * h)
-    for k, offset in enumerate(OFFSETS):
-        seen = np.zeros((len(at), CLASSES), np.float32)
-        seen[np.arange(len(at)), ids[at + offset]] = 1
-        g[0][k][...] = seen.T @ inner
-    squares += gradient * gradient
-    flat -= RATE * gradient / np.sqrt(squares)
+    for part, g in ((1, h.T @ error), (2, error.sum(axis=0))):
+        sums[part] += g * g
+        weights[part] -= RATE * g / np.sqrt(sums[part])
+    for k, offset in enumerate(OFFSETS):  # only classes that were seen have a gradient
+        seen, row = np.unique(ids[at + offset], return_inverse=True)
+        g = np.zeros((len(seen), HIDDEN), flat.dtype)
+        np.add.at(g, row, inner)
+        total = sums[0][k][seen] + g * g
+        sums[0][k][seen] = total
+        weights[0][k][seen] -= RATE * g / np.sqrt(total)
 
 
 def _joined(words: Vocabulary, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of all texts with edges between them; the place and the text of each token."""
-    edge = np.full(EDGE, CLASSES - 1, np.int64)
+    edge = np.full(EDGE, words.size - 1, np.int64)
     pieces, places, owners, at = [edge], [], [], EDGE
     for i, text in enumerate(texts):
         own = words.ids(text)
@@ -206,7 +256,8 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
 
 
 def log_probabilities(words: Vocabulary, flat: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log probability of every token at ``at`` given both sides."""
+    """The log probability of every token at ``at`` given both sides, without the log of the
+    count of a word that shares its class."""
     weights = parts(flat)
     out = np.empty(len(at))
     for i in range(0, len(at), CHUNK):
@@ -218,17 +269,53 @@ def log_probabilities(words: Vocabulary, flat: np.ndarray, ids: np.ndarray, at:
     return out + words.within[ids[at]]
 
 
+def _key(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words_of(text)))
+
+
+def joined_logs(docs: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """``key, logs``: the summed logs of the counts of a text's words that are not cached.
+
+    Words seen once add nothing. A task sends the words of equal texts once in a block,
+    and of the equal sums of several blocks one is taken.
+    """
+    known = words.classes
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, sent = TaskContext.get().partitionId() << 24, set()
+        for batch in batches:
+            for piece in _slices(batch):
+                rows = []
+                for text in piece["text"]:
+                    key = _key(text)
+                    if key in sent:
+                        continue
+                    if len(sent) == BLOCK:
+                        block, sent = block + 1, set()
+                    sent.add(key)
+                    rows += [(block, key, w, n) for w, n in Counter(w for w in words_of(text) if w not in known).items()]
+                yield pd.DataFrame(rows, columns=["block", "key", "word", "uses"])
+
+    uses = docs.select("text").mapInPandas(rare, "block long, key binary, word binary, uses long")
+    counts = counts.filter((F.col("n") > 1) & (F.col("n") < words.cached_from)).select("word", "n")
+    logs = F.sum(F.col("uses") * F.log("n")).alias("logs")
+    sums = uses.join(counts, "word").groupBy("block", "key").agg(logs).groupBy("key").agg(F.max("logs").alias("logs"))
+    return stage(sums)
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, log_prob, mean_log_prob``.
 
     ``log_prob`` sums the natural log probabilities of all words of the whole text, each
-    given the two words on both sides; ``mean_log_prob`` is per word and null without
+    given the two words on both sides: that of its class, and in a class of several words
+    its share of the class's occurrences in ``docs``. ``mean_log_prob`` is per word and null without
     words, as for null and empty texts, whose ``log_prob`` is 0. Words are those between
     white space with A-Z lowered. Repeated rows get equal answers. Other columns are not
     read. No rows give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    words = vocabulary(texts)
+    counts = counted(texts)
+    words = vocabulary(texts, counts)
     flat = train(texts, words, rounds)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,9 +329,13 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     {
                         "doc_id": piece["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None),
                         "n_tokens": n,
-                        "log_prob": total,
+                        "total": total + [words.cached_logs(t) for t in piece["text"]],
+                        "key": [_key(t) for t in piece["text"]],
                     }
                 )
 
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
-    return texts.mapInPandas(scored, "doc_id long, n_tokens long, log_prob double").select("*", mean)
+    rows = texts.mapInPandas(scored, "doc_id long, n_tokens long, total double, key binary")
+    rows = rows.join(joined_logs(texts, counts, words), "key", "left")
+    log_prob = (F.col("total") + F.coalesce("logs", F.lit(0.0))).alias("log_prob")
+    return rows.select("doc_id", "n_tokens", log_prob).select("*", mean)

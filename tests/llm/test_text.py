@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -276,6 +277,38 @@ def test_scores_against_one_token_at_a_time(spark):
     assert found[3]["mean_log_prob"] is None
 
 
+def test_words_count_within_their_class(spark, monkeypatch):
+    """A word of a class of several has its own share of the class, whether its count is cached or joined."""
+    rng = random.Random(11)
+    many = sorted(set(words(rng, 900)))
+    texts = [(i, " ".join(rng.choices(many, [1 / (j + 1) for j in range(len(many))], k=150))) for i in range(40)]
+    texts += [(100 + i, texts[0][1]) for i in range(5)] + [(None, texts[0][1]), (200, None)]
+    docs = frame(spark, texts).repartition(4)
+    n = Counter(w for _, text in texts for w in (text or "").encode().split())
+    for cached in (0, 250, 50_000):
+        monkeypatch.setattr(pseudo, "CACHED", cached)
+        vocabulary = pseudo.vocabulary(docs)
+        of = {w: int(vocabulary.ids(w.decode())[0]) for w in n}
+        assert vocabulary.size == pseudo.CLASSES and max(Counter(of.values()).values()) > 1
+        total = Counter()
+        for w, c in of.items():
+            total[c] += n[w]
+        weights = pseudo.initial(vocabulary)
+        found = {r["doc_id"]: r["log_prob"] for r in table(pseudo.score(docs, rounds=0))}
+        for d, text in texts:
+            ids, at, _ = pseudo._joined(vocabulary, [text])
+            plain = pseudo.log_probabilities(vocabulary, weights, ids, at) - vocabulary.within[ids[at]]
+            share = sum(np.log(n[w] / total[of[w]]) for w in (text or "").encode().split())
+            assert found[d] == pytest.approx(plain.sum() + share, abs=1e-6)
+
+
+def test_classes_grow_with_the_words(spark):
+    docs = frame(spark, [(i, " ".join(f"w{j}" for j in range(i * 30_000, i * 30_000 + 30_000))) for i in range(3)])
+    vocabulary = pseudo.vocabulary(docs)
+    assert vocabulary.size == 300 and len(vocabulary.classes) >= 225
+    assert len(pseudo.initial(vocabulary)) == sum(int(np.prod(s)) for s in pseudo.sizes(300))
+
+
 def test_every_token_is_a_target_once():
     for rounds in (1, 2, 3):
         for n in (0, 1, 2, 25):
