@@ -5,8 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-
-SF_DIR = "/root/testdata/sf0.001"
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
@@ -37,12 +36,3 @@ def sliced(monkeypatch):
     monkeypatch.setattr(thresholds, "SKETCH_SIZE", 200)
     monkeypatch.setattr(thresholds, "RANK_MARGIN", 0.1)
     monkeypatch.setattr(thresholds, "RANK_BUCKETS", 7)
-
-
-def rows(df, *order):
-    found = [r.asDict() for r in df.collect()]
-    return sorted(found, key=lambda r: [str(r[c]) for c in order]) if order else found
-
-
-def by(df, key):
-    return {r[key]: r for r in df.collect()}

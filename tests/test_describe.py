@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by, rows
+from helpers import by, rows
 from data import patients_file, random_frame
 
 from plumbline.operators import describe

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import by
+from helpers import by
 from data import two_points
 
 from plumbline.functions import distributions as d

@@ -1,7 +1,7 @@
 """Results that were once wrong."""
 
 import pytest
-from conftest import by, rows
+from helpers import by, rows
 
 from plumbline.columns import UnknownColumn
 from plumbline.functions.distributions import binomial_p

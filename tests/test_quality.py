@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by, rows
+from helpers import by, rows
 from data import half_empty, patients_file, random_frame, readings, repeats, score_only_outlier, spiked
 from pyspark.sql import functions as F
 

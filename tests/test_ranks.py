@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by
+from helpers import by
 from pyspark.sql import functions as F
 
 from plumbline import thresholds

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF_DIR, by, rows
+from helpers import SF_DIR, by, rows
 from data import patients_file
 from pyspark.sql import functions as F
 
