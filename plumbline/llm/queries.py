@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import exact, language, licenses, mixing, near, packing, pii, pseudo, sharding, syncmers
+from plumbline.llm import (
+    chat, exact, infill, language, licenses, mixing, near, packing, pii, pseudo, repair, sharding, syncmers,
+)
 from plumbline.llm.shared import table
 
 
@@ -51,6 +53,24 @@ def op10_lm_scoring(spark, sf_dir):
     return pseudo.score(table(spark, sf_dir, "documents"))
 
 
+def op11_infilling(spark, sf_dir):
+    cut = infill.infill(table(spark, sf_dir, "documents"), fim_rate=100, spm_rate=50)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(infill.restored()).alias("restored_sha256"),
+    )
+
+
+def op12_chat_format(spark, sf_dir):
+    conversations = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_turns(conversations))
+
+
+def op13_structure_repair(spark, sf_dir):
+    return repair.digests(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -68,6 +88,9 @@ QUERIES = {
         op8_fingerprints,
         op9_personal_data,
         op10_lm_scoring,
+        op11_infilling,
+        op12_chat_format,
+        op13_structure_repair,
         pipeline,
     )
 }
@@ -76,4 +99,7 @@ ORACLES = {
     "op2_source_mixing": mixing.MIX_SQL,
     "op3_license_scan": licenses.scan_sql(),
     "op4_exact_dedup": exact.EXACT_SQL,
+    "op11_infilling": infill.INFILL_SQL,
+    "op12_chat_format": chat.CHAT_SQL,
+    "op13_structure_repair": repair.REPAIR_SQL,
 }

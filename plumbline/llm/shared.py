@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # White space of all contracts: space and the control characters 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
+BLOCK_TURNS = 1024  # turns of a conversation that one task takes together
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +58,26 @@ def numbered(rows: DataFrame, groups: list[str], digest: str, order: list[str],
         .withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
         .drop("slice", "start")
     )
+
+
+def in_turn_order(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with ``at``: ascending numbers over conversations, and turns within them.
+
+    Rows go by conv_id, turn (nulls first), role and text; nulls of all come first. The
+    numbers are unique. A conversation is dealt over tasks by blocks of ``BLOCK_TURNS``
+    turns, its rows without a turn by the first characters of role and text, so that none
+    is gathered in one task; rows of one block are sorted together, and spill. A block
+    lies in one task. Null and empty ``role`` and ``text`` are kept as they are.
+    """
+    head = lambda c: F.when(F.col("turn").isNull(), F.substring(c, 1, 16))
+    names = free_names(conversations, 3)
+    block, role, text = names
+    cut = conversations.withColumns(
+        {block: F.floor(F.col("turn") / BLOCK_TURNS), role: head("role"), text: head("text")}
+    )
+    return (
+        cut.repartitionByRange("conv_id", block, role, text)
+        .sortWithinPartitions("conv_id", "turn", role, text, "role", "text")
+        .drop(*names)
+        .withColumn("at", F.monotonically_increasing_id())
+    )
