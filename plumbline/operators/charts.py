@@ -28,8 +28,10 @@ from plumbline.operators.outliers import (
     summary_from_measures,
 )
 from plumbline.operators.profile import column_measures, profile_from_measures
+from plumbline.plans.groups import beside
 from plumbline.plans.per_column import pin
-from plumbline.plans.ranks import group_quantiles
+from plumbline.plans.ranks import column_quantiles, group_quantiles
+from plumbline.session import stage
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -78,32 +80,39 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     """``by, n, q1, median, q3, whisker_low, whisker_high, n_fliers`` of a numeric column.
 
     Whiskers are the furthest values within 1.5 IQR of the box. Rows with a missing group
-    key are left out. Quartiles come from brackets, whiskers and fliers from sums that
-    are combined before the shuffle, so a hot group is never gathered.
+    key are left out; without any value there is no row. Quartiles come from brackets,
+    whiskers and fliers from sums that are combined before the shuffle, so a hot group is
+    never gathered. Without ``by`` the fences are constants of the plan.
     """
     df = present(df)
     column, by = require_numeric(df, column), resolve_all(df, by or [])
-    keys = [f"k{i}" for i in range(len(by))] or ["k0"]
-    named = [f"{quoted(c)} AS {k}" for c, k in zip(by, keys)] or ["0 AS k0"]
+    keys = [f"k{i}" for i in range(len(by))]
+    named = [f"{quoted(c)} AS {k}" for c, k in zip(by, keys, strict=True)]
     rows = df.selectExpr(*named, f"{number(column)} AS value")
     rows = rows.filter(" AND ".join(f"{name} IS NOT NULL" for name in [*keys, "value"]))
-    quartiles = group_quantiles(rows, keys, "value", QUARTILES)
-    boxes = quartiles.selectExpr(*keys, "q[0] AS q1", "q[1] AS median", "q[2] AS q3")
-    fence = f"{t.IQR_FENCE}D * (q3 - q1)"
-    inside = f"value >= q1 - {fence} AND value <= q3 + {fence}"
-    out = (
-        rows.join(boxes, keys)
-        .groupBy(*keys)
-        .agg(
-            F.expr("count(*) AS n"),
-            *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
-            F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),
-            F.expr(f"max(value) FILTER (WHERE {inside}) AS whisker_high"),
-            F.expr(f"count_if(NOT ({inside})) AS n_fliers"),
-        )
-    )
+    if by:
+        quartiles = group_quantiles(rows, keys, "value", QUARTILES)
+        counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        boxes = stage(quartiles.join(counted, keys).selectExpr(*keys, "n", "q[0] AS q1", "q[1] AS median", "q[2] AS q3"))
+        rows = beside(rows, keys, boxes.drop("median")).drop("n")
+        q1, q3 = "q1", "q3"
+    else:
+        found = column_quantiles(rows, ["value"], QUARTILES).first()
+        q1, median, q3 = map(sql_double, found["q"] if found else [None] * 3)
+    fence = f"{t.IQR_FENCE}D * ({q3} - {q1})"
+    inside = f"value >= {q1} - {fence} AND value <= {q3} + {fence}"
+    measures = [
+        F.expr(f"min(value) FILTER (WHERE {inside}) AS whisker_low"),
+        F.expr(f"max(value) FILTER (WHERE {inside}) AS whisker_high"),
+        F.expr(f"count_if(NOT ({inside})) AS n_fliers"),
+    ]
+    if by:
+        out = boxes.join(rows.groupBy(*keys).agg(*measures), keys)
+    else:
+        out = rows.agg(F.expr("count(*) AS n"), *measures).filter("n > 0")
+        out = out.selectExpr("*", f"{q1} AS q1", f"{median} AS median", f"{q3} AS q3")
     return out.selectExpr(
-        *[f"{k} AS {quoted(c)}" for c, k in zip(by, keys)],
+        *[f"{k} AS {quoted(c)}" for c, k in zip(by, keys, strict=True)],
         "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_fliers",
     )
 

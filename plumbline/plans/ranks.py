@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import thresholds as t
-from plumbline.columns import sql_double
+from plumbline.columns import quoted, sql_double
+from plumbline.plans.groups import beside
 from plumbline.plans.per_column import wide_to_long
+from plumbline.session import stage
 
 
 def bucket_sql(bounds: list[float], value: str) -> str:
@@ -138,32 +140,38 @@ def _interpolated(found: DataFrame, by: list[str], places: int) -> DataFrame:
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact quantiles of ``value`` per group: ``by, q``. Rows with a missing value are left out.
+    """Exact quantiles of ``value`` per group: ``by, q``. Rows with a missing value or key are left out.
 
-    As :func:`column_quantiles`, with the brackets of each group joined to its rows. The
-    values of one bracket, about a hundredth of a group, are ordered in one task.
+    As :func:`column_quantiles`, with the brackets of each group next to its rows. A scan
+    makes sketches per group, merged in two levels. While a group's bracket holds more than
+    ``BRACKET_VALUES`` values, rows below it are counted and the values inside sketched again, by
+    parts, for such groups alone. At the end the values of one bracket are ordered in one
+    task: never more than that many, whatever the size of the group.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
-    part = F.expr(f"spark_partition_id() % {t.SKETCH_GROUPS}").alias("part")
-    sketches = rows.groupBy(*by, part).agg(F.expr(f"kll_sketch_agg_double(value, {t.SKETCH_SIZE}) AS s"))
+    keyed = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in by)
+    rows = df.select(*by, F.col(value).alias("value")).filter(f"value IS NOT NULL AND {keyed}")
     shares = ", ".join(sql_double(s) for s in [0.0, 1.0, *[end for p in probs for end in _ends(p)]])
-    marks = sketches.groupBy(*by).agg(F.expr("kll_merge_agg_double(s) AS s"))
+    marks = _group_sketches(rows, by, ["value"])
     marks = marks.selectExpr(
-        *by, "kll_sketch_get_n_double(s) AS n", f"kll_sketch_get_quantile_double(s, array({shares})) AS ends"
+        *map(quoted, by), "kll_sketch_get_n_double(s0) AS n",
+        f"kll_sketch_get_quantile_double(s0, array({shares})) AS ends",
     )
     few = f"n * {sql_double(t.RANK_MARGIN)} < 4"
     brackets = ", ".join(
         f"named_struct('place', {j}, 'rank', CAST(floor((n - 1) * {sql_double(p)}) AS BIGINT),"
         f" 'share', (n - 1) * {sql_double(p)} - floor((n - 1) * {sql_double(p)}),"
-        f" 'low', IF({few}, ends[0], ends[{2 + 2 * j}]), 'high', IF({few}, ends[1], ends[{3 + 2 * j}]))"
+        f" 'low', IF({few}, ends[0], ends[{2 + 2 * j}]), 'high', IF({few}, ends[1], ends[{3 + 2 * j}]),"
+        # Values that the bracket may hold, a half more than expected.
+        f" 'held', IF({few}, n, CAST(ceil(n * {sql_double(3 * t.RANK_MARGIN)}) AS BIGINT)))"
         for j, p in enumerate(probs)
     )
-    marks = marks.selectExpr(*by, f"array({brackets}) AS brackets")
-    touched = rows.join(marks, by).select(
+    marks = stage(marks.selectExpr(*map(quoted, by), "n", f"array({brackets}) AS brackets"))
+    marks = _narrowed(rows, by, marks, len(probs))
+    touched = beside(rows, by, marks).select(
         *by, F.expr("explode(filter(brackets, b -> value <= b.high)) AS b"), "value"
     )
     counted = (
-        touched.select(*by, "b.*", F.expr("IF(value < b.low, NULL, value) AS value"))
+        touched.select(*by, "b.place", "b.rank", "b.share", F.expr("IF(value < b.low, NULL, value) AS value"))
         .groupBy(*by, "place", "rank", "share", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -171,6 +179,57 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     return _interpolated(counted.withColumn("below", F.lit(0).cast("long")), by, len(probs))
 
 
+def _group_sketches(rows: DataFrame, by: list[str], cells: list[str], more: list[str] | None = None) -> DataFrame:
+    """``by, s0, s1 ...``: a sketch of each cell per group, merged in two levels; ``more`` are counts, summed."""
+    part = F.expr(f"spark_partition_id() % {t.SKETCH_GROUPS}").alias("part")
+    sketch = [F.expr(f"kll_sketch_agg_double({c}, {t.SKETCH_SIZE}) AS s{i}") for i, c in enumerate(cells)]
+    counts = [F.expr(f"{text} AS n{i}") for i, text in enumerate(more or [])]
+    merged = [F.expr(f"kll_merge_agg_double(s{i}) AS s{i}") for i in range(len(cells))]
+    summed = [F.expr(f"sum(n{i}) AS n{i}") for i in range(len(counts))]
+    return rows.groupBy(*by, part).agg(*sketch, *counts).groupBy(*by).agg(*merged, *summed)
+
+
+def _narrowed(rows: DataFrame, by: list[str], marks: DataFrame, places: int) -> DataFrame:
+    """``marks`` whose brackets hold at most ``BRACKET_VALUES`` values, or few heavy ones.
+
+    Only groups that are too wide are read again, and there are few: each has many times that
+    number of rows.
+    """
+    names = [quoted(k) for k in by]
+    # Sketches are asked for an even grid of values, of which two are the ends of a bracket.
+    steps = math.floor(1 / t.RANK_MARGIN)
+    grid = ", ".join(sql_double(i / steps) for i in range(steps + 1))
+    grids = [f"kll_sketch_get_quantile_double(s{j}, array({grid}))" for j in range(places)]
+    wide = f"exists(brackets, b -> b.held > {t.BRACKET_VALUES} AND b.held * {sql_double(t.RANK_MARGIN)} >= 4 AND b.low < b.high)"
+    while marks.filter(wide).limit(1).count():
+        inside = [f"value >= brackets[{j}].low AND value <= brackets[{j}].high" for j in range(places)]
+        cells = [f"IF({text}, value, NULL)" for text in inside]
+        counts = [f"count_if(value < brackets[{j}].low)" for j in range(places)]
+        counts += [f"count_if({text})" for text in inside]
+        found = _group_sketches(beside(rows, by, marks.filter(wide)), by, cells, counts)
+        again = []
+        for j in range(places):
+            b, below, held = f"brackets[{j}]", f"n{j}", f"n{places + j}"
+            at = f"(({b}.rank - {below}) / {held} * {steps})"
+            many = f"{held} > {t.BRACKET_VALUES} AND {held} * {sql_double(t.RANK_MARGIN)} >= 4"
+            new = [
+                f"g{j}[greatest(0, CAST(floor({at}) AS INT) - 1)]",
+                f"g{j}[least({steps}, CAST(ceil({at}) AS INT) + 1)]",
+            ]
+            low, high = f"IF({many}, {new[0]}, {b}.low)", f"IF({many}, {new[1]}, {b}.high)"
+            # A bracket that stays as it was holds few heavy values.
+            kept = f"{low} = {b}.low AND {high} = {b}.high"
+            count = f"CASE WHEN NOT ({many}) THEN {held} WHEN {kept} THEN 0L ELSE CAST(ceil({held} * 4.5D / {steps}) AS BIGINT) END"
+            again.append(
+                f"named_struct('place', {j}, 'rank', {b}.rank, 'share', {b}.share,"
+                f" 'low', {low}, 'high', {high}, 'held', {count})"
+            )
+        found = found.selectExpr("*", *[f"{text} AS g{j}" for j, text in enumerate(grids)]).join(marks.filter(wide), by)
+        found = found.selectExpr(*names, "n", f"array({', '.join(again)}) AS brackets")
+        marks = stage(marks.filter(f"NOT {wide}").unionByName(found))
+    return marks
+
+
 def order_statistics(df: DataFrame, value: str, targets: DataFrame) -> DataFrame:
     """``rank, value``: the value at each wanted 0-based rank of a column without missing values.
 

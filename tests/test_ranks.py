@@ -87,3 +87,58 @@ def test_group_summary_and_boxes(spark, rough):
         assert list(boxes[k])[1:] == pytest.approx(
             [len(values), q1, median, q3, inside.min(), inside.max(), len(values) - len(inside)]
         )
+
+
+@pytest.mark.parametrize("held", [3, 40, 5_000_000])
+@pytest.mark.parametrize("at_hand", [0, 4, 8192])
+def test_group_quantiles_narrow_their_brackets(spark, monkeypatch, rough, held, at_hand):
+    """Whatever is broadcast, whichever brackets are narrowed, and with infinite values."""
+    monkeypatch.setattr(thresholds, "BRACKET_VALUES", held)
+    monkeypatch.setattr(thresholds, "GROUPS_AT_HAND", max(1, at_hand))
+    frame = skewed_groups(3)
+    frame.loc[frame.index[:40], "value"] = np.inf
+    df = spark.createDataFrame(frame).repartition(4)
+    found = by(group_quantiles(df, ["k"], "value", PROBS[1:-1]), "k")
+    expected = frame.groupby("k")["value"].quantile(PROBS[1:-1]).unstack()
+    assert set(found) == set(expected.index)
+    for k in expected.index:
+        assert found[k]["q"] == pytest.approx(list(expected.loc[k].fillna(np.inf)))
+
+
+def test_narrowed_brackets_hold_few_values(spark, monkeypatch):
+    """One group of 300,000 values: no bracket keeps more than it may."""
+    from plumbline.plans import ranks
+
+    monkeypatch.setattr(thresholds, "BRACKET_VALUES", 500)
+    seen = []
+    keep = ranks._interpolated
+
+    def look(found, by_, places):
+        seen.append(found.filter("value IS NOT NULL").groupBy("k", "place").count().agg(F.max("count")).first()[0])
+        return keep(found, by_, places)
+
+    monkeypatch.setattr(ranks, "_interpolated", look)
+    df = spark.range(300_000).selectExpr("IF(id % 1000 = 0, 'cold', 'hot') AS k", "CAST(id * 7919 % 300007 AS DOUBLE) AS v")
+    found = by(group_quantiles(df, ["k"], "v", [0.25, 0.5]), "k")
+    expected = df.toPandas().groupby("k")["v"].quantile([0.25, 0.5]).unstack()
+    for k in ("hot", "cold"):
+        assert found[k]["q"] == pytest.approx(list(expected.loc[k]))
+    assert seen and max(seen) <= 500
+
+
+def test_boxes_never_broadcast_or_pair_rows(spark):
+    df = spark.range(2000).selectExpr("CAST(id % 37 AS DOUBLE) AS v", "id % 3 AS g")
+    for keys in (None, ["g"]):
+        plan = charts.box_stats(df, "v", keys)._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert charts.box_stats(df.filter("v < 0"), "v").collect() == []
+
+
+def test_boxes_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(thresholds, "GROUPS_AT_HAND", 5)
+    frame = skewed_groups(5)
+    df = spark.createDataFrame(frame).repartition(3)
+    found = by(charts.box_stats(df, "value", ["k"]), "k")
+    monkeypatch.setattr(thresholds, "GROUPS_AT_HAND", 8192)
+    assert found == by(charts.box_stats(df, "value", ["k"]), "k")
+    assert {k: r["n"] for k, r in found.items()} == frame.groupby("k").size().to_dict()
