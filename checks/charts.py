@@ -29,6 +29,42 @@ def histogram_bins(spark, sf_dir):
     return rounded(charts.histogram(table(spark, sf_dir, "events"), "value"))
 
 
+# Events whose value is infinite every now and then.
+UNBOUNDED = """(SELECT CASE user_id % 97 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE ELSE value END AS value,
+                       user_id FROM events)"""
+
+
+def unbounded(spark, sf_dir):
+    infinite = "CASE user_id % 97 WHEN 0 THEN double('inf') WHEN 1 THEN -double('inf') ELSE value END AS value"
+    return table(spark, sf_dir, "events").selectExpr(infinite, "user_id")
+
+
+@CHECKS.add(
+    "histogram_with_infinities",
+    "SELECT * FROM ("
+    + histogram_sql(f"(SELECT value FROM {UNBOUNDED} WHERE isfinite(value))", "value", "10")
+    + f""") UNION ALL
+        SELECT CASE WHEN value > 0 THEN 10 ELSE -1 END, CASE WHEN value > 0 THEN round(hi, 6) ELSE value END,
+               CASE WHEN value > 0 THEN value ELSE round(lo, 6) END, count(*)
+        FROM {UNBOUNDED}, (SELECT min(value) AS lo, max(value) AS hi FROM {UNBOUNDED} WHERE isfinite(value))
+        WHERE isinf(value) GROUP BY 1, 2, 3""",
+)
+def histogram_with_infinities(spark, sf_dir):
+    return rounded(charts.histogram(unbounded(spark, sf_dir), "value"))
+
+
+@CHECKS.add(
+    "scatter_grid_with_infinities",
+    f"""SELECT CASE WHEN isinf(value) THEN if(value > 0, 20, -1)
+                    ELSE least(floor((value - x0) / ((x1 - x0) / 20))::BIGINT, 19) END AS x_bin,
+               least(floor((user_id - y0) / ((y1 - y0) / 20))::BIGINT, 19) AS y_bin, count(*) AS count
+        FROM {UNBOUNDED}, (SELECT min(value) FILTER (WHERE isfinite(value)) AS x0, max(value) FILTER (WHERE isfinite(value)) AS x1,
+                                  min(user_id)::DOUBLE AS y0, max(user_id)::DOUBLE AS y1 FROM {UNBOUNDED}) GROUP BY 1, 2""",
+)
+def scatter_grid_with_infinities(spark, sf_dir):
+    return charts.scatter_grid(unbounded(spark, sf_dir), "value", "user_id")
+
+
 def box_sql(source: str, column: str, keys: list[str]) -> str:
     names = ", ".join(keys)
     lead = f"{names}, " if keys else ""

@@ -98,7 +98,10 @@ def leakage_hints(
     df: DataFrame, target: str, columns: list[str] | None = None,
     limit: float = LEAKAGE_CORRELATION,
 ) -> DataFrame:
-    """``column, correlation`` of numeric columns that nearly determine a numeric target."""
+    """``column, correlation`` of numeric columns that nearly determine a numeric target.
+
+    A column or target with an infinite value has no correlation, and gives no hint.
+    """
     df = present(df)
     target = require_numeric(df, target)
     others = [c for c in numeric_columns(df, columns) if c != target]
@@ -112,9 +115,9 @@ def leakage_hints(
 def _with_target(target: str, others: list[str]) -> list[str]:
     y = number(target)
     return [
-        f"try_divide(covar_samp({number(c)}, {y}),"
+        f"nanvl(try_divide(covar_samp({number(c)}, {y}),"
         f" stddev_samp({number(c)}) FILTER (WHERE {y} IS NOT NULL)"
-        f" * stddev_samp({y}) FILTER (WHERE {number(c)} IS NOT NULL))"
+        f" * stddev_samp({y}) FILTER (WHERE {number(c)} IS NOT NULL)), CAST(NULL AS DOUBLE))"
         for c in others
     ]
 

@@ -36,44 +36,66 @@ from plumbline.session import stage
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def _binned(rows: DataFrame, value: str, bins: int, lowest: float, highest: float) -> DataFrame:
-    """``bin, lower, upper, count`` of equal-width bins, empty ones included, the last closed."""
-    if lowest == highest:
+INFINITY = "double('infinity')"
+
+
+def _range(value: str) -> list[str]:
+    """SQL aggregates ``low, high``: the ends of the finite values."""
+    finite = f"FILTER (WHERE abs({value}) < {INFINITY})"
+    return [f"min({value}) {finite} AS low", f"max({value}) {finite} AS high"]
+
+
+def _place(value: str, bins: int, low: float, high: float) -> str:
+    """SQL for the bin of a value: 0 up to ``bins`` - 1, -1 and ``bins`` for the infinities."""
+    if low == high:
+        inner = "0L"
+    else:
+        width = sql_double((high - low) / bins)
+        inner = f"least(CAST(floor(({value} - {sql_double(low)}) / {width}) AS BIGINT), {bins - 1}L)"
+    return f"CASE WHEN {value} = -{INFINITY} THEN -1L WHEN {value} = {INFINITY} THEN {bins}L ELSE {inner} END"
+
+
+def _binned(rows: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
+    """``bin, lower, upper, count`` of equal-width bins, empty ones included, the last closed.
+
+    Infinite values, if any, are counted in bins of their own before and after.
+    """
+    if low == high:
         bins = 1
-    width = (highest - lowest) / bins
-    place = (
-        "0L"
-        if bins == 1
-        else f"least(CAST(floor(({value} - {sql_double(lowest)}) / {sql_double(width)}) AS BIGINT),"
-        f" {bins - 1}L)"
-    )
-    counted = rows.groupBy(F.expr(place).alias("bin")).agg(F.count(F.lit(1)).alias("found"))
-    # At most `bins` counted rows, as given by the caller.
+    width = (high - low) / bins
+    counted = rows.groupBy(F.expr(_place(value, bins, low, high)).alias("bin")).agg(F.count(F.lit(1)).alias("found"))
+    # At most two more counted rows than `bins`, as given by the caller.
     return (
-        rows.sparkSession.range(bins)
+        rows.sparkSession.range(-1, bins + 1)
         .withColumnRenamed("id", "bin")
         .join(F.broadcast(counted), "bin", "left")
+        .filter(f"bin BETWEEN 0 AND {bins - 1} OR found IS NOT NULL")
         .selectExpr(
             "bin",
-            f"{sql_double(lowest)} + bin * {sql_double(width)} AS lower",
-            f"IF(bin = {bins - 1}, {sql_double(highest)},"
-            f" {sql_double(lowest)} + (bin + 1) * {sql_double(width)}) AS upper",
+            f"CASE bin WHEN -1 THEN -{INFINITY} WHEN {bins} THEN {sql_double(high)}"
+            f" ELSE {sql_double(low)} + bin * {sql_double(width)} END AS lower",
+            f"CASE bin WHEN -1 THEN {sql_double(low)} WHEN {bins} THEN {INFINITY} WHEN {bins - 1} THEN {sql_double(high)}"
+            f" ELSE {sql_double(low)} + (bin + 1) * {sql_double(width)} END AS upper",
             "coalesce(found, 0L) AS count",
         )
     )
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """``bin, lower, upper, count`` over the range of a numeric column."""
+    """``bin, lower, upper, count`` over the finite range of a numeric column.
+
+    Bin -1 counts values of minus infinity and the bin after the last those of infinity;
+    neither is there without such values. A column without finite values is an error.
+    """
     if not 1 <= bins <= 100:
         raise ValueError("bins must lie between 1 and 100")
     df = present(df)
     value = number(require_numeric(df, column))
     rows = df.filter(f"{value} IS NOT NULL")
-    ends = rows.selectExpr(f"min({value}) AS lowest", f"max({value}) AS highest").first()
-    if ends["lowest"] is None:
-        raise ValueError(f"column {column!r} has no values")
-    return _binned(rows, value, bins, ends["lowest"], ends["highest"])
+    ends = rows.selectExpr(*_range(value)).first()
+    if ends["low"] is None:
+        raise ValueError(f"column {column!r} has no values that are finite")
+    return _binned(rows, value, bins, ends["low"], ends["high"])
 
 
 def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -138,24 +160,22 @@ def scatter_points(
 
 
 def scatter_grid(df: DataFrame, x: str, y: str, cells: int = 20) -> DataFrame:
-    """``x_bin, y_bin, count``: all points of a scatter chart, counted on a grid."""
+    """``x_bin, y_bin, count``: all points of a scatter chart, counted on a grid of the finite range.
+
+    Infinite coordinates lie in bin -1 or in the one after the last.
+    """
     df = present(df)
     vx, vy = number(require_numeric(df, x)), number(require_numeric(df, y))
-    rows = df.filter(f"{vx} IS NOT NULL AND {vy} IS NOT NULL")
-    ends = rows.selectExpr(
-        f"min({vx}) AS x0", f"max({vx}) AS x1", f"min({vy}) AS y0", f"max({vy}) AS y1"
-    ).first()
-
-    def place(value: str, low: float, high: float) -> str:
-        if low is None or low == high:
-            return "0L"
-        width = sql_double((high - low) / cells)
-        return f"least(CAST(floor(({value} - {sql_double(low)}) / {width}) AS BIGINT), {cells - 1}L)"
-
-    return rows.groupBy(
-        F.expr(place(vx, ends["x0"], ends["x1"])).alias("x_bin"),
-        F.expr(place(vy, ends["y0"], ends["y1"])).alias("y_bin"),
-    ).agg(F.count(F.lit(1)).alias("count"))
+    rows = df.filter(f"{vx} IS NOT NULL AND {vy} IS NOT NULL").selectExpr(f"{vx} AS vx", f"{vy} AS vy")
+    (x0, x1), (y0, y1) = (
+        rows.selectExpr(*_range("vx"), *[text.replace(" AS ", " AS y_") for text in _range("vy")])
+        .selectExpr("array(low, high) AS x", "array(y_low, y_high) AS y")
+        .first()
+    )
+    places = [_place(v, cells, *(ends if ends[0] is not None else (0.0, 0.0))) for v, ends in (("vx", (x0, x1)), ("vy", (y0, y1)))]
+    return rows.groupBy(F.expr(places[0]).alias("x_bin"), F.expr(places[1]).alias("y_bin")).agg(
+        F.count(F.lit(1)).alias("count")
+    )
 
 
 def _keys(df: DataFrame, x: str, hue: str | None) -> list[str]:
@@ -277,11 +297,11 @@ def comparison_chart(df: DataFrame, column: str, chart: str = "box") -> DataFram
     sides = {"with_outliers": every, "without_outliers": every.filter(f"NOT ({outlier})")}
     if chart == "histogram":
         ends = {
-            name: side.selectExpr("count(*) AS n", "min(value) AS low", "max(value) AS high").first()
+            name: side.selectExpr("count(*) AS n", *_range("value")).first()
             for name, side in sides.items()
         }
-        if not ends["with_outliers"]["n"]:
-            raise ValueError(f"column {column!r} has no values")
+        if any(end["low"] is None for end in ends.values()):
+            raise ValueError(f"column {column!r} has no values that are finite")
         bins = max(1, min(30, int(ends["with_outliers"]["n"] ** 0.5)))
         parts = {
             name: _binned(side, "value", bins, ends[name]["low"], ends[name]["high"])

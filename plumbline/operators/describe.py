@@ -191,13 +191,15 @@ def univariate(df: DataFrame, columns: list[str] | None = None, method: str = "b
 def _pair(x: str, y: str) -> tuple[str, str, str]:
     """SQL aggregates over the rows where both are present: count, covariance, correlation.
 
-    The correlation of a constant column is NULL.
+    The correlation of a constant column is NULL; so are both measures with an infinite value.
     """
     both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
     cov = f"covar_samp({x}, {y})"
     sd_x = f"stddev_samp({x}) FILTER (WHERE {y} IS NOT NULL)"
     sd_y = f"stddev_samp({y}) FILTER (WHERE {x} IS NOT NULL)"
-    return f"count_if({both})", cov, f"try_divide({cov}, {sd_x} * {sd_y})"
+    # NaN, from infinities, counts as missing.
+    known = "nanvl({}, CAST(NULL AS DOUBLE))".format
+    return f"count_if({both})", known(cov), known(f"try_divide({cov}, {sd_x} * {sd_y})")
 
 
 def bivariate_numeric(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -102,3 +102,20 @@ def test_one_summary_of_all_columns(spark):
     assert (found["t"]["kind"], found["t"]["mode"], found["t"]["n_missing"], found["t"]["mean"]) == ("categorical", "a", 1, None)
     for only in ("n", "t"):
         assert describe.univariate(df, [only]).columns == describe.univariate(df).columns
+
+
+def test_infinite_values_are_told_apart(spark):
+    inf = float("inf")
+    values = [(float(v), float(v % 7), inf if v == 5 else 1.0 * v) for v in range(60)]
+    df = spark.createDataFrame(values, "a double, b double, c double")
+    assert [r["column"] for r in advisories.leakage_hints(df.selectExpr("*", "2 * a AS twice"), "a").collect()] == ["twice"]
+    pair = describe.bivariate_numeric(df, "a", "c").first()
+    assert (pair["n_complete"], pair["correlation"], pair["covariance"]) == (60, None, None)
+    bins = {r["bin"]: r for r in charts.histogram(df, "c", 4).collect()}
+    assert set(bins) == {0, 1, 2, 3, 4} and bins[4]["upper"] == inf and bins[4]["count"] == 1
+    assert sum(bins[b]["count"] for b in range(4)) == 59 and bins[0]["lower"] == 0 and bins[3]["upper"] == 59
+    grid = charts.scatter_grid(df, "c", "b", 4).collect()
+    assert sum(r["count"] for r in grid) == 60 and [r["count"] for r in grid if r["x_bin"] == 4] == [1]
+    assert charts.scatter_grid(df.filter("c = 5"), "c", "b").collect() == []
+    with pytest.raises(ValueError, match="finite"):
+        charts.histogram(spark.createDataFrame([(inf,), (-inf,)], "v double"), "v")
