@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.base import PRICED, Checks, labelled, priced, rounded, table, union
-from plumbline.operators import advisories, outliers
+from plumbline.operators import advisories, missingness, outliers, subgroups
 
 CHECKS = Checks()
 
@@ -69,6 +69,149 @@ def leakage_hints(spark, sf_dir):
     return rounded(advisories.leakage_hints(lines, "net"))
 
 
+def cuts_sql(column: str, source: str, bins: int) -> str:
+    """The distinct cut points of a column, ascending."""
+    probs = ", ".join(repr(i / bins) for i in range(1, bins))
+    return f"(SELECT list_sort(list_distinct(quantile_cont({column}::DOUBLE, [{probs}]))) FROM {source})"
+
+
+def level_sql(column: str, source: str, bins: int) -> str:
+    cuts = cuts_sql(column, source, bins)
+    return f"len(list_filter({cuts}, lambda b: b <= {column}::DOUBLE))::VARCHAR"
+
+
+# A category, a number that goes up and down, and an identifier, each as a hint of the return flag.
+RETURNS = """(SELECT l_returnflag, l_linestatus, l_quantity, epoch_us(l_shipdate)::DOUBLE AS l_shipdate,
+    nullif(l_discount, 0) AS discount, l_returnflag || (l_orderkey % 3) AS category,
+    (CASE l_returnflag WHEN 'A' THEN 10.0 WHEN 'N' THEN 0.0 ELSE 20.0 END)
+        * (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) + l_discount AS wave,
+    l_orderkey || '-' || l_linenumber || '-' || l_partkey AS identifier FROM lineitem)"""
+
+
+def returns(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "nullif(l_discount, 0D) AS discount",
+        "concat(l_returnflag, l_orderkey % 3) AS category",
+        "(CASE l_returnflag WHEN 'A' THEN 10D WHEN 'N' THEN 0D ELSE 20D END)"
+        " * (CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) + l_discount AS wave",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS identifier",
+    )
+
+
+LEAK_LEVELS = {
+    "l_linestatus": "l_linestatus",
+    "l_quantity": level_sql("l_quantity", RETURNS, 8),
+    "l_shipdate": level_sql("l_shipdate", RETURNS, 8),
+    "discount": level_sql("discount", RETURNS, 8),
+    "category": "category",
+    "wave": level_sql("wave", RETURNS, 8),
+    "identifier": "identifier",
+}
+
+
+@CHECKS.add(
+    "leakage_scores",
+    "WITH cells AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN {c} IS NOT NULL THEN {level} END AS level, l_returnflag AS y, count(*) AS n
+            FROM {RETURNS} GROUP BY ALL"""
+        for c, level in LEAK_LEVELS.items()
+    )
+    + """), shares AS (SELECT l_returnflag AS y, count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1),
+       target AS (SELECT -sum(p * ln(p)) AS h FROM shares),
+       told AS (SELECT "column", sum(n * ln(n - 1 + p)) AS told, sum(n) AS rows FROM cells JOIN shares USING (y) GROUP BY 1),
+       spread AS (SELECT "column", count(*) AS n_levels, sum(n * ln(n)) AS spread
+                  FROM (SELECT "column", level, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY 1)
+       SELECT "column", n_levels, round(h, 6) AS target_entropy,
+              round(greatest(0, (spread - told) / rows), 6) AS conditional_entropy,
+              round(greatest(0, 1 - greatest(0, (spread - told) / rows) / h), 6) AS explained,
+              greatest(0, 1 - greatest(0, (spread - told) / rows) / h) >= 0.8 AS is_leak
+       FROM told JOIN spread USING ("column"), target""",
+)
+def leakage_scores(spark, sf_dir):
+    return rounded(advisories.leakage_scores(returns(spark, sf_dir), "l_returnflag", bins=8, exact=True))
+
+
+def _rule_level(column: str, cuts: int) -> str:
+    """The level of a numeric column in words."""
+    at = f"len(list_filter(q{cuts}, lambda b: b <= {column}))"
+    return f"""CASE {at} WHEN 0 THEN '{column} < ' || printf('%g', q{cuts}[1])
+        WHEN len(q{cuts}) THEN '{column} >= ' || printf('%g', q{cuts}[-1])
+        ELSE printf('%g', q{cuts}[{at}]) || ' <= {column} < ' || printf('%g', q{cuts}[{at} + 1]) END"""
+
+
+FLAG = "l_extendedprice > 60000 AND (l_returnflag = 'R' OR l_discount < 0.03)"
+
+
+@CHECKS.add(
+    "outlier_rules",
+    f"""WITH cuts AS (SELECT {cuts_sql("l_quantity", "lineitem", 4)} AS q2, {cuts_sql("l_discount", "lineitem", 4)} AS q3),
+        rows AS (SELECT row_number() OVER () AS id, {FLAG} AS flagged,
+            ['l_returnflag = ' || l_returnflag, 'l_linestatus = ' || l_linestatus,
+             {_rule_level("l_quantity", 2)}, {_rule_level("l_discount", 3)}] AS levels FROM lineitem, cuts),
+        items AS (SELECT id, flagged, c, levels[c] AS item FROM rows, range(1, 5) r(c)),
+        total AS (SELECT count(*) AS n, count_if(flagged) AS f FROM rows),
+        one AS (SELECT c, item, count(*) AS n, count_if(flagged) AS f FROM items GROUP BY ALL
+                HAVING count_if(flagged) >= (SELECT ceil(0.05 * f) FROM total)),
+        two AS (SELECT a.c AS c, a.item AS i, b.item AS j, count(*) AS n, count_if(a.flagged) AS f
+                FROM items a JOIN items b ON a.id = b.id AND a.c < b.c GROUP BY ALL
+                HAVING count_if(a.flagged) >= (SELECT ceil(0.05 * f) FROM total)),
+        better AS (SELECT i || ' and ' || j AS rule, 2 AS size, t.n, t.f FROM two t JOIN one a ON a.item = i JOIN one b ON b.item = j
+                   WHERE t.f / t.n > greatest(a.f / a.n, b.f / b.n))
+        SELECT rule, size, r.n AS n, r.f AS n_flagged, round(r.f / r.n, 6) AS share, round(r.f / t.f, 6) AS coverage,
+               round((r.f / r.n) / (t.f / t.n), 6) AS lift
+        FROM (SELECT item AS rule, 1 AS size, n, f FROM one UNION ALL SELECT * FROM better) r, total t
+        WHERE (r.f / r.n) / (t.f / t.n) >= 1.5""",
+)
+def outlier_rules(spark, sf_dir):
+    columns = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
+    return rounded(subgroups.flag_rules(table(spark, sf_dir, "lineitem"), FLAG, columns, bins=4, exact=True))
+
+
+GAPPY = """(SELECT nullif(l_discount, 0) AS discount, nullif(l_tax, 0) AS tax,
+    CASE WHEN l_discount = 0 OR l_quantity < 5 THEN NULL ELSE l_quantity END AS quantity,
+    CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS flag, l_orderkey FROM lineitem)"""
+
+
+def gappy(spark, sf_dir):
+    """Line items with missing values; a quantity is missing wherever a discount is."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "nullif(l_discount, 0D) AS discount", "nullif(l_tax, 0D) AS tax",
+        "IF(l_discount = 0 OR l_quantity < 5, NULL, l_quantity) AS quantity",
+        "IF(l_returnflag = 'R', NULL, l_returnflag) AS flag", "l_orderkey",
+    )
+
+
+MASKS = f"""masks AS (SELECT (discount IS NULL)::INT + 2 * (tax IS NULL)::INT + 4 * (quantity IS NULL)::INT
+                             + 8 * (flag IS NULL)::INT AS mask FROM {GAPPY}),
+            sets AS (SELECT s, count(*) AS n FROM masks, range(16) r(s) WHERE mask & s = s GROUP BY s)"""
+
+
+@CHECKS.add(
+    "missing_sets",
+    f"""WITH {MASKS}
+        SELECT array_to_string(list_filter(['discount', 'tax', 'quantity', 'flag'], lambda c, i: (s >> (i - 1)) & 1 = 1), ' + ') AS pattern,
+               bit_count(s::INT)::INT AS size, n AS n_rows, round(n / (SELECT count(*) FROM lineitem), 6) AS share
+        FROM sets a WHERE s > 0 AND n >= ceil(0.002 * (SELECT count(*) FROM lineitem))
+          AND NOT EXISTS (FROM sets b WHERE b.s <> a.s AND b.s & a.s = a.s AND b.n = a.n)""",
+)
+def missing_sets(spark, sf_dir):
+    return rounded(missingness.missing_sets(gappy(spark, sf_dir), least_share=0.002))
+
+
+@CHECKS.add(
+    "missing_dependence",
+    f"""WITH {MASKS}, names AS (SELECT i, ['discount', 'tax', 'quantity', 'flag'][i + 1] AS c, 1 << i AS s FROM range(4) r(i)),
+        total AS (SELECT count(*)::DOUBLE AS t FROM lineitem)
+        SELECT a.c AS col_a, b.c AS col_b, x.n AS n_a, y.n AS n_b, z.n AS n_both,
+               round((t * z.n - x.n::DOUBLE * y.n) / sqrt(x.n::DOUBLE * (t - x.n) * y.n * (t - y.n)), 6) AS phi
+        FROM names a JOIN names b ON a.i < b.i JOIN sets x ON x.s = a.s JOIN sets y ON y.s = b.s
+        JOIN sets z ON z.s = a.s + b.s, total""",
+)
+def missing_dependence(spark, sf_dir):
+    return rounded(missingness.missing_dependence(gappy(spark, sf_dir)))
+
+
 TEXTS = """(SELECT o_orderkey::VARCHAR AS as_number, strftime(o_orderdate, '%Y-%m-%d') AS as_date,
     CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_custkey::VARCHAR END AS mixed FROM orders)"""
 

@@ -17,17 +17,22 @@ from plumbline.columns import (
     require_numeric,
     resolve,
     resolve_all,
+    sql_double,
     sql_text,
 )
 from plumbline.functions.parsing import DOUBLE_TEXT
 from plumbline.operators.profile import column_profile
+from plumbline.plans.groups import beside
+from plumbline.plans.levels import column_levels
 from plumbline.plans.per_column import wide_to_long
+from plumbline.session import stage
 
 # Fixed values of the hints.
 IMBALANCE_SHARE = 0.7
 ID_UNIQUE_SHARE = 0.95
 MANY_CATEGORIES_SHARE = 0.5
 LEAKAGE_CORRELATION = 0.98
+LEAKAGE_EXPLAINED = 0.8  # a column that explains this share of the target's entropy
 UUID_PATTERN = "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 
 
@@ -112,6 +117,57 @@ def leakage_hints(
     return long.filter(f"abs(correlation) > {limit}D").select("column", "correlation")
 
 
+def leakage_scores(
+    df: DataFrame, target: str, columns: list[str] | None = None, bins: int = 32,
+    limit: float = LEAKAGE_EXPLAINED, exact: bool = False,
+) -> DataFrame:
+    """``column, n_levels, target_entropy, conditional_entropy, explained, is_leak`` of every column.
+
+    How much of the target's entropy (in nats) each column of any type explains, also where
+    the relation is neither linear nor monotone. Numbers are cut at ``bins`` quantiles, a
+    missing value is a level of its own, rows without a target are left out. The conditional
+    entropy is that of predicting every row from the others of its level, with the target's
+    shares as one row of prior: a level seen once explains nothing, so identifiers do not
+    look like leaks, as they would with plain counts. It never falls below 0; where a
+    column misleads, ``explained`` is 0. A target with one level has entropy 0 and NULL
+    in ``explained``. Cells of the contingency tables are counted in one scan, combined
+    in the task, and written; levels and target classes may be as many as there are rows.
+    """
+    df = present(df)
+    target = resolve(df, target)
+    kinds = families(df)
+    others = [c for c in resolve_all(df, columns) if c != target and kinds[c] != "other"]
+    if not others or kinds[target] == "other":
+        raise ValueError("leakage needs a target and another column whose values can be counted")
+    rows = df.filter(col(target).isNotNull())
+    levels = column_levels(rows, [target, *others], bins, exact)
+    listed = ", ".join(levels.texts[c] for c in others)
+    cells = stage(
+        rows.selectExpr(f"{levels.texts[target]} AS y", f"posexplode(array({listed})) AS (cid, level)")
+        .groupBy("cid", "level", "y")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    classes = cells.filter("cid = 0").groupBy("y").agg(F.sum("n").alias("n"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    classes = stage(classes.withColumn("share", F.col("n") / F.lit(float(max(1, total)))))
+    entropy = classes.agg(-F.sum(F.col("share") * F.log("share"))).first()[0] or 0.0
+    told = beside(cells.withColumnRenamed("n", "found"), ["y"], classes).groupBy("cid").agg(
+        F.sum(F.col("found") * F.log(F.col("found") - 1 + F.col("share"))).alias("told")
+    )
+    spread = (
+        cells.groupBy("cid", "level").agg(F.sum("n").alias("n"))
+        .groupBy("cid").agg(F.count(F.lit(1)).alias("n_levels"), F.sum(F.col("n") * F.log("n")).alias("spread"))
+    )
+    names = ", ".join(sql_text(c) for c in others)
+    # One row per column on either side.
+    return told.join(F.broadcast(spread), "cid").selectExpr(
+        f"array({names})[cid] AS column", "n_levels", f"{sql_double(entropy)} AS target_entropy",
+        f"greatest(0D, (spread - told) / {total}) AS conditional_entropy",
+    ).selectExpr(
+        "*", "IF(target_entropy > 0, greatest(0D, 1 - conditional_entropy / target_entropy), NULL) AS explained"
+    ).selectExpr("*", f"coalesce(explained >= {sql_double(limit)}, false) AS is_leak")
+
+
 def _with_target(target: str, others: list[str]) -> list[str]:
     y = number(target)
     return [

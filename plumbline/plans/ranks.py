@@ -133,7 +133,7 @@ def _interpolated(found: DataFrame, by: list[str], places: int) -> DataFrame:
         *by,
         "place",
         "CASE WHEN low IS NULL OR (share > 0 AND high IS NULL) THEN CAST(raise_error('rank outside its bracket') AS DOUBLE)"
-        " WHEN share = 0 THEN low ELSE low * (1 - share) + high * share END AS value",
+        " WHEN share = 0 OR low = high THEN low ELSE low * (1 - share) + high * share END AS value",
     )
     wanted = [F.expr(f"max(IF(place = {j}, value, NULL))") for j in range(places)]
     return found.groupBy(*by).agg(F.array(*wanted).alias("q"))
