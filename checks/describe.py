@@ -200,3 +200,25 @@ CORRELATED = ["l_quantity", "l_extendedprice", "discount", "tax"]
 def correlation_matrix(spark, sf_dir):
     """Each pair uses the rows where both are present."""
     return rounded(describe.correlation_matrix(priced(spark, sf_dir), CORRELATED))
+
+
+# Sixteen columns, most with missing values: more pairs than one aggregate holds.
+WIDE = {
+    f"v{k}": f"CASE WHEN (l_orderkey + {k}) % {k + 3} = 0 AND {k} > 2 THEN NULL"
+    f" ELSE l_extendedprice * {k + 1} % 1009 + l_quantity * {k} END"
+    for k in range(16)
+}
+
+
+@CHECKS.add(
+    "correlation_wide",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_complete,
+                   round(corr({a}, {b}), 6) AS correlation
+            FROM (SELECT {', '.join(f'{text} AS {c}' for c, text in WIDE.items())} FROM lineitem)"""
+        for i, a in enumerate(WIDE) for b in list(WIDE)[i + 1 :]
+    ),
+)
+def correlation_wide(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").selectExpr(*[f"{text} AS {c}" for c, text in WIDE.items()])
+    return rounded(describe.correlation_pairs(lines))

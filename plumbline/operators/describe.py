@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -30,6 +31,7 @@ from plumbline.operators.outliers import (
 )
 from plumbline.operators.profile import column_measures, distinct_of
 from plumbline.plans.frequency import NUMERIC_VALUE, countable, text_key, value_frequencies
+from plumbline.plans.gram import pair_sums
 from plumbline.plans.per_column import pin, wide_to_long
 from plumbline.plans.ranks import group_quantiles
 
@@ -311,7 +313,9 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     Each pair uses the rows complete in it; a column that is constant there gives NULL.
     A first scan finds mean, range and missing values of each column. A second sums
     products of deviations from the means: one sum per pair of columns without missing
-    values, a few conditional ones for any other pair. Neither moves rows.
+    values, a few conditional ones for any other pair. Neither moves rows. More than
+    ``PAIRS_PER_SCAN`` pairs are summed as products of blocks of rows (:mod:`plumbline.plans.gram`),
+    in one scan for up to ``gram.PANEL`` columns; that needs numpy and pyarrow.
     """
     df = present(df)
     columns = numeric_columns(df, columns)
@@ -334,11 +338,23 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
         )
         for i, c in enumerate(columns)
     }
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        part = _pair_sums(df, pairs[start : start + PAIRS_PER_SCAN], facts)
-        out = part if out is None else out.unionByName(part)
-    return out
+    if len(pairs) <= PAIRS_PER_SCAN:
+        return _pair_sums(df, pairs, facts)
+    if not first["n"]:
+        return df.sparkSession.createDataFrame(
+            [(a, b, 0, None) for a, b in pairs], "col_a string, col_b string, n_complete long, correlation double"
+        )
+    # A column with an infinity has no deviations: its presence is counted, its range is 0.
+    means = [first[f"avg_{i}"] for i in range(len(columns))]
+    cells = [
+        facts[c].deviation if mean is not None and math.isfinite(mean) else f"IF({quoted(c)} IS NULL, NULL, 0D)"
+        for c, mean in zip(columns, means, strict=True)
+    ]
+    names = f"array({', '.join(map(sql_text, columns))})"
+    return pair_sums(df, cells).selectExpr(
+        f"{names}[i] AS col_a", f"{names}[j] AS col_b", "n AS n_complete",
+        f"IF(varies, {_correlation('n', 'sx', 'sy', 'sxy', 'sxx', 'syy')}, NULL) AS correlation",
+    )
 
 
 @dataclass(frozen=True)
