@@ -1,9 +1,12 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
 Every token is predicted from the words on both sides. Frequent words are classes of
-their own; all others fall into hashed classes whose words share the probability by
-their counts in the corpus. The classes are as many as the root of the distinct words,
-or CLASSES if that is more. Tasks train on their own documents and the weights are averaged.
+their own; all others fall into hashed classes, whose words share the probability by
+their counts in the corpus. Classes grow as the root of the distinct words. The softmax is
+hierarchical: a group of classes, then a class in the group, each normalised exactly, so a
+token costs twice the root of the classes. Documents are dealt by a hash into shards,
+whose number the corpus alone decides; each shard trains from the same start, and the
+weights are averaged.
 """
 
 from __future__ import annotations
@@ -24,23 +27,31 @@ from plumbline.session import stage
 
 OFFSETS = (-2, -1, 1, 2)
 EDGE = max(abs(o) for o in OFFSETS)
-CLASSES = 256  # at least: three in four for a frequent word each, the others hashed, the last for the edge of a text
+CLASSES = 1024  # at least: three in four for a frequent word each, the others hashed, the last for the edge of a text
 HIDDEN = 16
 ROUNDS = 2  # over all documents; each token is predicted in one of them
 RATE = 0.2
-STEP = 256  # tokens of a training step
-CHUNK = 1024  # tokens scored at once
+STEPS = 256, 4096  # the fewest and the most tokens of a training step
+STEPS_OF_SHARD = 256  # the steps that a shard should have at least, while steps are large enough
+CHUNK = 16_384  # tokens scored at once
 COUNTED = 200_000  # distinct words that a task counts before it hands them on
+SHARD_TOKENS = 4_000_000  # the corpus has a shard for so many
 
 CACHED = 50_000  # words whose counts every task holds; those of the others are joined
 BLOCK = 100_000  # texts among which a task drops copies before the join
+NONE = -30.0  # the bias of a class that is never a target
 
 
-def sizes(classes: int) -> list[tuple[int, ...]]:
-    return [(len(OFFSETS), classes, HIDDEN), (HIDDEN, classes), (classes,)]
+def groups(classes: int) -> tuple[int, int]:
+    """How many groups the classes have, and how many classes a group; class c is number c % m of group c // m."""
+    g = math.isqrt(classes - 1) + 1
+    return g, -(-classes // g)
 
 
-SIZES = sizes(CLASSES)
+def sizes(classes: int) -> list[tuple[int, ...]]:
+    """Embeddings by offset; weights and bias of groups; weights and bias of the classes of each group."""
+    g, m = groups(classes)
+    return [(len(OFFSETS), classes, HIDDEN), (HIDDEN, g), (g,), (g, HIDDEN, m), (g, m)]
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,30 +81,50 @@ class Vocabulary:
     def __init__(self, size: int, frequent: list[tuple[bytes, int]], hashed: dict[int, int], cached: list, cached_from: int):
         self.size, self.frequent, self.cached_from = size, size * 3 // 4, cached_from
         self.classes = {w: i for i, (w, _) in enumerate(frequent)}
-        self.logs = {w: math.log(n) for w, n, _ in cached if w not in self.classes}
-        self.classes |= {w: self.hashed(h) for w, _, h in cached if w in self.logs}
+        own = len(self.classes)
+        shared = [(w, n, h) for w, n, h in cached if w not in self.classes]
+        self.classes |= {w: self.hashed(h) for w, _, h in shared}
+        # Words by number: those with a class of their own, then the cached ones, then one for all others.
+        self.numbers = {w: i for i, w in enumerate(self.classes)}
+        self.class_of = np.array([*self.classes.values(), 0], np.int64)
+        self.log_of = np.array([0.0] * own + [math.log(n) for _, n, _ in shared] + [0.0])
         self.within = np.zeros(size, np.float64)
-        n = np.ones(size)
+        n = np.zeros(size)
         n[: len(frequent)] += [count for _, count in frequent]
         for c, tokens in hashed.items():
             self.within[c] = -np.log(tokens)
             n[c] += tokens
-        n[size - 1] = 1e-9
-        self.start = np.log(n / n.sum()).astype(np.float32)
+        n[:-1] += 1  # the edge is never a target
+        self.start = self._biases(n)
+
+    def _biases(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log shares of groups, and of classes in their group."""
+        g, m = groups(self.size)
+        held = np.zeros(g * m)
+        held[: self.size] = n
+        held = held.reshape(g, m)
+        total = held.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inner = np.where(held > 0, np.log(held / total), NONE)
+            outer = np.where(total > 0, np.log(total / held.sum()), NONE)
+        return outer.ravel().astype(np.float32), inner.astype(np.float32)
 
     def hashed(self, value: int) -> int:
         """The class of a word without its own, by its hash."""
         return self.frequent + value % (self.size - self.frequent - 1)
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words, known = words_of(text), self.classes
-        return np.fromiter(
-            (known[w] if w in known else self.hashed(xxhash.xxh32_intdigest(w)) for w in words), np.int64, len(words)
-        )
+    def known(self, words: list[bytes]) -> tuple[np.ndarray, float]:
+        """The classes of a text's words, and the sum of the logs of the counts of the cached ones."""
+        other = len(self.numbers)
+        get = self.numbers.get
+        at = np.array([get(w, other) for w in words], np.int64)
+        found = self.class_of[at]
+        rest = np.flatnonzero(at == other)
+        found[rest] = [self.hashed(xxhash.xxh32_intdigest(words[i])) for i in rest]
+        return found, float(self.log_of[at].sum())
 
-    def cached_logs(self, text: str | None) -> float:
-        """The sum of the logs of the counts of the text's cached words."""
-        return sum(self.logs[w] for w in words_of(text) if w in self.logs)
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.known(words_of(text))[0]
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -106,19 +137,20 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     """Classes from the word counts over all documents.
 
     The driver sees the frequent words, ``CACHED`` words, a row per class, and how many
-    words have each count: as many rows as the root of the tokens.
+    words have about each count: sixteen rows for a doubling of the count.
     """
     counts = counted(docs) if counts is None else counts
-    held = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    size = max(CLASSES, math.isqrt(sum(words for _, words in held)))
+    about = F.floor(F.log2("n") * 16).alias("about")
+    held = counts.groupBy(about).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    size = max(CLASSES, 4 * math.isqrt(sum(r["words"] for r in held)))
     own = size * 3 // 4
     above, floor, cached_from = 0, 1, 2**62
-    for n, words in held:
+    for r in sorted(held, key=lambda r: -r["n"]):
         if above < own:
-            floor = n
-        above += words
+            floor = r["n"]
+        above += r["words"]
         if above <= CACHED:
-            cached_from = n
+            cached_from = r["n"]
     top = counts.filter(F.col("n") >= floor).orderBy(F.desc("n"), "word").limit(own).select("word", "n").collect()
     rest = counts
     if top:
@@ -132,71 +164,140 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
         size,
         [(bytes(r["word"]), r["n"]) for r in top],
         {r["place"]: r["n"] for r in hashed},
-        [(bytes(r["word"]), r["n"], r["hash"]) for r in cached],
+        sorted((bytes(r["word"]), r["n"], r["hash"]) for r in cached),
         cached_from,
     )
 
 
+def _key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """``doc_id, key, n_tokens, logs, ids``: each text as the classes of its words, written.
+
+    ``key`` is a digest of the words, ``logs`` the summed logs of the counts of the cached ones.
+    """
+    kind = np.uint16 if words.size <= 1 << 16 else np.uint32
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for piece in _slices(batch):
+                made = []
+                for doc_id, text in zip(piece["doc_id"], piece["text"], strict=True):
+                    own = words_of(text)
+                    ids, logs = words.known(own)
+                    made.append((doc_id, _key(own), len(ids), logs, ids.astype(kind).tobytes()))
+                frame = pd.DataFrame(made, columns=["doc_id", "key", "n_tokens", "logs", "ids"])
+                yield frame.astype({"doc_id": "Int64"})
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return stage(texts.mapInPandas(rows, "doc_id long, key binary, n_tokens long, logs double, ids binary"))
+
+
 def initial(words: Vocabulary) -> np.ndarray:
-    """Small fixed random weights; the bias starts at the words' frequencies."""
+    """Small fixed random weights; the biases start at the words' frequencies."""
     random = np.random.default_rng(10)
-    parts = [random.normal(0, 0.1, s).astype(np.float32).ravel() for s in sizes(words.size)[:2]]
-    return np.concatenate([*parts, words.start])
+    drawn = [random.normal(0, 0.1, s).astype(np.float32) for s in sizes(words.size)]
+    drawn[2], drawn[4] = words.start
+    return np.concatenate([part.ravel() for part in drawn])
 
 
-def parts(flat: np.ndarray) -> list[np.ndarray]:
-    """The flat weights as embeddings by offset, output weights and bias (views)."""
+def parts(flat: np.ndarray, classes: int) -> list[np.ndarray]:
+    """The flat weights in the shapes of :func:`sizes` (views)."""
     out, at = [], 0
-    for s in sizes(len(flat) // (len(OFFSETS) * HIDDEN + HIDDEN + 1)):
-        n = int(np.prod(s))
+    for s in sizes(classes):
+        n = math.prod(s)
         out.append(flat[at : at + n].reshape(s))
         at += n
     return out
 
 
 def hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hidden values of the tokens at ``at``, a column each."""
     total = weights[0][0][ids[at + OFFSETS[0]]]
     for k, offset in enumerate(OFFSETS[1:], 1):
-        total = total + weights[0][k][ids[at + offset]]
-    return np.tanh(total)
+        total += weights[0][k][ids[at + offset]]
+    return np.tanh(np.ascontiguousarray(total.T))
 
 
-def scores_of(weights: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-    """Scores of all classes, the largest of a token at 0."""
-    scores = h @ weights[1]
-    scores += weights[2]
-    scores -= scores.max(axis=1, keepdims=True)
+def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The probabilities of the choices, in rows, for each token, in columns."""
+    scores = weights.T @ h
+    scores += bias[:, None]
+    scores -= scores.max(axis=0)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=0)
     return scores
 
 
-def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+def _log_share(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log probability of the chosen row of each token."""
+    scores = weights.T @ h
+    scores += bias[:, None]
+    scores -= scores.max(axis=0)
+    own = scores[chosen, np.arange(len(chosen))].astype(np.float64)
+    np.exp(scores, out=scores)
+    return own - np.log(scores.sum(axis=0))
+
+
+def _by_group(own: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of tokens by group, their groups and members in it, and the (group, start, end) of each."""
+    g, m = groups(classes)
+    order = np.argsort((own // m).astype(np.uint16 if g < 1 << 16 else np.int64), kind="stable")
+    group, member = np.divmod(own[order], m)
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    starts = [0, *cuts.tolist()]
+    return order, group, member, [(int(group[i]), i, j) for i, j in zip(starts, [*starts[1:], len(own)], strict=True)]
+
+
+def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray, classes: int) -> None:
     """One step of adaptive gradient descent on the tokens at ``at``, in place."""
-    weights, sums = parts(flat), parts(squares)
+    if not len(at):
+        return
+    weights, sums = parts(flat, classes), parts(squares, classes)
+    order, group, member, spans = _by_group(ids[at], classes)
+    at = at[order]
     h = hidden(weights, ids, at)
-    error = scores_of(weights, h)
-    np.exp(error, out=error)
-    error /= error.sum(axis=1, keepdims=True)
-    error[np.arange(len(at)), ids[at]] -= 1
-    error /= len(at)
-    inner = (error @ weights[1].T) * (1 - h * h)
-    for part, g in ((1, h.T @ error), (2, error.sum(axis=0))):
-        sums[part] += g * g
-        weights[part] -= RATE * g / np.sqrt(sums[part])
-    for k, offset in enumerate(OFFSETS):  # only classes that were seen have a gradient
-        seen, row = np.unique(ids[at + offset], return_inverse=True)
-        g = np.zeros((len(seen), HIDDEN), flat.dtype)
-        np.add.at(g, row, inner)
-        total = sums[0][k][seen] + g * g
-        sums[0][k][seen] = total
-        weights[0][k][seen] -= RATE * g / np.sqrt(total)
-
-
-def _joined(words: Vocabulary, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(at)
+
+    def descend(part: int, g: np.ndarray, where=...) -> None:
+        total = sums[part][where]
+        total = total + g * g
+        sums[part][where] = total
+        weights[part][where] -= RATE * g / np.sqrt(total)
+
+    error = _softmax(weights[1], weights[2], h)
+    error[group, np.arange(n)] -= 1
+    error /= n
+    inner = weights[1] @ error
+    descend(1, h @ error.T)
+    descend(2, error.sum(axis=1))
+    for g, start, end in spans:
+        own = h[:, start:end]
+        error = _softmax(weights[3][g], weights[4][g], own)
+        error[member[start:end], np.arange(end - start)] -= 1
+        error /= n
+        inner[:, start:end] += weights[3][g] @ error
+        descend(3, own @ error.T, g)
+        descend(4, error.sum(axis=1), g)
+    inner *= 1 - h * h
+    inner = inner.astype(np.float64)
+    for k, offset in enumerate(OFFSETS):
+        near = ids[at + offset]
+        seen = np.flatnonzero(np.bincount(near, minlength=classes))  # only classes that were seen have a gradient
+        place = np.zeros(classes, np.int64)
+        place[seen] = np.arange(len(seen))
+        near = place[near]
+        total = np.stack([np.bincount(near, row, len(seen)) for row in inner], axis=1)
+        descend(0, total.astype(flat.dtype), (k, seen))
+
+
+def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of all texts with edges between them; the place and the text of each token."""
-    edge = np.full(EDGE, words.size - 1, np.int64)
+    edge = np.full(EDGE, size - 1, np.int64)
     pieces, places, owners, at = [edge], [], [], EDGE
-    for i, text in enumerate(texts):
-        own = words.ids(text)
+    for i, own in enumerate(texts):
         pieces += [own, edge]
         places.append(np.arange(at, at + len(own)))
         owners.append(np.full(len(own), i))
@@ -205,72 +306,127 @@ def _joined(words: Vocabulary, texts: Iterator[str | None]) -> tuple[np.ndarray,
     return np.concatenate(pieces), np.concatenate([empty, *places]), np.concatenate([empty, *owners])
 
 
-def _slices(batch: pd.DataFrame, characters: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _slices(batch: pd.DataFrame, column: str = "text", characters: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """A batch in pieces of bounded text, so that long texts don't pile up."""
-    size = batch["text"].str.len().fillna(0).cumsum().to_numpy(dtype="int64") // characters
+    size = batch[column].str.len().fillna(0).cumsum().to_numpy(dtype="int64") // characters
     for _, piece in batch.groupby(size, sort=True):
         yield piece
 
 
+def _ids(size: int, held) -> Iterator[np.ndarray]:
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    return (np.frombuffer(ids, kind).astype(np.int64) for ids in held)
+
+
 def targets(at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """The tokens to predict in a round of training: over all rounds, every token once."""
     return at[turn::rounds]
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` rounds: every task trains on its documents from the same start,
+def shards_of(tokens: int) -> tuple[int, int]:
+    """The number of shards of a corpus, and the tokens of a training step."""
+    shards = max(1, tokens // SHARD_TOKENS)
+    return shards, min(max(tokens // shards // STEPS_OF_SHARD, STEPS[0]), STEPS[1])
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``shard, ids`` of encoded texts, by shard and in an order that their ids and words alone decide."""
+    spot = F.xxhash64("doc_id", "key")
+    shard = F.pmod(spot, F.lit(shards)).cast("int")
+    cut = rows.filter("n_tokens > 0").select(shard.alias("shard"), spot.alias("spot"), "ids")
+    return stage(cut.repartition("shard").sortWithinPartitions("shard", "spot", "ids").select("shard", "ids"))
+
+
+def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rows: DataFrame | None = None) -> np.ndarray:
+    """Weights after ``rounds`` rounds: every shard trains on its documents from the same start,
     then weights are averaged by the tokens they have seen, in the tasks and by a sum.
-    Every token is a target in exactly one round."""
-    flat = initial(words)
+    Every token is a target in exactly one round. Neither tasks nor partitions matter; rows
+    that are equal in doc_id and words share a shard. ``rows`` are the encoded documents."""
+    flat, size = initial(words), words.size
+    if not rounds:
+        return flat
+    rows = encoded(docs, words) if rows is None else rows
+    shards, size_of_step = shards_of(rows.agg(F.sum("n_tokens")).first()[0] or 0)
+    texts = dealt(rows, shards)
+
+    def packed(seen: float, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"seen": [seen], "weights": [total.tobytes()]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, total = 0.0, None
+        for batch in batches:
+            for n, w in zip(batch["seen"], batch["weights"], strict=True):
+                w = np.frombuffer(w, np.float64)
+                seen, total = seen + n, w.copy() if total is None else total + w
+        if total is not None:
+            yield packed(seen, total)
+
     for turn in range(rounds):
         start = flat
 
         def learn(batches: Iterator[pd.DataFrame], start=start, turn=turn) -> Iterator[pd.DataFrame]:
-            own, squares, seen = start.copy(), np.full_like(start, 1e-4), 0
-            for batch in batches:
-                for piece in _slices(batch):
-                    ids, at, _ = _joined(words, piece["text"])
-                    at = targets(at, turn, rounds)
-                    for i in range(0, len(at), STEP):
-                        train_step(own, squares, ids, at[i : i + STEP])
-                    seen += len(at)
-            if seen:
-                yield pd.DataFrame({"seen": [float(seen)], "weights": [(own.astype(np.float64) * seen).tobytes()]})
-
-        def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen, total = 0.0, None
+            """A sum over the shards of a task; a shard lies in one task, and its rows together."""
+            shard = own = squares = total = None
+            seen, all_seen = 0, 0.0
+            held: list[np.ndarray] = []  # texts wait until there are a few whole steps
+            waiting = 0
+
+            def steps() -> None:
+                nonlocal held, waiting, seen
+                ids, at, _ = _joined(size, held)
+                at = targets(at, turn, rounds)
+                for i in range(0, len(at), size_of_step):
+                    train_step(own, squares, ids, at[i : i + size_of_step], size)
+                seen, held, waiting = seen + len(at), [], 0
+
+            def close() -> None:
+                nonlocal total, all_seen
+                steps()
+                weighted = own.astype(np.float64) * seen
+                total = weighted if total is None else total + weighted
+                all_seen += seen
+
             for batch in batches:
-                for n, w in zip(batch["seen"], batch["weights"], strict=True):
-                    w = np.frombuffer(w, np.float64)
-                    seen, total = seen + n, w if total is None else total + w
-            if total is not None:
-                yield pd.DataFrame({"place": np.arange(-1, len(total)), "value": np.concatenate([[seen], total])})
-
-        trained = stage(docs.select("text").mapInPandas(learn, "seen double, weights binary"))
-        sums = trained.mapInPandas(added, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-        found = {r["place"]: r["value"] for r in sums.collect()}  # as many as the network has weights
-        if not found:
+                for number, ids in zip(batch["shard"], _ids(size, batch["ids"]), strict=True):
+                    if number != shard:
+                        if shard is not None:
+                            close()
+                        shard, own, squares, seen = number, start.copy(), np.full_like(start, 1e-4), 0
+                    held.append(ids)
+                    waiting += len(ids)
+                    if waiting >= 8 * size_of_step * rounds:
+                        steps()
+            if shard is not None:
+                close()
+                yield packed(all_seen, total)
+
+        trained = stage(texts.mapInPandas(learn, "seen double, weights binary"))
+        some = max(1, math.isqrt(texts.sparkSession.sparkContext.defaultParallelism))
+        sums = trained.repartition(some).mapInPandas(added, trained.schema).coalesce(1).mapInPandas(added, trained.schema)
+        found = sums.first()  # one row, as large as the network
+        if found is None:
             break
-        flat = (np.array([found[i] for i in range(len(flat))]) / found[-1]).astype(np.float32)
+        flat = (np.frombuffer(found["weights"], np.float64) / max(1.0, found["seen"])).astype(np.float32)
     return flat
 
 
 def log_probabilities(words: Vocabulary, flat: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log probability of every token at ``at`` given both sides, without the log of the
     count of a word that shares its class."""
-    weights = parts(flat)
-    out = np.empty(len(at))
-    for i in range(0, len(at), CHUNK):
-        here = at[i : i + CHUNK]
-        scores = scores_of(weights, hidden(weights, ids, here))
-        own = scores[np.arange(len(here)), ids[here]]
-        np.exp(scores, out=scores)
-        out[i : i + CHUNK] = own - np.log(scores.sum(axis=1))
-    return out + words.within[ids[at]]
+    return _log_probabilities(parts(flat, words.size), words.size, words.within, ids, at)
 
 
-def _key(text: str | None) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words_of(text)))
+def _log_probabilities(weights: list[np.ndarray], size: int, within: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at))
+    for i in range(0, len(at), CHUNK):
+        order, group, member, spans = _by_group(ids[at[i : i + CHUNK]], size)
+        here = at[i : i + CHUNK][order]
+        h = hidden(weights, ids, here)
+        found = _log_share(weights[1], weights[2], h, group)
+        for g, start, end in spans:
+            found[start:end] += _log_share(weights[3][g], weights[4][g], h[:, start:end], member[start:end])
+        out[i + order] = found
+    return out + within[ids[at]]
 
 
 def joined_logs(docs: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
@@ -287,19 +443,20 @@ def joined_logs(docs: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFr
             for piece in _slices(batch):
                 rows = []
                 for text in piece["text"]:
-                    key = _key(text)
+                    own = words_of(text)
+                    key = _key(own)
                     if key in sent:
                         continue
                     if len(sent) == BLOCK:
                         block, sent = block + 1, set()
                     sent.add(key)
-                    rows += [(block, key, w, n) for w, n in Counter(w for w in words_of(text) if w not in known).items()]
+                    rows += [(block, key, w, n) for w, n in Counter(w for w in own if w not in known).items()]
                 yield pd.DataFrame(rows, columns=["block", "key", "word", "uses"])
 
     uses = docs.select("text").mapInPandas(rare, "block long, key binary, word binary, uses long")
     counts = counts.filter((F.col("n") > 1) & (F.col("n") < words.cached_from)).select("word", "n")
     logs = F.sum(F.col("uses") * F.log("n")).alias("logs")
-    sums = uses.join(counts, "word").groupBy("block", "key").agg(logs).groupBy("key").agg(F.max("logs").alias("logs"))
+    sums = uses.join(counts, "word").groupBy("block", "key").agg(logs).groupBy("key").agg(F.max("logs").alias("rare_logs"))
     return stage(sums)
 
 
@@ -310,32 +467,27 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     given the two words on both sides: that of its class, and in a class of several words
     its share of the class's occurrences in ``docs``. ``mean_log_prob`` is per word and null without
     words, as for null and empty texts, whose ``log_prob`` is 0. Words are those between
-    white space with A-Z lowered. Repeated rows get equal answers. Other columns are not
-    read. No rows give no rows.
+    white space with A-Z lowered. Repeated rows get equal answers; how rows are spread over
+    partitions changes no answer but in its last digits. Other columns are not read. No
+    rows give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     counts = counted(texts)
     words = vocabulary(texts, counts)
-    flat = train(texts, words, rounds)
+    rows = encoded(texts, words)
+    flat = train(texts, words, rounds, rows)
+    size, within = words.size, words.within
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = parts(flat, size)
         for batch in batches:
-            for piece in _slices(batch):
-                ids, at, owner = _joined(words, piece["text"])
-                logs = log_probabilities(words, flat, ids, at)
-                n = np.bincount(owner, minlength=len(piece))
-                total = np.bincount(owner, logs, minlength=len(piece))
-                yield pd.DataFrame(
-                    {
-                        "doc_id": piece["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None),
-                        "n_tokens": n,
-                        "total": total + [words.cached_logs(t) for t in piece["text"]],
-                        "key": [_key(t) for t in piece["text"]],
-                    }
-                )
+            for piece in _slices(batch, "ids"):
+                ids, at, owner = _joined(size, _ids(size, piece["ids"]))
+                total = np.bincount(owner, _log_probabilities(weights, size, within, ids, at), len(piece))
+                yield piece[["doc_id", "key", "n_tokens"]].assign(total=total + piece["logs"])
 
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
-    rows = texts.mapInPandas(scored, "doc_id long, n_tokens long, total double, key binary")
-    rows = rows.join(joined_logs(texts, counts, words), "key", "left")
-    log_prob = (F.col("total") + F.coalesce("logs", F.lit(0.0))).alias("log_prob")
-    return rows.select("doc_id", "n_tokens", log_prob).select("*", mean)
+    found = rows.mapInPandas(scored, "doc_id long, key binary, n_tokens long, total double")
+    found = found.join(joined_logs(texts, counts, words), "key", "left")
+    log_prob = (F.col("total") + F.coalesce("rare_logs", F.lit(0.0))).alias("log_prob")
+    return found.select("doc_id", "n_tokens", log_prob).select("*", mean)

@@ -262,16 +262,18 @@ def test_scores_against_one_token_at_a_time(spark):
     vocabulary = pseudo.vocabulary(docs)
     flat = pseudo.train(docs, vocabulary)
     found = {r["doc_id"]: r for r in table(pseudo.score(docs))}
-    e, u, b = pseudo.parts(flat.astype(np.float64))
+    e, top, top_bias, low, low_bias = pseudo.parts(flat.astype(np.float64), vocabulary.size)
+    share = lambda s, own: s[own] - np.log(np.exp(s).sum())
     for d, t in texts:
         ids = vocabulary.ids(t).tolist()
         total = 0.0
         for i, own in enumerate(ids):
             h = np.zeros(pseudo.HIDDEN)
             for k, o in enumerate(pseudo.OFFSETS):
-                h += e[k][ids[i + o] if 0 <= i + o < len(ids) else pseudo.CLASSES - 1]
-            s = np.tanh(h) @ u + b
-            total += s[own] - np.log(np.exp(s).sum()) + vocabulary.within[own]
+                h += e[k][ids[i + o] if 0 <= i + o < len(ids) else vocabulary.size - 1]
+            g, m = divmod(own, pseudo.groups(vocabulary.size)[1])
+            total += share(np.tanh(h) @ top + top_bias, g) + share(np.tanh(h) @ low[g] + low_bias[g], m)
+            total += vocabulary.within[own]
         assert found[d]["n_tokens"] == len(ids)
         assert found[d]["log_prob"] == pytest.approx(total, abs=1e-2)
     assert found[3]["mean_log_prob"] is None
@@ -281,6 +283,7 @@ def test_words_count_within_their_class(spark, monkeypatch):
     """A word of a class of several has its own share of the class, whether its count is cached or joined."""
     rng = random.Random(11)
     many = sorted(set(words(rng, 900)))
+    monkeypatch.setattr(pseudo, "CLASSES", 256)
     texts = [(i, " ".join(rng.choices(many, [1 / (j + 1) for j in range(len(many))], k=150))) for i in range(40)]
     texts += [(100 + i, texts[0][1]) for i in range(5)] + [(None, texts[0][1]), (200, None)]
     docs = frame(spark, texts).repartition(4)
@@ -289,14 +292,14 @@ def test_words_count_within_their_class(spark, monkeypatch):
         monkeypatch.setattr(pseudo, "CACHED", cached)
         vocabulary = pseudo.vocabulary(docs)
         of = {w: int(vocabulary.ids(w.decode())[0]) for w in n}
-        assert vocabulary.size == pseudo.CLASSES and max(Counter(of.values()).values()) > 1
+        assert vocabulary.size == 256 and max(Counter(of.values()).values()) > 1
         total = Counter()
         for w, c in of.items():
             total[c] += n[w]
         weights = pseudo.initial(vocabulary)
         found = {r["doc_id"]: r["log_prob"] for r in table(pseudo.score(docs, rounds=0))}
         for d, text in texts:
-            ids, at, _ = pseudo._joined(vocabulary, [text])
+            ids, at, _ = pseudo._joined(vocabulary.size, [vocabulary.ids(text)])
             plain = pseudo.log_probabilities(vocabulary, weights, ids, at) - vocabulary.within[ids[at]]
             share = sum(np.log(n[w] / total[of[w]]) for w in (text or "").encode().split())
             assert found[d] == pytest.approx(plain.sum() + share, abs=1e-6)
@@ -305,8 +308,39 @@ def test_words_count_within_their_class(spark, monkeypatch):
 def test_classes_grow_with_the_words(spark):
     docs = frame(spark, [(i, " ".join(f"w{j}" for j in range(i * 30_000, i * 30_000 + 30_000))) for i in range(3)])
     vocabulary = pseudo.vocabulary(docs)
-    assert vocabulary.size == 300 and len(vocabulary.classes) >= 225
-    assert len(pseudo.initial(vocabulary)) == sum(int(np.prod(s)) for s in pseudo.sizes(300))
+    assert vocabulary.size == 1200 and len(vocabulary.classes) >= 900
+    assert len(pseudo.initial(vocabulary)) == sum(int(np.prod(s)) for s in pseudo.sizes(1200))
+
+
+@pytest.mark.parametrize("classes", [2, 3, 16, 17, 300, 1024])
+def test_probabilities_of_all_classes_add_to_one(classes):
+    g, m = pseudo.groups(classes)
+    assert g * m >= classes and (g - 1) * m < classes
+    rng = np.random.default_rng(4)
+    flat = rng.normal(0, 0.5, sum(int(np.prod(s)) for s in pseudo.sizes(classes)))
+    weights = pseudo.parts(flat, classes)
+    ids = np.concatenate([[1, 0], np.arange(classes), [0, 1]])
+    total = 0.0
+    for c in range(g * m):
+        ids[2] = c % classes
+        h = pseudo.hidden(weights, np.where(np.arange(len(ids)) == 2, 0, ids), np.array([2]))
+        top, low = h.T @ weights[1] + weights[2], h.T @ weights[3][c // m] + weights[4][c // m]
+        share = lambda s, own: np.exp(s[0, own]) / np.exp(s).sum()
+        total += share(top, c // m) * share(low, c % m)
+        if c < classes:
+            logs = pseudo._log_probabilities(weights, classes, np.zeros(classes), ids, np.array([2]))
+            h = pseudo.hidden(weights, ids, np.array([2]))
+            top, low = h.T @ weights[1] + weights[2], h.T @ weights[3][c // m] + weights[4][c // m]
+            assert logs[0] == pytest.approx(np.log(share(top, c // m) * share(low, c % m)))
+    assert total == pytest.approx(1)
+
+
+def test_partitions_do_not_matter(spark):
+    """Shards are dealt by a hash, so the same documents give the same weights from 2 and from 7 partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("doc_id < 80")
+    a, b = ({r["doc_id"]: r["log_prob"] for r in table(pseudo.score(docs.repartition(n)))} for n in (2, 7))
+    assert a == pytest.approx(b, rel=1e-6)
+    assert pseudo.shards_of(0) == (1, 256) and pseudo.shards_of(10**9) == (250, 4096)
 
 
 def test_every_token_is_a_target_once():
@@ -318,19 +352,20 @@ def test_every_token_is_a_target_once():
 
 def test_gradient():
     rng = np.random.default_rng(1)
-    size = sum(int(np.prod(s)) for s in pseudo.SIZES)
+    classes = 50
+    size = sum(int(np.prod(s)) for s in pseudo.sizes(classes))
     flat = rng.normal(0, 0.3, size)
-    ids, at = rng.integers(0, pseudo.CLASSES, 40), np.arange(2, 38)
+    ids, at = rng.integers(0, classes, 40), np.arange(2, 38)
 
     def loss(w):
-        s = pseudo.scores_of(pseudo.parts(w), pseudo.hidden(pseudo.parts(w), ids, at))
-        return -(s[np.arange(len(at)), ids[at]] - np.log(np.exp(s).sum(axis=1))).mean()
+        return -pseudo._log_probabilities(pseudo.parts(w, classes), classes, np.zeros(classes), ids, at).mean()
 
     squares = np.zeros(size)
     before = flat.copy()
-    pseudo.train_step(flat, squares, ids, at)
+    with np.errstate(invalid="ignore"):
+        pseudo.train_step(flat, squares, ids, at, classes)
     gradient = np.sqrt(squares) * np.sign(before - flat)
-    for i in rng.choice(np.flatnonzero(squares > 1e-10), 20, replace=False):
+    for i in rng.choice(np.flatnonzero(squares > 1e-10), 60, replace=False):
         step = np.zeros(size)
         step[i] = 1e-5
         assert gradient[i] == pytest.approx((loss(before + step) - loss(before - step)) / 2e-5, rel=1e-3, abs=1e-8)
@@ -341,9 +376,10 @@ def test_training_helps_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     learned, held = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1").toPandas()
     vocabulary = pseudo.vocabulary(learned)
-    ids, at, _ = pseudo._joined(vocabulary, held["text"])
+    ids, at, _ = pseudo._joined(vocabulary.size, map(vocabulary.ids, held["text"]))
     plain = pseudo.initial(vocabulary).copy()
-    plain[: -pseudo.CLASSES] = 0
+    for i in (0, 1, 3):  # all but the biases
+        pseudo.parts(plain, vocabulary.size)[i][...] = 0
     trained = pseudo.train(learned, vocabulary)
     mean = lambda w: pseudo.log_probabilities(vocabulary, w, ids, at).mean()
     assert mean(trained) > mean(plain) + 0.05
