@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,6 @@ COUNTED = 200_000  # distinct words that a task counts before it hands them on
 SHARD_TOKENS = 4_000_000  # the corpus has a shard for so many
 
 CACHED = 50_000  # words whose counts every task holds; those of the others are joined
-BLOCK = 100_000  # texts among which a task drops copies before the join
 NONE = -30.0  # the bias of a class that is never a target
 
 
@@ -49,9 +47,9 @@ def groups(classes: int) -> tuple[int, int]:
 
 
 def sizes(classes: int) -> list[tuple[int, ...]]:
-    """Embeddings by offset; weights and bias of groups; weights and bias of the classes of each group."""
+    """Embeddings by offset; weights of groups; weights of the classes of each group. The last row of weights is the bias."""
     g, m = groups(classes)
-    return [(len(OFFSETS), classes, HIDDEN), (HIDDEN, g), (g,), (g, HIDDEN, m), (g, m)]
+    return [(len(OFFSETS), classes, HIDDEN), (HIDDEN + 1, g), (g, HIDDEN + 1, m)]
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,15 +111,16 @@ class Vocabulary:
         """The class of a word without its own, by its hash."""
         return self.frequent + value % (self.size - self.frequent - 1)
 
-    def known(self, words: list[bytes]) -> tuple[np.ndarray, float]:
-        """The classes of a text's words, and the sum of the logs of the counts of the cached ones."""
+    def known(self, words: list[bytes]) -> tuple[np.ndarray, float, list[bytes]]:
+        """The classes of a text's words, the sum of the logs of the counts of the cached ones, and the other words."""
         other = len(self.numbers)
         get = self.numbers.get
         at = np.array([get(w, other) for w in words], np.int64)
         found = self.class_of[at]
         rest = np.flatnonzero(at == other)
-        found[rest] = [self.hashed(xxhash.xxh32_intdigest(words[i])) for i in rest]
-        return found, float(self.log_of[at].sum())
+        others = [words[i] for i in rest]
+        found[rest] = [self.hashed(xxhash.xxh32_intdigest(w)) for w in others]
+        return found, float(self.log_of[at].sum()), others
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.known(words_of(text))[0]
@@ -169,14 +168,11 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     )
 
 
-def _key(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
-
-
 def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """``doc_id, key, n_tokens, logs, ids``: each text as the classes of its words, written.
+    """``row, doc_id, n_tokens, logs, ids, others``: each text as the classes of its words, written.
 
-    ``key`` is a digest of the words, ``logs`` the summed logs of the counts of the cached ones.
+    ``row`` is unique, ``logs`` the summed logs of the counts of the cached words; ``others``, the
+    words that are neither cached nor a class of their own, are joined by spaces.
     """
     kind = np.uint16 if words.size <= 1 << 16 else np.uint32
 
@@ -185,21 +181,21 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
             for piece in _slices(batch):
                 made = []
                 for doc_id, text in zip(piece["doc_id"], piece["text"], strict=True):
-                    own = words_of(text)
-                    ids, logs = words.known(own)
-                    made.append((doc_id, _key(own), len(ids), logs, ids.astype(kind).tobytes()))
-                frame = pd.DataFrame(made, columns=["doc_id", "key", "n_tokens", "logs", "ids"])
+                    ids, logs, others = words.known(words_of(text))
+                    made.append((doc_id, len(ids), logs, ids.astype(kind).tobytes(), b" ".join(others)))
+                frame = pd.DataFrame(made, columns=["doc_id", "n_tokens", "logs", "ids", "others"])
                 yield frame.astype({"doc_id": "Int64"})
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return stage(texts.mapInPandas(rows, "doc_id long, key binary, n_tokens long, logs double, ids binary"))
+    made = texts.mapInPandas(rows, "doc_id long, n_tokens long, logs double, ids binary, others binary")
+    return stage(made.withColumn("row", F.monotonically_increasing_id()))
 
 
 def initial(words: Vocabulary) -> np.ndarray:
     """Small fixed random weights; the biases start at the words' frequencies."""
     random = np.random.default_rng(10)
     drawn = [random.normal(0, 0.1, s).astype(np.float32) for s in sizes(words.size)]
-    drawn[2], drawn[4] = words.start
+    drawn[1][-1], drawn[2][:, -1] = words.start
     return np.concatenate([part.ravel() for part in drawn])
 
 
@@ -214,27 +210,27 @@ def parts(flat: np.ndarray, classes: int) -> list[np.ndarray]:
 
 
 def hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The hidden values of the tokens at ``at``, a column each."""
+    """The hidden values of the tokens at ``at``, a column each, and a 1 for the bias."""
     total = weights[0][0][ids[at + OFFSETS[0]]]
     for k, offset in enumerate(OFFSETS[1:], 1):
         total += weights[0][k][ids[at + offset]]
-    return np.tanh(np.ascontiguousarray(total.T))
+    out = np.ones((HIDDEN + 1, len(at)), total.dtype)
+    np.tanh(total.T, out=out[:-1])
+    return out
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _softmax(weights: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The probabilities of the choices, in rows, for each token, in columns."""
     scores = weights.T @ h
-    scores += bias[:, None]
     scores -= scores.max(axis=0)
     np.exp(scores, out=scores)
     scores /= scores.sum(axis=0)
     return scores
 
 
-def _log_share(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def _log_share(weights: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The log probability of the chosen row of each token."""
     scores = weights.T @ h
-    scores += bias[:, None]
     scores -= scores.max(axis=0)
     own = scores[chosen, np.arange(len(chosen))].astype(np.float64)
     np.exp(scores, out=scores)
@@ -260,29 +256,31 @@ def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.nd
     at = at[order]
     h = hidden(weights, ids, at)
     n = len(at)
+    tokens = np.arange(n)
 
     def descend(part: int, g: np.ndarray, where=...) -> None:
-        total = sums[part][where]
-        total = total + g * g
+        g /= n
+        total = sums[part][where] + g * g
         sums[part][where] = total
-        weights[part][where] -= RATE * g / np.sqrt(total)
+        g *= RATE
+        g /= np.sqrt(total, out=total)
+        weights[part][where] -= g
 
-    error = _softmax(weights[1], weights[2], h)
-    error[group, np.arange(n)] -= 1
-    error /= n
+    error = _softmax(weights[1], h)
+    error[group, tokens] -= 1
     inner = weights[1] @ error
-    descend(1, h @ error.T)
-    descend(2, error.sum(axis=1))
-    for g, start, end in spans:
-        own = h[:, start:end]
-        error = _softmax(weights[3][g], weights[4][g], own)
-        error[member[start:end], np.arange(end - start)] -= 1
-        error /= n
-        inner[:, start:end] += weights[3][g] @ error
-        descend(3, own @ error.T, g)
-        descend(4, error.sum(axis=1), g)
-    inner *= 1 - h * h
-    inner = inner.astype(np.float64)
+    outer = h @ error.T
+    lower = np.zeros((len(spans), *weights[2].shape[1:]), flat.dtype)
+    for i, (g, start, end) in enumerate(spans):
+        own, w = h[:, start:end], weights[2][g]
+        error = _softmax(w, own)
+        error[member[start:end], tokens[: end - start]] -= 1
+        inner[:, start:end] += w @ error
+        lower[i] = own @ error.T
+    descend(1, outer)
+    descend(2, lower, [g for g, _, _ in spans])
+    inner *= 1 - h * h  # the row of the bias is 0
+    inner = inner[:-1].astype(np.float64)
     for k, offset in enumerate(OFFSETS):
         near = ids[at + offset]
         seen = np.flatnonzero(np.bincount(near, minlength=classes))  # only classes that were seen have a gradient
@@ -330,8 +328,8 @@ def shards_of(tokens: int) -> tuple[int, int]:
 
 
 def dealt(rows: DataFrame, shards: int) -> DataFrame:
-    """``shard, ids`` of encoded texts, by shard and in an order that their ids and words alone decide."""
-    spot = F.xxhash64("doc_id", "key")
+    """``shard, ids`` of encoded texts, by shard and in an order that their doc_ids and classes alone decide."""
+    spot = F.xxhash64("doc_id", "ids")
     shard = F.pmod(spot, F.lit(shards)).cast("int")
     cut = rows.filter("n_tokens > 0").select(shard.alias("shard"), spot.alias("spot"), "ids")
     return stage(cut.repartition("shard").sortWithinPartitions("shard", "spot", "ids").select("shard", "ids"))
@@ -341,7 +339,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rows: DataFr
     """Weights after ``rounds`` rounds: every shard trains on its documents from the same start,
     then weights are averaged by the tokens they have seen, in the tasks and by a sum.
     Every token is a target in exactly one round. Neither tasks nor partitions matter; rows
-    that are equal in doc_id and words share a shard. ``rows`` are the encoded documents."""
+    that are equal in doc_id and classes share a shard. ``rows`` are the encoded documents."""
     flat, size = initial(words), words.size
     if not rounds:
         return flat
@@ -401,7 +399,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rows: DataFr
                 yield packed(all_seen, total)
 
         trained = stage(texts.mapInPandas(learn, "seen double, weights binary"))
-        some = max(1, math.isqrt(texts.sparkSession.sparkContext.defaultParallelism))
+        some = math.isqrt(shards)  # a task adds up as many weights of others as there are sums to add then
         sums = trained.repartition(some).mapInPandas(added, trained.schema).coalesce(1).mapInPandas(added, trained.schema)
         found = sums.first()  # one row, as large as the network
         if found is None:
@@ -422,42 +420,24 @@ def _log_probabilities(weights: list[np.ndarray], size: int, within: np.ndarray,
         order, group, member, spans = _by_group(ids[at[i : i + CHUNK]], size)
         here = at[i : i + CHUNK][order]
         h = hidden(weights, ids, here)
-        found = _log_share(weights[1], weights[2], h, group)
+        found = _log_share(weights[1], h, group)
         for g, start, end in spans:
-            found[start:end] += _log_share(weights[3][g], weights[4][g], h[:, start:end], member[start:end])
+            found[start:end] += _log_share(weights[2][g], h[:, start:end], member[start:end])
         out[i + order] = found
     return out + within[ids[at]]
 
 
-def joined_logs(docs: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
-    """``key, logs``: the summed logs of the counts of a text's words that are not cached.
+def joined_logs(rows: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """``row, joined``: the summed logs of the counts of a text's words that are not cached.
 
-    Words seen once add nothing. A task sends the words of equal texts once in a block,
-    and of the equal sums of several blocks one is taken.
+    Words seen once add nothing. A word that is not cached has less than one in ``CACHED`` of
+    all tokens, however its text is copied, so none is a hot key.
     """
-    known = words.classes
-
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, sent = TaskContext.get().partitionId() << 24, set()
-        for batch in batches:
-            for piece in _slices(batch):
-                rows = []
-                for text in piece["text"]:
-                    own = words_of(text)
-                    key = _key(own)
-                    if key in sent:
-                        continue
-                    if len(sent) == BLOCK:
-                        block, sent = block + 1, set()
-                    sent.add(key)
-                    rows += [(block, key, w, n) for w, n in Counter(w for w in own if w not in known).items()]
-                yield pd.DataFrame(rows, columns=["block", "key", "word", "uses"])
-
-    uses = docs.select("text").mapInPandas(rare, "block long, key binary, word binary, uses long")
-    counts = counts.filter((F.col("n") > 1) & (F.col("n") < words.cached_from)).select("word", "n")
-    logs = F.sum(F.col("uses") * F.log("n")).alias("logs")
-    sums = uses.join(counts, "word").groupBy("block", "key").agg(logs).groupBy("key").agg(F.max("logs").alias("rare_logs"))
-    return stage(sums)
+    split = F.split(F.col("others").cast("string"), " ")
+    uses = rows.filter("octet_length(others) > 0").select("row", F.explode(split).alias("word"))
+    counts = counts.filter((F.col("n") > 1) & (F.col("n") < words.cached_from))
+    logs = counts.select(F.col("word").cast("string"), F.log("n").alias("log"))
+    return uses.join(logs, "word").groupBy("row").agg(F.sum("log").alias("joined"))
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -484,10 +464,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             for piece in _slices(batch, "ids"):
                 ids, at, owner = _joined(size, _ids(size, piece["ids"]))
                 total = np.bincount(owner, _log_probabilities(weights, size, within, ids, at), len(piece))
-                yield piece[["doc_id", "key", "n_tokens"]].assign(total=total + piece["logs"])
+                yield piece[["row", "doc_id", "n_tokens"]].assign(total=total + piece["logs"])
 
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
-    found = rows.mapInPandas(scored, "doc_id long, key binary, n_tokens long, total double")
-    found = found.join(joined_logs(texts, counts, words), "key", "left")
-    log_prob = (F.col("total") + F.coalesce("rare_logs", F.lit(0.0))).alias("log_prob")
+    found = rows.select("row", "doc_id", "n_tokens", "logs", "ids").mapInPandas(
+        scored, "row long, doc_id long, n_tokens long, total double"
+    )
+    found = found.join(joined_logs(rows, counts, words), "row", "left")
+    log_prob = (F.col("total") + F.coalesce("joined", F.lit(0.0))).alias("log_prob")
     return found.select("doc_id", "n_tokens", log_prob).select("*", mean)

@@ -262,7 +262,7 @@ def test_scores_against_one_token_at_a_time(spark):
     vocabulary = pseudo.vocabulary(docs)
     flat = pseudo.train(docs, vocabulary)
     found = {r["doc_id"]: r for r in table(pseudo.score(docs))}
-    e, top, top_bias, low, low_bias = pseudo.parts(flat.astype(np.float64), vocabulary.size)
+    e, top, low = pseudo.parts(flat.astype(np.float64), vocabulary.size)
     share = lambda s, own: s[own] - np.log(np.exp(s).sum())
     for d, t in texts:
         ids = vocabulary.ids(t).tolist()
@@ -272,7 +272,8 @@ def test_scores_against_one_token_at_a_time(spark):
             for k, o in enumerate(pseudo.OFFSETS):
                 h += e[k][ids[i + o] if 0 <= i + o < len(ids) else vocabulary.size - 1]
             g, m = divmod(own, pseudo.groups(vocabulary.size)[1])
-            total += share(np.tanh(h) @ top + top_bias, g) + share(np.tanh(h) @ low[g] + low_bias[g], m)
+            h = np.append(np.tanh(h), 1)
+            total += share(h @ top, g) + share(h @ low[g], m)
             total += vocabulary.within[own]
         assert found[d]["n_tokens"] == len(ids)
         assert found[d]["log_prob"] == pytest.approx(total, abs=1e-2)
@@ -324,13 +325,13 @@ def test_probabilities_of_all_classes_add_to_one(classes):
     for c in range(g * m):
         ids[2] = c % classes
         h = pseudo.hidden(weights, np.where(np.arange(len(ids)) == 2, 0, ids), np.array([2]))
-        top, low = h.T @ weights[1] + weights[2], h.T @ weights[3][c // m] + weights[4][c // m]
+        top, low = h.T @ weights[1], h.T @ weights[2][c // m]
         share = lambda s, own: np.exp(s[0, own]) / np.exp(s).sum()
         total += share(top, c // m) * share(low, c % m)
         if c < classes:
             logs = pseudo._log_probabilities(weights, classes, np.zeros(classes), ids, np.array([2]))
             h = pseudo.hidden(weights, ids, np.array([2]))
-            top, low = h.T @ weights[1] + weights[2], h.T @ weights[3][c // m] + weights[4][c // m]
+            top, low = h.T @ weights[1], h.T @ weights[2][c // m]
             assert logs[0] == pytest.approx(np.log(share(top, c // m) * share(low, c % m)))
     assert total == pytest.approx(1)
 
@@ -378,8 +379,8 @@ def test_training_helps_held_out_documents(spark):
     vocabulary = pseudo.vocabulary(learned)
     ids, at, _ = pseudo._joined(vocabulary.size, map(vocabulary.ids, held["text"]))
     plain = pseudo.initial(vocabulary).copy()
-    for i in (0, 1, 3):  # all but the biases
-        pseudo.parts(plain, vocabulary.size)[i][...] = 0
+    near, top, low = pseudo.parts(plain, vocabulary.size)
+    near[...], top[:-1], low[:, :-1] = 0, 0, 0  # all but the biases
     trained = pseudo.train(learned, vocabulary)
     mean = lambda w: pseudo.log_probabilities(vocabulary, w, ids, at).mean()
     assert mean(trained) > mean(plain) + 0.05
