@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ CLASSES = 1024  # at least: three in four for a frequent word each, the others h
 HIDDEN = 16
 ROUNDS = 2  # over all documents; each token is predicted in one of them
 RATE = 0.2
-STEPS = 256, 4096  # the fewest and the most tokens of a training step
-STEPS_OF_SHARD = 256  # the steps that a shard should have at least, while steps are large enough
+STEPS = 256, 8192  # the fewest and the most tokens of a training step
+STEPS_OF_SHARD = 128  # the steps that a shard should have at least, while steps are large enough
 CHUNK = 16_384  # tokens scored at once
 COUNTED = 200_000  # distinct words that a task counts before it hands them on
 SHARD_TOKENS = 4_000_000  # the corpus has a shard for so many
@@ -84,7 +85,7 @@ class Vocabulary:
         self.classes |= {w: self.hashed(h) for w, _, h in shared}
         # Words by number: those with a class of their own, then the cached ones, then one for all others.
         self.numbers = {w: i for i, w in enumerate(self.classes)}
-        self.class_of = np.array([*self.classes.values(), 0], np.int64)
+        self.class_of = np.array([*self.classes.values(), 0], np.int32)
         self.log_of = np.array([0.0] * own + [math.log(n) for _, n, _ in shared] + [0.0])
         self.within = np.zeros(size, np.float64)
         n = np.zeros(size)
@@ -114,8 +115,7 @@ class Vocabulary:
     def known(self, words: list[bytes]) -> tuple[np.ndarray, float, list[bytes]]:
         """The classes of a text's words, the sum of the logs of the counts of the cached ones, and the other words."""
         other = len(self.numbers)
-        get = self.numbers.get
-        at = np.array([get(w, other) for w in words], np.int64)
+        at = np.fromiter(map(self.numbers.get, words, repeat(other)), np.int32, len(words))
         found = self.class_of[at]
         rest = np.flatnonzero(at == other)
         others = [words[i] for i in rest]
@@ -141,7 +141,7 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     counts = counted(docs) if counts is None else counts
     about = F.floor(F.log2("n") * 16).alias("about")
     held = counts.groupBy(about).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
-    size = max(CLASSES, 4 * math.isqrt(sum(r["words"] for r in held)))
+    size = max(CLASSES, 2 * math.isqrt(sum(r["words"] for r in held)))
     own = size * 3 // 4
     above, floor, cached_from = 0, 1, 2**62
     for r in sorted(held, key=lambda r: -r["n"]):
@@ -284,7 +284,7 @@ def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.nd
     for k, offset in enumerate(OFFSETS):
         near = ids[at + offset]
         seen = np.flatnonzero(np.bincount(near, minlength=classes))  # only classes that were seen have a gradient
-        place = np.zeros(classes, np.int64)
+        place = np.zeros(classes, np.intp)
         place[seen] = np.arange(len(seen))
         near = place[near]
         total = np.stack([np.bincount(near, row, len(seen)) for row in inner], axis=1)
@@ -293,7 +293,7 @@ def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.nd
 
 def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of all texts with edges between them; the place and the text of each token."""
-    edge = np.full(EDGE, size - 1, np.int64)
+    edge = np.full(EDGE, size - 1, np.int32)
     pieces, places, owners, at = [edge], [], [], EDGE
     for i, own in enumerate(texts):
         pieces += [own, edge]
@@ -301,7 +301,7 @@ def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndar
         owners.append(np.full(len(own), i))
         at += len(own) + EDGE
     empty = np.empty(0, np.int64)
-    return np.concatenate(pieces), np.concatenate([empty, *places]), np.concatenate([empty, *owners])
+    return np.concatenate(pieces, dtype=np.int32), np.concatenate([empty, *places]), np.concatenate([empty, *owners])
 
 
 def _slices(batch: pd.DataFrame, column: str = "text", characters: int = 4_000_000) -> Iterator[pd.DataFrame]:
@@ -313,7 +313,7 @@ def _slices(batch: pd.DataFrame, column: str = "text", characters: int = 4_000_0
 
 def _ids(size: int, held) -> Iterator[np.ndarray]:
     kind = np.uint16 if size <= 1 << 16 else np.uint32
-    return (np.frombuffer(ids, kind).astype(np.int64) for ids in held)
+    return (np.frombuffer(ids, kind) for ids in held)
 
 
 def targets(at: np.ndarray, turn: int, rounds: int) -> np.ndarray:

@@ -306,11 +306,12 @@ def test_words_count_within_their_class(spark, monkeypatch):
             assert found[d] == pytest.approx(plain.sum() + share, abs=1e-6)
 
 
-def test_classes_grow_with_the_words(spark):
+def test_classes_grow_with_the_words(spark, monkeypatch):
+    monkeypatch.setattr(pseudo, "CLASSES", 256)
     docs = frame(spark, [(i, " ".join(f"w{j}" for j in range(i * 30_000, i * 30_000 + 30_000))) for i in range(3)])
     vocabulary = pseudo.vocabulary(docs)
-    assert vocabulary.size == 1200 and len(vocabulary.classes) >= 900
-    assert len(pseudo.initial(vocabulary)) == sum(int(np.prod(s)) for s in pseudo.sizes(1200))
+    assert vocabulary.size == 600 and len(vocabulary.classes) >= 450
+    assert len(pseudo.initial(vocabulary)) == sum(int(np.prod(s)) for s in pseudo.sizes(600))
 
 
 @pytest.mark.parametrize("classes", [2, 3, 16, 17, 300, 1024])
@@ -341,7 +342,7 @@ def test_partitions_do_not_matter(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("doc_id < 80")
     a, b = ({r["doc_id"]: r["log_prob"] for r in table(pseudo.score(docs.repartition(n)))} for n in (2, 7))
     assert a == pytest.approx(b, rel=1e-6)
-    assert pseudo.shards_of(0) == (1, 256) and pseudo.shards_of(10**9) == (250, 4096)
+    assert pseudo.shards_of(0) == (1, 256) and pseudo.shards_of(10**9) == (250, 8192)
 
 
 def test_every_token_is_a_target_once():
