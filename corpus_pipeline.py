@@ -28,13 +28,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, and those of sources below their weight again, up to one and a half times."""
+    """Every document, and those of sources below their weight again; a budget is at most one and a half sources,
+    so a document occurs once or twice."""
     return mixing.repeat(docs, max_repetition=1.5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and slot of every sequence."""
-    return packing.pack(docs)
+    """The bucket, batch and slot of every sequence; a document that the mix repeats has a place for each use."""
+    return packing.pack(docs, apart=True)
 
 
 STAGES = [

@@ -42,16 +42,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Texts move once. A first pass over digests finds those with more than one row in
     ``HOT_SHARE``; only their groups are salted (by task, so each task sends one row
     per text after its own combining) and combined again. Rows find their group by
-    digest; should two texts ever share a digest, by the text itself.
+    digest, those of hot texts without moving; should two texts ever share a digest, by the text itself.
     """
     keys = stage(_texts(docs).select("doc_id", "digest"))
     floor = keys.count() // HOT_SHARE
-    hot = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(floor, 16))
+    counted = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    hot = stage(counted.filter(F.col("n") > max(floor, 16)).select("digest"))
     salt = F.when(F.col("hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(-1))
     # At most HOT_SHARE digests are hot, whatever the size of the input.
     marked = (
         _texts(docs)
-        .join(F.broadcast(hot.select("digest", F.lit(True).alias("hot"))), "digest", "left")
+        .join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
         .withColumn("salt", salt)
     )
     least, size = F.min("doc_id").alias("keep_id"), F.sum("n").alias("n")
@@ -64,7 +65,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     twice = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     if twice.isEmpty():
-        found = keys.join(winners, "digest", "left")
+        # Rows of hot texts stay where they are and meet their winner there.
+        large = winners.join(F.broadcast(hot), "digest", "left_semi")
+        small = keys.join(F.broadcast(hot), "digest", "left_anti").join(winners, "digest", "left")
+        found = keys.join(F.broadcast(large), "digest").unionByName(small)
     else:  # two texts under one SHA-256 digest: tell them apart by more of their content
         extra = F.xxhash64("content", F.length("content")).alias("check")
         found = _texts(docs).select("doc_id", "digest", extra).join(winners, ["digest", "check"], "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import numbered, word_count
@@ -50,7 +50,27 @@ def best_boundaries(tops: list[int], counts: list[int], tokens: list[int], bucke
     return [int(tops[j - 1]) for j in choices]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def _apart(rows: DataFrame) -> DataFrame:
+    """Rows of one digest and length get digests of their own: the first keeps its own, others add their number.
+
+    Rows are numbered in the part they were written in, after those of the parts before, so
+    however often one is repeated, no task has more of them than a part. Which of several
+    equal rows gets which number does not matter.
+    """
+    same = ["digest", "n_tokens", "part"]
+    before = Window.partitionBy("digest", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("held"))
+    starts = starts.withColumn("first", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
+    number = F.row_number().over(Window.partitionBy(*same).orderBy("doc_id")) - 1
+    numbered_rows = rows.withColumn("number", number).join(starts, same)
+    use = F.col("first") + F.col("number")
+    other = F.md5(F.concat_ws("/", "digest", use.cast("string")))
+    return numbered_rows.withColumn("digest", F.when(use == 0, F.col("digest")).otherwise(other)).drop("number", "first")
+
+
+def pack(
+    docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, apart: bool = False
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens, bucket, bucket_len, batch, slot``.
 
     Tokens are words; a null or empty text has none and lies in the first bucket. The
@@ -58,12 +78,18 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKE
     into ``batch_tokens`` when each is padded to the bucket's length, or a single text
     that is longer by itself; only the last batch of a bucket may hold fewer. Batches are
     numbered from 0 in each bucket, texts in a batch by ``slot``. Texts stay whole.
-    Repeated rows and null doc_ids are rows like others. Other columns are not read.
+    Repeated rows and null doc_ids are rows like others. Texts lie in the order of a hash
+    of their doc_id, so those of one doc_id are neighbours; with ``apart`` each has a place
+    of its own, as a document that a mix uses several times should. Other columns are not
+    read.
 
     The driver sees the histogram: one row per cell, about 256 for each power of two.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5("text")), F.lit("")))
-    rows = stage(docs.select("doc_id", word_count().alias("n_tokens"), key.alias("digest")))
+    part = F.spark_partition_id().alias("part")
+    rows = stage(docs.select("doc_id", word_count().alias("n_tokens"), key.alias("digest"), part))
+    if apart:
+        rows = stage(_apart(rows))
     cells = (
         rows.groupBy(F.expr(CELL).alias("cell"))
         .agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"))

@@ -148,3 +148,28 @@ def test_empty(spark):
     assert packing.pack(none(spark)).count() == 0
     assert mixing.mix(none(spark)).count() == 0
     assert mixing.repeat(none(spark)).count() == 0
+
+
+def test_repeated_documents_lie_apart(spark):
+    """Forty documents of three uses among others: uses are no neighbours, and one row fills no part alone."""
+    texts = [(i, " ".join(["w"] * (5 + i % 3))) for i in range(400)]
+    texts += [t for t in texts[:40] for _ in range(2)] + [(None, "w w w w w")] * 200
+    docs = frame(spark, texts).repartition(5)
+    together = table(packing.pack(docs, buckets=3, batch_tokens=70))
+    apart = table(packing.pack(docs, buckets=3, batch_tokens=70, apart=True))
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["bucket"])
+    assert sorted(map(key, apart)) == sorted(map(key, together))
+    places = [(r["bucket"], r["batch"], r["slot"]) for r in apart]
+    assert len(set(places)) == len(texts)
+
+    def neighbours(rows):
+        seen = {}
+        for r in rows:
+            seen.setdefault((r["doc_id"], r["bucket"], r["batch"]), []).append(r)
+        return sum(len(v) > 1 for k, v in seen.items() if k[0] is not None)
+
+    assert neighbours(together) > 30 and neighbours(apart) < 15
+    again = table(packing.pack(docs.repartition(2), buckets=3, batch_tokens=70, apart=True))
+    place = lambda r: (*key(r), r["batch"], r["slot"])
+    assert sorted(map(place, again)) == sorted(map(place, apart))
+    assert packing.pack(none(spark), apart=True).count() == 0
