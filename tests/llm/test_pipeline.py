@@ -61,7 +61,8 @@ def same(value):
 def test_against_sql(spark, name):
     found = queries.QUERIES[name](spark, SF_DIR)
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for view in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {view} AS SELECT * FROM '{SF_DIR}/{view}.parquet'")
     columns = sorted(found.columns)
     listed = ", ".join(f'"{c}"' for c in columns)
     want = con.sql(f"SELECT {listed} FROM ({queries.ORACLES[name]})").fetchall()
