@@ -285,3 +285,15 @@ def stratified_sample(spark, sf_dir):
     return advisories.stratified_sample(
         table(spark, sf_dir, "labels"), "toxic", {0: 0.1, 1: 1.0}, seed=3, key=["doc_id"]
     )
+
+
+@CHECKS.add(
+    "sized_sample",
+    """SELECT doc_id, quality, toxic FROM
+           (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY md5('5:' || doc_id)[:12], doc_id) AS place FROM labels)
+       WHERE place <= CASE WHEN toxic = 0 THEN 40 WHEN toxic = 1 THEN 17 ELSE 0 END""",
+)
+def sized_sample(spark, sf_dir):
+    """Forty of one class and seventeen of the other."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return advisories.sized_sample(labels, "toxic", {0: 40, 1: 17}, seed=5, key=["doc_id"])

@@ -100,6 +100,25 @@ def lineage_chain(spark, sf_dir):
     return ds.lineage(listed, leaf).select("dataset_id", "depth", "transformation_note", "n_rows")
 
 
+# Some turns lead back to the last one of their conversation, some to a conversation that is not there.
+LOOPS = """(SELECT 'ds_' || conv_id || '_' || turn AS dataset_id,
+        CASE WHEN turn = 0 AND conv_id % 7 = 3 THEN 'ds_' || conv_id || '_1' WHEN turn = 0 AND conv_id % 7 = 4 THEN 'gone'
+             WHEN turn > 0 THEN 'ds_' || conv_id || '_' || (turn - 1) END AS parent, conv_id, turn FROM conversations)"""
+
+
+@CHECKS.add(
+    "all_lineage",
+    f"""SELECT dataset_id, CASE WHEN conv_id % 7 <> 3 THEN 'ds_' || conv_id || '_0' END AS root_id,
+               CASE WHEN conv_id % 7 <> 3 THEN turn END AS depth,
+               CASE conv_id % 7 WHEN 3 THEN 'cycle' WHEN 4 THEN 'unlisted' ELSE 'root' END AS ends FROM {LOOPS}""",
+)
+def all_lineage(spark, sf_dir):
+    """Every turn's chain; some end in a cycle or at a dataset that is not listed."""
+    parent = """CASE WHEN turn = 0 AND conv_id % 7 = 3 THEN concat('ds_', conv_id, '_1') WHEN turn = 0 AND conv_id % 7 = 4 THEN 'gone'
+        ELSE parent_dataset_id END"""
+    return ds.all_lineage(datasets(spark, sf_dir).withColumn("parent_dataset_id", F.expr(parent)))
+
+
 @CHECKS.add(
     "latest_by_key",
     """SELECT user_id, event_id, event_type, value FROM events

@@ -139,6 +139,43 @@ def bar_means(spark, sf_dir):
     return rounded(found, 4)
 
 
+POISSON_SQL = " + ".join(f"(u >= {c})::INT" for c in charts.POISSON)
+
+
+@CHECKS.add(
+    "bootstrap_means",
+    f"""WITH d AS (SELECT o_orderpriority, o_orderstatus, o_totalprice AS v, b * 8 + i AS r,
+                          ('0x' || substr(md5('7:' || o_orderkey || '/' || b), 4 * i + 1, 4))::INT AS u
+                   FROM orders, range(5) blocks(b), range(8) draws(i)),
+        m AS (SELECT o_orderpriority, o_orderstatus, r, sum(({POISSON_SQL}) * v) / nullif(sum({POISSON_SQL}), 0) AS m
+              FROM d GROUP BY ALL),
+        q AS (SELECT o_orderpriority, o_orderstatus, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
+              FROM m GROUP BY ALL)
+        SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean,
+               round(stddev_samp(o_totalprice), 4) AS std, round(any_value(lo), 4) AS ci_low, round(any_value(hi), 4) AS ci_high
+        FROM orders JOIN q USING (o_orderpriority, o_orderstatus) GROUP BY ALL""",
+)
+def bootstrap_means(spark, sf_dir):
+    found = charts.bootstrap_means(
+        table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus", replicates=40, seed=7, key=["o_orderkey"]
+    )
+    return rounded(found, 4)
+
+
+@CHECKS.add(
+    "scatter_sample",
+    """SELECT l_quantity AS x, l_extendedprice AS y FROM
+           (SELECT l_quantity, l_extendedprice, row_number() OVER
+                (ORDER BY md5('2:' || l_quantity || ':' || l_extendedprice)[:12]) AS place FROM
+            (SELECT DISTINCT l_quantity, l_extendedprice FROM lineitem WHERE l_quantity = 7.0))
+       WHERE place <= 100""",
+)
+def scatter_sample(spark, sf_dir):
+    """A hundred different points of one quantity."""
+    points = table(spark, sf_dir, "lineitem").filter("l_quantity = 7").select("l_quantity", "l_extendedprice").distinct()
+    return charts.scatter_points(points, "l_quantity", "l_extendedprice", seed=2, rows=100)
+
+
 @CHECKS.add(
     "line_means",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS x, event_type AS hue, count(*) AS n,

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.columns import sql_text
+from plumbline.plans.groups import beside
+from plumbline.session import stage
 
 DATASET_SCHEMA = (
     "dataset_id string, filename string, ingested_at timestamp, n_rows bigint, n_columns bigint,"
@@ -71,6 +73,46 @@ def lineage(datasets: DataFrame, dataset_id: str) -> DataFrame:
     return chain.join(datasets, "dataset_id").orderBy("depth")
 
 
+def all_lineage(datasets: DataFrame) -> DataFrame:
+    """``dataset_id, root_id, depth, ends``: where the chain of every listed dataset ends, and how far up.
+
+    ``root_id`` is the furthest ancestor that is listed; ``ends`` says why the chain stops there:
+    ``root`` (it has no parent), ``unlisted`` (its parent is not in the table) or ``cycle`` (the chain
+    comes back to a dataset on it; then root and depth are NULL). One row per distinct
+    dataset_id, which should have one parent; of several rows the least parent counts. Rows
+    without a dataset_id are left out.
+
+    Pointer doubling: in each round every dataset takes over the pointer of the one it
+    points at, so a chain of d datasets takes log d rounds of joins. Pointers of chains
+    that have ended take no part any more. A chain that is not done after as many rounds as
+    the number of datasets has binary digits is a cycle or leads into one.
+    """
+    listed = datasets.filter("dataset_id IS NOT NULL").groupBy("dataset_id").agg(F.min("parent_dataset_id").alias("parent"))
+    known = listed.select(F.col("dataset_id").alias("parent"), F.lit(True).alias("is_listed"))
+    # `up` is an ancestor `depth` steps above that may have ancestors of its own; NULL above the end.
+    steps = listed.join(known, "parent", "left").selectExpr(
+        "dataset_id", "IF(is_listed, parent, NULL) AS up", "IF(is_listed, 1L, 0L) AS depth",
+        "IF(is_listed, NULL, dataset_id) AS root_id",
+        "CASE WHEN is_listed THEN NULL WHEN parent IS NULL THEN 'root' ELSE 'unlisted' END AS ends",
+    )
+    steps = stage(steps)
+    n = steps.count()
+    for _ in range(n.bit_length() + 1):
+        if steps.filter("up IS NOT NULL").isEmpty():
+            break
+        # All rows that point at a hot ancestor need one row of it: a root of many is met without moving them.
+        above = steps.selectExpr("dataset_id AS up", "up AS up2", "depth AS more", "root_id AS root2", "ends AS ends2")
+        open_ = steps.filter("up IS NOT NULL")
+        wanted = stage(open_.groupBy("up").agg(F.count(F.lit(1)).alias("n")).join(above, "up"))
+        met = beside(open_, ["up"], wanted).selectExpr(
+            "dataset_id", "up2 AS up", "depth + more AS depth", "root2 AS root_id", "ends2 AS ends"
+        )
+        steps = stage(steps.filter("up IS NULL").unionByName(met))
+    return steps.selectExpr(
+        "dataset_id", "root_id", "IF(up IS NULL, depth, NULL) AS depth", "coalesce(ends, 'cycle') AS ends"
+    )
+
+
 def describe_dataset(
     df: DataFrame, dataset_id: str, filename: str, path: str | None = None,
     parent_dataset_id: str | None = None, transformation_note: str | None = None,

@@ -22,6 +22,7 @@ from plumbline.columns import (
 )
 from plumbline.functions.parsing import DOUBLE_TEXT
 from plumbline.operators.profile import column_profile
+from plumbline.plans.draw import exactly
 from plumbline.plans.groups import beside
 from plumbline.plans.levels import column_levels
 from plumbline.plans.per_column import wide_to_long
@@ -242,3 +243,29 @@ def stratified_sample(
     for value, fraction in fractions.items():
         share = F.when(col(target).eqNullSafe(F.lit(value)), F.lit(float(fraction))).otherwise(share)
     return df.filter(drawn(resolve_all(df, key), seed) < share)
+
+
+def sized_sample(
+    df: DataFrame, target: str, sizes: int | dict[object, int], seed: int = 0, key: list[str] | None = None
+) -> DataFrame:
+    """A seeded sample of exactly so many rows per class, or all rows of a class that has fewer.
+
+    ``sizes`` is one number for every class, a missing one included, or a number for each
+    named class; unnamed ones are left out. A row's place is a digest of seed and ``key`` (all
+    columns if none is given), so every cluster and partitioning draws the same rows, and a
+    larger size keeps those of a smaller one. Rows with equal keys are told apart by their
+    other columns; of rows equal in all columns any may be taken, as they are the same.
+    No class is gathered or ordered.
+    """
+    target = resolve(df, target)
+    numbers = sizes.values() if isinstance(sizes, dict) else [sizes]
+    if any(int(n) != n or n < 0 for n in numbers):
+        raise ValueError("sizes must be whole numbers, 0 or more")
+    wanted = F.lit(0) if isinstance(sizes, dict) else F.lit(int(sizes))
+    for value, n in sizes.items() if isinstance(sizes, dict) else ():
+        wanted = F.when(col(target).eqNullSafe(F.lit(value)), F.lit(int(n))).otherwise(wanted)
+    group = F.coalesce(F.concat(F.lit("="), col(target).cast("string")), F.lit(""))
+    kinds = families(df)
+    plain = [col(c).cast("string") for c in df.columns if kinds[c] != "other"]
+    rest = F.xxhash64(*plain) if plain else F.lit(0)
+    return exactly(df, group, wanted, drawn(resolve_all(df, key), seed), rest)

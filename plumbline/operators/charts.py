@@ -9,6 +9,7 @@ from plumbline import thresholds as t
 from plumbline.columns import (
     col,
     drawn,
+    families,
     number,
     numeric_columns,
     present,
@@ -28,6 +29,7 @@ from plumbline.operators.outliers import (
     summary_from_measures,
 )
 from plumbline.operators.profile import column_measures, profile_from_measures
+from plumbline.plans.draw import exactly
 from plumbline.plans.groups import beside
 from plumbline.plans.per_column import pin
 from plumbline.plans.ranks import column_quantiles, group_quantiles
@@ -141,19 +143,26 @@ def box_stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
 
 def scatter_points(
     df: DataFrame, x: str, y: str, hue: str | None = None,
-    fraction: float | None = None, seed: int = 0,
+    fraction: float | None = None, seed: int = 0, rows: int | None = None,
 ) -> DataFrame:
     """``x, y`` (and ``hue``) of the rows that have both.
 
     ``fraction`` draws by a digest of seed and point, so every cluster draws the same;
-    equal points are drawn together.
+    equal points are drawn together. ``rows`` draws exactly so many points, or all if there
+    are fewer, by the same digest.
     """
+    if fraction is not None and rows is not None:
+        raise ValueError("give a fraction or a number of rows, not both")
     df = present(df)
     names = {"x": resolve(df, x), "y": resolve(df, y)}
     if hue is not None:
         names["hue"] = resolve(df, hue)
     points = df.select(*[col(c).alias(k) for k, c in names.items()])
     points = points.filter("x IS NOT NULL AND y IS NOT NULL")
+    if rows is not None:
+        if rows < 0:
+            raise ValueError("rows must be 0 or more")
+        return exactly(points, F.lit(""), F.lit(rows), drawn(list(names), seed), F.lit(0))
     if fraction is None:
         return points
     return points.filter(drawn(list(names), seed) < fraction)
@@ -200,7 +209,7 @@ def bar_counts(df: DataFrame, x: str, hue: str | None = None) -> DataFrame:
 def bar_means(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
     """Mean of ``y`` per category with a 95 % interval.
 
-    The interval is the normal approximation, not a bootstrap.
+    The interval is the normal approximation; :func:`bootstrap_means` has one from replicates.
     """
     df = present(df)
     value, keys = number(require_numeric(df, y)), _keys(df, x, hue)
@@ -217,6 +226,60 @@ def bar_means(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFram
     return grouped.selectExpr("*", f"mean - {reach} AS ci_low", f"mean + {reach} AS ci_high")
 
 
+# The Poisson distribution with mean 1, times 65536, from 0 events up.
+POISSON = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+DRAWS_PER_DIGEST = 8  # an MD5 digest has eight numbers of 16 bits
+
+
+def bootstrap_means(
+    df: DataFrame, x: str, y: str, hue: str | None = None,
+    replicates: int = 200, seed: int = 0, key: list[str] | None = None,
+) -> DataFrame:
+    """Mean of ``y`` per category with a 95 % bootstrap interval: ``n, mean, std, ci_low, ci_high``.
+
+    A Poisson bootstrap in one pass: in each replicate a row counts 0, 1, 2 ... times, by a
+    digest of seed and ``key``, and the interval holds the middle 95 % of the replicates' means. ``key``
+    should tell rows apart (all columns if none is given): rows that are equal in it are
+    drawn together. Sums of the replicates are combined in the tasks, so what moves is a
+    row per category and eight replicates, whatever the size of a category. ``replicates`` is
+    rounded up to a multiple of eight. Rows without a category or value are left out; a
+    replicate that drew no row of a category is left out of its interval.
+    """
+    if not 8 <= replicates <= 10_000:
+        raise ValueError("replicates must lie between 8 and 10000")
+    df = present(df)
+    value, keys = number(require_numeric(df, y)), _keys(df, x, hue)
+    kinds = families(df)
+    told = [c for c in resolve_all(df, key) if kinds[c] != "other"]
+    text = ", ".join([sql_text(str(int(seed))), *[f"coalesce(CAST({quoted(c)} AS STRING), '-')" for c in told]])
+    named = [f"{quoted(k)} AS g{i}" for i, k in enumerate(keys)]
+    by = [f"g{i}" for i in range(len(keys))]
+    rows = df.filter(f"{_all_present(keys)} AND {value} IS NOT NULL").selectExpr(
+        *named, f"{value} AS v", f"concat_ws(':', {text}) AS told"
+    )
+    blocks = -(-replicates // DRAWS_PER_DIGEST)
+    drawn_rows = rows.selectExpr("*", f"explode(sequence(0, {blocks - 1})) AS block").selectExpr(
+        *by, "v", "block", "md5(concat(told, '/', block)) AS d"
+    )
+    number_at = "CAST(conv(substring(d, {}, 4), 16, 10) AS INT)".format
+    times = [
+        " + ".join(f"CAST({number_at(4 * i + 1)} >= {c} AS INT)" for c in POISSON) + f" AS w{i}"
+        for i in range(DRAWS_PER_DIGEST)
+    ]
+    sums = [f"sum({part}) AS {name}{i}" for i in range(DRAWS_PER_DIGEST) for name, part in (("s", f"w{i}"), ("t", f"w{i} * v"))]
+    drawn_sums = drawn_rows.selectExpr(*by, "v", "block", *times).groupBy(*by, "block").agg(*map(F.expr, sums))
+    means = ", ".join(f"try_divide(t{i}, s{i})" for i in range(DRAWS_PER_DIGEST))
+    ends = (
+        drawn_sums.selectExpr(*by, f"explode(array({means})) AS m")
+        .groupBy(*by).agg(F.expr("percentile(m, array(0.025, 0.975)) AS q"))
+    )
+    plain = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
+    )
+    back = [f"{g} AS {quoted(k)}" for g, k in zip(by, keys, strict=True)]
+    return plain.join(ends, by).selectExpr(*back, "n", "mean", "std", "q[0] AS ci_low", "q[1] AS ci_high")
+
+
 def line_means(
     df: DataFrame, x: str, y: str, hue: str | None = None, every: str | None = None
 ) -> DataFrame:

@@ -37,3 +37,6 @@ SKETCH_GROUPS = 512  # tasks whose sketches are merged together first
 
 # Groups: what may be broadcast.
 GROUPS_AT_HAND = 8192  # groups with more than one part in so many of all rows
+
+# Samples of an exact size.
+DRAW_MARGIN = 8.0  # standard deviations to either side in which a threshold is looked for
