@@ -264,21 +264,58 @@ ROLE_NUMBERS = " UNION ALL ".join(
             SELECT 1 AS role, 2 AS keep, 'histogram' AS chart, "column" AS x, NULL AS y,
                    outlier_count::DOUBLE AS score FROM outl
             UNION ALL SELECT 2, 2, 'box', c, NULL, rng / iqr FROM spans
-            UNION ALL SELECT 3, 1, 'bar', 'event_type', NULL, count(DISTINCT event_type)::DOUBLE
+            UNION ALL SELECT 3, 2, 'bar', 'event_type', NULL, count(DISTINCT event_type)::DOUBLE
                       FROM events HAVING count(DISTINCT event_type) BETWEEN 3 AND 10
-            UNION ALL SELECT 3, 1, 'bar', 'props', NULL, count(DISTINCT props)::DOUBLE
+            UNION ALL SELECT 3, 2, 'bar', 'props', NULL, count(DISTINCT props)::DOUBLE
                       FROM events HAVING count(DISTINCT props) BETWEEN 3 AND 10
             UNION ALL SELECT 6, 1, 'pie', 'event_type', NULL, -count(DISTINCT event_type)::DOUBLE
                       FROM events HAVING count(DISTINCT event_type) BETWEEN 2 AND 6
             UNION ALL SELECT 6, 1, 'pie', 'props', NULL, -count(DISTINCT props)::DOUBLE
                       FROM events HAVING count(DISTINCT props) BETWEEN 2 AND 6
-            UNION ALL SELECT 4, 1, 'scatter', 'event_id', 'user_id', abs(corr(event_id, user_id)) FROM events
-            UNION ALL SELECT 4, 1, 'scatter', 'event_id', 'value', abs(corr(event_id, value)) FROM events
-            UNION ALL SELECT 4, 1, 'scatter', 'user_id', 'value', abs(corr(user_id, value)) FROM events
+            UNION ALL SELECT 4, 2, 'scatter', 'event_id', 'user_id', abs(corr(event_id, user_id)) FROM events
+            UNION ALL SELECT 4, 2, 'scatter', 'event_id', 'value', abs(corr(event_id, value)) FROM events
+            UNION ALL SELECT 4, 2, 'scatter', 'user_id', 'value', abs(corr(user_id, value)) FROM events
             UNION ALL SELECT 5, 1, 'line', 'ts', 'value', count(DISTINCT ts)::DOUBLE FROM events),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, x, y) AS place FROM cand)
         SELECT role, place::INT AS place, chart, x, y, round(score, 6) AS score FROM ranked
-        WHERE place <= keep ORDER BY ranked.place, role LIMIT 7""",
+        WHERE place <= keep AND (role <> 4 OR place = 1 OR score > 0.3) ORDER BY ranked.place, role LIMIT 7""",
 )
 def chart_recommendations(spark, sf_dir):
     return rounded(charts.chart_recommendations(table(spark, sf_dir, "events")))
+
+
+SHIPPED = """(SELECT l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net, l_returnflag, l_linestatus || l_linenumber % 4 AS line
+    FROM lineitem)"""
+SHIPPED_NUMBERS = ["l_quantity", "l_extendedprice", "net"]
+
+
+@CHECKS.add(
+    "chart_recommendations_wide",
+    f"""WITH outl AS ({outlier_sql(SHIPPED, SHIPPED_NUMBERS, "both")}),
+        spans AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, max({c}) - min({c}) AS rng, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS iqr FROM {SHIPPED}"
+        for c in SHIPPED_NUMBERS
+    )
+    + "), cand AS (SELECT 1 AS role, 2 AS keep, 'histogram' AS chart, \"column\" AS x, NULL AS y, outlier_count::DOUBLE AS score FROM outl"
+    + " UNION ALL SELECT 2, 2, 'box', c, NULL, rng / iqr FROM spans"
+    + "".join(
+        f""" UNION ALL SELECT 3, 2, 'bar', '{c}', NULL, count(DISTINCT {c})::DOUBLE FROM {SHIPPED} HAVING count(DISTINCT {c}) BETWEEN 3 AND 10
+             UNION ALL SELECT 6, 1, 'pie', '{c}', NULL, -count(DISTINCT {c})::DOUBLE FROM {SHIPPED} HAVING count(DISTINCT {c}) BETWEEN 2 AND 6"""
+        for c in ("l_returnflag", "line")
+    )
+    + "".join(
+        f" UNION ALL SELECT 4, 2, 'scatter', '{a}', '{b}', abs(corr({a}, {b})) FROM {SHIPPED}"
+        for i, a in enumerate(SHIPPED_NUMBERS) for b in SHIPPED_NUMBERS[i + 1 :]
+    )
+    + """), ranked AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, x, y) AS place FROM cand)
+        SELECT role, place::INT AS place, chart, x, y, round(score, 6) AS score FROM ranked
+        WHERE place <= keep AND (role <> 4 OR place = 1 OR score > 0.3) ORDER BY ranked.place, role LIMIT 9""",
+)
+def chart_recommendations_wide(spark, sf_dir):
+    """Two scatters and two bars: several strong pairs and two categories."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_quantity", "l_extendedprice", "l_extendedprice * (1 - l_discount) AS net", "l_returnflag",
+        "concat(l_linestatus, l_linenumber % 4) AS line",
+    )
+    return rounded(charts.chart_recommendations(lines, most=9))

@@ -36,6 +36,7 @@ from plumbline.plans.ranks import column_quantiles, group_quantiles
 from plumbline.session import stage
 
 QUARTILES = [0.25, 0.5, 0.75]
+STRONG_CORRELATION = 0.3  # fixed value: a second scatter needs more
 
 
 INFINITY = "double('infinity')"
@@ -384,10 +385,10 @@ def comparison_chart(df: DataFrame, column: str, chart: str = "box") -> DataFram
 def chart_recommendations(df: DataFrame, most: int = 7) -> DataFrame:
     """``role, place, chart, x, y, score``: up to ``most`` charts that show the most.
 
-    Two histograms by outliers, two boxes by IQR relative to the range, one bar for a
-    category of 3 to 10 values, one scatter for the strongest correlation, one line over a
-    time column, one pie for a category of at most 6 values. Ranks run over tables with
-    one row per column or pair of columns.
+    Two histograms by outliers, two boxes by IQR relative to the range, two bars for
+    categories of 3 to 10 values, a scatter for the strongest correlation and one for the next
+    if it is above 0.3, one line over a time column, one pie for a category of at most 6
+    values. Ranks run over tables with one row per column or pair of columns.
     """
     df = present(df)
     measures = column_measures(df, df.columns)
@@ -406,7 +407,7 @@ def chart_recommendations(df: DataFrame, most: int = 7) -> DataFrame:
             "coalesce(try_divide(max - min, iqr), 0D) AS score",
         ),
         profile.filter("family IN ('text', 'boolean') AND n_unique BETWEEN 3 AND 10").selectExpr(
-            "3 AS role", "1 AS keep", "'bar' AS chart", "column AS x", empty,
+            "3 AS role", "2 AS keep", "'bar' AS chart", "column AS x", empty,
             "CAST(n_unique AS DOUBLE) AS score",
         ),
         profile.filter("family IN ('text', 'boolean') AND n_unique BETWEEN 2 AND 6").selectExpr(
@@ -419,7 +420,7 @@ def chart_recommendations(df: DataFrame, most: int = 7) -> DataFrame:
         pairs = correlation_pairs(df, names).filter("correlation IS NOT NULL")
         parts.append(
             pairs.selectExpr(
-                "4 AS role", "1 AS keep", "'scatter' AS chart", "col_a AS x", "col_b AS y",
+                "4 AS role", "2 AS keep", "'scatter' AS chart", "col_a AS x", "col_b AS y",
                 "abs(correlation) AS score",
             )
         )
@@ -436,7 +437,7 @@ def chart_recommendations(df: DataFrame, most: int = 7) -> DataFrame:
     best = Window.partitionBy("role").orderBy(F.col("score").desc(), "x", "y")
     return (
         candidates.withColumn("place", F.row_number().over(best))
-        .filter("place <= keep")
+        .filter(f"place <= keep AND (role <> 4 OR place = 1 OR score > {STRONG_CORRELATION}D)")
         .orderBy("place", "role")
         .limit(most)
         .selectExpr("role", "place", "chart", "x", "y", "score")

@@ -10,6 +10,7 @@ from plumbline.columns import (
     UnknownColumn,
     col,
     families,
+    family,
     is_numeric,
     number,
     numeric_columns,
@@ -155,14 +156,24 @@ def impute_values(df: DataFrame, columns: list[str], how: str = "auto") -> dict[
             skewed.append(c)
     medians = column_quantiles(df, [number(c) for c in skewed], [0.5]).collect() if skewed else []
     fills |= {skewed[r["cid"]]: r["q"][0] for r in medians}
-    tops = None
+    return fills | _modes(df, [c for c in columns if c not in numbers])
+
+
+def _modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The most frequent value of each column, as a text; of several the smallest. One scan for all columns."""
+    if not columns:
+        return {}
+    cells = []
     for i, c in enumerate(columns):
-        if c not in numbers:
-            top = df.filter(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-            top = top.orderBy(F.col("n").desc(), "v").limit(1).select(F.lit(i).alias("i"), F.col("v").cast("string"))
-            tops = top if tops is None else tops.unionByName(top)
-    fills |= {columns[r["i"]]: r["v"] for r in tops.collect()} if tops is not None else {}
-    return fills
+        name, kind = quoted(c), family(df.schema[c].dataType)
+        whole = f"CAST({name} AS BIGINT)" if kind == "integral" else "CAST(NULL AS BIGINT)"
+        num = f"CAST({name} AS DOUBLE)" if kind in ("fractional", "decimal") else "CAST(NULL AS DOUBLE)"
+        cells.append(f"{i}, {whole}, {num}, CAST({name} AS STRING)")
+    values = df.selectExpr(f"stack({len(columns)}, {', '.join(cells)}) AS (cid, whole, num, txt)").filter("txt IS NOT NULL")
+    counted = values.groupBy("cid", "whole", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+    # Of a column one of whole and num is NULL everywhere, or both are; then texts decide.
+    first = counted.groupBy("cid").agg(F.expr("min(struct(-n AS n, whole, num, txt)) AS top"))
+    return {columns[r["cid"]]: r["top"]["txt"] for r in first.collect()}
 
 
 def impute_value(df: DataFrame, column: str, how: str = "auto") -> object:
