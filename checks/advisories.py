@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.base import PRICED, Checks, labelled, priced, rounded, table, union
-from plumbline.operators import advisories, missingness, outliers, subgroups
+from plumbline.operators import advisories, formats, missingness, outliers, subgroups
 
 CHECKS = Checks()
 
@@ -297,3 +297,61 @@ def sized_sample(spark, sf_dir):
     """Forty of one class and seventeen of the other."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return advisories.sized_sample(labels, "toxic", {0: 40, 1: 17}, seed=5, key=["doc_id"])
+
+
+# Dates in two formats, some with the letter O for a zero; codes; prices with a comma.
+TYPED = """(SELECT CASE WHEN o_orderkey % 10 < 6 THEN strftime(o_orderdate, '%Y-%m-%d')
+                        WHEN o_orderkey % 50 = 9 THEN replace(strftime(o_orderdate, '%Y-%m-%d'), '0', 'O')
+                        ELSE strftime(o_orderdate, '%d/%m/%Y') END AS typed,
+                   o_orderpriority AS code,
+                   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE replace((o_custkey * 7 / 4.0)::DECIMAL(12, 2)::VARCHAR, '.', ',') END AS price
+            FROM orders)"""
+
+
+def typed(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 10 < 6 THEN date_format(o_orderdate, 'yyyy-MM-dd')"
+        " WHEN o_orderkey % 50 = 9 THEN replace(date_format(o_orderdate, 'yyyy-MM-dd'), '0', 'O')"
+        " ELSE date_format(o_orderdate, 'dd/MM/yyyy') END AS typed",
+        "o_orderpriority AS code",
+        "IF(o_orderkey % 3 = 0, NULL, replace(CAST(CAST(o_custkey * 7 / 4.0 AS DECIMAL(12, 2)) AS STRING), '.', ',')) AS price",
+    )
+
+
+PATTERNS = f"""texts AS (SELECT unnest(['typed', 'code', 'price']) AS c, unnest([typed, code, price]) AS txt FROM {TYPED}),
+    shapes AS (SELECT c, regexp_replace(regexp_replace(regexp_replace(txt, '[0-9]', '9', 'g'), '\\p{{Lu}}', 'A', 'g'),
+                                        '\\p{{Ll}}', 'a', 'g') AS shape, txt FROM texts WHERE txt IS NOT NULL),
+    counted AS (SELECT c, shape, regexp_replace(regexp_replace(regexp_replace(shape, '9+', '9+', 'g'), 'A+', 'A+', 'g'), 'a+', 'a+', 'g') AS run,
+                       count(*) AS n, min(txt) AS example, max(txt[1:2]) AS first, max(txt[4:5]) AS second,
+                       count(*) * list_sum(list_transform(regexp_extract_all(shape, '9+|A+|a+'), lambda r: 2 * log2(length(r)) + 1)) AS spread
+                FROM shapes GROUP BY c, shape),
+    runs AS (SELECT c, run, sum(8.0 * length(shape)) + 20 * (log2(sum(n)) - sum(n * log2(n)) / sum(n)) <= 8.0 * length(run) + 20 * sum(spread) / sum(n) AS apart
+             FROM counted GROUP BY c, run),
+    patterns AS (SELECT c, CASE WHEN apart THEN shape ELSE run END AS pattern, sum(n) AS n, min(example) AS example,
+                        max(first) AS first, max(second) AS second FROM counted JOIN runs USING (c, run) GROUP BY ALL),
+    told AS (SELECT *, n / sum(n) OVER (PARTITION BY c) AS share FROM patterns)"""
+
+
+@CHECKS.add(
+    "text_formats",
+    f"""WITH {PATTERNS}
+        SELECT c AS "column", pattern,
+               CASE WHEN pattern = '9999-99-99' THEN 'yyyy-MM-dd'
+                    WHEN pattern = '99/99/9999' AND first > '12' AND second <= '12' THEN 'dd/MM/yyyy'
+                    WHEN regexp_full_match(pattern, '9+[+]?,9+[+]?') THEN 'decimal comma' END AS format,
+               n::BIGINT AS n, round(share, 6) AS share, example, share < 0.05 AS is_off FROM told""",
+)
+def text_formats(spark, sf_dir):
+    return rounded(formats.text_formats(typed(spark, sf_dir)))
+
+
+@CHECKS.add(
+    "off_format_values",
+    f"""WITH {PATTERNS}
+        SELECT txt AS value, pattern, count(*) AS count
+        FROM shapes JOIN counted USING (c, shape) JOIN runs USING (c, run)
+        JOIN told ON told.c = shapes.c AND told.pattern = CASE WHEN apart THEN shape ELSE run END
+        WHERE shapes.c = 'typed' AND share < 0.05 GROUP BY ALL""",
+)
+def off_format_values(spark, sf_dir):
+    return formats.off_format_values(typed(spark, sf_dir), "typed")
