@@ -16,18 +16,16 @@ from plumbline.llm.shared import SPACE, whole_text
 
 S = 2  # words of an inner s-mer
 K = 6  # words of a k-mer, a multiple of S
-SKETCH = 64  # smallest distinct anchors that the sketch of a text holds
 ROWS_KEPT = 4  # buckets of neighbours per shuffle partition
 BLANK = " \t\n\r\x0b\x0c"
 
 
-def with_anchors(rows: DataFrame, text: str, name: str, sketched: str | None = None) -> DataFrame:
+def with_anchors(rows: DataFrame, text: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the anchors of ``text`` in order, as structs ``hash, place``.
 
     ``place`` is the first word of the k-mer, from 0. A text of fewer words than a k-mer,
     or in which no k-mer is chosen, has one anchor, the hash of all its words; only one
-    without words has none. ``sketched`` names another column for the sketch of the chosen
-    k-mers alone, which a text of ``K`` words or more can be without.
+    without words has none. Hashes have 64 bits.
     """
     words, inner = f"{name}__words", f"{name}__inner"
     bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(BLANK))
@@ -43,41 +41,27 @@ def with_anchors(rows: DataFrame, text: str, name: str, sketched: str | None = N
     at = [f"`{inner}`[i + {j}]" for j in range(K - S + 1)]
     whole = ", ".join(at[::S])
     edge = f"least({', '.join(at)}) IN ({at[0]}, {at[-1]})"
-    low = "& 4294967295L"
-    whole_words = f"array(named_struct('hash', xxhash64(`{words}`) {low}, 'place', 0))"
+    whole_words = f"array(named_struct('hash', xxhash64(`{words}`), 'place', 0))"
     rows = rows.withColumn(
         name,
         F.expr(
             f"""CASE WHEN size(`{words}`) >= {K} THEN filter(
                   transform(sequence(0, size(`{words}`) - {K}), i ->
-                    IF({edge}, named_struct('hash', xxhash64({whole}) {low}, 'place', i), NULL)), a -> a IS NOT NULL)
+                    IF({edge}, named_struct('hash', xxhash64({whole}), 'place', i), NULL)), a -> a IS NOT NULL)
                 WHEN size(`{words}`) > 0 THEN {whole_words}
                 ELSE CAST(array() AS array<struct<hash: bigint, place: int>>) END"""
         ),
     )
-    if sketched is not None:
-        rows = rows.withColumn(sketched, sketch(name))
     rows = rows.withColumn(name, F.expr(f"IF(size(`{name}`) = 0 AND size(`{words}`) > 0, {whole_words}, `{name}`)"))
     return rows.drop(words, inner)
 
 
-def sketch(anchors: str) -> Column:
-    """The smallest distinct hashes among all anchors."""
-    return F.slice(F.array_sort(F.array_distinct(F.col(f"{anchors}.hash"))), 1, SKETCH)
-
-
-def as_text(hashes: str) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+def as_text(anchors: str) -> Column:
+    """The hashes of the anchors in order, sixteen hex digits each."""
+    return F.array_join(F.transform(f"{anchors}.hash", lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of the smallest hashes of both sketches that are in either: 0 to 1, and 1 for two empty ones."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.size(both))
-
-
-def full_likeness(a: str, b: str) -> Column:
     """The share of the distinct hashes of either's anchors that both have: 0 to 1, and 1 for two texts without words."""
     either, both = (f(F.col(f"{a}.hash"), F.col(f"{b}.hash")) for f in (F.array_union, F.array_intersect))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(both) / F.size(either))
@@ -131,37 +115,31 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, anchors, edited_anchors, like_edited, like_next``.
+    edited_fingerprint, near_edited, near_next, anchors, edited_anchors``.
 
     The edited text has its last quarter replaced by as much of the beginning of the next
     document. ``anchors`` and ``edited_anchors`` hold every anchor of the whole text with
-    its place, in order; only texts without words have none. ``like_edited`` and
-    ``like_next`` are exact over the distinct hashes of all anchors; two texts without
-    words are alike (1).
-
-    ``fingerprint`` and ``edited_fingerprint`` list in hex the ``SKETCH`` smallest hashes
-    among the chosen k-mers, and ``near_*`` estimate the likeness from these alone: a short
-    text without a chosen k-mer has an empty one, and two empty ones count as alike.
-    A lone document is followed by itself. Other columns are not read. No rows give no rows.
+    its place, in order, and ``fingerprint`` and ``edited_fingerprint`` all their hashes; only texts
+    without words have none. ``near_edited`` and ``near_next`` are exact over the distinct hashes of
+    all anchors; two texts without words are alike (1). A lone document is followed by
+    itself. Other columns are not read. No rows give no rows.
     """
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr(
         "concat(substring(text, 1, CAST(n_chars - n_chars DIV 4 AS INT)), substring(next_text, 1, CAST(n_chars DIV 4 AS INT)))"
     )
     rows = rows.withColumn("edited", edited)
-    rows = with_anchors(rows, "text", "anchors", "sketch").drop("text")
-    rows = with_anchors(rows, "next_text", "next_anchors", "next_sketch").drop("next_text")
-    rows = with_anchors(rows, "edited", "edited_anchors", "edited_sketch")
+    rows = with_anchors(rows, "text", "anchors").drop("text")
+    rows = with_anchors(rows, "next_text", "next_anchors").drop("next_text")
+    rows = with_anchors(rows, "edited", "edited_anchors")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text("sketch").alias("fingerprint"),
-        as_text("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"),
-        likeness("sketch", "next_sketch").alias("near_next"),
+        as_text("anchors").alias("fingerprint"),
+        as_text("edited_anchors").alias("edited_fingerprint"),
+        likeness("anchors", "edited_anchors").alias("near_edited"),
+        likeness("anchors", "next_anchors").alias("near_next"),
         "anchors",
         "edited_anchors",
-        full_likeness("anchors", "edited_anchors").alias("like_edited"),
-        full_likeness("anchors", "next_anchors").alias("like_next"),
     )

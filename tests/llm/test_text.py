@@ -33,23 +33,23 @@ def brute_anchors(text, k=syncmers.K, s=syncmers.S):
     if not ws:
         return []
     if len(ws) < k:
-        return [(chained(ws) & 0xFFFFFFFF, 0)]
+        return [(signed(chained(ws)), 0)]
     inner = [signed(chained(ws[i : i + s])) for i in range(len(ws) - s + 1)]
     out = []
     for i in range(len(ws) - k + 1):
         window = inner[i : i + k - s + 1]
         if min(window) in (window[0], window[-1]):
-            out.append((chained(window[::s]) & 0xFFFFFFFF, i))
+            out.append((signed(chained(window[::s])), i))
     return out
 
 
-def brute_sketch(text):
-    return sorted({h for h, _ in brute_anchors(text)})[: syncmers.SKETCH]
+def brute_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
-def brute_likeness(a, b):
-    both = sorted({*a, *b})[: syncmers.SKETCH]
-    return len([h for h in both if h in a and h in b]) / len(both) if both else 1.0
+def in_hex(anchors):
+    return "".join(f"{h % 2**64:016x}" for h, _ in anchors)
 
 
 def test_fingerprints_against_brute_force(spark):
@@ -62,13 +62,13 @@ def test_fingerprints_against_brute_force(spark):
         t, following = t or "", following or ""
         q = len(t) // 4
         edited = t[: len(t) - q] + following[:q]
-        r, own, changed = found[d], brute_sketch(t), brute_sketch(edited)
+        r, own, changed = found[d], all_anchors(t), all_anchors(edited)
         assert r["n_chars"] == len(t)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == "".join(f"{h:08x}" for h in own)
-        assert r["edited_fingerprint"] == "".join(f"{h:08x}" for h in changed)
+        assert r["fingerprint"] == in_hex(own)
+        assert r["edited_fingerprint"] == in_hex(changed)
         assert r["near_edited"] == pytest.approx(brute_likeness(own, changed))
-        assert r["near_next"] == pytest.approx(brute_likeness(own, brute_sketch(following)))
+        assert r["near_next"] == pytest.approx(brute_likeness(own, all_anchors(following)))
 
 
 def test_positions_match(spark):
@@ -82,7 +82,7 @@ def test_positions_match(spark):
 
 def all_anchors(text):
     ws = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").lower()) if w]
-    return brute_anchors(text) or ([(chained(ws) & 0xFFFFFFFF, 0)] if ws else [])
+    return brute_anchors(text) or ([(signed(chained(ws)), 0)] if ws else [])
 
 
 def test_all_anchors_and_exact_likeness(spark):
@@ -98,10 +98,9 @@ def test_all_anchors_and_exact_likeness(spark):
         own, changed, other = all_anchors(t), all_anchors(edited), all_anchors(following)
         assert [tuple(a) for a in found[d]["anchors"]] == own
         assert [tuple(a) for a in found[d]["edited_anchors"]] == changed
-        for name, b in (("like_edited", changed), ("like_next", other)):
-            x, y = {h for h, _ in own}, {h for h, _ in b}
-            assert found[d][name] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
-    assert len(found[0]["anchors"]) > 1000 and 0 < found[0]["like_next"] < 0.02
+        for name, b in (("near_edited", changed), ("near_next", other)):
+            assert found[d][name] == pytest.approx(brute_likeness(own, b))
+    assert len(found[0]["anchors"]) > 1000 and 0 < found[0]["near_next"] < 0.02
 
 
 def test_only_texts_without_words_have_no_anchor(spark):
@@ -113,8 +112,8 @@ def test_only_texts_without_words_have_no_anchor(spark):
     for d, t in texts:
         assert [tuple(a) for a in found[d]["anchors"]] == all_anchors(t)
         assert bool(found[d]["anchors"]) == bool((t or "").split())
-    assert all(found[i]["like_next"] == 0 for i in range(60))
-    assert found[100]["like_next"] == 1 and found[102]["like_next"] == 0
+    assert all(found[i]["near_next"] == 0 for i in range(60))
+    assert found[100]["near_next"] == 1 and found[102]["near_next"] == 0
 
 
 def test_matches_pair_all_repeats(spark):
