@@ -240,3 +240,45 @@ def clt_sampling(spark, sf_dir):
 def sample_means_preview(spark, sf_dir):
     means = inference.sample_means(table(spark, sf_dir, "events"), "value", 30, 200, seed=7)
     return rounded(inference.sample_means_preview(means))
+
+
+METRICS = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "discount": "nullif(l_discount, 0)"}
+METRIC_TESTS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS metric, l_linestatus, count({text}) FILTER (WHERE l_returnflag = 'A') AS n_a,
+               count({text}) FILTER (WHERE l_returnflag = 'R') AS n_b,
+               avg({text}) FILTER (WHERE l_returnflag = 'A') - avg({text}) FILTER (WHERE l_returnflag = 'R') AS diff,
+               var_samp({text}) FILTER (WHERE l_returnflag = 'A') AS va, var_samp({text}) FILTER (WHERE l_returnflag = 'R') AS vb
+        FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_linestatus"""
+    for name, text in METRICS.items()
+)
+METRIC_STATISTICS = f"SELECT *, diff / sqrt(va / n_a + vb / n_b) AS statistic FROM ({METRIC_TESTS})"
+
+
+@CHECKS.add(
+    "two_sample_tests",
+    f"""SELECT metric, l_linestatus, n_a, n_b, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
+               round(least(1, p_value * (SELECT count(*) FROM ({METRIC_STATISTICS}))), 6) AS p_adjusted
+        FROM ({METRIC_STATISTICS}) JOIN ({normal_p_sql(METRIC_STATISTICS, "metric, l_linestatus")}) USING (metric, l_linestatus)""",
+)
+def two_sample_tests(spark, sf_dir):
+    """Three metrics in every line status, in one scan."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_quantity", "l_extendedprice", "nullif(l_discount, 0D) AS discount", "l_returnflag", "l_linestatus"
+    )
+    found = inference.two_sample_tests(lines, list(METRICS), "l_returnflag", "A", "R", test="z", by=["l_linestatus"])
+    return rounded(found.select("metric", "l_linestatus", "n_a", "n_b", "statistic", "p_value", "p_adjusted"))
+
+
+@CHECKS.add(
+    "one_sample_tests",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS metric, l_returnflag, count({c}) AS n, round(avg({c}), 6) AS mean,
+                   round((avg({c}) - 25) / (stddev_samp({c}) / sqrt(count({c}))), 6) AS statistic FROM lineitem GROUP BY l_returnflag"""
+        for c in ("l_quantity", "l_extendedprice")
+    ),
+)
+def one_sample_tests(spark, sf_dir):
+    found = inference.one_sample_tests(
+        table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], mu=25.0, by=["l_returnflag"]
+    )
+    return rounded(found.select("metric", "l_returnflag", "n", "mean", "statistic"))

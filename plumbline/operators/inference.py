@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import thresholds as t
-from plumbline.columns import col, number, present, quoted, require_numeric, resolve, resolve_all
+from plumbline.columns import col, number, present, quoted, require_numeric, resolve, resolve_all, sql_text
 from plumbline.functions.distributions import (
     ALTERNATIVES,
     binomial_p_value,
@@ -181,6 +181,45 @@ def two_sample_test(
     return _decided(moments, test, alternative, alpha)
 
 
+def _by_metric(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
+    """``metric, value`` of every row and metric, and the columns to keep."""
+    metrics = [require_numeric(df, c) for c in dict.fromkeys(metrics)]
+    keep = list(dict.fromkeys(keep))
+    if not metrics:
+        raise ValueError("there is no metric")
+    if taken := {"metric", "value"} & {c.lower() for c in keep}:
+        raise ValueError(f"rename the columns {sorted(taken)}: the result has columns of that name")
+    cells = ", ".join(f"{sql_text(c)}, {number(c)}" for c in metrics)
+    return present(df).selectExpr(*map(quoted, keep), f"stack({len(metrics)}, {cells}) AS (metric, value)")
+
+
+def one_sample_tests(
+    df: DataFrame, metrics: list[str], test: str = "t", mu: float = 0.0,
+    alternative: str = "two-sided", alpha: float = 0.05, by: list[str] | None = None,
+) -> DataFrame:
+    """:func:`one_sample_test` of several metrics, and groups, in one scan; ``metric`` tells them apart."""
+    by = resolve_all(df, by or [])
+    rows = _by_metric(df, [resolve(df, c) for c in metrics], by)
+    return one_sample_test(rows, "value", test, mu, alternative, alpha, ["metric", *by])
+
+
+def two_sample_tests(
+    df: DataFrame, metrics: list[str], group_col: str, group_a: object, group_b: object, test: str = "t",
+    alternative: str = "two-sided", alpha: float = 0.05, by: list[str] | None = None,
+) -> DataFrame:
+    """:func:`two_sample_test` of several metrics, and groups, in one scan; ``metric`` tells them apart.
+
+    ``p_adjusted`` is the p-value times the number of tests of the result that have one, 1 at
+    most (Bonferroni): rejecting where it is at most alpha keeps the chance of any false
+    rejection below alpha, however many metrics and groups are tested.
+    """
+    by, group = resolve_all(df, by or []), resolve(df, group_col)
+    rows = _by_metric(df, [resolve(df, c) for c in metrics], [group, *by])
+    tests = two_sample_test(rows, "value", group, group_a, group_b, test, alternative, alpha, ["metric", *by])
+    known = tests.agg(F.count("p_value")).scalar()
+    return tests.withColumn("p_adjusted", F.when(F.col("p_value").isNotNull(), F.least(F.lit(1.0), F.col("p_value") * known)))
+
+
 def binomial_counts(
     df: DataFrame, success: str | Column, by: list[str] | None = None, alpha: float = 0.05
 ) -> DataFrame:

@@ -142,3 +142,24 @@ def test_sampling_is_seeded_and_unbiased(spark, sliced):
     assert first["mean_of_means"] != other["mean_of_means"]
     assert abs(first["mean_of_means"] - 24.5) < 4 * first["theoretical_se"] / 20
     assert first["std_of_means"] == pytest.approx(first["theoretical_se"], rel=0.15)
+
+
+def test_several_metrics_at_once(spark):
+    """The same rows as one call for each metric, and an adjusted p-value."""
+    df = spark.range(300).selectExpr(
+        "id % 7 + IF(id % 2 = 0, 0.9, 0) AS a", "CAST(id % 11 AS DOUBLE) AS `b c`", "IF(id < 0, id, NULL) AS none",
+        "IF(id % 2 = 0, 'x', 'y') AS arm", "id % 3 AS k",
+    )
+    found = {(r["metric"], r["k"]): r for r in inference.two_sample_tests(df, ["a", "b c", "none"], "arm", "x", "y", by=["k"]).collect()}
+    assert len(found) == 9
+    for name in ("a", "b c", "none"):
+        for r in inference.two_sample_test(df, name, "arm", "x", "y", by=["k"]).collect():
+            own = found[name, r["k"]]
+            assert own["p_value"] == (None if r["p_value"] is None else pytest.approx(r["p_value"])) and own["n_a"] == r["n_a"]
+            assert own["p_adjusted"] == (None if r["p_value"] is None else pytest.approx(min(1, 6 * r["p_value"])))
+    one = {r["metric"]: r for r in inference.one_sample_tests(df, ["a", "b c"], mu=3.0).collect()}
+    assert one["a"]["statistic"] == pytest.approx(inference.one_sample_test(df, "a", mu=3.0).first()["statistic"])
+    with pytest.raises(ValueError, match="rename"):
+        inference.one_sample_tests(df.withColumnRenamed("k", "value"), ["a"], by=["value"])
+    with pytest.raises(ValueError):
+        inference.one_sample_tests(df, [])
