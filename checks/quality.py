@@ -17,7 +17,7 @@ from checks.base import (
     union,
 )
 from checks.sources import DOCS, TYPE_RULE, typed
-from plumbline.operators import outliers, profile, readiness
+from plumbline.operators import outliers, profile, readiness, states
 
 CHECKS = Checks()
 
@@ -335,3 +335,30 @@ def quality_report(spark, sf_dir):
 )
 def column_report(spark, sf_dir):
     return rounded(profile.column_report(table(spark, sf_dir, "events"), "value"))
+
+
+STATE_PARTS = 5
+
+
+@CHECKS.add(
+    "merged_profile",
+    union(
+        """SELECT '<c>' AS "column", count(*) AS n_rows, count(*) - count("<c>") AS n_missing,
+                  round((count(*) - count("<c>")) / count(*), 6) AS missing_pct, round(avg("<c>"), 6) AS mean,
+                  round(stddev_samp("<c>"), 6) AS std, min("<c>")::DOUBLE AS min, max("<c>")::DOUBLE AS max FROM <source>""",
+        ["l_quantity", "l_extendedprice", "discount", "tax"],
+        source=PRICED,
+    ),
+)
+def merged_profile(spark, sf_dir):
+    """The exact measures of a table whose parts were profiled apart."""
+    lines = priced(spark, sf_dir)
+    parts = [
+        states.profile_state(lines.filter(f"l_orderkey % {STATE_PARTS} = {i}"), ["l_quantity", "l_extendedprice", "discount", "tax"])
+        for i in range(STATE_PARTS)
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    found = states.merged_report(every)
+    return rounded(found.select("column", "n_rows", "n_missing", "missing_pct", "mean", "std", "min", "max"))

@@ -300,7 +300,7 @@ def sample_means(
     df = present(df)
     column = require_numeric(df, column)
     if sample_size <= 0 or n_samples <= 0:
-        raise ValueError("sample_size and n_samples must be positive")
+        raise ValueError("a sample needs at least one draw, and there must be at least one sample")
     values = df.selectExpr(f"{number(column)} AS value").filter("value IS NOT NULL")
     size = values.count()
     if not size:
