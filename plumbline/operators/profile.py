@@ -26,7 +26,6 @@ from plumbline.plans.per_column import together, wide_to_long
 from plumbline.plans.ranks import column_quantiles, sketched
 
 QUARTILES = [0.25, 0.5, 0.75]
-EXAMPLE_ROWS = 64  # smallest rows in which a round looks for distinct values
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
@@ -238,29 +237,31 @@ def example_values(
 ) -> DataFrame:
     """``column, example_values``: the ``n`` smallest distinct values as an array of texts.
 
-    Spark keeps the smallest rows of each column per task, so no column is shuffled. A
-    round that meets only repeated values is followed by one above them. ``n`` values per
+    Every scan finds the next value of all columns with one wide aggregate, so there are
+    at most ``n`` scans, whatever the columns, and nothing is sorted. ``n`` values per
     column reach the driver.
     """
     df = present(df)
     columns = countable(df, resolve_all(df, columns))
+    kinds = families(df)
     found: dict[str, list[str]] = {c: [] for c in columns}
     pending = columns
-    while pending:
-        parts = None
-        for c in pending:
-            rows = df.select(col(c).alias("v")).filter("v IS NOT NULL")
+    for _ in range(n):
+        if not pending:
+            break
+        cells = []
+        for i, c in enumerate(pending):
+            kind, value = df.schema[c].dataType.simpleString(), quoted(c)
+            if kinds[c] == "fractional":
+                value = f"IF({value} = 0, CAST(0 AS {kind}), {value})"  # both zeros are one value
             if found[c]:
-                kind = df.schema[c].dataType.simpleString()
-                rows = rows.filter(f"v > CAST({sql_text(found[c][-1])} AS {kind})")
-            smallest = rows.orderBy("v").limit(EXAMPLE_ROWS).distinct().orderBy("v").limit(n - len(found[c]))
-            values = F.expr("transform(array_sort(collect_list(struct(v))), x -> CAST(x.v AS STRING)) AS vs")
-            part = smallest.agg(values).select(F.lit(c).alias("column"), "vs")
-            parts = part if parts is None else parts.unionByName(part)
-        more = {r["column"]: r["vs"] for r in parts.collect()}
+                value = f"IF({value} > CAST({sql_text(found[c][-1])} AS {kind}), {value}, NULL)"
+            cells.append(f"CAST(min({value}) AS STRING) AS v{i}")
+        smallest = df.selectExpr(*cells).first()
+        more = {c: smallest[i] for i, c in enumerate(pending)}
+        pending = [c for c in pending if more[c] is not None]
         for c in pending:
-            found[c] += more[c]
-        pending = [c for c in pending if more[c] and len(found[c]) < n]
+            found[c].append(more[c])
     rows = [(c, values) for c, values in found.items() if values]
     return df.sparkSession.createDataFrame(rows, "column string, example_values array<string>")
 

@@ -233,19 +233,15 @@ def _narrowed(rows: DataFrame, by: list[str], marks: DataFrame, places: int) ->
 def order_statistics(df: DataFrame, value: str, targets: DataFrame) -> DataFrame:
     """``rank, value``: the value at each wanted 0-based rank of a column without missing values.
 
-    ``targets`` has ``rank``. Sketched cut points divide the values into buckets; their
-    totals, one row each, say which bucket holds a rank. Only buckets that hold one are
-    ordered, each by itself.
+    ``targets`` has ``rank``. Equal values are counted and dealt by ranges into buckets,
+    one for every ``BRACKET_VALUES`` rows; their totals, one row each, say which bucket
+    holds a rank. Only buckets that hold one are ordered, each by itself.
     """
-    cuts = [i / t.RANK_BUCKETS for i in range(1, t.RANK_BUCKETS)]
-    n, q = sketched(df, [value], [cuts])[0]
-    bounds = sorted(set(q or []))
-    freq = (
-        df.selectExpr(f"{value} AS value")
-        .withColumn("bucket", F.expr(bucket_sql(bounds, "value")))
-        .groupBy("bucket", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    rows = df.selectExpr(f"{value} AS value")
+    n_buckets = max(t.RANK_BUCKETS, math.ceil(rows.count() / t.BRACKET_VALUES))
+    ranges = rows.groupBy("value").agg(F.count(F.lit(1)).alias("cnt")).repartitionByRange(n_buckets, "value")
+    # Ranges come from a sample of the values; the written table keeps one choice of them.
+    freq = stage(ranges.withColumn("bucket", F.spark_partition_id()))
     totals = freq.groupBy("bucket").agg(F.sum("cnt").alias("total")).collect()
     buckets, starts, start = [], [], 0
     for row in sorted(totals, key=lambda r: r["bucket"]):

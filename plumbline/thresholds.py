@@ -32,7 +32,7 @@ PREVIEW_MEANS = 50
 SKETCH_SIZE = 4000  # ranks of sketched quartiles are off by about a thousandth
 RANK_MARGIN = 0.006  # a bracket reaches this share of the ranks to either side
 BRACKET_VALUES = 5_000_000  # brackets that hold more are narrowed by another sketch
-RANK_BUCKETS = 1024  # buckets that order statistics are looked up in
+RANK_BUCKETS = 32  # least number of buckets that order statistics are looked up in
 SKETCH_GROUPS = 512  # tasks whose sketches are merged together first
 
 # Groups: what may be broadcast.

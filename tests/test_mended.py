@@ -119,3 +119,13 @@ def test_infinite_values_are_told_apart(spark):
     assert charts.scatter_grid(df.filter("c = 5"), "c", "b").collect() == []
     with pytest.raises(ValueError, match="finite"):
         charts.histogram(spark.createDataFrame([(inf,), (-inf,)], "v double"), "v")
+
+
+def test_example_values_are_distinct_and_whole(spark):
+    long = "x" * 500
+    df = spark.createDataFrame(
+        [(0.0, long, None), (-0.0, long, None), (float("nan"), "b", None), (2.5, None, None)], "v double, s string, e long"
+    )
+    found = {r["column"]: r["example_values"] for r in profile.example_values(df).collect()}
+    assert found == {"v": ["0.0", "2.5"], "s": ["b", long]}
+    assert profile.example_values(df.limit(0)).count() == 0

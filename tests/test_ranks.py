@@ -68,6 +68,16 @@ def test_every_rank(spark, monkeypatch, buckets):
     assert [r["rank"] for r in found] == list(range(len(frame)))
 
 
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(thresholds, "RANK_BUCKETS", 1)
+    monkeypatch.setattr(thresholds, "BRACKET_VALUES", 100)
+    df = spark.range(2_000).selectExpr("CAST((id * 7919) % 2000 AS DOUBLE) AS value")
+    targets = spark.createDataFrame([(0,), (777,), (1999,), (2000,)], "rank long")
+    found = order_statistics(df, "value", targets)
+    assert sorted((r["rank"], r["value"]) for r in found.collect()) == [(0, 0.0), (777, 777.0), (1999, 1999.0)]
+    assert order_statistics(df.filter("value < 0"), "value", targets).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 50])
 def test_buckets(spark, n):
     bounds = [float(2 * i) for i in range(n)]
