@@ -11,22 +11,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import whole_text
+from plumbline.plans.groups import beside
 from plumbline.session import stage
 
-# Short notices by which licences announce themselves.
+# Notices and permission texts by which licences announce themselves.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License.",
+    ),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
+    ),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 TERM = "[\\p{L}\\p{N}]+(?:[.-][\\p{L}\\p{N}]+)*"
+PARAGRAPHS = "\\n[ \\t\\r]*\\n"
 LEAST_COSINE = 0.7
 COPIES = 32
 FILE_SHARE = 0.3  # from this share of a file's terms on, its notice makes it a licence file
@@ -38,24 +77,65 @@ def terms(text: Column) -> Column:
 
 
 def _template_terms(spark, templates: list[tuple[str, str]]) -> DataFrame:
-    listed = ", ".join("('{}', '{}')".format(*(x.replace("'", "\\'") for x in t)) for t in templates)
-    rows = spark.sql(f"SELECT * FROM VALUES {listed} AS t(license, notice)")
-    return rows.select("license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("license", "term").agg(
-        F.count(F.lit(1)).alias("tf")
+    quote = lambda x: x.replace("'", "\\'")
+    listed = ", ".join(f"({i}, '{quote(a)}', '{quote(b)}')" for i, (a, b) in enumerate(templates))
+    rows = spark.sql(f"SELECT * FROM VALUES {listed} AS t(template, license, notice)")
+    rows = rows.select("template", "license", F.explode(terms(F.col("notice"))).alias("term"))
+    return rows.groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def units(text: Column) -> Column:
+    """What is compared with templates: lines, neighbouring lines joined, paragraphs, the whole text."""
+    lines = F.split(text, "\n")
+    pairs = F.when(
+        F.size(lines) > 1,
+        F.transform(
+            F.sequence(F.lit(1), F.size(lines) - 1),
+            lambda i: F.concat_ws("\n", F.element_at(lines, i), F.element_at(lines, i + 1)),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+    return F.concat(lines, pairs, F.split(text, PARAGRAPHS), F.array(text))
+
+
+def could_reach(found: Column, idf: dict[str, float], shares: list[dict[str, float]], least: float) -> Column:
+    """Whether the terms of a unit could have the cosine ``least`` with one of the templates.
+
+    ``shares`` are the templates' vectors of norm 1. The weights of their terms are known,
+    and with them every product with a template; all other terms weigh at least 1, so m of
+    them add at least m to the squared norm.
+    """
+    square = F.create_map(*[x for t, w in idf.items() for x in (F.lit(t), F.lit(w * w))])
+    parts = F.create_map(
+        *[x for t, w in idf.items() for x in (F.lit(t), F.array(*[F.lit(w * v.get(t, 0.0)) for v in shares]))]
     )
 
+    def able(known: Column) -> Column:
+        times = lambda x: F.size(F.filter(known, lambda y: y == x))
+        distinct = F.array_distinct(known)
+        held = F.aggregate(distinct, F.lit(0.0), lambda total, x: total + times(x) * times(x) * F.element_at(square, x))
+        dots = F.aggregate(
+            distinct,
+            F.array(*[F.lit(0.0)] * len(shares)),
+            lambda total, x: F.zip_with(total, F.transform(F.element_at(parts, x), lambda p: p * times(x)), lambda a, b: a + b),
+        )
+        return F.array_max(dots) >= least * F.sqrt(held + F.size(found) - F.size(known))
+
+    # The array of one makes the terms of templates once, not for each of them.
+    return F.transform(F.array(F.filter(found, lambda x: x.isin(list(idf)))), able)[0]
 
-def anchors(weights: dict[str, dict[str, float]], least: float) -> list[str]:
-    """Terms of which a line needs one to reach the cosine ``least`` with any template.
+
+def anchors(weights: dict, least: float, idf: dict[str, float] | None = None) -> list[str]:
+    """Terms of which a text needs one to reach the cosine ``least`` with any template.
 
     The cosine is at most the norm of the shared terms over the norm of the template, so
-    without the heaviest terms, up to which the rest stays below ``least``, it cannot.
+    without some terms, up to which the rest stays below ``least``, it cannot reach that.
+    Terms are taken from the rarest on, by ``idf``, or else from the heaviest on.
     """
     needed = set()
     for vector in weights.values():
         norm = sum(w * w for w in vector.values())
         rest = norm
-        for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        for term, w in sorted(vector.items(), key=lambda x: (-(idf[x[0]] if idf else x[1]), x[0])):
             if rest < (least * least - 1e-9) * norm:
                 break
             needed.add(term)
@@ -66,60 +146,55 @@ def anchors(weights: dict[str, dict[str, float]], least: float) -> list[str]:
 def notices(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """The best notice of every file that has one: ``path, own_license, own_score, n_terms, n_notice``.
 
-    Every line of every whole text is a candidate header. Its terms are weighted by
-    tf * idf, where idf = 1 + ln((n + 1) / (df + 1)) over all files for terms of the
-    templates and df = 0 for all others. Equal lines are scored once.
+    Every line of every whole text, every two neighbouring lines, every paragraph and the
+    whole text is compared with the templates. Terms are weighted by tf * idf, where
+    idf = 1 + ln((n + 1) / (df + 1)) over all files. What has equal terms is scored once.
     """
     spark = files.sparkSession
-    vocabulary = _template_terms(spark, templates or TEMPLATES)
-    listed = vocabulary.collect()  # bounded by the templates
+    templates = templates or TEMPLATES
+    listed = _template_terms(spark, templates).collect()  # bounded by the templates
     known = sorted({r["term"] for r in listed})
-    lists = F.array(*[F.lit(t) for t in known])
     text = whole_text()
     n = files.count()
-    seen = (
-        files.select(F.explode(F.array_intersect(terms(text), lists)).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .collect()
-    )
-    df = {r["term"]: r["df"] for r in seen}
+    each = files.select(F.explode(F.array_distinct(terms(text))).alias("term"))
+    seen = stage(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    df = {r["term"]: r["df"] for r in seen.filter(F.col("term").isin(known)).collect()}
     idf = {t: 1 + math.log((n + 1) / (df.get(t, 0) + 1)) for t in known}
-    other = 1 + math.log(n + 1)
-    weights: dict[str, dict[str, float]] = {}
+    weights: dict[int, dict[str, float]] = {}
     for r in listed:
-        weights.setdefault(r["license"], {})[r["term"]] = r["tf"] * idf[r["term"]]
-    needed = anchors(weights, least)
-    quoted = "|".join(t.replace(".", "[.]") for t in needed)
+        weights.setdefault(r["template"], {})[r["term"]] = r["tf"] * idf[r["term"]]
+    least_before_rounding = least - 1e-6
+    needed = F.array(*[F.lit(t) for t in anchors(weights, least_before_rounding, idf)])
+    norm_of = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in weights.items()}
+    shares = {i: {t: w / norm_of[i] for t, w in sorted(v.items())} for i, v in sorted(weights.items())}
 
     lines = (
         files.select("path", text.alias("text"))
-        .filter(F.lower("text").rlike(quoted))
-        .select("path", F.size(terms(F.col("text"))).alias("n_terms"), F.explode(F.split("text", "\n")).alias("line"))
-        .filter(F.lower("line").rlike(quoted))
-        .withColumn("terms", terms(F.col("line")))
-        .filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in needed])))
-        .withColumn("line_key", F.sha2("line", 256))
+        .filter(F.arrays_overlap(terms(F.col("text")), needed))
+        .select("path", F.size(terms(F.col("text"))).alias("n_terms"), F.explode(units(F.col("text"))).alias("unit"))
+        .withColumn("terms", terms(F.col("unit")))
+        .filter(F.arrays_overlap("terms", needed))
+        .filter(could_reach(F.col("terms"), idf, list(shares.values()), least_before_rounding))
+        .withColumn("line_key", F.sha2(F.array_join("terms", " "), 256))
     )
+    lines = stage(lines.select("path", "n_terms", "terms", "line_key"))
     single = lines.groupBy("line_key").agg(F.first("terms").alias("terms"))
-    tf = (
+    tf = stage(
         single.select("line_key", F.explode("terms").alias("term"))
         .groupBy("line_key", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    values = ", ".join(f"('{t}', {idf[t]!r}D)" for t in known)
-    # Bounded by the templates, like the vectors below.
-    tf = tf.join(F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t(term, idf)")), "term", "left")
-    tf = tf.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    used = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(seen, "term", "left")
+    weighed = 1 + F.log(F.lit(n + 1) / (F.coalesce("df", F.lit(0)) + 1))
+    tf = beside(tf, ["term"], stage(used.select("term", "n", weighed.alias("idf"))))
+    tf = stage(tf.select("line_key", "term", "tf", (F.col("tf") * F.col("idf")).alias("w")))
     norms = tf.groupBy("line_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_notice"))
-    vectors = []
-    for license_id, vector in sorted(weights.items()):
-        norm = math.sqrt(sum(w * w for w in vector.values()))
-        vectors += [f"('{license_id}', '{t}', {w / norm!r}D)" for t, w in sorted(vector.items())]
-    unit = spark.sql(f"SELECT * FROM VALUES {', '.join(vectors)} AS t(license, term, share)")
+    vectors = [f"({i}, '{templates[i][0]}', '{t}', {w!r}D)" for i, v in shares.items() for t, w in v.items()]
+    # Bounded by the templates.
+    unit = spark.sql(f"SELECT * FROM VALUES {', '.join(vectors)} AS t(template, license, term, share)")
     best = (
         tf.join(F.broadcast(unit), "term")
-        .groupBy("line_key", "license")
+        .groupBy("line_key", "template", "license")
         .agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
         .join(norms, "line_key")
         .withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
@@ -211,27 +286,30 @@ def laid_out(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    listed = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
+    quote = lambda x: x.replace("'", "''")
+    listed = ", ".join(f"({i}, '{quote(a)}', '{quote(b)}')" for i, (a, b) in enumerate(TEMPLATES))
     term = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+(?:[.-][\\p{{L}}\\p{{N}}]+)*')".format
     return f"""
-WITH t(license, notice) AS (VALUES {listed}),
+WITH t(template, license, notice) AS (VALUES {listed}),
 f AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'unknown'),
         coalesce((doc_id // 1000)::VARCHAR, 'none'), coalesce((doc_id // 50)::VARCHAR, 'none'),
         coalesce(doc_id::VARCHAR, 'none') || '.txt') AS path FROM documents),
-v AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest({term("notice")}) AS term FROM t) GROUP BY ALL),
+v AS (SELECT template, license, term, count(*) AS tf
+      FROM (SELECT template, license, unnest({term("notice")}) AS term FROM t) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM f),
 c AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({term("text")})) AS term FROM f) GROUP BY term),
-idf AS (SELECT term, 1 + ln((n + 1) / (coalesce(df, 0) + 1)) AS idf
-        FROM (SELECT DISTINCT term FROM v) LEFT JOIN c USING (term), n),
-l AS (SELECT path, len({term("text")}) AS n_terms, unnest(string_split(text, chr(10))) AS line FROM f),
+ls AS (SELECT path, text, len({term("text")}) AS n_terms, string_split(text, chr(10)) AS ls FROM f),
+l AS (SELECT path, n_terms, unnest(list_concat(ls, [ls[i] || chr(10) || ls[i + 1] for i in range(1, len(ls))],
+        string_split_regex(text, '{PARAGRAPHS}'), [text])) AS line FROM ls),
 e AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest({term("line")}) AS term FROM (SELECT DISTINCT line FROM l))
       GROUP BY ALL),
-w AS (SELECT line, term, tf, tf * coalesce(idf, 1 + ln(n + 1)) AS w FROM e LEFT JOIN idf USING (term), n),
+w AS (SELECT line, term, tf, tf * (1 + ln((n + 1) / (coalesce(df, 0) + 1))) AS w FROM e LEFT JOIN c USING (term), n),
 m AS (SELECT line, sqrt(sum(w * w)) AS norm, sum(tf)::BIGINT AS n_notice FROM w GROUP BY line),
-y AS (SELECT license, term, tf * idf AS w FROM v JOIN idf USING (term)),
-yn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM y GROUP BY license),
-s AS (SELECT w.line, y.license, round(sum(w.w * y.w) / any_value(m.norm * yn.norm), 6) AS score, any_value(m.n_notice) AS n_notice
-      FROM w JOIN y USING (term) JOIN m ON m.line = w.line JOIN yn ON yn.license = y.license GROUP BY ALL),
+y AS (SELECT template, license, term, tf * (1 + ln((n + 1) / (coalesce(df, 0) + 1))) AS w FROM v LEFT JOIN c USING (term), n),
+yn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM y GROUP BY template),
+s AS (SELECT w.line, y.template, y.license, round(sum(w.w * y.w) / any_value(m.norm * yn.norm), 6) AS score,
+        any_value(m.n_notice) AS n_notice
+      FROM w JOIN y USING (term) JOIN m ON m.line = w.line JOIN yn ON yn.template = y.template GROUP BY ALL),
 b AS (SELECT * FROM s WHERE score >= {LEAST_COSINE}
       QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
 o AS (SELECT l.path, b.license, b.score, b.n_notice, max(l.n_terms) OVER (PARTITION BY l.path) AS n_terms

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cases import SF_DIR, frame, none, odd, odd_rows, table, words
 
@@ -147,6 +148,44 @@ def test_licences(spark):
     assert found[7]["license"] == "Proprietary" and found[8]["via"] == "header"
 
 
+def test_licences_in_other_words_wrapped_and_whole(spark):
+    common = [(100 + i, f"a/{i}.txt", "it was what it was and so it goes on") for i in range(60)]
+    permission = next(text for name, text in licenses.TEMPLATES if name == "MIT" and len(text) > 100)
+    words = permission.split()
+    wrapped = "\n".join(" ".join(words[i : i + 8]) for i in range(0, len(words), 8))
+    files = [
+        (1, "b/1.py", "It was released under the MIT License."),
+        (2, "c/2.py", "code first\n# This Source Code Form is subject to the\n# terms of the Mozilla Public License, v. 2.0.\nmore"),
+        (3, "d/3.py", f"some heading here\n\n{wrapped}\n\nand a long tail of other text follows " + "more words " * 40),
+        (4, "e/COPYING", f"Copyright 2001 Somebody\n{wrapped}"),
+        (5, "e/5.py", "nothing"),
+        (6, "f/6.py", "a license to kill was never released under the table by anybody at all"),
+        *common,
+    ]
+    found = {r["doc_id"]: r for r in table(licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")))}
+    assert {i: found[i]["own_license"] for i in range(1, 7)} == {1: "MIT", 2: "MPL-2.0", 3: "MIT", 4: "MIT", 5: None, 6: None}
+    assert found[3]["own_score"] == 1.0 and found[2]["own_score"] == 1.0
+    assert (found[5]["via"], found[5]["license_path"]) == ("inherited", "e/COPYING")
+    assert all(found[i]["license"] is None for i, _, _ in common)
+
+
+def test_units_that_cannot_reach_are_below_the_cosine(spark):
+    rng = random.Random(8)
+    idf = {"a": 1.5, "b": 3.0, "c": 1.0}
+    texts = [" ".join(rng.choices("abcxyzw", k=rng.randint(1, 9))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.split("t", " ").alias("w"))
+    shares = [{"a": 0.6, "b": 0.8}, {"c": 1.0}]
+    kept = {r["t"] for r in rows.filter(licenses.could_reach(F.col("w"), idf, shares, 0.7)).collect()}
+    assert 0 < len(kept) < len(set(texts))
+    for text in set(texts):
+        weight = {w: text.split().count(w) * idf.get(w, 1.0) for w in set(text.split())}
+        others = sum(text.split().count(w) for w in set(text.split()) - set(idf))
+        norm = np.sqrt(sum(weight.get(w, 0) ** 2 for w in idf) + others)
+        best = max(sum(weight.get(w, 0) * x for w, x in v.items()) for v in shares)
+        assert (best >= 0.7 * norm) == (text in kept)
+        assert best < 0.7 * np.sqrt(sum(x * x for x in weight.values())) or text in kept
+
+
 def test_anchors_lose_no_line():
     rng = np.random.default_rng(3)
     names = [f"t{i}" for i in range(12)]
