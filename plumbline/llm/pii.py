@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,32 +144,45 @@ class Field:
     skip: np.ndarray
 
 
-def _agreement(pairs: np.ndarray, most: float) -> np.ndarray:
+def _agreement(met: np.ndarray, most: float) -> np.ndarray:
     """Log of how much more often two labels meet than by chance, within ``most``."""
-    n = len(KINDS) + 1
-    met = np.bincount(pairs[:, 0] * n + pairs[:, 1], minlength=n * n).reshape(n, n) + 0.5
+    met = met + 0.5
     chance = met.sum(1, keepdims=True) * met.sum(0, keepdims=True) / met.sum()
     return np.clip(np.log(met / chance), -most, most)
 
 
-def fit(texts: list[str], steps: int = 120) -> Field:
-    """Piecewise training: token weights by softmax regression, potentials from label counts."""
+TOKEN, CHAIN, SKIP = 0, 1, 2
+
+
+def examples(text: str) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """What the field learns from a text: ``TOKEN`` with its label and features, and pairs of labels."""
+    tokens = tokens_of(text)
+    own = base_labels(tokens, base_spans(text)).tolist()
+    for label, features in zip(own, tokens.features, strict=True):
+        yield TOKEN, (label, *features)
+    for i in tokens.chain:
+        yield CHAIN, (own[i], own[i + 1])
+    for i, j in tokens.skip:
+        yield SKIP, (own[i], own[j])
+
+
+def fit(counted: dict[tuple[int, tuple[int, ...]], int], steps: int = 120) -> Field:
+    """Piecewise training on counted examples: token weights by softmax regression, potentials from label counts."""
     n = len(KINDS) + 1
-    rows, columns, labels, chain, skip = [], [], [], [], []
-    for text in texts:
-        tokens = tokens_of(text)
-        at = len(labels)
-        own = base_labels(tokens, base_spans(text))
-        for place, names in enumerate(tokens.features):
-            rows += [at + place] * len(names)
-            columns += names
-        chain += [(own[i], own[i + 1]) for i in tokens.chain]
-        skip += [(own[i], own[j]) for i, j in tokens.skip]
-        labels += own.tolist()
+    rows, columns, labels, times = [], [], [], []
+    met = np.zeros((3, n, n))
+    for (part, items), count in sorted(counted.items()):
+        if part == TOKEN:
+            rows += [len(labels)] * (len(items) - 1)
+            columns += items[1:]
+            labels.append(items[0])
+            times.append(count)
+        else:
+            met[part, items[0], items[1]] += count
     weights = np.zeros((WIDTH, n))
     if not labels:
         return Field(weights, np.zeros((n, n)), np.zeros((n, n)))
-    rows, columns, y = np.array(rows), np.array(columns), np.array(labels)
+    rows, columns, y, times = np.array(rows), np.array(columns), np.array(labels), np.array(times, float)
     squares = np.full((WIDTH, n), 1e-6)
     for _ in range(steps):
         scores = np.zeros((len(y), n))
@@ -176,12 +190,12 @@ def fit(texts: list[str], steps: int = 120) -> Field:
         p = np.exp(scores - scores.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        gradient = 1e-4 * len(y) * weights
+        p *= times[:, None]
+        gradient = 1e-4 * times.sum() * weights
         np.add.at(gradient, columns, p[rows])
         squares += gradient**2
         weights -= 0.5 * gradient / np.sqrt(squares)
-    pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Field(weights, _agreement(pairs(chain), 2.0), _agreement(pairs(skip), 3.0))
+    return Field(weights, _agreement(met[CHAIN], 2.0), _agreement(met[SKIP], 3.0))
 
 
 def marginals(field: Field, tokens: Tokens) -> np.ndarray:
@@ -246,13 +260,26 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k - 1]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = Counter(e for text in batch["text"] for e in examples(text))
+        rows = [(part, list(items), n) for (part, items), n in found.items()]
+        yield pd.DataFrame(rows, columns=["part", "items", "n"])
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field from about ``sample`` documents with a digit or an at sign, chosen by a hash of the doc_id."""
+    """The field from about ``sample`` documents with a digit or an at sign, chosen by a hash of the doc_id.
+
+    Their examples are counted in the tasks; the driver gets hashed features and
+    counts, one row for each different example, and no text.
+    """
     able = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
     n = able.count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit("private")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = able.filter(chance < F.lit(min(1.0, sample / max(1, n)))).select("doc_id", "text").collect()
-    return fit([r["text"] for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"]))])
+    chosen = able.filter(chance < F.lit(min(1.0, sample / max(1, n)))).select("text")
+    counted = chosen.mapInPandas(_examples, "part int, items array<int>, n long")
+    rows = counted.groupBy("part", "items").agg(F.sum("n").alias("n")).collect()
+    return fit({(r["part"], tuple(r["items"])): r["n"] for r in rows})
 
 
 def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

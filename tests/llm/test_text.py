@@ -259,7 +259,7 @@ def test_the_field_completes_repeated_tokens():
     for _ in range(300):
         number = f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
         texts.append(" ".join([*words(rng, 5), number, *words(rng, 4), f"{rng.randint(1, 99)}", *words(rng, 3)]))
-    field = pii.fit(texts)
+    field = pii.fit(Counter(e for text in texts for e in pii.examples(text)))
     assert pii.added_spans(field, texts[0], pii.base_spans(texts[0])) == []
     tokens = pii.tokens_of(texts[0])
     assert tokens.chain and np.allclose(pii.marginals(field, tokens).sum(axis=1), 1)
@@ -287,6 +287,18 @@ def test_message_passing_is_exact_on_a_chain():
     assert np.allclose(pii.marginals(field, tokens), want, atol=1e-2)
 
 
+def test_the_field_learns_counts_of_all_examples(spark):
+    """Counted in tasks, in any number of them, the examples give the field of the texts themselves."""
+    rng = random.Random(10)
+    rows = [(i, " ".join([*words(rng, 4), f"+1 ({i % 7}12) 555-{1000 + i}", "a@b.org", str(i % 5)])) for i in range(60)]
+    want = pii.fit(Counter(e for _, text in rows for e in pii.examples(text)))
+    docs = spark.createDataFrame([*rows, (None, None), (61, ""), (62, "no sign")], "doc_id long, text string")
+    for parts in (1, 5):
+        found = pii.learn(docs.repartition(parts))
+        assert all(np.array_equal(getattr(found, name), getattr(want, name)) for name in ("unary", "chain", "skip"))
+    assert not pii.learn(docs.limit(0)).unary.any()
+
+
 def test_personal_data(spark):
     found = {r["doc_id"]: r for r in table(pii.find(odd(spark)))}
     assert found[14]["spans"].split(",")[:3] == ["email:13:28", "ip:30:38", "ip:40:48"]
