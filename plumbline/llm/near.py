@@ -123,8 +123,8 @@ def leaves(sigs: DataFrame) -> DataFrame:
     """``node, id, held``: every node to be compared, with its members and their number.
 
     A level branches all nodes that are too large at once. A node is branched only if it
-    holds at most half of its parent, so the rows of a level never grow and levels end
-    after a logarithmic number.
+    holds at most half of its parent, so levels end after a logarithmic number. A member
+    that both branches keep in large nodes has two rows on the next level.
     """
     roots = F.array(*[F.lit(_hashed(t + 1) - 2**63) for t in range(TREES)])
     rows = sigs.select("id", "sig", F.explode(roots).alias("node"), F.lit(2**62).alias("held"))
