@@ -12,17 +12,16 @@ weights are averaged.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import words_of
 from plumbline.session import stage
 
 OFFSETS = (-2, -1, 1, 2)
@@ -34,11 +33,15 @@ RATE = 0.2
 STEPS = 256, 4096  # the fewest and the most tokens of a training step
 STEPS_OF_SHARD = 256  # the steps that a shard should have at least, while steps are large enough
 CHUNK = 16_384  # tokens scored at once
+BLOCK = 1024  # tokens weighed at once
+ALONE = 48  # a group of more tokens is weighed alone
+FILLED = 0.7  # of the places that groups weighed together have, a group fills more than this share
 COUNTED = 200_000  # distinct words that a task counts before it hands them on
 SHARD_TOKENS = 4_000_000  # the corpus has a shard for so many
 
 CACHED = 50_000  # words whose counts every task holds; those of the others are joined
 NONE = -30.0  # the bias of a class that is never a target
+LARGE = 60.0  # scores that cannot exceed this have exponentials that neither overflow nor vanish
 
 
 def groups(classes: int) -> tuple[int, int]:
@@ -53,20 +56,42 @@ def sizes(classes: int) -> list[tuple[int, ...]]:
     return [(len(OFFSETS), classes, HIDDEN), (HIDDEN + 1, g), (g, HIDDEN + 1, m)]
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows(counts: Counter) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"word": list(counts), "n": list(counts.values()), "hash": [xxhash.xxh32_intdigest(w) for w in counts]}
-        )
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, cut and lowered as ``words_of`` does, and how many each text has."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pieces.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty piece
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy())])
+    return words.filter(real).cast(pa.binary()), np.diff(before[ends])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+    waiting = 0
+
+    def merged() -> pa.Table:
+        total = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return total.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    def rows(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+        for part in counts.to_batches(max_chunksize=100_000):
+            hashes = [xxhash.xxh32_intdigest(w) for w in part.column("word").to_pylist()]
+            yield part.append_column("hash", pa.array(hashes, pa.int64()))
 
-    counts: Counter = Counter()
     for batch in batches:
-        for text in batch["text"]:
-            counts.update(words_of(text))
-            if len(counts) > COUNTED:
-                yield rows(counts)
-                counts = Counter()
-    yield rows(counts)
+        for piece in _slices(batch, "text"):
+            found = pc.value_counts(_split(piece.column("text"))[0])
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            waiting += len(found)
+            if waiting > 2 * COUNTED:
+                held = [merged()]
+                waiting = len(held[0])
+                if waiting > COUNTED:
+                    yield from rows(held[0])
+                    held, waiting = [], 0
+    if held:
+        yield from rows(merged())
 
 
 class Vocabulary:
@@ -84,7 +109,7 @@ class Vocabulary:
         shared = [(w, n, h) for w, n, h in cached if w not in self.classes]
         self.classes |= {w: self.hashed(h) for w, _, h in shared}
         # Words by number: those with a class of their own, then the cached ones, then one for all others.
-        self.numbers = {w: i for i, w in enumerate(self.classes)}
+        self.words = pa.array(list(self.classes), pa.binary())
         self.class_of = np.array([*self.classes.values(), 0], np.int32)
         self.log_of = np.array([0.0] * own + [math.log(n) for _, n, _ in shared] + [0.0])
         self.within = np.zeros(size, np.float64)
@@ -112,23 +137,24 @@ class Vocabulary:
         """The class of a word without its own, by its hash."""
         return self.frequent + value % (self.size - self.frequent - 1)
 
-    def known(self, words: list[bytes]) -> tuple[np.ndarray, float, list[bytes]]:
-        """The classes of a text's words, the sum of the logs of the counts of the cached ones, and the other words."""
-        other = len(self.numbers)
-        at = np.fromiter(map(self.numbers.get, words, repeat(other)), np.int32, len(words))
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The class and the number of each word; the places of those without a number of their own, and these words."""
+        other = len(self.words)
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), other).to_numpy()
         found = self.class_of[at]
         rest = np.flatnonzero(at == other)
-        others = [words[i] for i in rest]
+        others = words.take(pa.array(rest)).to_pylist()
         found[rest] = [self.hashed(xxhash.xxh32_intdigest(w)) for w in others]
-        return found, float(self.log_of[at].sum()), others
+        return found, at, rest, others
 
     def ids(self, text: str | None) -> np.ndarray:
-        return self.known(words_of(text))[0]
+        whole = pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.binary()).view(pa.string())
+        return self.known(_split(whole)[0])[0]
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """``word, hash, n`` of every distinct word of all documents."""
-    counts = docs.select("text").mapInPandas(_counted, "word binary, n long, hash long")
+    counts = docs.select("text").mapInArrow(_counted, "word binary, n long, hash long")
     return stage(counts.groupBy("word", "hash").agg(F.sum("n").alias("n")))
 
 
@@ -176,18 +202,27 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """
     kind = np.uint16 if words.size <= 1 << 16 else np.uint32
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in _slices(batch):
-                made = []
-                for doc_id, text in zip(piece["doc_id"], piece["text"], strict=True):
-                    ids, logs, others = words.known(words_of(text))
-                    made.append((doc_id, len(ids), logs, ids.astype(kind).tobytes(), b" ".join(others)))
-                frame = pd.DataFrame(made, columns=["doc_id", "n_tokens", "logs", "ids", "others"])
-                yield frame.astype({"doc_id": "Int64"})
+            for piece in _slices(batch, "text"):
+                split, n = _split(piece.column("text"))
+                ids, at, rest, others = words.known(split)
+                ids, logs = ids.astype(kind), words.log_of[at]
+                ends = np.cumsum(n)
+                spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
+                left = np.searchsorted(rest, np.concatenate([[0], ends])).tolist()
+                yield pa.record_batch(
+                    {
+                        "doc_id": piece.column("doc_id"),
+                        "n_tokens": pa.array(n, pa.int64()),
+                        "logs": pa.array([logs[i:j].sum() for i, j in spans], pa.float64()),
+                        "ids": pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
+                        "others": pa.array([b" ".join(others[left[k] : left[k + 1]]) for k in range(len(n))], pa.binary()),
+                    }
+                )
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    made = texts.mapInPandas(rows, "doc_id long, n_tokens long, logs double, ids binary, others binary")
+    made = texts.mapInArrow(rows, "doc_id long, n_tokens long, logs double, ids binary, others binary")
     return stage(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -211,40 +246,80 @@ def parts(flat: np.ndarray, classes: int) -> list[np.ndarray]:
 
 def hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The hidden values of the tokens at ``at``, a column each, and a 1 for the bias."""
-    total = weights[0][0][ids[at + OFFSETS[0]]]
-    for k, offset in enumerate(OFFSETS[1:], 1):
-        total += weights[0][k][ids[at + offset]]
-    out = np.ones((HIDDEN + 1, len(at)), total.dtype)
-    np.tanh(total.T, out=out[:-1])
-    return out
+    return _hidden(weights, ids, at).T
 
 
-def _softmax(weights: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The probabilities of the choices, in rows, for each token, in columns."""
-    scores = weights.T @ h
-    scores -= scores.max(axis=0)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=0)
-    return scores
+def _hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = weights[0][0].take(ids[at + OFFSETS[0]], axis=0)
+    for k, offset in enumerate(OFFSETS[1:], 1):
+        total += weights[0][k].take(ids[at + offset], axis=0)
+    out = np.ones((len(at), HIDDEN + 1), total.dtype)
+    out[:, :-1] = np.tanh(total, out=total)
+    return out
 
 
-def _log_share(weights: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log probability of the chosen row of each token."""
-    scores = weights.T @ h
-    scores -= scores.max(axis=0)
-    own = scores[chosen, np.arange(len(chosen))].astype(np.float64)
+def _large(weights: np.ndarray) -> bool:
+    """Whether a score may be large; no hidden value exceeds 1, so the weights bound the scores."""
+    return bool(np.abs(weights).sum(axis=-2).max() > LARGE)
+
+
+def _error(
+    weights: np.ndarray, h: np.ndarray, chosen: tuple, large: bool, counts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients at the hidden values and at the weights: of the softmax less 1 at ``chosen``.
+    Places that don't count have none."""
+    error = h @ weights
+    if large:
+        error -= error.max(axis=-1, keepdims=True)
+    np.exp(error, out=error)
+    total = error.sum(axis=-1)
+    error[chosen] -= total
+    share = (1 / total if counts is None else counts / total)[..., None]
+    inner = error @ weights[..., :-1, :].swapaxes(-1, -2)
+    inner *= share
+    return inner, (h * share).swapaxes(-1, -2) @ error
+
+
+def _log_share(weights: np.ndarray, h: np.ndarray, chosen: tuple, large: bool) -> np.ndarray:
+    """The log probability of the choice ``chosen`` of each token."""
+    scores = h @ weights
+    if large:
+        scores -= scores.max(axis=-1, keepdims=True)
+    own = scores[chosen].astype(np.float64)
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=0))
+    return own - np.log(scores.sum(axis=-1).astype(np.float64))
 
 
-def _by_group(own: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """An order of tokens by group, their groups and members in it, and the (group, start, end) of each."""
+def _by_group(own: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of tokens by group, and their groups and members in it."""
     g, m = groups(classes)
     order = np.argsort((own // m).astype(np.uint16 if g < 1 << 16 else np.int64), kind="stable")
-    group, member = np.divmod(own[order], m)
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    starts = [0, *cuts.tolist()]
-    return order, group, member, [(int(group[i]), i, j) for i, j in zip(starts, [*starts[1:], len(own)], strict=True)]
+    return order, *np.divmod(own[order], m)
+
+
+def _spans(group: np.ndarray) -> Iterator[tuple]:
+    """Tokens whose groups are weighed in one product: the groups, the tokens, an index of each token's choice
+    but for its last part, and which tokens count. ``group`` is sorted. A group of many tokens goes alone,
+    in pieces; others go together with groups of about as many, a row each."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    held = np.diff(starts, append=len(group))
+    order = np.argsort(-held, kind="stable")
+    sizes_, i = held[order].tolist(), 0
+    while i < len(order):
+        widest, j = sizes_[i], i + 1
+        if widest > ALONE:
+            start = int(starts[order[i]])
+            for first in range(start, start + widest, BLOCK):
+                end = min(first + BLOCK, start + widest)
+                yield int(group[start]), slice(first, end), (np.arange(end - first),), None
+        else:
+            while j < len(order) and sizes_[j] > FILLED * widest:
+                j += 1
+            some = order[i:j, None]
+            within = np.arange(widest)
+            counts = within < held[some]
+            yield group[starts[some[:, 0]]], np.where(counts, starts[some] + within, 0), (np.arange(j - i)[:, None], within), counts
+        i = j
 
 
 def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray, classes: int) -> None:
@@ -252,43 +327,56 @@ def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.nd
     if not len(at):
         return
     weights, sums = parts(flat, classes), parts(squares, classes)
-    order, group, member, spans = _by_group(ids[at], classes)
+    order, group, member = _by_group(ids[at], classes)
     at = at[order]
-    h = hidden(weights, ids, at)
+    h = _hidden(weights, ids, at)
     n = len(at)
-    tokens = np.arange(n)
 
-    def descend(part: int, g: np.ndarray, where=...) -> None:
+    def descend(part: np.ndarray, squared: np.ndarray, g: np.ndarray, where: np.ndarray | None = None) -> None:
         g /= n
-        total = sums[part][where] + g * g
-        sums[part][where] = total
+        total = squared if where is None else squared.take(where, axis=0)
+        total += g * g
+        if where is not None:
+            squared[where] = total
         g *= RATE
-        g /= np.sqrt(total, out=total)
-        weights[part][where] -= g
-
-    error = _softmax(weights[1], h)
-    error[group, tokens] -= 1
-    inner = weights[1] @ error
-    outer = h @ error.T
-    lower = np.zeros((len(spans), *weights[2].shape[1:]), flat.dtype)
-    for i, (g, start, end) in enumerate(spans):
-        own, w = h[:, start:end], weights[2][g]
-        error = _softmax(w, own)
-        error[member[start:end], tokens[: end - start]] -= 1
-        inner[:, start:end] += w @ error
-        lower[i] = own @ error.T
-    descend(1, outer)
-    descend(2, lower, [g for g, _, _ in spans])
-    inner *= 1 - h * h  # the row of the bias is 0
-    inner = inner[:-1].astype(np.float64)
-    for k, offset in enumerate(OFFSETS):
-        near = ids[at + offset]
-        seen = np.flatnonzero(np.bincount(near, minlength=classes))  # only classes that were seen have a gradient
-        place = np.zeros(classes, np.intp)
-        place[seen] = np.arange(len(seen))
-        near = place[near]
-        total = np.stack([np.bincount(near, row, len(seen)) for row in inner], axis=1)
-        descend(0, total.astype(flat.dtype), (k, seen))
+        g /= np.sqrt(total)
+        if where is None:
+            part -= g
+        else:
+            part[where] = part.take(where, axis=0) - g
+
+    inner, outer = np.empty((n, HIDDEN), flat.dtype), np.zeros_like(weights[1])
+    large = _large(weights[1])
+    for i in range(0, n, BLOCK):
+        own = group[i : i + BLOCK]
+        inner[i : i + BLOCK], change = _error(weights[1], h[i : i + BLOCK], (np.arange(len(own)), own), large)
+        outer += change
+    lower = np.zeros_like(weights[2])
+    large = _large(weights[2])
+    for some, here, index, counts in _spans(group):
+        error, change = _error(weights[2][some], h[here], (*index, member[here]), large, counts)
+        if counts is None:
+            inner[here] += error
+            lower[some] += change
+        else:
+            inner[here[counts]] += error[counts]
+            lower[some] = change
+    descend(weights[1], sums[1], outer)
+    seen = group[np.flatnonzero(np.diff(group, prepend=-1))]
+    if len(seen) == len(lower):
+        descend(weights[2], sums[2], lower)
+    else:
+        descend(weights[2], sums[2], lower[seen], seen)
+    inner *= 1 - h[:, :-1] ** 2
+    inner = np.ascontiguousarray(np.tile(inner.T.astype(np.float64), len(OFFSETS)))
+    # Only classes that were seen at an offset have a gradient.
+    near = np.concatenate([ids[at + offset] + k * classes for k, offset in enumerate(OFFSETS)])
+    seen = np.flatnonzero(np.bincount(near, minlength=len(OFFSETS) * classes))
+    place = np.zeros(len(OFFSETS) * classes, np.intp)
+    place[seen] = np.arange(len(seen))
+    near = place[near]
+    total = np.stack([np.bincount(near, row, len(seen)) for row in inner], axis=1)
+    descend(weights[0].reshape(-1, HIDDEN), sums[0].reshape(-1, HIDDEN), total.astype(flat.dtype), seen)
 
 
 def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,11 +392,12 @@ def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(pieces, dtype=np.int32), np.concatenate([empty, *places]), np.concatenate([empty, *owners])
 
 
-def _slices(batch: pd.DataFrame, column: str = "text", characters: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """A batch in pieces of bounded text, so that long texts don't pile up."""
-    size = batch[column].str.len().fillna(0).cumsum().to_numpy(dtype="int64") // characters
-    for _, piece in batch.groupby(size, sort=True):
-        yield piece
+def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of bounded bytes, so that long texts don't pile up."""
+    held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    starts = np.flatnonzero(np.diff(np.cumsum(held, dtype=np.int64) // most, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], len(held)], strict=len(held) > 0):
+        yield batch.slice(start, end - start)
 
 
 def _ids(size: int, held) -> Iterator[np.ndarray]:
@@ -416,13 +505,20 @@ def log_probabilities(words: Vocabulary, flat: np.ndarray, ids: np.ndarray, at:
 
 def _log_probabilities(weights: list[np.ndarray], size: int, within: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at))
+    large, large_below = _large(weights[1]), _large(weights[2])
     for i in range(0, len(at), CHUNK):
-        order, group, member, spans = _by_group(ids[at[i : i + CHUNK]], size)
-        here = at[i : i + CHUNK][order]
-        h = hidden(weights, ids, here)
-        found = _log_share(weights[1], h, group)
-        for g, start, end in spans:
-            found[start:end] += _log_share(weights[2][g], h[:, start:end], member[start:end])
+        order, group, member = _by_group(ids[at[i : i + CHUNK]], size)
+        h = _hidden(weights, ids, at[i : i + CHUNK][order])
+        found = np.empty(len(h))
+        for j in range(0, len(h), BLOCK):
+            own = group[j : j + BLOCK]
+            found[j : j + BLOCK] = _log_share(weights[1], h[j : j + BLOCK], (np.arange(len(own)), own), large)
+        for some, here, index, counts in _spans(group):
+            share = _log_share(weights[2][some], h[here], (*index, member[here]), large_below)
+            if counts is None:
+                found[here] += share
+            else:
+                found[here[counts]] += share[counts]
         out[i + order] = found
     return out + within[ids[at]]
 
@@ -458,16 +554,17 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     flat = train(texts, words, rounds, rows)
     size, within = words.size, words.within
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = parts(flat, size)
         for batch in batches:
             for piece in _slices(batch, "ids"):
-                ids, at, owner = _joined(size, _ids(size, piece["ids"]))
+                ids, at, owner = _joined(size, _ids(size, piece.column("ids").to_pylist()))
                 total = np.bincount(owner, _log_probabilities(weights, size, within, ids, at), len(piece))
-                yield piece[["row", "doc_id", "n_tokens"]].assign(total=total + piece["logs"])
+                total = total + piece.column("logs").to_numpy()
+                yield piece.select(["row", "doc_id", "n_tokens"]).append_column("total", pa.array(total))
 
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
-    found = rows.select("row", "doc_id", "n_tokens", "logs", "ids").mapInPandas(
+    found = rows.select("row", "doc_id", "n_tokens", "logs", "ids").mapInArrow(
         scored, "row long, doc_id long, n_tokens long, total double"
     )
     found = found.join(joined_logs(rows, counts, words), "row", "left")

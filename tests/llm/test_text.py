@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from cases import SF_DIR, frame, none, odd, odd_rows, table, words
 
 from plumbline.llm import language, licenses, pii, pseudo, syncmers
+from plumbline.llm.shared import words_of
 
 
 def signed(x):
@@ -423,6 +425,70 @@ def test_gradient():
         assert gradient[i] == pytest.approx((loss(before + step) - loss(before - step)) / 2e-5, rel=1e-3, abs=1e-8)
 
 
+def test_words_of_many_texts_are_those_of_each():
+    texts = ["A b\x0bC\x0c d\r\n", None, "", " \t", "\x1cÄ b\x85c\u00a0D\u3000e\x00F ", "".join(map(chr, range(1, 768))), "İK x"]
+    found, n = pseudo._split(pa.array(["left out", *texts]).slice(1))
+    assert n.tolist() == [len(words_of(t)) for t in texts]
+    assert found.to_pylist() == [w for t in texts for w in words_of(t)]
+
+
+def test_words_are_counted_over_all_pieces(monkeypatch):
+    """Counts are merged and handed on in parts; no word is lost, and a word's parts add up."""
+    texts = [" ".join(f"W{i % 7} w{i * j}" for j in range(40)) for i in range(60)] + [None, ""]
+    whole = Counter(w for t in texts for w in words_of(t))
+    for counted in (3, 200, 10**6):
+        monkeypatch.setattr(pseudo, "COUNTED", counted)
+        batches = (pa.record_batch({"text": pa.array(texts[i : i + 9], pa.string())}) for i in range(0, len(texts), 9))
+        total = Counter()
+        for part in pseudo._counted(batches):
+            for r in part.to_pylist():
+                assert r["hash"] == xxhash.xxh32_intdigest(r["word"])
+                total[r["word"]] += r["n"]
+        assert total == whole
+
+
+def test_every_token_is_weighed_once():
+    """Groups of any sizes, alone in pieces or with others of about their size: every token counts once, in its group."""
+    rng = np.random.default_rng(5)
+    for held in ([1], [3000], rng.integers(0, 90, 40), [5000, 1, 1, 48, 49, 47, 2, 0, 1024]):
+        group = np.repeat(np.arange(len(held)), held)
+        seen = []
+        for some, here, _, counts in pseudo._spans(group):
+            if counts is None:
+                places = np.arange(len(group))[here]
+                assert (group[places] == some).all()
+            else:
+                places = here[counts]
+                assert (group[places] == np.broadcast_to(some[:, None], here.shape)[counts]).all()
+            seen += places.tolist()
+        assert sorted(seen) == list(range(len(group)))
+
+
+@pytest.mark.parametrize("scale", [0.3, 40])
+def test_products_of_several_groups(scale):
+    """Gradients and log shares of groups weighed together are those of one token after another, for large scores too."""
+    rng = np.random.default_rng(6)
+    weights = rng.normal(0, scale, (3, pseudo.HIDDEN + 1, 5)).astype(np.float32)
+    large = pseudo._large(weights)
+    assert large == (scale > 1)
+    h = np.ones((3, 4, pseudo.HIDDEN + 1), np.float32)
+    h[..., :-1] = np.tanh(rng.normal(0, 1, (3, 4, pseudo.HIDDEN)))
+    member, counts = rng.integers(0, 5, (3, 4)), rng.integers(0, 2, (3, 4)).astype(bool)
+    chosen = (np.arange(3)[:, None], np.arange(4), member)
+    logs = pseudo._log_share(weights, h, chosen, large)
+    inner, change = pseudo._error(weights, h, chosen, large, counts)
+    expected = np.zeros(weights.shape)
+    for g, t in np.ndindex(3, 4):
+        scores = h[g, t].astype(float) @ weights[g].astype(float)
+        share = np.exp(scores - scores.max())
+        share /= share.sum()
+        assert logs[g, t] == pytest.approx(scores[member[g, t]] - scores.max() - np.log(np.exp(scores - scores.max()).sum()), rel=1e-4, abs=1e-4)
+        error = (share - np.eye(5)[member[g, t]]) * counts[g, t]
+        assert inner[g, t] == pytest.approx(weights[g, :-1].astype(float) @ error, rel=1e-3, abs=1e-3)
+        expected[g] += np.outer(h[g, t], error)
+    assert change == pytest.approx(expected, rel=1e-3, abs=1e-4)
+
+
 def test_training_helps_held_out_documents(spark):
     """Trained on half of the documents, the others get likelier than by word frequencies."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
