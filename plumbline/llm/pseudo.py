@@ -32,11 +32,12 @@ ROUNDS = 2  # over all documents; each token is predicted in one of them
 RATE = 0.2
 STEPS = 256, 4096  # the fewest and the most tokens of a training step
 STEPS_OF_SHARD = 256  # the steps that a shard should have at least, while steps are large enough
-CHUNK = 16_384  # tokens scored at once
+CHUNK = 65_536  # tokens scored at once
 BLOCK = 1024  # tokens weighed at once
-ALONE = 48  # a group of more tokens is weighed alone
+ALONE = 24  # a group of more tokens has products of its own
+SUMMED = 8  # a class seen more often in a step is summed alone
 FILLED = 0.7  # of the places that groups weighed together have, a group fills more than this share
-COUNTED = 200_000  # distinct words that a task counts before it hands them on
+COUNTED = 500_000  # distinct words that a task counts before it hands them on
 SHARD_TOKENS = 4_000_000  # the corpus has a shard for so many
 
 CACHED = 50_000  # words whose counts every task holds; those of the others are joined
@@ -66,6 +67,10 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real).cast(pa.binary()), np.diff(before[ends])
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, words.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
     waiting = 0
@@ -76,8 +81,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(counts: pa.Table) -> Iterator[pa.RecordBatch]:
         for part in counts.to_batches(max_chunksize=100_000):
-            hashes = [xxhash.xxh32_intdigest(w) for w in part.column("word").to_pylist()]
-            yield part.append_column("hash", pa.array(hashes, pa.int64()))
+            yield part.append_column("hash", pa.array(_hashes(part.column("word"))))
 
     for batch in batches:
         for piece in _slices(batch, "text"):
@@ -133,18 +137,18 @@ class Vocabulary:
             outer = np.where(total > 0, np.log(total / held.sum()), NONE)
         return outer.ravel().astype(np.float32), inner.astype(np.float32)
 
-    def hashed(self, value: int) -> int:
-        """The class of a word without its own, by its hash."""
+    def hashed(self, value):
+        """The class of a word without its own, by its hash; or of many, by an array."""
         return self.frequent + value % (self.size - self.frequent - 1)
 
-    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """The class and the number of each word; the places of those without a number of their own, and these words."""
         other = len(self.words)
         at = pc.fill_null(pc.index_in(words, value_set=self.words), other).to_numpy()
         found = self.class_of[at]
         rest = np.flatnonzero(at == other)
-        others = words.take(pa.array(rest)).to_pylist()
-        found[rest] = [self.hashed(xxhash.xxh32_intdigest(w)) for w in others]
+        others = words.take(pa.array(rest))
+        found[rest] = self.hashed(_hashes(others))
         return found, at, rest, others
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -197,8 +201,8 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
 def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
     """``row, doc_id, n_tokens, logs, ids, others``: each text as the classes of its words, written.
 
-    ``row`` is unique, ``logs`` the summed logs of the counts of the cached words; ``others``, the
-    words that are neither cached nor a class of their own, are joined by spaces.
+    ``row`` is unique, ``logs`` the summed logs of the counts of the cached words; ``others`` are the
+    words that are neither cached nor a class of their own.
     """
     kind = np.uint16 if words.size <= 1 << 16 else np.uint32
 
@@ -210,19 +214,19 @@ def encoded(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 ids, logs = ids.astype(kind), words.log_of[at]
                 ends = np.cumsum(n)
                 spans = list(zip((ends - n).tolist(), ends.tolist(), strict=True))
-                left = np.searchsorted(rest, np.concatenate([[0], ends])).tolist()
+                left = pa.array(np.searchsorted(rest, np.concatenate([[0], ends])), pa.int32())
                 yield pa.record_batch(
                     {
                         "doc_id": piece.column("doc_id"),
                         "n_tokens": pa.array(n, pa.int64()),
                         "logs": pa.array([logs[i:j].sum() for i, j in spans], pa.float64()),
                         "ids": pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
-                        "others": pa.array([b" ".join(others[left[k] : left[k + 1]]) for k in range(len(n))], pa.binary()),
+                        "others": pa.ListArray.from_arrays(left, others),
                     }
                 )
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    made = texts.mapInArrow(rows, "doc_id long, n_tokens long, logs double, ids binary, others binary")
+    made = texts.mapInArrow(rows, "doc_id long, n_tokens long, logs double, ids binary, others array<binary>")
     return stage(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -251,10 +255,11 @@ def hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.nda
 
 def _hidden(weights: list[np.ndarray], ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = weights[0][0].take(ids[at + OFFSETS[0]], axis=0)
+    near = np.empty_like(total)
     for k, offset in enumerate(OFFSETS[1:], 1):
-        total += weights[0][k].take(ids[at + offset], axis=0)
+        total += weights[0][k].take(ids[at + offset], axis=0, out=near, mode="clip")  # no place is outside
     out = np.ones((len(at), HIDDEN + 1), total.dtype)
-    out[:, :-1] = np.tanh(total, out=total)
+    np.tanh(total, out=out[:, :-1])
     return out
 
 
@@ -291,27 +296,30 @@ def _log_share(weights: np.ndarray, h: np.ndarray, chosen: tuple, large: bool) -
 
 
 def _by_group(own: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of tokens by group, and their groups and members in it."""
+    """An order of tokens by group, groups of more tokens first, and their groups and members in it."""
     g, m = groups(classes)
-    order = np.argsort((own // m).astype(np.uint16 if g < 1 << 16 else np.int64), kind="stable")
-    return order, *np.divmod(own[order], m)
+    group = own // m
+    rank = np.empty(g, np.uint16 if g < 1 << 16 else np.int64)
+    rank[np.argsort(-np.bincount(group, minlength=g), kind="stable")] = np.arange(g)
+    order = np.argsort(rank[group], kind="stable")
+    group = group[order]
+    return order, group, own[order] - group * m
 
 
 def _spans(group: np.ndarray) -> Iterator[tuple]:
     """Tokens whose groups are weighed in one product: the groups, the tokens, an index of each token's choice
-    but for its last part, and which tokens count. ``group`` is sorted. A group of many tokens goes alone,
-    in pieces; others go together with groups of about as many, a row each."""
+    but for its last part, and which tokens count. Tokens of a group lie together. A group of many tokens goes
+    alone, in pieces, without an index; others go together with groups of about as many, a row each."""
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     held = np.diff(starts, append=len(group))
     order = np.argsort(-held, kind="stable")
     sizes_, i = held[order].tolist(), 0
+    firsts, owners = starts[order].tolist(), group[starts[order]].tolist()
     while i < len(order):
         widest, j = sizes_[i], i + 1
         if widest > ALONE:
-            start = int(starts[order[i]])
-            for first in range(start, start + widest, BLOCK):
-                end = min(first + BLOCK, start + widest)
-                yield int(group[start]), slice(first, end), (np.arange(end - first),), None
+            for first in range(firsts[i], firsts[i] + widest, BLOCK):
+                yield owners[i], slice(first, min(first + BLOCK, firsts[i] + widest)), None, None
         else:
             while j < len(order) and sizes_[j] > FILLED * widest:
                 j += 1
@@ -322,6 +330,112 @@ def _spans(group: np.ndarray) -> Iterator[tuple]:
         i = j
 
 
+def _pieces(group: np.ndarray) -> Iterator[tuple]:
+    """What :func:`_spans` gives for tokens in the order of :func:`_by_group`, but groups that go alone
+    come as lists of ``(group, tokens)``, one after another and of ``BLOCK`` tokens at most, and a None."""
+    runs: list[tuple[int, slice]] = []
+    for some, here, index, counts in _spans(group):
+        if runs and (counts is not None or here.stop - runs[0][1].start > BLOCK):
+            yield runs, None, None, None
+            runs = []
+        if counts is None:
+            runs.append((some, here))
+        else:
+            yield some, here, index, counts
+    if runs:
+        yield runs, None, None, None
+
+
+def _blocks(n: int) -> Iterator[list[tuple[int, slice]]]:
+    """All of ``n`` tokens as runs of one group."""
+    return ([(0, slice(i, min(i + BLOCK, n)))] for i in range(0, n, BLOCK))
+
+
+def _scores(weights: np.ndarray, h: np.ndarray, runs: list[tuple[int, slice]], large: bool, room: np.ndarray) -> np.ndarray:
+    """The scores of the tokens of ``runs``, each by the weights of its group. They take ``room``."""
+    start, end = runs[0][1].start, runs[-1][1].stop
+    scores = room[: (end - start) * weights.shape[-1]].reshape(end - start, -1)
+    for g, here in runs:
+        np.matmul(h[here], weights[g], out=scores[here.start - start : here.stop - start])
+    if large:
+        scores -= scores.max(axis=1, keepdims=True)
+    return scores
+
+
+def _room(weights: list[np.ndarray]) -> np.ndarray:
+    """Room for the scores of a block, used again and again."""
+    return np.empty(BLOCK * max(weights[1].shape[-1], weights[2].shape[-1]), weights[0].dtype)
+
+
+def _places(scores: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Where the flat scores have those of the members."""
+    return np.arange(0, scores.size, scores.shape[1]) + member
+
+
+def _add_errors(
+    weights: np.ndarray,
+    h: np.ndarray,
+    runs: list[tuple[int, slice]],
+    member: np.ndarray,
+    large: bool,
+    room: np.ndarray,
+    inner: np.ndarray,
+    change: np.ndarray,
+    weight: float,
+) -> None:
+    """Adds what :func:`_error` gives for the tokens of ``runs``, times ``weight``, to ``inner`` and ``change``.
+    What is done to each score is done to all runs at once, so that groups of few tokens cost few calls."""
+    start, end = runs[0][1].start, runs[-1][1].stop
+    error = _scores(weights, h, runs, large, room)
+    np.exp(error, out=error)
+    total = error @ np.ones(error.shape[1], error.dtype)
+    error.reshape(-1)[_places(error, member[start:end])] -= total
+    share = (weight / total)[:, None]
+    shared = h[start:end] * share
+    back = np.empty((end - start, HIDDEN), error.dtype)
+    for g, here in runs:
+        at = slice(here.start - start, here.stop - start)
+        part = error[at]
+        np.matmul(part, weights[g, :-1].T, out=back[at])
+        change[g] += shared[at].T @ part
+    back *= share
+    inner[start:end] += back
+
+
+def _log_shares(
+    weights: np.ndarray, h: np.ndarray, runs: list[tuple[int, slice]], member: np.ndarray, large: bool, room: np.ndarray
+) -> np.ndarray:
+    """What :func:`_log_share` gives for the tokens of ``runs``."""
+    scores = _scores(weights, h, runs, large, room)
+    own = scores.reshape(-1)[_places(scores, member[runs[0][1].start : runs[-1][1].stop])].astype(np.float64)
+    np.exp(scores, out=scores)
+    return own - np.log((scores @ np.ones(scores.shape[1], scores.dtype)).astype(np.float64))
+
+
+def _sums(rows: np.ndarray, near: list[np.ndarray], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes seen at each offset, as class + classes * the offset's number, and the sums of their rows.
+    ``near`` has each row's class by offset."""
+    kind = np.uint16 if classes <= 1 << 16 else np.int64  # of 16 bits are sorted in linear time
+    orders = [np.argsort(c.astype(kind), kind="stable") for c in near]
+    near = np.concatenate([c[order] + k * classes for k, (c, order) in enumerate(zip(near, orders, strict=True))])
+    rows = rows.take(np.concatenate(orders), axis=0)
+    starts = np.flatnonzero(np.diff(near, prepend=-1))
+    held = np.diff(starts, append=len(near))
+    order = np.argsort(-held.astype(np.int16 if len(near) < 1 << 15 else np.int64), kind="stable")
+    starts, held = starts[order], held[order]
+    total = rows.take(starts, axis=0)
+    # Classes of many rows are summed one by one; then the second rows of all others at once, the third ones, and so on.
+    many, *more = np.searchsorted(-held, -np.arange(SUMMED, 0, -1)).tolist()
+    if many:
+        own = held[:many]
+        ends = np.cumsum(own)
+        places = np.arange(ends[-1]) + np.repeat(starts[:many] - ends + own, own)
+        total[:many] = np.add.reduceat(rows.take(places, axis=0), ends - own, axis=0)
+    for i, end in enumerate(reversed(more), 1):
+        total[many:end] += rows.take(starts[many:end] + i, axis=0)
+    return near[starts], total
+
+
 def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray, classes: int) -> None:
     """One step of adaptive gradient descent on the tokens at ``at``, in place."""
     if not len(at):
@@ -333,34 +447,31 @@ def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.nd
     n = len(at)
 
     def descend(part: np.ndarray, squared: np.ndarray, g: np.ndarray, where: np.ndarray | None = None) -> None:
-        g /= n
         total = squared if where is None else squared.take(where, axis=0)
-        total += g * g
+        root = g * g
+        total += root
         if where is not None:
             squared[where] = total
+        np.sqrt(total, out=root)
         g *= RATE
-        g /= np.sqrt(total)
+        g /= root
         if where is None:
             part -= g
         else:
-            part[where] = part.take(where, axis=0) - g
+            part[where] = np.subtract(part.take(where, axis=0, out=root, mode="clip"), g, out=g)
 
-    inner, outer = np.empty((n, HIDDEN), flat.dtype), np.zeros_like(weights[1])
+    inner, outer, lower = np.zeros((n, HIDDEN), flat.dtype), np.zeros_like(weights[1]), np.zeros_like(weights[2])
+    room = _room(weights)
     large = _large(weights[1])
-    for i in range(0, n, BLOCK):
-        own = group[i : i + BLOCK]
-        inner[i : i + BLOCK], change = _error(weights[1], h[i : i + BLOCK], (np.arange(len(own)), own), large)
-        outer += change
-    lower = np.zeros_like(weights[2])
+    for runs in _blocks(n):
+        _add_errors(weights[1][None], h, runs, group, large, room, inner, outer[None], 1 / n)
     large = _large(weights[2])
-    for some, here, index, counts in _spans(group):
-        error, change = _error(weights[2][some], h[here], (*index, member[here]), large, counts)
+    for some, here, index, counts in _pieces(group):
         if counts is None:
-            inner[here] += error
-            lower[some] += change
+            _add_errors(weights[2], h, some, member, large, room, inner, lower, 1 / n)
         else:
+            error, lower[some] = _error(weights[2][some], h[here], (*index, member[here]), large, counts.astype(flat.dtype) / n)
             inner[here[counts]] += error[counts]
-            lower[some] = change
     descend(weights[1], sums[1], outer)
     seen = group[np.flatnonzero(np.diff(group, prepend=-1))]
     if len(seen) == len(lower):
@@ -368,20 +479,14 @@ def train_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.nd
     else:
         descend(weights[2], sums[2], lower[seen], seen)
     inner *= 1 - h[:, :-1] ** 2
-    inner = np.ascontiguousarray(np.tile(inner.T.astype(np.float64), len(OFFSETS)))
     # Only classes that were seen at an offset have a gradient.
-    near = np.concatenate([ids[at + offset] + k * classes for k, offset in enumerate(OFFSETS)])
-    seen = np.flatnonzero(np.bincount(near, minlength=len(OFFSETS) * classes))
-    place = np.zeros(len(OFFSETS) * classes, np.intp)
-    place[seen] = np.arange(len(seen))
-    near = place[near]
-    total = np.stack([np.bincount(near, row, len(seen)) for row in inner], axis=1)
-    descend(weights[0].reshape(-1, HIDDEN), sums[0].reshape(-1, HIDDEN), total.astype(flat.dtype), seen)
+    seen, total = _sums(inner, [ids[at + offset] for offset in OFFSETS], classes)
+    descend(weights[0].reshape(-1, HIDDEN), sums[0].reshape(-1, HIDDEN), total, seen)
 
 
 def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of all texts with edges between them; the place and the text of each token."""
-    edge = np.full(EDGE, size - 1, np.int32)
+    edge = np.full(EDGE, size - 1, np.intp)
     pieces, places, owners, at = [edge], [], [], EDGE
     for i, own in enumerate(texts):
         pieces += [own, edge]
@@ -389,7 +494,7 @@ def _joined(size: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndar
         owners.append(np.full(len(own), i))
         at += len(own) + EDGE
     empty = np.empty(0, np.int64)
-    return np.concatenate(pieces, dtype=np.int32), np.concatenate([empty, *places]), np.concatenate([empty, *owners])
+    return np.concatenate(pieces, dtype=np.intp), np.concatenate([empty, *places]), np.concatenate([empty, *owners])
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -506,18 +611,18 @@ def log_probabilities(words: Vocabulary, flat: np.ndarray, ids: np.ndarray, at:
 def _log_probabilities(weights: list[np.ndarray], size: int, within: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at))
     large, large_below = _large(weights[1]), _large(weights[2])
+    room = _room(weights)
     for i in range(0, len(at), CHUNK):
         order, group, member = _by_group(ids[at[i : i + CHUNK]], size)
         h = _hidden(weights, ids, at[i : i + CHUNK][order])
         found = np.empty(len(h))
-        for j in range(0, len(h), BLOCK):
-            own = group[j : j + BLOCK]
-            found[j : j + BLOCK] = _log_share(weights[1], h[j : j + BLOCK], (np.arange(len(own)), own), large)
-        for some, here, index, counts in _spans(group):
-            share = _log_share(weights[2][some], h[here], (*index, member[here]), large_below)
+        for runs in _blocks(len(h)):
+            found[runs[0][1]] = _log_shares(weights[1][None], h, runs, group, large, room)
+        for some, here, index, counts in _pieces(group):
             if counts is None:
-                found[here] += share
+                found[some[0][1].start : some[-1][1].stop] += _log_shares(weights[2], h, some, member, large_below, room)
             else:
+                share = _log_share(weights[2][some], h[here], (*index, member[here]), large_below)
                 found[here[counts]] += share[counts]
         out[i + order] = found
     return out + within[ids[at]]
@@ -527,12 +632,12 @@ def joined_logs(rows: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFr
     """``row, joined``: the summed logs of the counts of a text's words that are not cached.
 
     Words seen once add nothing. A word that is not cached has less than one in ``CACHED`` of
-    all tokens, however its text is copied, so none is a hot key.
+    all tokens, however its text is copied, so none is a hot key. Each of these words occurs
+    more often than once, so their table is the smaller side, and is hashed instead of sorting the uses.
     """
-    split = F.split(F.col("others").cast("string"), " ")
-    uses = rows.filter("octet_length(others) > 0").select("row", F.explode(split).alias("word"))
+    uses = rows.select("row", F.explode("others").alias("word"))
     counts = counts.filter((F.col("n") > 1) & (F.col("n") < words.cached_from))
-    logs = counts.select(F.col("word").cast("string"), F.log("n").alias("log"))
+    logs = counts.select("word", F.log("n").alias("log")).hint("shuffle_hash")
     return uses.join(logs, "word").groupBy("row").agg(F.sum("log").alias("joined"))
 
 

@@ -489,6 +489,67 @@ def test_products_of_several_groups(scale):
     assert change == pytest.approx(expected, rel=1e-3, abs=1e-4)
 
 
+@pytest.mark.parametrize("scale", [0.3, 40])
+def test_runs_of_groups_are_weighed_as_each_alone(scale):
+    """Runs of several groups in one piece give the errors and log shares of each group by itself."""
+    rng = np.random.default_rng(12)
+    own = rng.choice(300, 2500, p=(1 / np.arange(1, 301)) / (1 / np.arange(1, 301)).sum())
+    order, group, member = pseudo._by_group(own, 300)
+    assert (group * pseudo.groups(300)[1] + member == own[order]).all()
+    weights = [None, rng.normal(0, scale, (pseudo.HIDDEN + 1, 18)), rng.normal(0, scale, (18, pseudo.HIDDEN + 1, 17))]
+    weights[0] = weights[1]
+    h = np.ones((2500, pseudo.HIDDEN + 1))
+    h[:, :-1] = np.tanh(rng.normal(0, 1, (2500, pseudo.HIDDEN)))
+    room, low, large = pseudo._room(weights), weights[2], pseudo._large(weights[2])
+    inner, change = np.zeros((2500, pseudo.HIDDEN)), np.zeros_like(low)
+    wanted, change_wanted, seen, several = np.zeros_like(inner), np.zeros_like(low), [], False
+    for some, here, _, counts in pseudo._pieces(group):
+        if counts is not None:
+            seen += here[counts].tolist()
+            continue
+        several = several or len(some) > 1
+        assert some[-1][1].stop - some[0][1].start <= pseudo.BLOCK
+        pseudo._add_errors(low, h, some, member, large, room, inner, change, 0.5)
+        logs = [pseudo._log_share(low[g], h[at], (np.arange(at.stop - at.start), member[at]), large) for g, at in some]
+        assert pseudo._log_shares(low, h, some, member, large, room) == pytest.approx(np.concatenate(logs))
+        for g, at in some:
+            assert (group[at] == g).all()
+            seen += range(at.start, at.stop)
+            error, c = pseudo._error(low[g], h[at], (np.arange(at.stop - at.start), member[at]), large)
+            wanted[at] += error / 2
+            change_wanted[g] += c / 2
+    assert several and sorted(seen) == list(range(2500))
+    assert inner == pytest.approx(wanted) and change == pytest.approx(change_wanted)
+
+
+@pytest.mark.parametrize("classes", [1, 40, 70_000])
+@pytest.mark.parametrize("n", [1, 7, 9, 3000, 9000])
+def test_rows_are_summed_by_class_and_offset(n, classes):
+    """Classes seen once, a few times or often, at each offset, have the sums of all their rows."""
+    rng = np.random.default_rng(n)
+    rows, near = rng.normal(size=(n, 3)), [rng.zipf(1.4, n) % classes for _ in pseudo.OFFSETS]
+    wanted = np.zeros((len(near) * classes, 3))
+    for k, c in enumerate(near):
+        np.add.at(wanted, c + k * classes, rows)
+    seen, total = pseudo._sums(rows, near, classes)
+    assert sorted(seen) == sorted({int(i) + k * classes for k, c in enumerate(near) for i in c})
+    assert total == pytest.approx(wanted[seen])
+
+
+def test_uses_of_rare_words_are_not_sorted(spark):
+    """The counts of words that are not cached are hashed for the join; the uses are not sorted."""
+    docs = frame(spark, [(i, f"a b c{i} d{i % 3} é\u00a0{i % 2}") for i in range(12)] + [(None, None), (50, "")])
+    counts = pseudo.counted(docs)
+    vocabulary = pseudo.Vocabulary(16, [(b"a", 12)], {12: 60}, [], 2**62)
+    joined = pseudo.joined_logs(pseudo.encoded(docs, vocabulary), counts, vocabulary)
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    found = sorted(r["joined"] for r in joined.collect())
+    n = Counter(w for i in range(12) for w in words_of(f"b c{i} d{i % 3} é\u00a0{i % 2}"))
+    wanted = sorted(sum(np.log(n[w]) for w in words_of(f"b c{i} d{i % 3} é\u00a0{i % 2}")) for i in range(12))
+    assert found == pytest.approx(wanted)
+
+
 def test_training_helps_held_out_documents(spark):
     """Trained on half of the documents, the others get likelier than by word frequencies."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
